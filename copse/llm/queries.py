@@ -3,25 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from copse.llm import chosen_path, substring_dedup
+from copse.llm import anisotropic_ann, chat_events, chosen_path, shard_store, substring_dedup, url_automaton, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.voronoi_knn(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_wildcard_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op5_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic_ann.anisotropic_ann(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.chosen_path_join(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_events.conversation_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op10_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_store.shard_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op2_fingerprint_index": op2_fingerprint_index,
+    "op4_wildcard_automaton": op4_wildcard_automaton,
+    "op5_anisotropic_ann": op5_anisotropic_ann,
     "op8_chosen_path_join": op8_chosen_path_join,
+    "op9_chat_events": op9_chat_events,
+    "op10_size_tiered_shards": op10_size_tiered_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_voronoi_knn": voronoi_knn.ORACLE_SQL,
+    "op4_wildcard_automaton": url_automaton.ORACLE_SQL,
+    "op9_chat_events": chat_events.ORACLE_SQL,
+    "op10_size_tiered_shards": shard_store.ORACLE_SQL,
+}
