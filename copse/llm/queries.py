@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import anisotropic_ann, chat_events, chosen_path, shard_store, substring_dedup, url_automaton, voronoi_knn
+from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_wildcard_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_automaton.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -28,6 +33,16 @@ def op5_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic_ann.anisotropic_ann(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = source_mixing.domain_labels(_table(spark, sf_dir, "labels"))
+    rates = source_mixing.mixing_rates(_table(spark, sf_dir, "documents"), labels, source_mixing.DOMAINS, source_mixing.TARGETS)
+    return rates.select("doc_id", "tokens", *(F.element_at("posterior", i + 1).alias(f"p_{d}") for i, d in enumerate(source_mixing.DOMAINS)), "rate")
+
+
+def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_queue.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.chosen_path_join(_table(spark, sf_dir, "documents")).drop("th")
 
@@ -43,8 +58,11 @@ def op10_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_fingerprint_index": op2_fingerprint_index,
+    "op3_factorization_machine": op3_factorization_machine,
     "op4_wildcard_automaton": op4_wildcard_automaton,
     "op5_anisotropic_ann": op5_anisotropic_ann,
+    "op6_soft_membership_mixing": op6_soft_membership_mixing,
+    "op7_rank_queue_bpe": op7_rank_queue_bpe,
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_chat_events": op9_chat_events,
     "op10_size_tiered_shards": op10_size_tiered_shards,

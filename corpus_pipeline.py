@@ -1,11 +1,88 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, mixing, tokens. Each stage works on all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from copse.llm import bpe_queue, chosen_path, source_mixing, substring_dedup, toxicity_fm
+from copse.llm.shared import fresh_path
+from copse.llm.substring_dedup import KEY, NO_ID
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Tokens by domain (toxic documents are gone by then) that the mix is to have; no document is left out (a rate of 1 at least).
+TARGETS = {"high": 0.80, "low": 0.20}
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine finds toxic (0.5 or more) go."""
+    docs = docs.select(*COLUMNS)
+    machine = toxicity_fm.train(docs, _labels(spark, sf_dir))
+    return toxicity_fm.with_toxicity(docs, machine).where("toxicity < 0.5").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies that links tie, the document of the smallest doc_id stays; of rows of one doc_id and class, one stays."""
+    docs = docs.select(*COLUMNS).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
+    joined = chosen_path.chosen_path_join(docs)
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    gone = joined.where(F.coalesce("class_id", F.lit(NO_ID)) != own).select(own.alias("key"), "th").distinct()
+    again = joined.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
+    left = docs.join(gone, ["key", "th"], "left_anti")
+    same = left.join(again, "key", "left_semi").dropDuplicates(["key", "th"])
+    return left.join(again, "key", "left_anti").unionByName(same).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that stand elsewhere too go; every document stays, with what is left of its text."""
+    docs = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = substring_dedup.substring_dedup(docs, texts=True).where("n_removed > 0")
+    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "th", F.col("kept_text").alias("kept")).dropDuplicates(["key", "th"])
+    joined = docs.join(kept, ["key", "th"], "left")
+    text = F.coalesce("kept", "text")
+    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its rate says, once at least."""
+    docs = docs.select(*COLUMNS)
+    labels = source_mixing.domain_labels(_labels(spark, sf_dir))
+    domains, targets = list(TARGETS), list(TARGETS.values())
+    model = source_mixing.train(docs, labels, domains)
+    path = fresh_path(spark, "mixing")
+    source_mixing.posteriors(docs.withColumn("body", F.col("text")), model).withColumnRenamed("body", "text").write.parquet(path)
+    table = spark.read.parquet(path)
+    steps = source_mixing.fitted_steps(table.select("tokens", "posterior"), targets, None, 1.0)
+    times = source_mixing.copies(source_mixing.rate_after(steps, 1.0, 8.0), F.col("doc_id"))
+    return table.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and their digests for every copy of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bpe_queue.bpe(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
+#: Fitted models, joins by windows and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
