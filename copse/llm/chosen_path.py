@@ -210,8 +210,8 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     least = num / den
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**depth)))
     signed = settle(keyed(docs).mapInArrow(_signed(n), SIGNED), "signatures")
-    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"))
-    classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", F.xxhash64("k1", "k2", "n_set").alias("id")), "classes")
+    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"))
+    classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id")), "classes")
     reps = signed.select(*KEY, "sig").join(classes.select(*KEY, "id"), KEY).groupBy("id").agg(F.first("sig").alias("sig"))
     reps = settle(reps, "representatives")
     paths = reps.mapInArrow(_paths(runs, depth), "id long, " + ", ".join(f"p{d} long" for d in range(depth)))
@@ -239,8 +239,8 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     exact = settle(tiles.mapInArrow(_exact(num, den), "id long, links long, head long"), "links")
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(exact.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    whole = classes.join(links, "id", "left").join(tied, "id", "left").select("k1", "k2", "n_set", "doc_id", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    named = whole.groupBy("component").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("class_id"))
+    whole = classes.join(links, "id", "left").join(tied, "id", "left").select("k1", "k2", "n_set", "low", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    named = whole.groupBy("component").agg(F.min("low").alias("class_id"))
     whole = whole.join(named, "component").select("k1", "k2", "n_set", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
     out = signed.select(*KEY, "k1", "k2", "n_set").join(whole, ["k1", "k2", "n_set"], "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))

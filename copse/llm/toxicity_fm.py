@@ -7,7 +7,7 @@ picked by chi squared and the machine is fitted (AdaGrad, fixed seed) on at most
 texts are scored whole.
 
 Behaviour: null and empty texts have no terms and get the logit b. Labels repeated for a document count once (1 wins); documents
-repeated are scored each. Without labelled rows, or with one class only, the score is a constant. Rows keep their doc_id, null or
+repeated are scored each. With one class only, the score is a constant near it; without labelled rows it is near 0. Rows keep their doc_id, null or
 not (null is held out or not as the empty text is). Columns other than doc_id and text are no input of a score.
 """
 
@@ -45,7 +45,7 @@ def fit(y: np.ndarray, flat: np.ndarray, bounds: np.ndarray, vocabulary: np.ndar
     rng = np.random.default_rng(seed)
     terms = len(vocabulary)
     w, v = np.zeros(terms), rng.normal(0, 0.05, (terms, size))
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
     b = float(np.log(share / (1 - share)))
     if not len(y) or share in (1e-3, 1 - 1e-3) or not terms:
         return Machine(vocabulary, b, w, v)
