@@ -11,8 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.shared import settle
+
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
+#: Terms whose chi squared chance alone exceeds once in a thousand are not telling.
+CHANCE = 10.83
+_CAPITALS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!*$%&#@+=<>{}[]|\\~^_"
 _WORD = re.compile(r"\w+")
 
 
@@ -24,13 +29,13 @@ def word_terms(word: str) -> list[int]:
 
 def style_terms(text: str, words: list[str], distinct: int) -> list[int]:
     """Buckets of coarse shares that mark junk: capitals, repeated words, symbols, digits, lines, length."""
-    n = max(1, len(text))
-    few = len(text.encode(errors="replace").translate(None, b"!*$%&#@+=<>{}[]|\\~^_")) if text else 0
+    data = text.encode(errors="replace")
+    n = max(1, len(data))
     marks = {
-        "upper": sum(map(str.isupper, text[:: max(1, n // 4000)])) * max(1, n // 4000) / n,
+        "upper": (len(data) - len(data.translate(None, _CAPITALS))) / n,
         "distinct": distinct / max(1, len(words)),
-        "symbols": (len(text.encode(errors="replace")) - few) / n,
-        "lines": text.count("\n") / max(1, len(words)),
+        "symbols": (len(data) - len(data.translate(None, _SYMBOLS))) / n,
+        "lines": data.count(b"\n") / max(1, len(words)),
     }
     out = [f"s {k} {min(19, int(20 * v))}" for k, v in marks.items()]
     out.append(f"s length {len(words).bit_length()}")
@@ -89,10 +94,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(y, text) of at most `rows` labelled documents, those of the least hash of doc_id. `labels`: (doc_id, y), y an integer class.
 
-    The labels' sample is bounded by `rows`, so it goes to every task and no text is shuffled.
+    The labels' sample is bounded by `rows`, so it goes to every task and no text is shuffled; the sample is written once.
     """
     picked = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")
+    return settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text"), "sample")
 
 
 def telling(sample: DataFrame, classes: int, most: int, style: bool = False) -> np.ndarray:
@@ -108,7 +113,7 @@ def telling(sample: DataFrame, classes: int, most: int, style: bool = False) ->
         share = totals.get(c, 0) / n
         if 0 < share < 1:
             chi = chi + F.pow(F.col(f"c{c}") - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) * (1 - F.col("n") / n + 1e-9))
-    best = counts.select("term", chi.alias("chi")).orderBy(F.col("chi").desc(), "term").limit(most).collect()
+    best = counts.select("term", chi.alias("chi")).where(F.col("chi") >= CHANCE).orderBy(F.col("chi").desc(), "term").limit(most).collect()
     return np.array([r[0] for r in best], dtype=np.int64)
 
 
