@@ -77,7 +77,14 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         table = mix(np.arange(256, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed * 1009 + 17))
-        return spans_hash(table[self.data], self.start, self.end, _odd(seed + 1))
+        out = np.empty(len(self.start), dtype=_U)
+        i = 0
+        while i < len(out):  # a bounded stretch of a very long text at a time
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SLICE, side="right")))
+            lo = self.start[i]
+            out[i:j] = spans_hash(table[self.data[lo : self.end[j - 1]]], self.start[i:j] - lo, self.end[i:j] - lo, _odd(seed + 1))
+            i = j
+        return out
 
     def windows(self, hashes: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """For each word, the hash of the k words from it on, and whether these lie within its text."""
