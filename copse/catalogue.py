@@ -350,6 +350,20 @@ def scan_chain(spark, sf_dir):
     return steps.select("doc_id", c("at").cast("long").alias("place"), "source", c("t.token").alias("sink"))
 
 
+@query("WITH t AS (SELECT page_id, unnest(regexp_extract_all(url, '/[a-z0-9]+')) AS part, generate_subscripts(regexp_extract_all(url, '/[a-z0-9]+'), 1) - 1 AS i FROM pages) SELECT page_id AS doc_id, i, unnest(regexp_extract_all(part, '[a-z]+|[0-9]+')) AS token FROM t")
+def scan_nested(spark, sf_dir):
+    pages = forests.table(spark, sf_dir, "pages").select(c("page_id").alias("doc_id"), loops.scan(c("url"), ["/[a-z0-9]+"]).alias("parts"))
+    outer = loops.for_each(pages, "parts", "part", "i").withColumn("tokens", loops.scan(c("part.token"), ["[a-z]+", "[0-9]+"]))
+    return loops.for_each(outer, "tokens", "t").select("doc_id", c("i").cast("long").alias("i"), "t.token")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents), h AS (SELECT *, strpos(line, '!!') - 1 AS col, (row + 1) || ' | ' AS head FROM l WHERE strpos(line, '!!') > 0) SELECT doc_id, row, head || line || chr(10) || repeat(' ', length(head) + col) || '^^' AS text FROM h")
+def excerpts(spark, sf_dir):
+    lines = p.picked(forests.text_forest(spark, sf_dir), "line", where=c("text").contains("!!"))
+    at = F.instr("text", "!!") - 1
+    return lines.select("doc_id", c("num").alias("row"), graphs.excerpt(c("text"), c("num"), at, F.lit(2)).alias("text"))
+
+
 # --- scoped variables -----------------------------------------------------------------------------------------------------
 
 
@@ -397,6 +411,22 @@ def scoped_set(spark, sf_dir):
     return scoping.last_written(writes, "path").select(c("scope").alias("k"), c("value").alias("v"))
 
 
+@query("SELECT r_name || '/' || n_name || '/' || s_name AS v, s_suppkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
+def recursive_names(spark, sf_dir):
+    forest = forests.geo_forest(spark, sf_dir)
+    m = scoping.along_path(p.match(forest, "s", "supplier"), forest, "s", "v", c("text"), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, F.lit("/"), x)))
+    return m.select("v", c("s.key").alias("k"))
+
+
+@query(f"SELECT o_orderkey AS k, list(CAST(l_quantity AS BIGINT) * 3 ORDER BY {LINE_ORDER}) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def list_comp_scoped(spark, sf_dir):
+    forest = forests.order_forest(spark, sf_dir)
+    bindings = scoping.bind(p.match(forest, "l", "lineitem"), "l", c("l.num") * 3)
+    rows = loops.for_each(orders(spark, sf_dir, "items", 1), "items", "x")
+    rows = scoping.read(rows, bindings, c("x.node_id"), "tripled").withColumn("k", c("o.key"))
+    return loops.gathered(rows, ["doc_id", "k"], "at", c("tripled"), "v").select("k", "v")
+
+
 # --- functions ------------------------------------------------------------------------------------------------------------
 
 

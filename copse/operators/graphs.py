@@ -71,6 +71,12 @@ def debug(line: Column, column: Column) -> Column:
     return F.concat(F.lit("line "), (line + 1).cast("string"), F.lit(" column "), (column + 1).cast("string"))
 
 
+def excerpt(line: Column, row: Column, column: Column, length: Column) -> Column:
+    """A line of source, numbered from 1, with carets under the place meant (columns in characters, from 0)."""
+    head = F.concat((row + 1).cast("string"), F.lit(" | "))
+    return F.concat(head, line, F.lit("\n"), F.repeat(F.lit(" "), F.length(head) + column.cast("int")), F.repeat(F.lit("^"), F.greatest(length, F.lit(1)).cast("int")))
+
+
 def degrees(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", F.col("source").alias("node")).agg(F.count("*").alias("out_edges"))
 
@@ -100,3 +106,8 @@ def json_nodes(graph: Graph) -> DataFrame:
     out = lines.groupBy("doc_id", F.col("source").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sink", text.alias("t")))), lambda x: x["t"]), ",").alias("edges"))
     rows = graph.nodes.join(of_nodes, ["doc_id", "node"], "left").join(out, ["doc_id", "node"], "left")
     return rows.select("doc_id", "node", F.concat(F.lit('{"id":'), "node", F.lit(',"edges":['), F.coalesce("edges", F.lit("")), F.lit('],"attrs":'), F.coalesce("attrs", F.lit("{}")), F.lit("}")).alias("json"))
+
+
+def write_json(graph: Graph, path: str) -> None:
+    """One JSON line a node, sorted within a file."""
+    json_nodes(graph).sortWithinPartitions("doc_id", "node").select("json").write.text(path)

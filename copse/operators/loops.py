@@ -13,6 +13,11 @@ def for_each(matches: DataFrame, items: str | Column, name: str, at: str = "at")
     return matches.select("*", F.posexplode(items).alias(at, name))
 
 
+def gathered(rows: DataFrame, by: list[str], at: str, value: Column, name: str) -> DataFrame:
+    """Back from one row an element to one list a match, in the elements' order: a comprehension whose element needed a join."""
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value.alias("value")))), lambda x: x["value"]).alias(name))
+
+
 def fold(items: str | Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """A loop that carries a value: `step(carried, element)` in order."""
     return F.aggregate(items, start, step)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,16 @@ def inherited(matches: DataFrame, bindings: DataFrame, scope: str, name: str) ->
     found = up.join(bindings.select("doc_id", "path", F.struct("value").alias("got")), ["doc_id", "path"])
     best = found.groupBy("doc_id", "_reader").agg(F.max_by("got", F.size("path")).alias("_got"))
     return matches.withColumn("_reader", F.col(f"{scope}.path")).join(best, ["doc_id", "_reader"], "left").withColumn(name, F.col("_got.value")).drop("_reader", "_got")
+
+
+def along_path(matches: DataFrame, forest: DataFrame, scope: str, name: str, value: Column, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """A value that each node makes of its parent's (`v` of a child from `v` of the parent), as a fold from the root down to capture `scope`.
+
+    `value` is what each node on the way brings, an expression over the forest; `step(carried, value)` goes on from there.
+    """
+    readers = matches.select("doc_id", F.col(f"{scope}.path").alias("_reader")).distinct()
+    up = readers.select("doc_id", "_reader", F.explode(prefixes(F.col("_reader"))).alias("path"))
+    steps = up.join(forest.select("doc_id", "path", value.alias("brought")), ["doc_id", "path"])
+    held = steps.groupBy("doc_id", "_reader").agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("depth"), "brought"))).alias("way"))
+    made = held.select("doc_id", "_reader", F.aggregate("way", start, lambda a, x: step(a, x["brought"])).alias(name))
+    return matches.withColumn("_reader", F.col(f"{scope}.path")).join(made, ["doc_id", "_reader"], "left").drop("_reader")

@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, path, text): each file of a folder whole; doc_id is a hash of its path."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "text")
+
+
 def node(df: DataFrame, doc: Column, kind: Column | str, path: list[Column], node_id: Column, parent: Column | None = None, field: str | None = None, named: bool = True, key: Column | None = None, num: Column | None = None, text: Column | None = None) -> DataFrame:
     none = F.lit(None)
     return df.select(

@@ -1,12 +1,14 @@
 """Operators on small hand-made trees."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from copse.functions import standard, values
 from copse.operators import graphs, loops, scoping
 from copse.operators import patterns as p
-from copse.sources.forests import COLUMNS, _Tags
+from copse.sources.forests import COLUMNS, _Tags, text_files
 
 SCHEMA = "doc_id long, node_id long, parent_id long, kind string, field string, named boolean, error boolean, missing boolean, path array<long>, key long, num long, text string"
 
@@ -144,3 +146,17 @@ def test_row_order_and_partitions_do_not_matter(spark, forest):
     a = graphs.numbered(p.picked(forest), "path").select("node_id", "node")
     b = graphs.numbered(p.picked(forest.repartition(3).orderBy(F.rand(1))), "path").select("node_id", "node")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "in" / "b.txt").write_text("")
+    got = text_files(spark, str(tmp_path / "in")).collect()
+    assert [r.text for r in got if r.path.endswith("a.txt")] == ["one\ntwo\n"]
+    nodes = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, node long")
+    edges = spark.createDataFrame([(1, 0, 1)], "doc_id long, source long, sink long")
+    attrs = graphs.attributes(nodes, {'q"': values.boolean(F.lit(True))}, "node")
+    graphs.write_json(graphs.Graph(nodes, edges, attrs), str(tmp_path / "out"))
+    lines = sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == [0, 1]
