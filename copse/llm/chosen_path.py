@@ -117,7 +117,9 @@ def _heads(linked: np.ndarray) -> np.ndarray:
     n = len(linked)
     head = np.arange(n)
     while True:
-        low = np.minimum(head, np.where(linked, head[None, :], n).min(axis=1, initial=n))
+        low = head.copy()
+        for i in range(0, n, 256):
+            low[i : i + 256] = np.minimum(low[i : i + 256], np.where(linked[i : i + 256], head[None, :], n).min(axis=1))
         low = np.minimum(low, low[low])
         if (low == head).all():
             return head
@@ -201,7 +203,7 @@ def _exact(num: int, den: int):
     return run
 
 
-def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.99, bucket: int = 256, depth: int = 4, block: int = 2048, block_values: int = 2_000_000) -> DataFrame:
+def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.99, bucket: int = 256, depth: int = 4, block: int = 1024, block_values: int = 2_000_000) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies): one row for each row of `docs`(doc_id, text).
 
     Links join texts whose sets have a Jaccard similarity of num / den or more. class_id: the smallest doc_id among the
@@ -221,7 +223,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
         sized = rest.join(sizes, f"p{d}")
         final = d == depth - 1
         here = sized if final else sized.where(F.col("size") <= bucket)
-        placed.append(here.select("id", F.col(f"p{d}").alias("bucket"), F.ceil(F.col("size") / bucket).alias("nb")))
+        placed.append(here.select("id", F.col(f"p{d}").alias("bucket"), F.ceil(F.col("size") / block).alias("nb")))
         if not final:
             rest = settle(sized.where(F.col("size") > bucket).drop("size"), "large")
     met = placed[0]
