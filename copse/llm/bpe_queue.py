@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.shared import over_texts
+
 
 class RankQueue:
     """Positions by rank. Three levels of 64-bit words say which buckets hold any."""
@@ -61,7 +63,7 @@ class RankQueue:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 500_000, short: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 200_000, short: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.words = {str(i): b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
@@ -199,7 +201,7 @@ def bpe(docs: DataFrame, rank_file: str, pattern: str, ids: bool = False) -> Dat
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     schema = f"{columns}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.mapInArrow(_coded(ranks, pattern, ids), schema)
+    return over_texts(docs, _coded(ranks, pattern, ids), schema)
 
 
 def token_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

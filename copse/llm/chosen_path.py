@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.components import components
-from copse.llm.shared import groups, ints, settle
+from copse.llm.shared import groups, ints, over_texts, settle
 from copse.llm.substring_dedup import KEY, NO_ID, _few, _own, _unpacked, keyed, pack
 from copse.llm.words import Words, mix, slices
 
@@ -211,7 +211,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     """
     least = num / den
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**depth)))
-    signed = settle(keyed(docs).mapInArrow(_signed(n), SIGNED), "signatures")
+    signed = settle(over_texts(keyed(docs), _signed(n), SIGNED), "signatures")
     classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"))
     classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id")), "classes")
     reps = signed.select(*KEY, "sig").join(classes.select(*KEY, "id"), KEY).groupBy("id").agg(F.first("sig").alias("sig"))
@@ -236,7 +236,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     near = settle(near, "near")
     held = classes.select(*KEY, "id", "w", "n_set").join(near, "id")
     blocks = held.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_set") / block_values)).alias("nb"))
-    sets = pack(docs).join(held.drop("n_set"), KEY).dropDuplicates(["id"]).mapInArrow(_sets(n), "id long, component long, w long, set array<long>")
+    sets = over_texts(pack(docs).join(held.drop("n_set"), KEY).dropDuplicates(["id"]), _sets(n), "id long, component long, w long, set array<long>")
     tiles = _block_pairs(sets, "component", blocks).repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     exact = settle(tiles.mapInArrow(_exact(num, den), "id long, links long, head long"), "links")
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
@@ -31,6 +33,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def over_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`df.mapInArrow`, with the session's Arrow batches set to `TEXT_BYTES`, so that few texts are in a task's memory at once."""
+    df.sparkSession.conf.set(BATCH_BYTES, str(TEXT_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal integer `keys` from batches sorted by them; a run may span batches."""
     held: list[pa.RecordBatch] = []

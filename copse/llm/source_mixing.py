@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.shared import settle
+from copse.llm.shared import over_texts, settle
 from copse.llm.terms import Terms, examples, sampled, telling
 
 
@@ -92,7 +92,7 @@ def _posterior(model: Softmax):
 def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     """`docs` with `tokens` and `posterior` in place of `text`."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(_posterior(model), f"{columns}, tokens long, posterior array<double>")
+    return over_texts(docs, _posterior(model), f"{columns}, tokens long, posterior array<double>")
 
 
 def rate_after(steps: list[np.ndarray], low: float, high: float) -> Column:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm.shared import fresh_path, ints, settle
+from copse.llm.shared import fresh_path, ints, over_texts, settle
 from copse.llm.words import Words, mix, slices, spans_hash
 
 WIDTH, PIECE = 35, 8
@@ -144,7 +144,7 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> None:
         """Adds a batch of (doc_id, text): its per-document anchors, and its run of (anchor, occurrences) sorted by anchor."""
         path = self._path("part")
-        keyed(docs).mapInArrow(_parts(self.width, self.piece), PARTS).write.parquet(path)
+        over_texts(keyed(docs), _parts(self.width, self.piece), PARTS).write.parquet(path)
         self.parts.append(path)
         part = self.spark.read.schema(PARTS).parquet(path)
         self.runs.append(self._run(part.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))))
@@ -222,7 +222,7 @@ def _packed():
 
 def pack(docs: DataFrame) -> DataFrame:
     """(doc_id, th, packed): texts compressed for a shuffle; null counts as empty."""
-    return keyed(docs).mapInArrow(_packed(), "doc_id long, th long, packed binary")
+    return over_texts(keyed(docs), _packed(), "doc_id long, th long, packed binary")
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
     spans = settle(found.groupBy("fp", "sp").agg(F.sum("copies").alias("n"), F.min(F.struct(*KEY)).alias("rep")).select("fp", "sp", "n", "rep.*"), "spans")
     several = spans.groupBy("fp").agg(F.count("*").alias("k")).where("k >= 2").select("fp")
     asked = spans.join(several, "fp", "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("asked"))
-    windows = settle(pack(docs).join(asked, KEY).mapInArrow(_windows(width, piece), "doc_id long, th long, at long, w1 long, w2 long"), "windows")
+    windows = settle(over_texts(pack(docs).join(asked, KEY), _windows(width, piece), "doc_id long, th long, at long, w1 long, w2 long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2")
     single = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("ats"))
     whole = found.select(*KEY, "fp", "sp").join(spans.where("n >= 2").select("fp", "sp"), ["fp", "sp"], "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("whole"))
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
     flags = single.join(whole, KEY, "full_outer").join(twins, KEY, "full_outer")
     ready = pack(docs).join(flags, KEY, "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     schema = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    out = ready.mapInArrow(_kept(width, piece, texts), schema)
+    out = over_texts(ready, _kept(width, piece, texts), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).drop(*([] if texts else ["th"]))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.shared import settle
+from copse.llm.shared import over_texts, settle
 
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
@@ -45,7 +45,7 @@ def style_terms(text: str, words: list[str], distinct: int) -> list[int]:
 class Terms:
     """Distinct term buckets of a text, or their positions in `vocabulary`; words seen before are looked up."""
 
-    def __init__(self, vocabulary: np.ndarray | None = None, style: bool = False, memory: int = 400_000):
+    def __init__(self, vocabulary: np.ndarray | None = None, style: bool = False, memory: int = 200_000):
         self.at = None if vocabulary is None else {int(b): i for i, b in enumerate(vocabulary)}
         self.style, self.memory = style, memory
         self.known: dict[str, tuple[int, ...]] = {}
@@ -106,7 +106,7 @@ def telling(sample: DataFrame, classes: int, most: int, style: bool = False) ->
     n = sum(totals.values())
     if not n:
         return np.zeros(0, dtype=np.int64)
-    listed = sample.mapInArrow(_listed(None, style, ["y"]), "y int, terms array<int>").select("y", F.explode("terms").alias("term"))
+    listed = over_texts(sample, _listed(None, style, ["y"]), "y int, terms array<int>").select("y", F.explode("terms").alias("term"))
     counts = listed.groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(classes))).where("n >= 5")
     chi = F.lit(0.0)
     for c in range(classes):
@@ -119,7 +119,7 @@ def telling(sample: DataFrame, classes: int, most: int, style: bool = False) ->
 
 def examples(sample: DataFrame, vocabulary: np.ndarray, style: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(classes, term positions of all rows, where each row's begin) of the bounded sample, on the driver, in a fixed order."""
-    got = sample.mapInArrow(_listed(vocabulary, style, ["y"]), "y int, terms array<int>").toArrow()
+    got = over_texts(sample, _listed(vocabulary, style, ["y"]), "y int, terms array<int>").toArrow()
     y = got.column("y").to_numpy()
     lists = got.column("terms").to_pylist()
     order = sorted(range(len(lists)), key=lambda i: (y[i], lists[i]))

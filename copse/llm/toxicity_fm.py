@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copse.llm.shared import over_texts
 from copse.llm.terms import Terms, examples, held_out, sampled, telling
 
 
@@ -99,7 +100,7 @@ def _scored(machine: Machine):
 def with_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """`docs` with a column `toxicity`, 0 to 1, of every row's whole text."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scored(machine), f"{columns}, toxicity double")
+    return over_texts(docs, _scored(machine), f"{columns}, toxicity double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 4096) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2_000_000
+SLICE = 500_000
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,8 +32,7 @@ def _odd(seed: int) -> int:
     return int(mix(np.array([seed * 7919 + 1], dtype=_U))[0]) | 1
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _computed(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         x = np.full(n, b, dtype=_U)
         x[0] = 1
@@ -42,11 +41,17 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(base), run(pow(base, -1, 1 << 64))
 
 
+_kept = lru_cache(maxsize=16)(_computed)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
+    """At least n powers of `base` and of its inverse; those of very long texts are not held in the worker."""
+    if n > SLICE + 1:
+        return _computed(base, n)
+    size = 1 << 17
     while size < n:
         size *= 2
-    return _powers(base, size)
+    return _kept(base, size)
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
