@@ -1,24 +1,27 @@
 """Mixing sources to target weights by soft membership.
 
 A document belongs to every domain by degrees: a softmax classifier over hashed terms and style marks, fitted on at most `sample`
-rows of the labelled table (the documented bound), gives each document a posterior p over the domains. Documents get rates w >= 0
-(in [low, high]) so that the expected tokens of every domain, sum of w n p over the corpus with n a document's words, meet their targets:
+rows of the labelled table (the documented bound), gives each document a posterior p over the domains. Documents get rates w >= low
+so that the expected tokens of every domain, sum of w n p over the corpus with n a document's words, meet their targets:
 
-    minimise 1/2 |A w - t|^2,   A w = sum_d w_d (n_d / N) p_d,   t: target share x `budget`
+    A w = t,   A w = sum_d w_d (n_d / N) p_d,   t: target share x `budget`
 
-by projected gradient in the metric weighted by n_d / N, where the gradient of document d is p_d . (A w - t). Each step is one
-distributed sum of K numbers over a table of (tokens, posterior); a document's rate is the fold of the steps so far, so it is
-a column, never collected. Steps are as long as the largest eigenvalue of the K x K Gram matrix allows, with momentum that is
-dropped when it points uphill.
+or, without a `budget`, so that their shares do: sum_d w_d (n_d / N) (p_d - target share) = 0. Of all such rates those are taken that
+differ least from 1 (squares weighted by n_d / N). They are w_d = max(low, 1 + p_d . m) for one vector m of K numbers, so a rate
+is a column, never collected. m is the least point of a convex function of K variables, found by Newton's method: each step is one distributed
+sum of K numbers and a K x K Gram matrix of the rows above `low`, over a table of (tokens, posterior), and a second one over
+step lengths where the whole step leads too far. Steps go on until the targets are met to `close` of the tokens, or nothing is nearer.
 
 Behaviour: null and empty texts have no tokens; they get the starting rate 1 moved like any other by their posterior. Documents without
 a domain label are scored like the rest. Labels repeated for a document count once (the largest name). A domain without labelled rows has posterior 0;
 without any label all domains are equally likely. Targets must be nonnegative; they are scaled to sum 1. Rows keep their doc_id; repeated
-rows count each. Infeasible targets give the nearest reachable mix. Empty tables give no rows.
+rows count each. Rates have no upper bound unless `high` is given. Targets that no rates meet give those with the least miss, and a warning that names
+the shares reached. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,47 +98,86 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     return over_texts(docs, _posterior(model), f"{columns}, tokens long, posterior array<double>")
 
 
-def rate_after(steps: list[np.ndarray], low: float, high: float) -> Column:
-    """The rate of a row after those steps, each a vector to subtract from it by the row's posterior."""
-    start = F.lit(float(np.clip(1.0, low, high)))
-    if not steps:
-        return start
-    moves = F.array(*(F.array(*map(F.lit, map(float, s))) for s in steps))
+def _dot(values: list[Column], move: np.ndarray) -> Column:
+    out = F.lit(0.0)
+    for v, x in zip(values, move, strict=True):
+        out = out + v * F.lit(float(x))
+    return out
 
-    def one(w: Column, s: Column) -> Column:
-        dot = F.aggregate(F.zip_with("posterior", s, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(low), F.least(F.lit(high), w - dot))
 
-    return F.aggregate(moves, start, one)
+def _clipped(rate: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), rate))
 
 
-def fitted_steps(table: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float = 8.0, most: int = 24, close: float = 1e-4) -> list[np.ndarray]:
-    """The steps of projected gradient over `table`(tokens, posterior). `budget`: tokens wanted over tokens there; if None, as many as `low` and the targets need."""
+def rate_at(move: np.ndarray, low: float, high: float = np.inf) -> Column:
+    """The rate of a row: 1 moved by its posterior, within the bounds."""
+    return _clipped(1.0 + _dot([F.element_at("posterior", i + 1) for i in range(len(move))], move), low, high)
+
+
+#: The weight of the rates' own change against the miss: targets are met to `close` while the move stays under close / _SOFT.
+_SOFT = 1e-10
+
+
+def fitted(table: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float = np.inf, close: float = 1e-4) -> np.ndarray:
+    """The move for `rate_at` over `table`(tokens, posterior). `budget`: tokens wanted over tokens there; if None, as many as `low` and the targets need."""
     k = len(targets)
     goal = np.array(targets, dtype=np.float64) / sum(targets)
+    n = table.agg(F.sum("tokens")).first()[0]
+    if not n:
+        return np.zeros(k)
+    if budget is None and low <= 0:
+        budget = 1.0
+    want, less = (np.zeros(k), goal) if budget is None else (budget * goal, np.zeros(k))
     p = [F.element_at("posterior", i + 1) for i in range(k)]
-    sums = table.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * x) for x in p), *(F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(k))).first()
-    if not sums[0]:
-        return []
-    n = float(sums[0])
-    have, gram = np.array(sums[1 : 1 + k], dtype=np.float64) / n, np.array(sums[1 + k :], dtype=np.float64).reshape(k, k) / n
-    if budget is None:
-        budget = max(1.0, float(max(low * h / g for h, g in zip(have, goal, strict=True) if g > 0)))
-    want, length = budget * goal, 1.0 / float(np.linalg.eigvalsh(gram)[-1])
-    steps: list[np.ndarray] = []
-    back, velocity = None, np.zeros(k)
-    for _ in range(most):
-        w = rate_after(steps, low, high)
-        at = np.array(table.agg(*(F.sum(F.col("tokens") * w * x) for x in p)).first(), dtype=np.float64) / n
-        miss = at - want
-        if np.abs(miss).max() < close:
+    q = [x - F.lit(float(g)) for x, g in zip(p, less, strict=True)]
+    weight = F.col("tokens") / F.lit(float(n))
+
+    def value(move: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return sums - move @ want + _SOFT / 2 * (move * move).sum(axis=-1)
+
+    def bowl(u: Column) -> Column:
+        w = _clipped(u, low, high)
+        return F.sum(F.col("weight") * (u * w - w * w / 2))
+
+    def look(move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The value, the tokens by domain, the miss, and the Gram matrix of the rows within the bounds."""
+        rows = table.select(weight.alias("weight"), (1.0 + _dot(q, move)).alias("u"), *(x.alias(f"p{i}") for i, x in enumerate(p)))
+        rows = rows.withColumn("w", _clipped(F.col("u"), low, high)).withColumn("free", F.when(F.col("u").between(F.lit(float(low)), F.lit(float(high))), F.col("weight")).otherwise(0.0))
+        c = [F.col(f"p{i}") - F.lit(float(g)) for i, g in enumerate(less)]
+        got = rows.agg(
+            bowl(F.col("u")),
+            *(F.sum(F.col("weight") * F.col("w") * F.col(f"p{i}")) for i in range(k)),
+            *(F.sum(F.col("weight") * F.col("w") * x) for x in c),
+            *(F.sum(F.col("free") * c[i] * c[j]) for i in range(k) for j in range(i, k)),
+        ).first()
+        got = np.array(got, dtype=np.float64)
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = got[1 + 2 * k :]
+        return float(value(move, got[0])), got[1 : 1 + k], got[1 + k : 1 + 2 * k] - want, gram + np.triu(gram, 1).T
+
+    move = np.zeros(k)
+    now, tokens, miss, gram = look(move)
+    while np.abs(miss).max() >= close * (tokens.sum() if budget is None else 1.0):
+        slope = miss + _SOFT * move
+        if np.abs(slope).max() < close / 100:
             break
-        if back is not None and miss @ back < 0:
-            velocity = np.zeros(k)
-        velocity = 0.8 * velocity + length * miss
-        back = miss
-        steps.append(velocity.copy())
-    return steps
+        step = -np.linalg.solve(gram + _SOFT * np.eye(k), slope)
+        near = look(move + step)
+        if near[0] > now + 1e-4 * (slope @ step):
+            parts = 0.25 ** np.arange(0.5, 12)
+            tried = move + parts[:, None] * step
+            line = table.select(weight.alias("weight"), (1.0 + _dot(q, move)).alias("u"), _dot(q, step).alias("du"))
+            along = line.agg(*(bowl(F.col("u") + F.lit(float(t)) * F.col("du")) for t in parts)).first()
+            best = int(np.argmin(value(tried, np.array(along, dtype=np.float64))))
+            step = step * parts[best]
+            near = look(move + step)
+            if near[0] >= now:
+                break
+        move = move + step
+        now, tokens, miss, gram = near
+    if np.abs(miss).max() >= close * (tokens.sum() if budget is None else 1.0):
+        warnings.warn(f"no rates of {low} to {high} meet the shares {goal.round(6).tolist()}: {(tokens / max(tokens.sum(), 1e-300)).round(6).tolist()} reached, with {tokens.sum():.6g} of the tokens", stacklevel=2)
+    return move - move @ less
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -147,11 +189,11 @@ DOMAINS = ["high", "low", "toxic"]
 TARGETS = [0.80, 0.15, 0.05]
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, domains: list[str], targets: list[float], budget: float | None = 1.0, low: float = 0.0, high: float = 8.0, sample: int = 20_000) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, domains: list[str], targets: list[float], budget: float | None = 1.0, low: float = 0.0, high: float = np.inf, sample: int = 20_000) -> DataFrame:
     """(doc_id, tokens, posterior, rate) for every row of `docs`(doc_id, text); `labels`: (doc_id, domain)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = settle(posteriors(rows, train(rows, labels, domains, sample)), "posteriors")
-    return table.withColumn("rate", rate_after(fitted_steps(table, targets, budget, low, high), low, high))
+    return table.withColumn("rate", rate_at(fitted(table, targets, budget, low, high), low, high))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

@@ -88,6 +88,50 @@ def test_rates_meet_targets(spark, targets, low):
     assert all(abs(sum(r.posterior) - 1) < 1e-9 for r in got)
 
 
+def soft(spark, shares, n=6000, sure=0.95):
+    """(tokens, posterior) of documents that are mostly of one domain, by shares."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in rng.choice(len(shares), n, p=shares):
+        top = rng.uniform(sure - 0.04, sure + 0.04)
+        rows.append((int(rng.integers(5, 60)), [float(top if i == d else (1 - top) / (len(shares) - 1)) for i in range(len(shares))]))
+    return spark.createDataFrame(rows, "tokens long, posterior array<double>").repartition(4).cache()
+
+
+@pytest.mark.filterwarnings("error:no rates")
+@pytest.mark.parametrize(("shares", "targets", "budget", "low", "sure"), [([0.8, 0.198, 0.002], source_mixing.TARGETS, 1.0, 0.0, 0.958), ([0.97, 0.03], [0.8, 0.2], None, 1.0, 0.95), ([0.88, 0.12], [0.8, 0.2], None, 1.0, 0.85), ([0.002, 0.998], [0.8, 0.2], None, 1.0, 0.958)])
+def test_default_bounds_meet_targets_of_rare_domains(spark, shares, targets, budget, low, sure):
+    table = soft(spark, shares, sure=sure)
+    got = table.withColumn("rate", source_mixing.rate_at(source_mixing.fitted(table, targets, budget, low), low)).collect()
+    mass = np.sum([np.array(r.posterior) * r.tokens * r.rate for r in got], axis=0)
+    assert np.abs(mass / mass.sum() - targets).max() < 2e-4 and min(r.rate for r in got) >= low
+    assert budget is None or abs(mass.sum() / sum(r.tokens for r in got) - budget) < 1e-3
+
+
+def test_rare_domain_of_the_whole_query(spark):
+    """Toxic texts are under 1 % of the tokens and are to have 5 %, with the defaults of op6."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(3000):
+        d = "toxic" if i % 250 == 7 else "low" if i % 5 == 0 else "high"
+        rows.append((i, " ".join(f"{d}{rng.randrange(20)}" for _ in range(30))))
+        labels.append((i, d))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    got = source_mixing.mixing_rates(docs, labels, source_mixing.DOMAINS, source_mixing.TARGETS).collect()
+    start = np.sum([np.array(r.posterior) * r.tokens for r in got], axis=0)
+    mass = np.sum([np.array(r.posterior) * r.tokens * r.rate for r in got], axis=0)
+    assert start[2] / start.sum() < 0.01 and np.abs(mass / start.sum() - source_mixing.TARGETS).max() < 2e-4
+
+
+def test_unreachable_targets_are_reported(spark):
+    table = soft(spark, [0.9, 0.1], 500, sure=0.6)
+    with pytest.warns(UserWarning, match="reached"):
+        move = source_mixing.fitted(table, [0.3, 0.7], 1.0)
+    got = table.withColumn("rate", source_mixing.rate_at(move, 0.0)).collect()
+    mass = np.sum([np.array(r.posterior) * r.tokens * r.rate for r in got], axis=0)
+    assert max(r.posterior[1] for r in got) - 0.01 < mass[1] / mass.sum() < 0.7
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs, labels, n = mixed(spark)
     got = source_mixing.mixing_rates(docs, labels.where("false"), ["a", "b"], [0.5, 0.5]).collect()
