@@ -204,10 +204,11 @@ def _exact(num: int, den: int):
 
 
 def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.99, bucket: int = 256, depth: int = 4, block: int = 1024, block_values: int = 2_000_000) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies): one row for each row of `docs`(doc_id, text).
+    """(doc_id, th, component, class_id, n_links, n_copies): one row for each row of `docs`(doc_id, text).
 
     Links join texts whose sets have a Jaccard similarity of num / den or more. class_id: the smallest doc_id among the
-    documents that a path of links reaches. n_links: the other documents linked directly. n_copies: the documents of equal set.
+    documents that a path of links reaches. component: a number of those documents together, whatever their doc_ids;
+    rows without windows have one for each doc_id and text. th: the text's hash. n_links: the other documents linked directly. n_copies: the documents of equal set.
     """
     least = num / den
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**depth)))
@@ -243,7 +244,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     tied = components(exact.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     whole = classes.join(links, "id", "left").join(tied, "id", "left").select("k1", "k2", "n_set", "low", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     named = whole.groupBy("component").agg(F.min("low").alias("class_id"))
-    whole = whole.join(named, "component").select("k1", "k2", "n_set", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
+    whole = whole.join(named, "component").select("component", "k1", "k2", "n_set", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
     out = signed.select(*KEY, "k1", "k2", "n_set").join(whole, ["k1", "k2", "n_set"], "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    return out.select(own.alias("doc_id"), "th", F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return out.select(own.alias("doc_id"), "th", F.coalesce("component", F.xxhash64(*KEY)).alias("component"), F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))

@@ -44,7 +44,7 @@ def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.chosen_path_join(_table(spark, sf_dir, "documents")).drop("th")
+    return chosen_path.chosen_path_join(_table(spark, sf_dir, "documents")).drop("th", "component")
 
 
 def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:

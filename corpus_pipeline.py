@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.llm import bpe_queue, chosen_path, source_mixing, substring_dedup, toxicity_fm
-from copse.llm.shared import fresh_path
-from copse.llm.substring_dedup import KEY, NO_ID
+from copse.llm.shared import fresh_path, settle
+from copse.llm.substring_dedup import NO_ID
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tokens by domain (toxic documents are gone by then) that the mix is to have; no document is left out (a rate of 1 at least).
@@ -27,15 +27,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies that links tie, the document of the smallest doc_id stays; of rows of one doc_id and class, one stays."""
+    """Of each group of near copies that links tie, one row stays: the smallest doc_id's (known ones first), then the smallest text hash's."""
     docs = docs.select(*COLUMNS).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    joined = chosen_path.chosen_path_join(docs)
-    own = F.coalesce("doc_id", F.lit(NO_ID))
-    gone = joined.where(F.coalesce("class_id", F.lit(NO_ID)) != own).select(own.alias("key"), "th").distinct()
-    again = joined.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"))
-    left = docs.join(gone, ["key", "th"], "left_anti")
-    same = left.join(again, "key", "left_semi").dropDuplicates(["key", "th"])
-    return left.join(again, "key", "left_anti").unionByName(same).select(*COLUMNS)
+    joined = chosen_path.chosen_path_join(docs).select(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "th", "component")
+    rows = joined.groupBy("component", "unknown", "key", "th").agg(F.count("*").alias("rows"))
+    kept = rows.groupBy("component").agg(F.min(F.struct("unknown", "key", "th", "rows")).alias("kept")).select("kept.key", "kept.th", "kept.rows")
+    left = docs.join(settle(kept, "kept"), ["key", "th"])
+    same = left.where("rows > 1").dropDuplicates(["key", "th"])
+    return left.where("rows = 1").unionByName(same).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,13 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_near_copy_stays_whatever_the_ids(spark):
+    words = lambda name, *changed: " ".join("changed" if j in changed else f"{name}{j}" for j in range(80))
+    rows = [(None, words("a")), (None, words("a", 3)), (None, words("a").replace(" ", "  "))]
+    rows += [(5, words("b")), (5, words("b", 40)), (5, words("b", 40)), (8, words("b", 79))]
+    rows += [(None, words("c")), (9, words("c", 2)), (10, words("c", 2)), (5, words("d")), (11, words("e")), (11, words("e")), (12, None), (13, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, (r.text or "").split(" ")[0]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a0"), (5, "b0"), (9, "c0"), (5, "d0"), (11, "e0"), (12, ""), (13, ""), (None, "")], key=repr)
