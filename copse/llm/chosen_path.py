@@ -5,7 +5,8 @@ as `COORDS` min-hashes, tokens that two sets share with a probability equal to t
 classes recursively: the path so far picks a coordinate, and classes that agree on it go the same way; a bucket is split
 while it holds more than `bucket` classes, down to `depth` levels. Buckets are then searched by brute force on the min-hashes
 (a bucket that stays larger, as a large group of near copies does, in pairs of blocks). Runs are repeated until a pair at the
-threshold that is split at every level would be met with probability `recall`.
+threshold that is split at every level would be met, and pass the search, with probability `recall`. All runs share the min-hashes,
+so that probability is summed over the number of coordinates that the pair may agree in.
 
 What the buckets find only ties classes into candidate groups, kept as one edge a class to the group's head. In each group,
 again in pairs of blocks, all sets are then compared exactly (integers; intersections as products of 0/1 matrices over the
@@ -83,6 +84,28 @@ def _signed(n: int):
     return run
 
 
+def agreeing(least: float) -> int:
+    """Coordinates that two min-hashes must agree in to be tied: so few that about 4 in a million pairs at 0.8 fall short."""
+    return math.ceil(max(0.0, least - 0.25) * COORDS)
+
+
+def met(least: float, depth: int, runs: int) -> float:
+    """The probability that a pair of that similarity, split at every level of every run, meets in a run and is tied."""
+    share = [math.comb(COORDS, m) * least**m * (1 - least) ** (COORDS - m) for m in range(COORDS + 1)]
+    return sum(share[m] * (1 - (1 - (m / COORDS) ** depth) ** runs) for m in range(agreeing(least), COORDS + 1))
+
+
+def runs_for(least: float, depth: int, recall: float, most: int = 4096) -> int:
+    """The fewest runs with which such a pair is met with probability `recall`."""
+    if met(least, depth, most) < recall:
+        raise ValueError(f"no number of runs up to {most} meets pairs at {least} with probability {recall}")
+    lo, hi = 1, most
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if met(least, depth, mid) >= recall else (mid + 1, hi)
+    return lo
+
+
 def _paths(runs: int, depth: int):
     """For each class and run, the path's hash at every level."""
 
@@ -127,8 +150,8 @@ def _heads(linked: np.ndarray) -> np.ndarray:
 
 
 def _similar(least: float):
-    """Star edges between the classes of a bucket whose min-hashes agree in at least that share of coordinates."""
-    need = math.ceil(least * COORDS)
+    """Star edges between the classes of a bucket whose min-hashes agree in enough coordinates for that similarity."""
+    need = agreeing(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -203,7 +226,7 @@ def _exact(num: int, den: int):
     return run
 
 
-def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.99, bucket: int = 256, depth: int = 4, block: int = 1024, block_values: int = 2_000_000) -> DataFrame:
+def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.9999, bucket: int = 256, depth: int = 4, block: int = 1024, block_values: int = 2_000_000) -> DataFrame:
     """(doc_id, th, component, class_id, n_links, n_copies): one row for each row of `docs`(doc_id, text).
 
     Links join texts whose sets have a Jaccard similarity of num / den or more. class_id: the smallest doc_id among the
@@ -211,7 +234,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     rows without windows have one for each doc_id and text. th: the text's hash. n_links: the other documents linked directly. n_copies: the documents of equal set.
     """
     least = num / den
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**depth)))
+    runs = runs_for(least, depth, recall)
     signed = settle(over_texts(keyed(docs), _signed(n), SIGNED), "signatures")
     classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"))
     classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id")), "classes")
@@ -227,13 +250,13 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
         placed.append(here.select("id", F.col(f"p{d}").alias("bucket"), F.ceil(F.col("size") / block).alias("nb")))
         if not final:
             rest = settle(sized.where(F.col("size") > bucket).drop("size"), "large")
-    met = placed[0]
+    found = placed[0]
     for p in placed[1:]:
-        met = met.unionByName(p)
-    met = settle(met, "buckets")
-    pairs = _block_pairs(met.drop("nb"), "bucket", met.groupBy("bucket").agg(F.max("nb").alias("nb"))).drop("b").distinct()
+        found = found.unionByName(p)
+    found = settle(found, "buckets")
+    pairs = _block_pairs(found.drop("nb"), "bucket", found.groupBy("bucket").agg(F.max("nb").alias("nb"))).drop("b").distinct()
     pairs = pairs.join(reps, "id").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    near = components(pairs.mapInArrow(_similar(max(0.0, least - 0.16)), "a long, b long").distinct())
+    near = components(pairs.mapInArrow(_similar(least), "a long, b long").distinct())
     near = settle(near, "near")
     held = classes.select(*KEY, "id", "w", "n_set").join(near, "id")
     blocks = held.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_set") / block_values)).alias("nb"))

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from copse.llm import chosen_path
 from copse.llm.chosen_path import chosen_path_join
 from copse.llm.components import components
 
@@ -56,6 +59,34 @@ def test_small_buckets_and_blocks_lose_nothing(spark):
     assert rows_of(chosen_path_join(docs, recall=0.9999, bucket=3, depth=2, block=3)) == brute(rows)
 
 
+def test_default_recall_counts_the_shared_min_hashes():
+    """Isolated pairs at the threshold with the default parameters: a simulation of the min-hashes, the paths and the search."""
+    defaults = dict(zip(reversed(chosen_path_join.__code__.co_varnames[: chosen_path_join.__code__.co_argcount]), reversed(chosen_path_join.__defaults__), strict=False))
+    runs = chosen_path.runs_for(0.8, defaults["depth"], defaults["recall"])
+    rng = np.random.default_rng(1)
+    agree = rng.random((200_000, chosen_path.COORDS)) < 0.8
+    m = agree.sum(axis=1)
+    lost = np.mean(np.where(m >= chosen_path.agreeing(0.8), (1 - (m / chosen_path.COORDS) ** defaults["depth"]) ** runs, 1.0))
+    assert lost < 1.5e-4
+
+
+def test_defaults_meet_pairs_in_hot_buckets(spark):
+    """Pairs at 0.80 to 0.85 that are nobody else's near copies, among many texts that share half their words, so that buckets are split."""
+    rng = random.Random(6)
+    half = [f"s{i}" for i in range(100)]
+    rows = []
+    for g in range(400):
+        a = half + [f"{g}w{i}" for i in range(100)]
+        b = list(a)
+        for at in rng.sample([110, 125, 140, 155, 170, 185], 4):
+            b[at] = f"{g}c{at}"
+        b[199:] = [f"{g}e"]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(chosen_path_join(docs, bucket=8))
+    assert got == sorted(((d, d - d % 2, 1) for d, _ in rows), key=repr)
+
+
 def test_empty(spark):
     assert chosen_path_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
