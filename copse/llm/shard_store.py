@@ -1,7 +1,7 @@
 """Sharding by size-tiered compaction.
 
-Arrivals are appended as small immutable shards, a run of Parquet files each. Runs whose sizes lie within one power of `fanout`
-form a tier; once a tier has `fanout` runs they are merged into files of about `target` bytes, by reading several old files into
+Arrivals are appended as small immutable shards, a run of Parquet files each. Runs that are less than
+3/4 `fanout` times as large as the smallest of them form a tier; once a tier has `fanout` runs they are merged into files of about `target` bytes, by reading several old files into
 one new (no shuffle, no rewriting of larger runs). What the store holds is said by a manifest alone: a JSON file per version,
 written aside and put in place by a rename that fails if that version exists, so a commit is whole or absent, and a writer that
 loses the race reads the newer manifest and tries again. Readers pin a version; files that no manifest of the last `keep` versions
@@ -77,20 +77,22 @@ class ShardStore:
         if run := self._write(df):
             self._commit(lambda runs: [*runs, run])
 
-    def _tier(self, run: dict) -> int:
-        return int(math.log(max(run["bytes"], 1), self.fanout))
+    def _full(self, runs: list[dict]) -> list[dict]:
+        """The runs of the lowest tier that is full. Sizes are compared with each other; what a tier was merged into is beyond it."""
+        runs = sorted(runs, key=lambda r: r["bytes"])
+        for i, least in enumerate(runs):
+            tier = [r for r in runs[i:] if 4 * r["bytes"] <= 3 * self.fanout * max(least["bytes"], 1)]
+            if len(tier) >= self.fanout:
+                return tier
+        return []
 
     def compact(self) -> int:
         """Merges tiers that are full until none is; returns how many merges it made."""
         merges = 0
         while True:
-            tiers: dict[int, list[dict]] = {}
-            for run in self.manifest()["runs"]:
-                tiers.setdefault(self._tier(run), []).append(run)
-            full = [runs for t, runs in sorted(tiers.items()) if len(runs) >= self.fanout]
-            if not full:
+            old = self._full(self.manifest()["runs"])
+            if not old:
                 return merges
-            old = full[0]
             names = {r["name"] for r in old}
             size = sum(r["bytes"] for r in old)
             merged = self._write(self._read(old).coalesce(max(1, math.ceil(size / self.target))))
@@ -119,14 +121,9 @@ class ShardStore:
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
-    """`docs` as they would arrive: `n` even ranges of doc_id, rows of null doc_id with the first."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return [docs]
-    step = -(-(high - low + 1) // n)
-    inside = [F.col("doc_id").between(low + i * step, low + (i + 1) * step - 1) for i in range(n)]
-    inside[0] = inside[0] | F.col("doc_id").isNull()
-    return [docs.where(c) for c in inside]
+    """`docs` as they would arrive: `n` parts even in rows, by a hash of doc_id and text."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    return [docs.where(part == i) for i in range(n)]
 
 
 def sharded(docs: DataFrame, n: int = 5, target: int = 128 << 20, fanout: int = 4) -> ShardStore:

@@ -59,3 +59,19 @@ def test_empty_and_differing_columns(spark):
     store.append(df.select("doc_id"))
     store.append(df.select("doc_id", "text"))
     assert sorted(store.read().columns) == ["doc_id", "text"] and store.read().where("text is null").count() >= 9
+
+
+def test_defaults_merge_whatever_the_ids(spark):
+    _, df = docs(spark)
+    df = df.unionByName(df.where("doc_id = 5").selectExpr("1000000000000 AS doc_id", "text", "lang", "source", "n_chars"))
+    store = sharded(df)
+    assert len(store.manifest()["runs"]) <= 2 and store.read().count() == df.count()
+
+
+def test_tiers_have_no_fixed_edges(spark):
+    store = ShardStore(spark)
+    runs = lambda *sizes: [{"name": str(i), "bytes": x} for i, x in enumerate(sizes)]
+    sizes = lambda *given: [r["bytes"] for r in store._full(runs(*given))]
+    edge = 16 << 20
+    assert sizes(edge - 3, edge + 2, edge - 1, edge + 1, edge - 2) == [edge - 3, edge - 2, edge - 1, edge + 1, edge + 2]
+    assert sizes(100, 100, 100, 390) == [] and sizes(1, 100, 110, 120, 290, 400) == [100, 110, 120, 290]
