@@ -3,7 +3,8 @@
 Each window of `width` words is filed under its anchor: the smallest hash among the pieces of `piece` words inside it. Equal
 windows have equal anchors at equal places, so an index of anchors loses no repeated window, and holds about
 2 / (width - piece + 2) entries a word. The index is a set of immutable runs, each sorted by anchor; a new batch of texts
-becomes a run, which is merge-joined with the historical runs, and runs are compacted by merging their counts.
+becomes a run, and runs are compacted by a merge-join that adds their counts. `hits` merge-joins the newest run with the historical
+ones for a caller that asks; `substring_dedup` does not: it appends its batches, compacts, and verifies all batches in one pass.
 
 Anchors that occur twice or more are only candidates. They are verified in two steps: occurrences whose whole
 neighbourhood (all windows of that anchor) has the same 128-bit hash are repeated throughout; of the other neighbourhoods
