@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.components import components
-from copse.llm.shared import groups, ints, over_texts, settle
+from copse.llm.shared import drop, groups, ints, over_texts, settle
 from copse.llm.substring_dedup import KEY, NO_ID, _few, _own, _unpacked, keyed, pack
 from copse.llm.words import Words, mix, slices
 
@@ -128,11 +128,11 @@ def _paths(runs: int, depth: int):
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
-    """`df` with `blocks`(key, nb) joined, each row once for every pair of blocks (bi <= bj) that its own block `b` is in."""
-    df = df.join(blocks, key).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))
-    return df.withColumn("o", other).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", "nb")
+def _block_pairs(df: DataFrame, nb: str) -> DataFrame:
+    """`df` with each row once for every pair of its `nb` blocks (bi <= bj) that its own block `b` is in."""
+    df = df.withColumn("b", F.pmod(F.xxhash64("id"), F.col(nb)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col(nb).cast("int") - 1))
+    return df.withColumn("o", other).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", nb)
 
 
 def _heads(linked: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def _sets(n: int):
             for lo, hi, words in slices(_unpacked(batch.column("packed"))):
                 values, bounds = window_sets(words, n)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), ints(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("id", "component", "w")), lists], names=["id", "component", "w", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("id", "component", "w", "nb")), lists], names=["id", "component", "w", "nb", "set"])
 
     return run
 
@@ -226,6 +226,32 @@ def _exact(num: int, den: int):
     return run
 
 
+def _buckets(reps: DataFrame, runs: int, depth: int, bucket: int, block: int) -> DataFrame:
+    """(id, bucket, nb): each class in its bucket of every run, nb the blocks that the bucket is searched in.
+
+    The first level's sizes leave only paths that classes share; the deeper levels' sizes are counted together, of what is still large.
+    Rows join sizes that are plain tables, so that Spark splits a path with many rows.
+    """
+    paths = settle(reps.mapInArrow(_paths(runs, depth), "id long, " + ", ".join(f"p{d} long" for d in range(depth))), "paths")
+    sizes = settle(paths.groupBy("p0").agg(F.count("*").alias("size")).where("size >= 2"), "sizes")
+    met = settle(paths.join(sizes, "p0").withColumnRenamed("p0", "bucket"), "met")
+    drop(paths, sizes)
+    deeper = met.where(F.col("size") > bucket).select(F.explode(F.array(*(f"p{d}" for d in range(1, depth)))).alias("bucket")) if depth > 1 else met.where("false").select("bucket")
+    sizes = settle(deeper.groupBy("bucket").agg(F.count("*").alias("size")).where("size >= 2"), "sizes")
+    found = met.where(F.col("size") <= bucket) if depth > 1 else met
+    large = met.where(F.col("size") > bucket)
+    for d in range(1, depth):
+        large = large.drop("bucket", "size").withColumnRenamed(f"p{d}", "bucket").join(sizes, "bucket")
+        if d < depth - 1:
+            found = found.select("id", "bucket", "size").unionByName(large.where(F.col("size") <= bucket).select("id", "bucket", "size"))
+            large = large.where(F.col("size") > bucket)
+        else:
+            found = found.select("id", "bucket", "size").unionByName(large.select("id", "bucket", "size"))
+    found = settle(found.select("id", "bucket", F.ceil(F.col("size") / block).alias("nb")), "buckets")
+    drop(met, sizes)
+    return found
+
+
 def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, recall: float = 0.9999, bucket: int = 256, depth: int = 4, block: int = 1024, block_values: int = 2_000_000) -> DataFrame:
     """(doc_id, th, component, class_id, n_links, n_copies): one row for each row of `docs`(doc_id, text).
 
@@ -236,37 +262,27 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     least = num / den
     runs = runs_for(least, depth, recall)
     signed = settle(over_texts(keyed(docs), _signed(n), SIGNED), "signatures")
-    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"))
-    classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id")), "classes")
-    reps = signed.select(*KEY, "sig").join(classes.select(*KEY, "id"), KEY).groupBy("id").agg(F.first("sig").alias("sig"))
-    reps = settle(reps, "representatives")
-    paths = reps.mapInArrow(_paths(runs, depth), "id long, " + ", ".join(f"p{d} long" for d in range(depth)))
-    placed, rest = [], settle(paths, "paths")
-    for d in range(depth):
-        sizes = rest.groupBy(f"p{d}").agg(F.count("*").alias("size")).where("size >= 2")
-        sized = rest.join(sizes, f"p{d}")
-        final = d == depth - 1
-        here = sized if final else sized.where(F.col("size") <= bucket)
-        placed.append(here.select("id", F.col(f"p{d}").alias("bucket"), F.ceil(F.col("size") / block).alias("nb")))
-        if not final:
-            rest = settle(sized.where(F.col("size") > bucket).drop("size"), "large")
-    found = placed[0]
-    for p in placed[1:]:
-        found = found.unionByName(p)
-    found = settle(found, "buckets")
-    pairs = _block_pairs(found.drop("nb"), "bucket", found.groupBy("bucket").agg(F.max("nb").alias("nb"))).drop("b").distinct()
-    pairs = pairs.join(reps, "id").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    near = components(pairs.mapInArrow(_similar(least), "a long, b long").distinct())
-    near = settle(near, "near")
-    held = classes.select(*KEY, "id", "w", "n_set").join(near, "id")
-    blocks = held.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_set") / block_values)).alias("nb"))
-    sets = over_texts(pack(docs).join(held.drop("n_set"), KEY).dropDuplicates(["id"]), _sets(n), "id long, component long, w long, set array<long>")
-    tiles = _block_pairs(sets, "component", blocks).repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"), F.first("sig").alias("sig"))
+    classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id"), "sig"), "classes")
+    reps = classes.select("id", "sig")
+    found = _buckets(reps, runs, depth, bucket, block)
+    pairs = _block_pairs(found, "nb").drop("b").join(reps, "id").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    near = components(pairs.mapInArrow(_similar(least), "a long, b long"))
+    drop(found)
+    held = settle(classes.select(*KEY, "id", "w", "n_set").join(near, "id"), "members")
+    drop(near)
+    blocks = settle(held.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_set") / block_values)).alias("nb")), "blocks")
+    held = held.drop("n_set").join(blocks, "component")
+    sets = over_texts(pack(docs).join(held, KEY).dropDuplicates(KEY), _sets(n), "id long, component long, w long, nb long, set array<long>")
+    tiles = _block_pairs(sets, "nb").repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     exact = settle(tiles.mapInArrow(_exact(num, den), "id long, links long, head long"), "links")
+    drop(blocks)
     links = exact.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(exact.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     whole = classes.join(links, "id", "left").join(tied, "id", "left").select("k1", "k2", "n_set", "low", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    named = whole.groupBy("component").agg(F.min("low").alias("class_id"))
+    whole = settle(whole, "whole")
+    drop(classes, exact, tied)
+    named = settle(whole.groupBy("component").agg(F.min("low").alias("class_id")), "named")  # both sides of the join are plain tables: Spark splits a skewed one
     whole = whole.join(named, "component").select("component", "k1", "k2", "n_set", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
     out = signed.select(*KEY, "k1", "k2", "n_set").join(whole, ["k1", "k2", "n_set"], "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,23 +15,52 @@ BATCH_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """This application's folder in the one that driver and executors share, `spark.checkpoint.dir`.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error, as executors
+    would write to their own disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='copse-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/copse/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/copse/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of Spark's file systems; none there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that have not been written by then are lost."""
+    remove(spark, shared_dir(spark))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """`df` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What no later table or result reads is to be dropped by the operator that wrote it; the tables that a lazy result reads stay
+    until `clear`.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.settled_at)
 
 
 def over_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
