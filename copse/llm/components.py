@@ -15,6 +15,8 @@ from copse.llm.shared import drop, ints, settle
 SPREAD = 8
 #: A task's forest goes out once it has so many edges, so that a task holds no more than that and one batch.
 HELD = 1 << 21
+#: What an edge is dealt for: to be kept (once a round), to tell a node's other tasks its smaller neighbours, to hang on what its smaller end hangs on.
+OWN, LEARNED, HUNG = 0, 1, 2
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,13 +38,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = b = np.zeros(0, dtype=np.int64)
+    """The edges' forest. Where edges say what they are for, `learned` ones shape it but only ids of other edges are sent, of `hung` edges the larger end alone."""
+    a = b = told = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        a, b = forest(np.concatenate([a, batch.column("a").to_numpy()]), np.concatenate([b, batch.column("b").to_numpy()]))
+        x, y = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        use = batch.column("use").to_numpy() if "use" in batch.schema.names else np.full(len(x), OWN)
+        told = np.unique(np.concatenate([told, x[use != LEARNED], y[use == OWN]]))
+        a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
         if len(a) >= HELD:
-            yield pa.RecordBatch.from_arrays([ints(a), ints(b)], names=["a", "b"])
-            a = b = np.zeros(0, dtype=np.int64)
-    yield pa.RecordBatch.from_arrays([ints(a), ints(b)], names=["a", "b"])
+            yield _sent(a, b, told)
+            a = b = told = np.zeros(0, dtype=np.int64)
+    yield _sent(a, b, told)
+
+
+def _sent(a: np.ndarray, b: np.ndarray, told: np.ndarray) -> pa.RecordBatch:
+    keep = np.isin(a, told)
+    return pa.RecordBatch.from_arrays([ints(a[keep]), ints(b[keep])], names=["a", "b"])
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -64,10 +75,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forests, "a long, b long"), "edges")
     while not _stars(now):
         old = now
-        up = F.array(*(F.struct(F.col("a").alias("key"), F.lit(s).cast("long").alias("salt")) for s in range(SPREAD)))
-        down = F.array(F.struct(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.lit(SPREAD)).alias("salt")))
-        ends = now.select("a", "b", F.explode(F.concat(up, down)).alias("to")).select("a", "b", "to.key", "to.salt")
-        met = ends.repartition("key", "salt").select("a", "b").mapInArrow(_forests, "a long, b long")
+        up = [F.struct(F.col("a").alias("key"), F.lit(s).cast("long").alias("salt"), F.lit(LEARNED if s else OWN).cast("long").alias("use")) for s in range(SPREAD)]
+        down = F.struct(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.lit(SPREAD)).alias("salt"), F.lit(HUNG).cast("long").alias("use"))
+        ends = now.select("a", "b", F.explode(F.array(*up, down)).alias("to")).select("a", "b", "to.*")
+        met = ends.repartition("key", "salt").select("a", "b", "use").mapInArrow(_forests, "a long, b long")
         now = settle(met.repartition("a").mapInArrow(_forests, "a long, b long"), "edges")
         drop(old)
     root = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
