@@ -236,8 +236,10 @@ def _buckets(reps: DataFrame, runs: int, depth: int, bucket: int, block: int) ->
     sizes = settle(paths.groupBy("p0").agg(F.count("*").alias("size")).where("size >= 2"), "sizes")
     met = settle(paths.join(sizes, "p0").withColumnRenamed("p0", "bucket"), "met")
     drop(paths, sizes)
-    deeper = met.where(F.col("size") > bucket).select(F.explode(F.array(*(f"p{d}" for d in range(1, depth)))).alias("bucket")) if depth > 1 else met.where("false").select("bucket")
-    sizes = settle(deeper.groupBy("bucket").agg(F.count("*").alias("size")).where("size >= 2"), "sizes")
+    levels = [f"p{d}" for d in range(1, depth)]
+    alike = met.where(F.col("size") > bucket if levels else F.lit(False)).groupBy(*levels).agg(F.count("*").alias("n"))  # whole paths first: near copies share them
+    deeper = alike.select("n", F.explode(F.array(*(levels or [F.lit(0).cast("long")]))).alias("bucket"))
+    sizes = settle(deeper.groupBy("bucket").agg(F.sum("n").alias("size")).where("size >= 2"), "sizes")
     found = met.where(F.col("size") <= bucket) if depth > 1 else met
     large = met.where(F.col("size") > bucket)
     for d in range(1, depth):
