@@ -146,7 +146,13 @@ def pred_eq(spark, sf_dir):
 
 @query("SELECT o_orderkey AS k FROM orders WHERE regexp_matches(o_orderpriority, '^[2-4]-[A-Z]+')")
 def pred_match(spark, sf_dir):
-    return p.match(forests.order_forest(spark, sf_dir), "o", "order", where=c("text").rlike("^[2-4]-[A-Z]+")).select(c("o.key").alias("k"))
+    return p.match(forests.order_forest(spark, sf_dir), "o", "order", where=standard.matches(c("text"), "^[2-4]-[A-Z]+")).select(c("o.key").alias("k"))
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE o_orderpriority <> '1-URGENT' AND NOT regexp_matches(o_orderpriority, '^[0-9]-[A-L]+')")
+def pred_not(spark, sf_dir):
+    where = (c("text") != "1-URGENT") & ~standard.matches(c("text"), "^[0-9]-[A-L]+")
+    return p.match(forests.order_forest(spark, sf_dir), "o", "order", where=where).select(c("o.key").alias("k"))
 
 
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
@@ -163,7 +169,8 @@ def runs(spark, sf_dir):
 @query("SELECT n_nationkey AS k, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS members FROM nation")
 def supertypes(spark, sf_dir):
     forest = forests.geo_forest(spark, sf_dir)
-    m = p.child(p.match(forest, "n", "nation"), forest, "n", "x", kind=["customer", "supplier"])
+    steps = spark.createDataFrame([("place", "region"), ("place", "nation"), ("party", "customer"), ("party", "supplier"), ("any", "place"), ("any", "party")], "supertype string, kind string")
+    m = p.child(p.match(p.of_supertype(forest, p.closed(steps), "place", "nation"), "n"), p.of_supertype(forest, p.closed(steps), "party"), "n", "x")
     return m.groupBy(c("n.key").alias("k")).agg(F.count("*").alias("members"))
 
 
@@ -181,16 +188,52 @@ def full_capture(spark, sf_dir):
     return m.select("doc_id", c("full.key").alias("full_key"), c("x.key").alias("part"))
 
 
-@query()
+def _marked(spark, sf_dir) -> DataFrame:
+    """Orders with marks: some customers and orders are errors, some lines missing."""
+    error = ((c("kind") == "customer") & (c("text") == "BUILDING")) | ((c("kind") == "order") & (c("text") == "5-LOW"))
+    forest = forests.order_forest(spark, sf_dir).withColumn("error", error)
+    return forest.withColumn("missing", (c("kind") == "lineitem") & (c("text") == "A"))
+
+
+_MARKED = """
+  SELECT c_custkey AS doc_id, 'customer' AS kind, NULL::BIGINT AS k, NULL::BIGINT AS line, true AS error, false AS missing FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT o_custkey, 'order', o_orderkey, NULL, true, false FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+    WHERE o_orderpriority = '5-LOW' AND c_mktsegment IS DISTINCT FROM 'BUILDING'
+  UNION ALL SELECT o_custkey, 'lineitem', o_orderkey, l_linenumber, false, true FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
+    WHERE l_returnflag = 'A' AND o_orderpriority <> '5-LOW' AND c_mktsegment IS DISTINCT FROM 'BUILDING'
+"""
+
+
+@query(_MARKED)
 def parse_errors(spark, sf_dir):
+    found = p.parse_errors(_marked(spark, sf_dir))
+    return found.select("doc_id", "kind", F.get("path", F.lit(0)).alias("k"), F.get("path", F.lit(1)).alias("line"), "error", "missing")
+
+
+@query(f"SELECT doc_id, kind, error, missing FROM ({_MARKED}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(k, -1), coalesce(line, -1)) = 1")
+def first_parse_error(spark, sf_dir):
+    return p.first_error(p.parse_errors(_marked(spark, sf_dir))).drop("node_id")
+
+
+@query()
+def html_errors(spark, sf_dir):
     return p.parse_errors(forests.html_forest(spark, sf_dir)).select("doc_id", "node_id", "kind", "error", "missing")
 
 
 @query()
-def first_parse_error(spark, sf_dir):
+def html_first_error(spark, sf_dir):
     return p.first_error(p.parse_errors(forests.html_forest(spark, sf_dir)))
 
 
+@query("SELECT r_regionkey AS k, string_agg(n_name || chr(10), '' ORDER BY n_name) AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def source_files(spark, sf_dir):
+    """Nations written as a text file a region, and read back whole."""
+    nations = forests.table(spark, sf_dir, "nation").select(c("n_regionkey").alias("key"), c("n_name").alias("line"))
+    forests.write_text_files(nations, folder := forests.scratch(spark))
+    files = forests.text_files(spark, folder)
+    return files.select(F.regexp_extract("path", "key=([0-9]+)", 1).cast("long").alias("k"), "text")
+
+
 @query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf_dir):
     return p.match(forests.html_forest(spark, sf_dir), "a", "a").where("a.text is not null").select("doc_id", c("a.text").alias("href"))
@@ -275,10 +318,10 @@ def edge_attr_missing(spark, sf_dir):
     return graphs.dangling(attrs, graphs.edges(lines.where("l_returnflag = 'N'"))).select("source", "sink").distinct()
 
 
-@query("SELECT conv_id AS doc_id, turn AS ord, '[' || role || '] ' || turn AS line FROM conversations")
+@query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, 'turn ' || turn || ' by \"' || role || '\", ' || CASE role WHEN 'user' THEN '#true' ELSE '#false' END AS line FROM conversations")
 def prints(spark, sf_dir):
     m = p.picked(forests.chat_forest(spark, sf_dir), ["user", "assistant", "system"])
-    return m.select("doc_id", c("num").alias("ord"), F.concat(F.lit("["), "kind", F.lit("] "), "num").alias("line"))
+    return graphs.printed(m, ["path"], "turn ", values.integer(c("num")), " by ", values.string(c("kind")), ", ", values.boolean(c("kind") == "user"))
 
 
 @query(f"SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_orderkey ORDER BY {LINE_ORDER}) - 1 AS at, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -338,9 +381,9 @@ def scan_groups(spark, sf_dir):
 
 @query("SELECT doc_id, count(*) AS n, min(token) AS least, max(token) AS most FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[0-9]+)|(?:[A-Za-z]+)')) AS token FROM documents) GROUP BY doc_id")
 def scan_tokens(spark, sf_dir):
-    docs = forests.table(spark, sf_dir, "documents").select("doc_id", loops.scan(c("text"), ["[0-9]+", "[A-Za-z]+"]).alias("tokens"))
-    tokens = lists("tokens", "token")
-    return docs.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_min(tokens).alias("least"), F.array_max(tokens).alias("most"))
+    """The tokens are exploded: each is found once, and counts and bounds are merged within tasks before they are dealt."""
+    docs = forests.table(spark, sf_dir, "documents").select("doc_id", F.explode(loops.tokens(c("text"), ["[0-9]+", "[A-Za-z]+"])).alias("token"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("token").alias("least"), F.max("token").alias("most"))
 
 
 @query(f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(url, '{_SCAN}')) AS token, generate_subscripts(regexp_extract_all(url, '{_SCAN}'), 1) - 1 AS place FROM pages) SELECT page_id AS doc_id, place, coalesce(lag(token) OVER (PARTITION BY page_id ORDER BY place), '^') AS source, token AS sink FROM t")
@@ -437,11 +480,27 @@ def fn_eq(spark, sf_dir):
     return e.select(c("event_id").alias("k"), standard.eq(F.nullif(t, F.lit("view")), F.nullif(t, F.lit("click"))).alias("a"), standard.eq(t, F.lit("view")).alias("b"))
 
 
+@query("SELECT event_id AS k, (user_id::INT = event_id) AS a, (user_id IS NULL AND event_type IS NULL) OR coalesce(event_type = 'view', false) AS b, [event_type] = ['view'] AS l, true AS nulls, false AS one_null FROM events")
+def fn_eq_types(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    e = forests.table(spark, sf_dir, "events")
+    return e.select(c("event_id").alias("k"), standard.eq(c("user_id").cast("int"), c("event_id")).alias("a"), standard.eq(c("event_type"), F.lit("view")).alias("b"), standard.eq(F.array("event_type"), F.array(F.lit("view"))).alias("l"), standard.eq(none, F.lit(None).cast("long")).alias("nulls"), standard.eq(none, c("event_id")).alias("one_null"))
+
+
 @query("SELECT event_id AS k, NULLIF(event_type, 'view') IS NULL AS v FROM events")
 def fn_is_null(spark, sf_dir):
     return forests.table(spark, sf_dir, "events").select(c("event_id").alias("k"), standard.is_null(F.nullif("event_type", F.lit("view"))).alias("v"))
 
 
+@query("SELECT event_id AS k, (2 * event_type_length) AS twice, 'view' = event_type AS same FROM (SELECT *, length(event_type) AS event_type_length FROM events)")
+def fn_call(spark, sf_dir):
+    """Functions called by name, one of them added to the standard ones."""
+    functions = standard.standard()
+    functions.add("twice", lambda x: x + x)
+    e = forests.table(spark, sf_dir, "events")
+    return e.select(c("event_id").alias("k"), functions.call("twice", F.length("event_type").cast("long")).alias("twice"), functions.call("eq", F.lit("view"), c("event_type")).alias("same"))
+
+
 @query("SELECT event_id AS k, NOT (event_type = 'view') AS n, (event_type = 'view' AND user_id > 100) AS a, (event_type = 'view' OR user_id > 100) AS o, true AS none_and, false AS none_or FROM events")
 def fn_boolean(spark, sf_dir):
     view, late = c("event_type") == "view", c("user_id") > 100
@@ -475,14 +534,27 @@ def fn_lists(spark, sf_dir):
 
 @query(f"WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS k, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT doc_id, 'lineitem' AS kind, part AS k, place AS named_child_index, 0::BIGINT AS named_child_count FROM l UNION ALL SELECT o_custkey, 'order', o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) FROM orders UNION ALL SELECT c_custkey, 'customer', c_custkey, NULL, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) FROM customer")
 def fn_positions(spark, sf_dir):
-    nodes = p.positioned(forests.order_forest(spark, sf_dir))
-    return nodes.select("doc_id", "kind", c("key").alias("k"), c("named_child_index").cast("long").alias("named_child_index"), "named_child_count")
+    call = standard.standard().call
+    m = p.match(p.positioned(forests.order_forest(spark, sf_dir)), "x")
+    index = F.when(c("x.kind") != "customer", call("named-child-index", c("x")))
+    return m.select("doc_id", call("node-type", c("x")).alias("kind"), c("x.key").alias("k"), index.cast("long").alias("named_child_index"), call("named-child-count", c("x")).alias("named_child_count"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents) SELECT doc_id, row AS start_row, 0::BIGINT AS start_column, row AS end_row, strlen(line) AS end_column, line AS source_text, 'line' AS node_type FROM l")
 def fn_text_positions(spark, sf_dir):
-    lines = p.picked(forests.text_forest(spark, sf_dir), "line")
-    return lines.select("doc_id", c("num").alias("start_row"), F.lit(0).cast("long").alias("start_column"), c("num").alias("end_row"), F.octet_length("text").cast("long").alias("end_column"), c("text").alias("source_text"), c("kind").alias("node_type"))
+    return _placed(spark, sf_dir, "line")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents), w AS (SELECT doc_id, row, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS place FROM l), s AS (SELECT *, coalesce(sum(strlen(word) + 1) OVER (PARTITION BY doc_id, row ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM w) SELECT doc_id, row AS start_row, pos AS start_column, row AS end_row, pos + strlen(word) AS end_column, word AS source_text, 'word' AS node_type FROM s")
+def fn_word_positions(spark, sf_dir):
+    return _placed(spark, sf_dir, "word")
+
+
+def _placed(spark, sf_dir, kind: str) -> DataFrame:
+    """Text and place of each such node, all by the functions' names."""
+    call = standard.standard().call
+    m = p.match(forests.text_forest(spark, sf_dir, places=True), "x", kind)
+    return m.select("doc_id", *(call(name, c("x")).alias(name.replace("-", "_")) for name in standard.NODE_FIELDS if name != "named-child-count"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents), w AS (SELECT doc_id, row, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS place FROM l) SELECT doc_id, row, count(*) AS words, sum(strlen(word))::BIGINT AS bytes FROM w GROUP BY 1, 2")
@@ -494,11 +566,17 @@ def words_of_lines(spark, sf_dir):
 # --- graphs as wholes -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT r_regionkey AS doc_id, r_name || ' in test.py' AS v FROM region")
+@query("SELECT r_regionkey AS doc_id, CASE WHEN r_regionkey % 2 = 0 THEN '{\"type\":\"string\",\"string\":\"' || r_name || '.py\"}' ELSE '{\"type\":\"string\",\"string\":\"none\"}' END AS filename, '{\"type\":\"list\",\"values\":[{\"type\":\"int\",\"int\":1},{\"type\":\"null\"}]}' AS tags, '{\"type\":\"string\",\"string\":\"\"}' AS pkgname, r_name || ' in ' || CASE WHEN r_regionkey % 2 = 0 THEN r_name || '.py' ELSE 'none' END || ' [1, #null]' AS v FROM region")
 def globals_(spark, sf_dir):
-    given = {"filename": F.lit("test.py")}
+    """A global given for some documents, one given to all in an outer environment, one left to its default."""
+    outer = scoping.Globals()
+    outer.add("tags", values.sequence(F.array(values.integer(F.lit(1)), values.null())))
     regions = p.match(forests.geo_forest(spark, sf_dir), "r", "region")
-    return regions.select("doc_id", standard.format_("{} in {}", (c("r.text"), "string"), (given["filename"], "string")).alias("v"))
+    own = regions.where("doc_id % 2 = 0").select("doc_id", F.lit("filename").alias("name"), values.string(F.concat("r.text", F.lit(".py"))).alias("value"))
+    declared = [scoping.Declared("filename", default="none"), scoping.Declared("tags", many=True), scoping.Declared("pkgname", default="")]
+    m = scoping.with_globals(regions, declared, scoping.Globals(outer), own)
+    v = standard.format_("{} in {} {}", (c("r.text"), "string"), (c("filename"), "value"), (c("tags"), "value"))
+    return m.select("doc_id", "filename", "tags", "pkgname", v.alias("v"))
 
 
 def _geo_graph(spark, sf_dir, seed: DataFrame | None = None) -> graphs.Graph:
@@ -512,20 +590,45 @@ def _geo_graph(spark, sf_dir, seed: DataFrame | None = None) -> graphs.Graph:
     return graphs.Graph(own.select("doc_id", "node"), graphs.edges(pairs), given.unionByName(to))
 
 
-@query("SELECT n_regionkey AS doc_id, 2 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS node FROM nation UNION ALL SELECT r_regionkey, unnest([0, 1, 2]) FROM region")
-def seed_graph(spark, sf_dir):
-    """Two nodes were there before: ids go on from there."""
+def _seeded(spark, sf_dir) -> graphs.Graph:
+    """Two nodes, an edge between them and a name of it were there before: ids go on from there."""
     roots = p.picked(forests.geo_forest(spark, sf_dir), "region")
     old = roots.select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("node"))
-    empty = _geo_graph(spark, sf_dir)
-    seed = graphs.Graph(old, empty.edges.where("false"), empty.attrs.where("false"))
-    return graphs.extended(_geo_graph(spark, sf_dir, old), seed).nodes
+    pairs = roots.select("doc_id", F.lit(0).cast("long").alias("source"), F.lit(1).cast("long").alias("sink"))
+    seed = graphs.Graph(old, graphs.edges(pairs), graphs.attributes(pairs, {"old": values.boolean(F.lit(True))}, "source", "sink"))
+    return graphs.extended(_geo_graph(spark, sf_dir, old), seed)
+
+
+@query("SELECT n_regionkey AS doc_id, 2 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS node FROM nation UNION ALL SELECT r_regionkey, unnest([0, 1, 2]) FROM region")
+def seed_graph(spark, sf_dir):
+    return _seeded(spark, sf_dir).nodes
+
 
+@query("SELECT n_regionkey AS doc_id, 2::BIGINT AS source, 2 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS sink, 'to' AS name, '{\"type\":\"graphNode\",\"id\":' || 2 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || '}' AS value FROM nation UNION ALL SELECT r_regionkey, 0, 1, 'old', '{\"type\":\"bool\",\"bool\":true}' FROM region")
+def seed_edges(spark, sf_dir):
+    g = _seeded(spark, sf_dir)
+    return g.edges.join(g.attrs.where("owner = 'edge'"), ["doc_id", "source", "sink"]).select("doc_id", "source", "sink", "name", "value")
 
-@query("SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS node, 'line 3 column 8' AS place, 'n.ref' AS variable FROM nation UNION ALL SELECT r_regionkey, 0, 'line 3 column 8', 'n.ref' FROM region")
+
+_STATEMENTS = [("conversation", 0, 4, "@v.node"), ("user", 3, 4, "@u.node"), ("assistant", 6, 4, "@a.node"), ("system", 9, 8, "@s.node")]
+_PLACES_SQL = "(VALUES ('conversation', 1, 5, '@v.node'), ('user', 4, 5, '@u.node'), ('assistant', 7, 5, '@a.node'), ('system', 10, 9, '@s.node')) s(kind, line, col, variable)"
+
+
+@query(f"""
+WITH n AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS node, role AS kind, turn AS id FROM conversations
+  UNION ALL SELECT DISTINCT conv_id, 0, 'conversation', -1 FROM conversations), d AS (SELECT * FROM n JOIN {_PLACES_SQL} USING (kind))
+SELECT doc_id, 'node' AS owner, node AS source, NULL::BIGINT AS sink, u.name, u.value FROM d, LATERAL (
+  SELECT 'location' AS name, '{{"type":"string","string":"line ' || line || ' column ' || col || '"}}' AS value
+  UNION ALL SELECT 'variable', '{{"type":"string","string":"' || variable || '"}}' UNION ALL SELECT 'match', '{{"type":"syntaxNode","id":' || id || '}}') u
+UNION ALL SELECT doc_id, 'edge', 0, node, 'location', '{{"type":"string","string":"line ' || line + 1 || ' column ' || col || '"}}' FROM d WHERE kind <> 'conversation'
+""")
 def debug_attrs(spark, sf_dir):
-    nodes = _geo_graph(spark, sf_dir).nodes
-    return nodes.select("doc_id", "node", graphs.debug(F.lit(2), F.lit(7)).alias("place"), F.lit("n.ref").alias("variable"))
+    """Each node says the statement that made it, its variable and its match; each edge says its statement, a line further down."""
+    made = graphs.numbered(p.picked(forests.chat_forest(spark, sf_dir)), "path")
+    made = made.select("doc_id", "node", "kind", F.struct("node_id").alias("full"))
+    made = made.join(spark.createDataFrame(_STATEMENTS, "kind string, line int, column int, variable string"), "kind")
+    edges = made.where("kind <> 'conversation'").select("doc_id", F.lit(0).cast("long").alias("source"), c("node").alias("sink"), (c("line") + 1).alias("line"), "column")
+    return graphs.debugged(made, "line", "column", "variable", full="full").unionByName(graphs.debugged(edges, "line", "column", "", "source", "sink"))
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) SELECT r_regionkey AS doc_id, 'node 0' || chr(10) || '  name: \"' || r_name || '\"' || chr(10) || '  top: #true' || coalesce((SELECT string_agg(chr(10) || 'edge 0 -> ' || i || chr(10) || '  to: [graph node ' || i || ']', '' ORDER BY i) FROM n WHERE n_regionkey = r_regionkey), '') || coalesce((SELECT string_agg(chr(10) || 'node ' || i || chr(10) || '  name: \"' || n_name || '\"' || chr(10) || '  top: #false', '' ORDER BY i) FROM n WHERE n_regionkey = r_regionkey), '') AS text FROM region")
@@ -545,5 +648,25 @@ def tagged_values(spark, sf_dir):
     return o.select(c("o_orderkey").alias("k"), v.alias("v"))
 
 
+@query("SELECT o_orderkey AS k, o_orderpriority AS s, o_orderkey AS i, true AS no, o_orderkey % 2 = 0 AS b, 4 AS n FROM orders")
+def decoded_values(spark, sf_dir):
+    o = forests.table(spark, sf_dir, "orders")
+    v = values.sequence(F.array(values.string(c("o_orderpriority")), values.integer(c("o_orderkey")), values.null(), values.boolean(c("o_orderkey") % 2 == 0)))
+    x = o.select(c("o_orderkey").alias("k"), values.as_list(v).alias("x"))
+    return x.select("k", values.as_string(c("x")[0]).alias("s"), values.as_integer(c("x")[1]).alias("i"), values.is_null(c("x")[2]).alias("no"), values.as_boolean(c("x")[3]).alias("b"), F.size("x").alias("n"))
+
+
+@query("SELECT n_regionkey AS doc_id, 'node 0' || chr(10) || '  initials: {' || string_agg(DISTINCT '\"' || n_name[1] || '\"', ', ' ORDER BY '\"' || n_name[1] || '\"') || '}' || chr(10) || '  members: [' || string_agg('[\"' || n_name || '\", ' || n_nationkey || ', {}]', ', ' ORDER BY n_nationkey) || ']' AS text FROM nation GROUP BY 1")
+def pretty_lists(spark, sf_dir):
+    """Lists and sets in lists: a region's nations with their numbers and an empty set each, and their initials as a set."""
+    forest = forests.geo_forest(spark, sf_dir)
+    m = p.repeated(p.match(forest, "r", "region"), forest, "r", "ns", "nation", least=1).withColumn("node", F.lit(0).cast("long"))
+    members = values.sequence(F.transform("ns", lambda n: values.sequence(F.array(values.string(n["text"]), values.integer(n["key"]), values.sequence(F.array().cast("array<string>"), "set")))))
+    initials = values.sequence(standard.to_set(F.transform("ns", lambda n: values.string(F.left(n["text"], F.lit(1))))), "set")
+    attrs = graphs.attributes(m, {"members": members, "initials": initials}, "node")
+    nodes = m.select("doc_id", "node")
+    return graphs.pretty(graphs.Graph(nodes, nodes.where("false").select("doc_id", c("node").alias("source"), c("node").alias("sink")), attrs))
+
+
 ORACLES["q_globals"] = ORACLES.pop("q_globals_")
 QUERIES["q_globals"] = QUERIES.pop("q_globals_")

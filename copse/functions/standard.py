@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -13,8 +14,13 @@ from copse.functions import values
 
 
 def eq(a: Column, b: Column) -> Column:
-    """null equals null alone; both sides must be of one type, which Spark's analysis sees to."""
-    return a.eqNullSafe(b)
+    """null equals null alone; comparing values of different types fails the job (nothing is cast, but among integer widths)."""
+
+    def family(x: Column) -> Column:
+        return F.regexp_replace(F.typeof(x), "(tinyint|smallint|bigint)", "int")
+
+    differ = F.raise_error(F.concat(F.lit("eq: cannot compare values of different types: "), F.typeof(a), F.lit(" and "), F.typeof(b))).cast("boolean")
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(family(a) != family(b), differ).otherwise(a == b)
 
 
 def is_null(a: Column) -> Column:
@@ -74,6 +80,11 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + out
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether the pattern, of the one dialect that scans and `replace` use, is found in the text."""
+    return F.regexp_like(text, F.lit(java_pattern(pattern)))
+
+
 def replace(text: Column, pattern: str, by: str) -> Column:
     """Every match, `$1`, `${name}` and `$$` as usual; a name is as long as letters, digits and underscores go."""
 
@@ -109,6 +120,17 @@ def to_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
+def of_node(field: str) -> Callable[[Column], Column]:
+    """A syntax node's own field, read off its capture."""
+    return lambda node: node[field]
+
+
+def named_child_index(node: Column) -> Column:
+    """A node's place among its parent's named children; roots and anonymous nodes have none, which fails the job."""
+    index = node["named_child_index"]
+    return F.when(index.isNull(), F.raise_error(F.lit("named-child-index: called on a root or a node that is not named")).cast("long")).otherwise(index)
+
+
 class Registry:
     """Functions by name; a later one of the same name takes its place."""
 
@@ -119,16 +141,26 @@ class Registry:
         self.by_name[name] = builder
 
     def call(self, name: str, *args) -> Column:
+        """The function's column; an unknown name, or too few or too many arguments, is an error when the plan is made."""
         if name not in self.by_name:
             raise KeyError(f"UndefinedFunction: {name}")
-        return self.by_name[name](*args)
+        builder = self.by_name[name]
+        try:
+            inspect.signature(builder).bind(*args)
+        except TypeError as error:
+            raise TypeError(f"InvalidParameters: {name}: {error}") from error
+        return builder(*args)
+
+
+#: Functions of a syntax node, and the field of a capture that each reads.
+NODE_FIELDS = {"source-text": "text", "node-type": "kind", "start-row": "start_row", "start-column": "start_column", "end-row": "end_row", "end-column": "end_column", "named-child-count": "named_child_count"}
 
 
 def standard() -> Registry:
+    """The functions that take and give columns; `node`, which makes rows, is `graphs.numbered`."""
     out = Registry()
-    for name, builder in {"eq": eq, "is-null": is_null, "not": not_, "and": and_, "or": or_, "plus": plus, "format": format_, "replace": replace, "concat": concat, "is-empty": is_empty, "join": join, "length": length}.items():
+    for name, builder in {"eq": eq, "is-null": is_null, "not": not_, "and": and_, "or": or_, "plus": plus, "format": format_, "replace": replace, "concat": concat, "is-empty": is_empty, "join": join, "length": length, "named-child-index": named_child_index}.items():
         out.add(name, builder)
-    for column in ("kind", "text", "named_child_index", "named_child_count", "start_row", "start_column", "end_row", "end_column"):
-        name = {"kind": "node-type", "text": "source-text"}.get(column, column.replace("_", "-"))
-        out.add(name, lambda node, column=column: node[column])
+    for name, field in NODE_FIELDS.items():
+        out.add(name, of_node(field))
     return out

@@ -46,20 +46,105 @@ def sequence(items: Column, kind: str = "list") -> Column:
     return F.concat(F.lit(f'{{"type":"{kind}","values":['), F.array_join(items, ","), F.lit("]}"))
 
 
-def debug(value: str) -> Column:
-    """How an encoded scalar reads in a pretty print: strings quoted, null and booleans with a hash sign, nodes in brackets."""
-    v, kind = F.col(value), F.get_json_object(value, "$.type")
-    out = F.when(kind == "null", "#null").when(kind == "bool", F.concat(F.lit("#"), F.get_json_object(value, "$.bool")))
-    out = out.when(kind == "int", F.get_json_object(value, "$.int")).when(kind == "string", quoted(F.get_json_object(value, "$.string")))
+#: Parts of an encoded value: the heads of lists and sets, whole scalars, closers and commas. A quote inside a string is escaped,
+#: so a head never begins inside one.
+_PART = r'\{"type":"(?:list|set)","values":\[|\{"type":"string","string":"(?:[^"\\]|\\.)*"\}|\{"type":"[a-zA-Z]+"(?:,"[a-z]+":[a-z0-9-]+)?\}|\]\}|,'
+
+
+def _scalar(v: Column, quote: bool) -> Column:
+    kind = F.get_json_object(v, "$.type")
+    text = F.get_json_object(v, "$.string")
+    out = F.when(kind == "null", "#null").when(kind == "bool", F.concat(F.lit("#"), F.get_json_object(v, "$.bool")))
+    out = out.when(kind == "int", F.get_json_object(v, "$.int")).when(kind == "string", quoted(text) if quote else text)
     for tag, name in (("graphNode", "graph node"), ("syntaxNode", "syntax node")):
-        out = out.when(kind == tag, F.concat(F.lit(f"[{name} "), F.get_json_object(value, "$.id"), F.lit("]")))
+        out = out.when(kind == tag, F.concat(F.lit(f"[{name} "), F.get_json_object(v, "$.id"), F.lit("]")))
     return out.otherwise(v)
 
 
+def read(v: Column, quote: bool) -> Column:
+    """How an encoded value reads: null and booleans with a hash sign, nodes and lists in brackets, sets in braces, lists and sets however deep.
+
+    Strings are quoted in a debug reading, raw in a plain one; null reads as itself.
+    """
+
+    def add(state: Column, part: Column) -> Column:
+        text, open_ = state["text"], state["open"]
+        head = F.when(part.endswith("["), True).otherwise(False)
+        closer = F.when(part.startswith('{"type":"list"'), "]").otherwise("}")
+        said = F.when(head, F.when(closer == "]", "[").otherwise("{")).when(part == "]}", F.left(open_, F.lit(1))).when(part == ",", ", ").otherwise(_scalar(part, quote))
+        left = F.when(head, F.concat(closer, open_)).when(part == "]}", F.substring(open_, F.lit(2), F.length(open_))).otherwise(open_)
+        return F.struct(F.concat(text, said).alias("text"), left.alias("open"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("open"))
+    nested = F.aggregate(F.regexp_extract_all(v, F.lit(f"({_PART})"), F.lit(1)), start, add)["text"]
+    return F.when(v.startswith('{"type":"list"') | v.startswith('{"type":"set"'), nested).otherwise(_scalar(v, quote))
+
+
+def debug(value: str | Column) -> Column:
+    """How an encoded value reads in a pretty print: strings quoted."""
+    return read(F.col(value) if isinstance(value, str) else value, True)
+
+
+def _parts(kind: str) -> tuple[str, str] | None:
+    for outer in ("array", "list", "set"):
+        if kind.startswith(f"{outer}<"):
+            return outer, kind[len(outer) + 1 : -1]
+    return None
+
+
 def display(x: Column, kind: str) -> Column:
-    """How a native column reads in `format` and `join`: strings raw."""
-    if kind == "boolean":
+    """How a native column reads in `format` and `join`: strings raw, lists `[a, b]`, sets `{a, b}`, however deep; null as #null.
+
+    `kind`: its type, `array<...>` or `list<...>` for lists, `set<...>` for sets, `value` for an encoded value.
+    """
+    if nested := _parts(kind):
+        outer, inner = nested
+        first, last = "{}" if outer == "set" else "[]"
+        text = F.concat(F.lit(first), F.array_join(F.transform(x, lambda e: display(e, inner)), ", "), F.lit(last))
+    elif kind == "value":
+        text = read(x, False)
+    elif kind == "boolean":
         text = F.concat(F.lit("#"), x.cast("string"))
     else:
         text = x.cast("string")
     return F.coalesce(text, F.lit("#null"))
+
+
+def is_null(v: Column) -> Column:
+    """Whether an encoded value is null."""
+    return v == TAGS["null"]
+
+
+def _as(v: Column, name: str, kinds: list[str], got: Column, type_: str) -> Column:
+    wrong = F.raise_error(F.concat(F.lit(f"Expected{name}: got "), F.coalesce(read(v, False), F.lit("nothing")))).cast(type_)
+    return F.when(F.get_json_object(v, "$.type").isin(kinds), got).otherwise(wrong)
+
+
+def as_boolean(v: Column) -> Column:
+    """The boolean of an encoded value; a value of another type fails the job, as in all that follow."""
+    return _as(v, "Boolean", ["bool"], F.get_json_object(v, "$.bool").cast("boolean"), "boolean")
+
+
+def as_integer(v: Column) -> Column:
+    return _as(v, "Integer", ["int"], F.get_json_object(v, "$.int").cast("long"), "long")
+
+
+def as_string(v: Column) -> Column:
+    return _as(v, "String", ["string"], F.get_json_object(v, "$.string"), "string")
+
+
+def as_list(v: Column) -> Column:
+    """The encoded elements."""
+    return _as(v, "List", ["list"], F.from_json(v, "values array<string>")["values"], "array<string>")
+
+
+def as_set(v: Column) -> Column:
+    return _as(v, "Set", ["set"], F.from_json(v, "values array<string>")["values"], "array<string>")
+
+
+def as_graph_node(v: Column) -> Column:
+    return _as(v, "GraphNode", ["graphNode"], F.get_json_object(v, "$.id").cast("long"), "long")
+
+
+def as_syntax_node(v: Column) -> Column:
+    return _as(v, "SyntaxNode", ["syntaxNode"], F.get_json_object(v, "$.id").cast("long"), "long")

@@ -71,6 +71,26 @@ def debug(line: Column, column: Column) -> Column:
     return F.concat(F.lit("line "), (line + 1).cast("string"), F.lit(" column "), (column + 1).cast("string"))
 
 
+def debugged(created: DataFrame, line: str, column: str, variable: str, source: str = "node", sink: str | None = None, full: str | None = None, names: tuple[str, str, str] = ("location", "variable", "match")) -> DataFrame:
+    """Attribute rows that say which statement made each node or edge: its place (columns `line`, `column`, from 0), a node's variable, and the node that its match is about.
+
+    `names`: the attributes' names. Edges have the place alone. `full`: the capture of the whole match, if that is to be said.
+    """
+    given = {names[0]: values.string(debug(F.col(line), F.col(column)))}
+    if sink is None:
+        given[names[1]] = values.string(F.col(variable))
+        if full:
+            given[names[2]] = values.syntax_node(F.col(full)["node_id"])
+    return attributes(created, given, source, sink)
+
+
+def printed(rows: DataFrame, order: list[str], *parts: str | Column) -> DataFrame:
+    """(doc_id, ord, line): what a print statement says for each match, in order within a document, from 0. Strings are said as they are, encoded values as they read."""
+    line = F.concat(*(F.lit(x) if isinstance(x, str) else values.debug(x) for x in parts))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+    return rows.select("doc_id", at.cast("long").alias("ord"), line.alias("line"))
+
+
 def excerpt(line: Column, row: Column, column: Column, length: Column) -> Column:
     """A line of source, numbered from 1, with carets under the place meant (columns in characters, from 0)."""
     head = F.concat((row + 1).cast("string"), F.lit(" | "))
@@ -81,12 +101,26 @@ def degrees(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", F.col("source").alias("node")).agg(F.count("*").alias("out_edges"))
 
 
-def pretty(graph: Graph) -> DataFrame:
-    """(doc_id, text): nodes by id, their attributes by name, their edges by sink, each edge's attributes by name."""
+def named_nodes(attrs: DataFrame, forest: DataFrame) -> DataFrame:
+    """`attrs` with `reads`: how a value that is a syntax node reads by its kind and place (counted from 1), null for other values."""
+    places = forest.select("doc_id", F.col("node_id").alias("_id"), F.concat(F.lit("[syntax node "), "kind", F.lit(" ("), F.col("start_row") + 1, F.lit(", "), F.col("start_column") + 1, F.lit(")]")).alias("reads"))
+    asked = F.when(F.get_json_object("value", "$.type") == "syntaxNode", F.get_json_object("value", "$.id").cast("long"))
+    found = attrs.withColumn("_id", asked)
+    nodes = found.where("_id is not null").join(places, ["doc_id", "_id"], "left")
+    return nodes.drop("_id").unionByName(found.where("_id is null").drop("_id").withColumn("reads", F.lit(None).cast("string")))
+
+
+def pretty(graph: Graph, forest: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): nodes by id, their attributes by name, their edges by sink, each edge's attributes by name.
+
+    With the `forest` (with places), attributes that are syntax nodes read by kind and place, else by id.
+    """
     order = F.struct(F.col("node").alias("n"), F.coalesce("sink", F.lit(-1)).alias("s"), F.coalesce("name", F.lit("")).alias("a"), "line")
     heads = graph.nodes.select("doc_id", "node", F.lit(None).cast("long").alias("sink"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("node "), "node").alias("line"))
     arrows = graph.edges.select("doc_id", F.col("source").alias("node"), "sink", F.lit(None).cast("string").alias("name"), F.concat(F.lit("edge "), "source", F.lit(" -> "), "sink").alias("line"))
-    said = graph.attrs.distinct().select("doc_id", F.col("source").alias("node"), "sink", "name", F.concat(F.lit("  "), "name", F.lit(": "), values.debug("value")).alias("line"))
+    attrs = graph.attrs.distinct()
+    attrs = attrs.withColumn("reads", F.lit(None).cast("string")) if forest is None else named_nodes(attrs, forest)
+    said = attrs.select("doc_id", F.col("source").alias("node"), "sink", "name", F.concat(F.lit("  "), "name", F.lit(": "), F.coalesce("reads", values.debug("value"))).alias("line"))
     rows = heads.unionByName(arrows).unionByName(said).select("doc_id", order.alias("x"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copse.functions.standard import java_pattern
+
 
 def for_each(matches: DataFrame, items: str | Column, name: str, at: str = "at") -> DataFrame:
     """One row for each element of a list, with its place; a row without elements is gone after the loop's block."""
@@ -30,27 +33,51 @@ def chained(matches: DataFrame, by: list[str], order: list[str], value: Column,
     return matches.withColumn(name, F.when(first, start).otherwise(F.lag(value).over(window)))
 
 
+def _joined(arms: list[str]) -> tuple[str, bool]:
+    """The arms as one pattern, and whether scanning must go without gaps.
+
+    `^` at an arm's start is the place where the scan is. An arm that can match nothing is tried at every place, so it must match
+    something there: its preferred match is looked at first.
+    """
+    anchored = [a for a in arms if a.startswith("^")]
+    if anchored and len(anchored) < len(arms):
+        raise ValueError("either all arms begin with ^ or none does: a token alone could not tell its arm")
+    java = []
+    for arm in arms:
+        body = java_pattern(arm.removeprefix("^")).removeprefix("(?U)")
+        if r"\z" in body:
+            raise ValueError("an arm must not end in $: a token alone could not tell its arm")
+        java.append(r"\G" * arm.startswith("^") + f"(?:{body})")
+    empty = [a for a, arm in zip(java, arms, strict=True) if re.search(f"^(?:{arm})$", "")]
+    ahead = "".join(rf"(?=(?>{a})(?!\G))" for a in empty)
+    return f"(?U){r'\G' if empty else ''}{ahead}((?:{'|'.join(java)}))", bool(empty)
+
+
+def tokens(text: Column, arms: list[str]) -> Column:
+    """Tokens of `text`, without their arms, as `scan` finds them."""
+    pattern, gapless = _joined(arms)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    if not gapless:
+        return found
+    left = F.length(text) - F.length(F.array_join(found, ""))
+    return F.when(left == 0, found).otherwise(F.raise_error(F.lit("EmptyRegexCapture: an arm matched an empty text")).cast("array<string>"))
+
+
 def scan(text: Column, arms: list[str]) -> Column:
     """Tokens of `text`: array of (arm, token, groups), as regular expressions tried together from left to right find them.
 
-    At each place the leftmost match wins, of those that start there the first arm; the text between tokens is skipped. Arms
-    must not match an empty text, and not look around or anchor, so that a token alone tells its arm. `groups` holds the token, then the arm's groups.
+    At each place the leftmost match wins, of those that start there the first arm; the text between tokens is skipped. An arm
+    that matches an empty text at some place fails the job; an empty or null text has no places. Arms do not look around or refer back, and anchor at their start only,
+    all of them or none (`^`: the place where the last token ended), so that a token alone tells its arm. `groups` holds the token, then the arm's groups; one that took no part is empty.
     """
-    both = "|".join(f"(?:{a})" for a in arms)
 
     def one(token: Column) -> Column:
         arm, groups = F.lit(None).cast("int"), F.array().cast("array<string>")
         for i in reversed(range(len(arms))):
-            here = F.regexp_extract(token, f"^(?:{arms[i]})", 0) != ""
-            n = _groups(arms[i])
-            own = F.array(*(F.regexp_extract(token, f"^(?:{arms[i]})", g) for g in range(n + 1)))
+            whole = "(?U)^(?:" + java_pattern(arms[i].removeprefix("^")).removeprefix("(?U)") + ")"
+            here = F.regexp_extract(token, whole, 0) == token
+            own = F.array(*(F.regexp_extract(token, whole, g) for g in range(re.compile(arms[i]).groups + 1)))
             arm, groups = F.when(here, F.lit(i)).otherwise(arm), F.when(here, own).otherwise(groups)
         return F.struct(arm.alias("arm"), token.alias("token"), groups.alias("groups"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({both})"), F.lit(1)), one)
-
-
-def _groups(pattern: str) -> int:
-    import re
-
-    return re.compile(pattern).groups
+    return F.transform(tokens(text, arms), one)

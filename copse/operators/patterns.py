@@ -1,6 +1,6 @@
 """Tree patterns as joins. A match is a row with doc_id and one column a capture.
 
-A single capture is a struct (node_id, kind, path, key, num, text), null for an optional part that is absent; a repeated one is an array of
+A single capture is a struct (node_id, kind, path, key, num, text, and the node's places and positions where the forest has them), null for an optional part that is absent; a repeated one is an array of
 such structs in document order. Parents and children meet in an equi-join on (doc_id, parent_id): Catalyst picks its strategy, and a
 filter on kind reaches the scan. Repeated parts are collected before they are joined, so a match stays one row and no product of siblings
 arises.
@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copse.sources.forests import PLACES
+
 FIELDS = ["node_id", "kind", "path", "key", "num", "text"]
 POSITION = ["child_index", "named_child_index", "named_child_count"]
 
 
-def capture() -> Column:
-    return F.struct(*FIELDS)
+def capture(forest: DataFrame) -> Column:
+    return F.struct(*FIELDS, *(c for c in [*PLACES, *POSITION] if c in forest.columns))
 
 
 def picked(forest: DataFrame, kind: str | list[str] | None = None, named: bool | None = True, where: Column | None = None) -> DataFrame:
@@ -30,14 +32,14 @@ def picked(forest: DataFrame, kind: str | list[str] | None = None, named: bool |
 
 def match(forest: DataFrame, name: str, kind: str | list[str] | None = None, named: bool | None = True, where: Column | None = None) -> DataFrame:
     """One match for each such node."""
-    return picked(forest, kind, named, where).select("doc_id", capture().alias(name))
+    return picked(forest, kind, named, where).select("doc_id", capture(forest).alias(name))
 
 
 def child(matches: DataFrame, forest: DataFrame, of: str, name: str, kind: str | list[str] | None = None, field: str | None = None, named: bool | None = True, where: Column | None = None, optional: bool = False) -> DataFrame:
     """One match for each child of capture `of`; with `optional`, a match without such a child stays, its capture null."""
     nodes = picked(forest, kind, named, where)
     nodes = nodes if field is None else nodes.where(F.col("field") == field)
-    right = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), capture().alias(name))
+    right = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), capture(nodes).alias(name))
     on = (F.col("doc_id") == F.col("_doc")) & (F.col(f"{of}.node_id") == F.col("_parent"))
     return matches.join(right, on, "left" if optional else "inner").drop("_doc", "_parent")
 
@@ -46,7 +48,7 @@ def repeated(matches: DataFrame, forest: DataFrame, of: str, name: str, kind: st
     """All such children of capture `of` as one array in document order: `*` with least=0, `+` with least=1."""
     nodes = picked(forest, kind, True, where)
     nodes = nodes if field is None else nodes.where(F.col("field") == field)
-    held = nodes.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent")).agg(in_order(F.collect_list(F.struct("path", capture().alias("node")))).alias(name))
+    held = nodes.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent")).agg(in_order(F.collect_list(F.struct("path", capture(nodes).alias("node")))).alias(name))
     on = (F.col("doc_id") == F.col("_doc")) & (F.col(f"{of}.node_id") == F.col("_parent"))
     out = matches.join(held, on, "inner" if least else "left").drop("_doc", "_parent")
     return out if least else out.withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
@@ -56,6 +58,22 @@ def in_order(found: Column) -> Column:
     return F.transform(F.array_sort(found), lambda x: x["node"])
 
 
+def of_supertype(forest: DataFrame, kinds: DataFrame, name: str, subtype: str | None = None) -> DataFrame:
+    """Nodes whose kind `kinds`(supertype, kind) lists under a supertype (and is `subtype`, if given). Supertypes may be nested by listing them closed."""
+    listed = kinds.where(F.col("supertype") == name)
+    listed = listed if subtype is None else listed.where(F.col("kind") == subtype)
+    return forest.join(listed.select("kind").distinct(), "kind", "left_semi").select(*forest.columns)
+
+
+def closed(direct: DataFrame, levels: int = 8) -> DataFrame:
+    """(supertype, kind) of a hierarchy given by direct steps (supertype, kind), up to `levels` steps deep."""
+    out = step = direct.select("supertype", "kind").distinct()
+    for _ in range(levels - 1):
+        step = step.join(direct.select(F.col("supertype").alias("kind"), F.col("kind").alias("below")), "kind").select("supertype", F.col("below").alias("kind")).distinct()
+        out = out.unionByName(step)
+    return out.distinct()
+
+
 def without(matches: DataFrame, forest: DataFrame, of: str, kind: str | list[str] | None = None, field: str | None = None, where: Column | None = None) -> DataFrame:
     """Matches whose capture `of` has no such child (a negated field)."""
     nodes = picked(forest, kind, None, where)
@@ -109,7 +127,7 @@ def runs(forest: DataFrame, kind: str) -> DataFrame:
     same = Window.partitionBy("doc_id", "parent_id", "kind").orderBy("path")
     island = F.row_number().over(siblings) - F.row_number().over(same)
     nodes = forest.where("named and parent_id is not null").withColumn("island", island).where(F.col("kind") == kind)
-    return nodes.groupBy("doc_id", "parent_id", "island").agg(F.min("path").alias("first"), in_order(F.collect_list(F.struct("path", capture().alias("node")))).alias("nodes")).drop("island")
+    return nodes.groupBy("doc_id", "parent_id", "island").agg(F.min("path").alias("first"), in_order(F.collect_list(F.struct("path", capture(nodes).alias("node")))).alias("nodes")).drop("island")
 
 
 def prefixes(path: Column, itself: bool = True) -> Column:
@@ -119,11 +137,15 @@ def prefixes(path: Column, itself: bool = True) -> Column:
 
 
 def parse_errors(forest: DataFrame) -> DataFrame:
-    """Error and missing nodes that no other such node contains: those none of whose ancestors is one."""
-    bad = forest.where("error or missing").select("doc_id", "node_id", "kind", "path", "error", "missing")
-    marks = bad.select("doc_id", F.col("path").alias("above")).distinct()
-    inner = bad.select("doc_id", "node_id", F.explode(prefixes(F.col("path"), False)).alias("above")).join(marks, ["doc_id", "above"], "left_semi")
-    return bad.join(inner.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+    """Error and missing nodes that no other such node contains: those none of whose ancestors is one.
+
+    The forest is read once: each such node is filed under the paths of its ancestors and under its own, which marks those below it.
+    """
+    bad = forest.where("error or missing").select("doc_id", F.struct("node_id", "kind", "path", "error", "missing").alias("node"))
+    filed = bad.select("doc_id", "node", F.explode(prefixes(F.col("node.path"))).alias("above"))
+    own = F.size("above") == F.size("node.path")
+    marked = filed.withColumn("bad", F.max(own).over(Window.partitionBy("doc_id", "above"))).withColumn("inner", F.col("bad") & ~own)
+    return marked.groupBy("doc_id", "node").agg(F.max("inner").alias("inner")).where("not inner").select("doc_id", "node.*")
 
 
 def first_error(errors: DataFrame) -> DataFrame:

@@ -2,14 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import ChainMap
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copse.functions import values
 from copse.operators.patterns import prefixes
 
 
+class Globals:
+    """Names with encoded values that the caller gives to all documents; an inner environment sees the outer one's names."""
+
+    def __init__(self, outer: Globals | None = None):
+        self.own: dict[str, Column] = {}
+        self.seen = ChainMap(self.own, *(outer.seen.maps if outer else []))
+
+    def add(self, name: str, value: Column) -> None:
+        if name in self.own:
+            raise ValueError(f"VariableAlreadyDefined: {name}")
+        self.own[name] = value
+
+    def get(self, name: str) -> Column | None:
+        return self.seen.get(name)
+
+    def remove(self, name: str) -> None:
+        self.own.pop(name, None)
+
+    def clear(self) -> None:
+        self.own.clear()
+
+    def is_empty(self) -> bool:
+        return not self.own
+
+    def __iter__(self) -> Iterator[tuple[str, Column]]:
+        return iter(self.own.items())
+
+
+@dataclass(frozen=True)
+class Declared:
+    """A global that a program asks for: `many` (declared with `*` or `+`) wants a list; without `default` (a string) it must be given."""
+
+    name: str
+    many: bool = False
+    default: str | None = None
+
+
+def with_globals(matches: DataFrame, declared: list[Declared], common: Globals | None = None, own: DataFrame | None = None) -> DataFrame:
+    """`matches` with a column of encoded values for each declared global.
+
+    `own`(doc_id, name, value): what is given for single documents; it comes before what `common` gives to all, then the default. The job
+    fails where a global is given twice for a document, is missing, or is no list though it must be; defaults are not checked.
+    """
+    out = matches
+    if own is not None:
+        names = [d.name for d in declared]
+        twice = F.raise_error(F.lit("VariableAlreadyDefined")).cast("string")
+        picked = {n: F.when(F.col("name") == n, F.col("value")) for n in names}
+        found = own.where(F.col("name").isin(names)).groupBy(F.col("doc_id").alias("_doc")).agg(*(F.when(F.count(x) > 1, twice).otherwise(F.max(x)).alias(f"_own_{n}") for n, x in picked.items()))
+        out = out.join(found, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    for d in declared:
+        given = common.get(d.name) if common else None
+        ways = ([F.col(f"_own_{d.name}")] if own is not None else []) + ([given] if given is not None else [])
+        value = F.coalesce(*ways) if ways else F.lit(None).cast("string")
+        if d.many:
+            no_list = F.raise_error(F.lit(f"ExpectedList: {d.name}")).cast("string")
+            value = F.when(value.isNotNull() & (F.get_json_object(value, "$.type") != "list"), no_list).otherwise(value)
+        rest = values.string(F.lit(d.default)) if d.default is not None else F.raise_error(F.lit(f"MissingGlobalVariable: {d.name}")).cast("string")
+        out = out.withColumn(d.name, F.coalesce(value, rest))
+    return out.drop(*(f"_own_{d.name}" for d in declared)) if own is not None else out
+
+
 def bind(matches: DataFrame, scope: str, value: Column) -> DataFrame:
     """(doc_id, scope, path, value): one binding of a name to capture `scope` a row."""
     return matches.select("doc_id", F.col(f"{scope}.node_id").alias("scope"), F.col(f"{scope}.path").alias("path"), value.alias("value"))

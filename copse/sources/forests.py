@@ -4,17 +4,20 @@ Columns: doc_id, node_id (unique within its doc), parent_id (null for roots), ki
 missing, path (array<long>: the parent's path and one place more, so it
 compares in document order, and its prefixes are the ancestors), key, num, text. Nothing here is collected or windowed: ids
 and paths come from the rows' own keys, so a forest costs a scan (and, for orders, the join that gives lines their customer).
+Forests of texts have the nodes' places as well (`PLACES`, from 0, columns in bytes, the end after the last byte), where they are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PLACES = ["start_row", "start_column", "end_row", "end_column"]
 COLUMNS = ["doc_id", "node_id", "parent_id", "kind", "field", "named", "error", "missing", "path", "key", "num", "text"]
 
 
@@ -28,7 +31,18 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
-def node(df: DataFrame, doc: Column, kind: Column | str, path: list[Column], node_id: Column, parent: Column | None = None, field: str | None = None, named: bool = True, key: Column | None = None, num: Column | None = None, text: Column | None = None) -> DataFrame:
+def write_text_files(texts: DataFrame, path: str) -> None:
+    """`texts`(key, line): one folder `key=...` of UTF-8 text for each key, its lines in order."""
+    texts.select("key", "line").repartition("key").sortWithinPartitions("key", "line").write.partitionBy("key").text(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, in the one that `spark.checkpoint.dir` names, or else in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/sources-{uuid.uuid4().hex}"
+
+
+def node(df: DataFrame, doc: Column, kind: Column | str, path: list[Column], node_id: Column, parent: Column | None = None, field: str | None = None, named: bool = True, key: Column | None = None, num: Column | None = None, text: Column | None = None, places: list[Column] | None = None) -> DataFrame:
     none = F.lit(None)
     return df.select(
         doc.cast("long").alias("doc_id"),
@@ -43,6 +57,7 @@ def node(df: DataFrame, doc: Column, kind: Column | str, path: list[Column], nod
         (none if key is None else key).cast("long").alias("key"),
         (none if num is None else num).cast("long").alias("num"),
         (none if text is None else text).cast("string").alias("text"),
+        *(x.cast("long").alias(p) for p, x in zip(PLACES, places or [], strict=False)),
     )
 
 
@@ -73,17 +88,44 @@ def geo_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(nations).unionByName(buyers).unionByName(sellers)
 
 
-def text_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(sizes: Column, stretch: int = 128) -> Column:
+    """The sum of all elements before each one, made of sums over stretches, so that a long list does not take its length squared."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def over(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(stretch)), lambda lo: total(F.slice(xs, lo + 1, F.lit(stretch))))
+        starts = let(parts, lambda ps: F.transform(ps, lambda _, i: total(F.slice(ps, F.lit(1), i))))
+        return let(starts, lambda at: F.transform(xs, lambda _, i: F.get(at, (i / stretch).cast("int")) + total(F.slice(xs, i - i % stretch + 1, i % stretch))))
+
+    return let(sizes, over)
+
+
+def text_forest(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
     """document -> line* -> word*, cut at newlines and single spaces; num: position under the parent. An empty piece is a node with empty text."""
+    col = F.col
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    root = node(d, F.col("doc_id"), "document", [], F.lit(0), key=F.col("doc_id"), text=F.col("text"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
-    line_id = (F.col("row").cast("long") + 1) * (1 << 32)
-    words = lines.select("doc_id", "row", F.posexplode(F.split("line", " ", -1)).alias("at", "word"))
-    return (
-        root.unionByName(node(lines, F.col("doc_id"), "line", [F.col("row")], line_id, F.lit(0), "lines", key=F.col("row"), num=F.col("row"), text=F.col("line")))
-        .unionByName(node(words, F.col("doc_id"), "word", [F.col("row"), F.col("at")], line_id + F.col("at") + 1, line_id, "words", key=F.col("at"), num=F.col("at"), text=F.col("word")))
-    )
+    line_id = (col("row").cast("long") + 1) * (1 << 32)
+    pieces = F.split("line", " ", -1)
+    if places:
+        pieces = let(pieces, lambda ps: let(running(F.transform(ps, lambda w: F.octet_length(w).cast("long") + 1)), lambda at: F.transform(ps, lambda w, i: F.struct(w.alias("text"), F.get(at, i).alias("column")))))
+    words = lines.select("doc_id", "row", F.posexplode(pieces).alias("at", "word"))
+    word, start = (col("word.text"), col("word.column")) if places else (col("word"), F.lit(None))
+    bytes_ = lambda x: F.octet_length(x).cast("long")
+    height = F.length("text") - F.length(F.replace(col("text"), F.lit("\n"), F.lit("")))
+    none = F.lit(0)
+    whole = [none, none, height, bytes_(F.substring_index("text", "\n", -1))] if places else None
+    across = [col("row"), none, col("row"), bytes_("line")] if places else None
+    within = [col("row"), start, col("row"), start + bytes_(word)] if places else None
+    root = node(d, col("doc_id"), "document", [], F.lit(0), key=col("doc_id"), text=col("text"), places=whole)
+    line = node(lines, col("doc_id"), "line", [col("row")], line_id, F.lit(0), "lines", key=col("row"), num=col("row"), text=col("line"), places=across)
+    words = node(words, col("doc_id"), "word", [col("row"), col("at")], line_id + col("at") + 1, line_id, "words", key=col("at"), num=col("at"), text=word, places=within)
+    return root.unionByName(line).unionByName(words)
 
 
 def chat_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,41 +151,68 @@ _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "sou
 
 
 class _Tags(HTMLParser):
-    """Rows (node, parent, kind, attribute href, error, missing, text, path) of one page; node numbers are in document order."""
+    """Rows (node, parent, kind, attribute href, error, missing, text, path, start row, column, end row, column) of one page.
+
+    Node numbers are in document order. A node whose end tag is missing ends where the tag that closes it begins.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, html: str = "") -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = [[0, None, "page", None, False, False, None, []]]
-        self.open = [0]
+        self.lines = html.split("\n")
+        end = (len(self.lines) - 1, len(self.lines[-1].encode(errors="replace")))
+        self.rows: list[list] = [[0, None, "page", None, False, False, None, [], 0, 0, *end]]
+        self.open, self.ending, self.last = [0], [], end
+
+    def at(self) -> tuple[int, int]:
+        """Where the piece that is read now begins; what the piece before closed ends here."""
+        row, column = self.getpos()
+        place = (row - 1, len(self.lines[row - 1][:column].encode(errors="replace"))) if row <= len(self.lines) else self.last
+        for i in self.ending:
+            self.rows[i][10:] = place
+        self.ending = []
+        return place
 
     def _add(self, kind: str, href: str | None = None, error: bool = False, text: str | None = None) -> None:
-        self.rows.append([len(self.rows), self.open[-1], kind, href, error, False, text, [*self.rows[self.open[-1]][7], len(self.rows)]])
+        self.rows.append([len(self.rows), self.open[-1], kind, href, error, False, text, [*self.rows[self.open[-1]][7], len(self.rows)], *self.at(), *self.last])
+        self.ending.append(len(self.rows) - 1)
 
     def handle_starttag(self, tag, attrs):
         self._add(tag, dict(attrs).get("href"))
         if tag not in _VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append(self.ending.pop())
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, 0, -1) if self.rows[self.open[i]][2] == tag), 0)
         if not at:
             self._add(tag, error=True)
             return
+        place = self.at()
         for i in self.open[at + 1 :]:
             self.rows[i][5] = True  # its end is missing
+            self.rows[i][10:] = place
+        self.ending.append(self.open[at])
         del self.open[at:]
 
     def handle_data(self, data):
         if data.strip():
             self._add("text", text=data)
+        else:
+            self.at()
+
+    def handle_comment(self, data):
+        self.at()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "node", "parent", "tag", "href", "error", "missing", "text", "path", *PLACES]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 4]
     for whole in batches:
         for lo in range(0, whole.num_rows, 128):
-            batch, cols = whole.slice(lo, 128), [[] for _ in range(9)]
+            batch, cols = whole.slice(lo, 128), [[] for _ in names]
             for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                parser = _Tags()
+                parser = _Tags(html or "")
                 parser.feed(html or "")
                 parser.close()
                 for i in parser.open[1:]:
@@ -151,11 +220,15 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for row in parser.rows:
                     for c, v in zip(cols, [page, *row], strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "node", "parent", "tag", "href", "error", "missing", "text", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def html_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page -> elements and text; elements never closed are `missing`, stray end tags `error`; an element's text is its href."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(_pages, "page_id long, node long, parent long, tag string, href string, error boolean, missing boolean, text string, path array<long>")
-    return rows.select(F.col("page_id").alias("doc_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("tag").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit(True).alias("named"), "error", "missing", "path", F.col("node").alias("key"), F.lit(None).cast("long").alias("num"), F.coalesce("text", "href").alias("text"))
+    """page -> elements and text, with their places; elements never closed are `missing`, stray end tags `error`; an element's text is its href."""
+    return pages_forest(table(spark, sf_dir, "pages"))
+
+
+def pages_forest(pages: DataFrame) -> DataFrame:
+    """The same of `pages`(page_id, html)."""
+    rows = pages.select("page_id", "html").mapInArrow(_pages, "page_id long, node long, parent long, tag string, href string, error boolean, missing boolean, text string, path array<long>, " + ", ".join(f"{p} long" for p in PLACES))
+    return rows.select(F.col("page_id").alias("doc_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("tag").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit(True).alias("named"), "error", "missing", "path", F.col("node").alias("key"), F.lit(None).cast("long").alias("num"), F.coalesce("text", "href").alias("text"), *PLACES)
