@@ -3,9 +3,11 @@
 Arrivals are appended as small immutable shards, a run of Parquet files each. Runs that are less than
 3/4 `fanout` times as large as the smallest of them form a tier; once a tier has `fanout` runs they are merged into files of about `target` bytes, by reading several old files into
 one new (no shuffle, no rewriting of larger runs). What the store holds is said by a manifest alone: a JSON file per version,
-written aside and put in place by a rename that fails if that version exists, so a commit is whole or absent, and a writer that
-loses the race reads the newer manifest and tries again. Readers pin a version; files that no manifest of the last `keep` versions
-names are removed by `vacuum`.
+written aside and put in place by an operation that fails if that version exists (a hard link on local disks, elsewhere a rename that
+does not overwrite, atomic on HDFS; stores that have neither need a single writer), so a commit is whole or absent. A writer that
+loses the race reads the newer manifest and tries again; a compaction whose runs that manifest has no longer is given up and its files go.
+Readers pin a version. `vacuum` removes manifests older than the last `keep` and the runs that only those name; runs that no manifest
+names yet may be an append in flight, and stay for `grace` seconds. An append that takes longer from its first file to its commit finds its files gone and fails.
 
 Behaviour: empty arrivals add no run. Columns, nulls and repeated rows are kept as they come; arrivals may lack columns that others have
 (nulls then). A job that dies leaves files that no manifest names. Folder and manifest live where Spark's file systems reach.
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +28,8 @@ from copse.llm.shared import fresh_path
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str | None = None, target: int = 128 << 20, fanout: int = 4, keep: int = 1):
-        self.spark, self.root, self.target, self.fanout, self.keep = spark, (root or fresh_path(spark, "shards")).rstrip("/"), target, fanout, keep
+    def __init__(self, spark: SparkSession, root: str | None = None, target: int = 128 << 20, fanout: int = 4, keep: int = 1, grace: float = 86_400):
+        self.spark, self.root, self.target, self.fanout, self.keep, self.grace = spark, (root or fresh_path(spark, "shards")).rstrip("/"), target, fanout, keep, grace
         self._jvm = spark._jvm
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
@@ -49,18 +53,47 @@ class ShardStore:
         finally:
             stream.close()
 
-    def _commit(self, change) -> dict:
-        """Applies `change` to the newest manifest's runs and commits the result as the next version, again if another came first."""
+    def _linked(self, aside, place) -> bool:
+        try:
+            os.link(aside.toUri().getPath(), place.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def _renamed(self, aside, place) -> bool:
+        """A rename without the option to overwrite."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").NONE
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(place), options)
+        except Exception:
+            if self._fs.exists(place):
+                return False
+            raise
+        return True
+
+    def _commit(self, change) -> dict | None:
+        """Applies `change` to the newest manifest's runs and commits the result as the next version, again if another came first.
+
+        None if `change` gives None: what it wanted to change is no longer there.
+        """
         while True:
             old = self.manifest()
-            new = {"version": old["version"] + 1, "runs": change(old["runs"])}
+            runs = change(old["runs"])
+            if runs is None:
+                return None
+            new = {"version": old["version"] + 1, "runs": runs}
             aside, place = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{new['version']:09d}.json")
             out = self._fs.create(aside, False)
             out.write(bytearray(json.dumps(new).encode()))
             out.close()
-            if not self._fs.exists(place) and self._fs.rename(aside, place):
-                return new
-            self._fs.delete(aside, False)
+            try:
+                if (self._linked if self._fs.getUri().getScheme() == "file" else self._renamed)(aside, place):
+                    return new
+            finally:
+                self._fs.delete(aside, False)
 
     def _write(self, df: DataFrame) -> dict | None:
         name = uuid.uuid4().hex
@@ -75,7 +108,15 @@ class ShardStore:
     def append(self, df: DataFrame) -> None:
         """One arrival as a run of its own."""
         if run := self._write(df):
-            self._commit(lambda runs: [*runs, run])
+            self._added(run)
+
+    def _added(self, run: dict) -> None:
+        def change(runs: list[dict]) -> list[dict]:
+            if not all(self._fs.exists(self._path(f"{self.root}/data/{run['name']}/{f}")) for f in run["files"]):
+                raise RuntimeError(f"the files of {run['name']} were vacuumed before they were committed")
+            return [*runs, run]
+
+        self._commit(change)
 
     def _full(self, runs: list[dict]) -> list[dict]:
         """The runs of the lowest tier that is full. Sizes are compared with each other; what a tier was merged into is beyond it."""
@@ -89,15 +130,26 @@ class ShardStore:
     def compact(self) -> int:
         """Merges tiers that are full until none is; returns how many merges it made."""
         merges = 0
-        while True:
-            old = self._full(self.manifest()["runs"])
-            if not old:
-                return merges
-            names = {r["name"] for r in old}
-            size = sum(r["bytes"] for r in old)
-            merged = self._write(self._read(old).coalesce(max(1, math.ceil(size / self.target))))
-            self._commit(lambda runs: [r for r in runs if r["name"] not in names] + [merged])  # noqa: B023
-            merges += 1
+        while old := self._full(self.manifest()["runs"]):
+            merges += self._replaced(old, self._merged(old))
+        return merges
+
+    def _merged(self, old: list[dict]) -> dict:
+        size = sum(r["bytes"] for r in old)
+        return self._write(self._read(old).coalesce(max(1, math.ceil(size / self.target))))
+
+    def _replaced(self, old: list[dict], merged: dict) -> bool:
+        """Commits a merged run for its old ones; if another writer replaced any of these meanwhile, the merged run is discarded."""
+        names = {r["name"] for r in old}
+
+        def change(runs: list[dict]) -> list[dict] | None:
+            left = [r for r in runs if r["name"] not in names]
+            return [*left, merged] if len(left) == len(runs) - len(names) else None
+
+        if self._commit(change):
+            return True
+        self._fs.delete(self._path(f"{self.root}/data/{merged['name']}"), True)
+        return False
 
     def _read(self, runs: list[dict]) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/data/{r['name']}" for r in runs))
@@ -108,16 +160,23 @@ class ShardStore:
         return self._read(runs) if runs else None
 
     def vacuum(self) -> None:
-        """Removes runs and manifests that none of the last `keep` versions needs."""
-        last = self.versions()[-self.keep :]
-        needed = {r["name"] for v in last for r in self.manifest(v)["runs"]}
-        for v in self.versions():
-            if v not in last:
-                self._fs.delete(self._path(f"{self.root}/manifest/v{v:09d}.json"), False)
-        data = self._path(f"{self.root}/data")
+        """Removes old manifests and the runs that only those name, and runs without any manifest that are older than `grace`."""
+        found = self.versions()
+        named = {v: {r["name"] for r in self.manifest(v)["runs"]} for v in found}
+        needed = set().union(*(named[v] for v in found[-self.keep :]))
+        past = set().union(*named.values()) - needed
+        data, now = self._path(f"{self.root}/data"), time.time()
         for s in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            if s.getPath().getName() not in needed:
+            name = s.getPath().getName()
+            if name in past or (name not in needed and now - self._changed(s) > self.grace):
                 self._fs.delete(s.getPath(), True)
+        for v in found[: -self.keep]:
+            self._fs.delete(self._path(f"{self.root}/manifest/v{v:09d}.json"), False)
+
+    def _changed(self, run) -> float:
+        """When a run's folder or a file in it was written last."""
+        inside = self._fs.listStatus(run.getPath()) if run.isDirectory() else []
+        return max(x.getModificationTime() for x in [run, *inside]) / 1000
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from copse.llm.shard_store import ShardStore, shard_digests, sharded
 
 
@@ -75,3 +77,44 @@ def test_tiers_have_no_fixed_edges(spark):
     edge = 16 << 20
     assert sizes(edge - 3, edge + 2, edge - 1, edge + 1, edge - 2) == [edge - 3, edge - 2, edge - 1, edge + 1, edge + 2]
     assert sizes(100, 100, 100, 390) == [] and sizes(1, 100, 110, 120, 290, 400) == [100, 110, 120, 290]
+
+
+def test_two_compactors_and_a_late_one_keep_rows_once(spark):
+    _, df = docs(spark, 10)
+    a = ShardStore(spark, fanout=2, grace=0)
+    b = ShardStore(spark, a.root, fanout=2, grace=0)
+    a.append(df)
+    a.append(df)
+    n, old = 2 * df.count(), a.manifest()["runs"]
+    one, two = a._merged(old), b._merged(old)
+    assert a._replaced(old, one) and not b._replaced(old, two)
+    assert a.read().count() == b.read().count() == n and len(a.manifest()["runs"]) == 1
+    assert not a._fs.exists(a._path(f"{a.root}/data/{two['name']}"))
+
+
+def test_vacuum_spares_appends_in_flight(spark):
+    _, df = docs(spark, 10)
+    store, other = ShardStore(spark, keep=1), None
+    store.append(df)
+    run = store._write(df)
+    other = ShardStore(spark, store.root)
+    other.vacuum()
+    store._added(run)
+    assert store.read().count() == 2 * df.count()
+    late = store._write(df)
+    other.grace = -1
+    other.vacuum()
+    with pytest.raises(RuntimeError, match="vacuumed"):
+        store._added(late)
+    assert store.read().count() == 2 * df.count()
+
+
+def test_a_version_is_put_in_place_once(spark):
+    store = ShardStore(spark)
+    for put in (store._linked, store._renamed):
+        done = []
+        for text in ("a", "b"):
+            aside, place = store._path(f"{store.root}/manifest/.{put.__name__}{text}"), store._path(f"{store.root}/manifest/{put.__name__}")
+            store._fs.create(aside, False).close()
+            done.append(put(aside, place))
+        assert done == [True, False]
