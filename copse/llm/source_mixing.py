@@ -13,7 +13,7 @@ sum of K numbers and a K x K Gram matrix of the rows above `low`, over a table o
 step lengths where the whole step leads too far. Steps go on until the targets are met to `close` of the tokens, or nothing is nearer.
 
 Behaviour: null and empty texts have no tokens; they get the starting rate 1 moved like any other by their posterior. Documents without
-a domain label are scored like the rest. Labels repeated for a document count once (the largest name). A domain without labelled rows has posterior 0;
+a domain label are scored like the rest. Labels repeated for a document count once (the domain named last in `domains`); labels that say nothing are none. A domain without labelled rows has posterior 0;
 without any label all domains are equally likely. Targets must be nonnegative; they are scaled to sum 1. Rows keep their doc_id; repeated
 rows count each. Rates have no upper bound unless `high` is given. Targets that no rates meet give those with the least miss, and a warning that names
 the shares reached. Empty tables give no rows.
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.shared import over_texts, settle
-from copse.llm.terms import Terms, examples, sampled, telling
+from copse.llm.shared import drop, over_texts, settle
+from copse.llm.terms import Terms, counted, examples, sampled, telling
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,10 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int =
     """`labels`: (doc_id, domain); names not in `domains` are ignored."""
     number = F.element_at(F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i)))), F.col("domain"))
     rows = sampled(docs, labels.where(F.col("domain").isin(domains)).select("doc_id", number.cast("int").alias("y")), sample)
-    vocabulary = telling(rows, len(domains), terms, style=True)
+    counts, totals = counted(rows, len(domains), style=True)
+    vocabulary = telling(counts, totals, terms)
     y, flat, bounds = examples(rows, vocabulary, style=True)
+    drop(counts, rows)
     return fit(y.astype(np.int64), flat, bounds, vocabulary, len(domains))
 
 
@@ -181,8 +183,8 @@ def fitted(table: DataFrame, targets: list[float], budget: float | None = None,
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of the labelled table: toxic, else high or low quality."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").otherwise("low").alias("domain"))
+    """(doc_id, domain) of the labelled table: toxic, else high or low quality; null where quality is unknown too."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality").isNotNull(), "low").alias("domain"))
 
 
 DOMAINS = ["high", "low", "toxic"]

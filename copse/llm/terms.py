@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.shared import over_texts, settle
+from copse.llm.words import mix
 
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 #: Terms whose chi squared chance alone exceeds once in a thousand are not telling.
 CHANCE = 10.83
+#: The same for a pair, as there are millions of them.
+CHANCE_PAIR = 40.0
 _CAPITALS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!*$%&#@+=<>{}[]|\\~^_"
 _WORD = re.compile(r"\w+")
 
@@ -100,29 +103,67 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text"), "sample")
 
 
-def telling(sample: DataFrame, classes: int, most: int, style: bool = False) -> np.ndarray:
-    """The at most `most` term buckets whose presence tells the classes of `sample`(y, text) apart best, by chi squared."""
+def counted(sample: DataFrame, classes: int, style: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """(term, n, c0, c1, ...): in how many texts of `sample`(y, text), of each class, every term of five texts or more stands; and the classes' sizes."""
     totals = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    n = sum(totals.values())
-    if not n:
-        return np.zeros(0, dtype=np.int64)
     listed = over_texts(sample, _listed(None, style, ["y"]), "y int, terms array<int>").select("y", F.explode("terms").alias("term"))
-    counts = listed.groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(classes))).where("n >= 5")
+    return settle(listed.groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(classes))).where("n >= 5"), "terms"), totals
+
+
+def telling(counts: DataFrame, totals: dict[int, int], most: int) -> np.ndarray:
+    """The at most `most` terms whose presence tells the classes apart best, by chi squared."""
+    n = sum(totals.values())
     chi = F.lit(0.0)
-    for c in range(classes):
-        share = totals.get(c, 0) / n
+    for c in range(len(counts.columns) - 2):
+        share = totals.get(c, 0) / max(n, 1)
         if 0 < share < 1:
             chi = chi + F.pow(F.col(f"c{c}") - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) * (1 - F.col("n") / n + 1e-9))
     best = counts.select("term", chi.alias("chi")).where(F.col("chi") >= CHANCE).orderBy(F.col("chi").desc(), "term").limit(most).collect()
     return np.array([r[0] for r in best], dtype=np.int64)
 
 
+def frequent(counts: DataFrame, totals: dict[int, int], most: int) -> np.ndarray:
+    """The at most `most` terms that stand in most texts, but not in nearly all."""
+    few = counts.where(F.col("n") <= 0.95 * sum(totals.values())).orderBy(F.col("n").desc(), "term").limit(most)
+    return np.array([r[0] for r in few.select("term").collect()], dtype=np.int64)
+
+
+def telling_pairs(y: np.ndarray, flat: np.ndarray, bounds: np.ndarray, terms: int, most: int) -> np.ndarray:
+    """Positions of at most `most` of the `terms` that, in a pair, tell class 1 apart better than either term alone; the best pairs first.
+
+    A pair's chi squared is that of both terms' presence, over the bounded sample, a stretch of rows at a time.
+    """
+    both, ones = np.zeros((terms, terms), dtype=np.float32), np.zeros((terms, terms), dtype=np.float32)
+    for lo in range(0, len(y), 1024):
+        hi = min(lo + 1024, len(y))
+        grid = np.zeros((hi - lo, terms), dtype=np.float32)
+        grid[np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), flat[bounds[lo] : bounds[hi]]] = 1
+        both += grid.T @ grid
+        grid = grid[y[lo:hi] == 1]
+        ones += grid.T @ grid
+    share = float((y == 1).mean()) if len(y) else 0.0
+    if not 0 < share < 1:
+        return np.zeros(0, dtype=np.int64)
+    ones -= both * np.float32(share)
+    both[both < 5] = np.inf
+    chi = ones * ones / (both * (share * (1 - share)) * (1 - np.minimum(both, len(y)) / len(y) + 1e-9))
+    own = np.diag(chi).copy()
+    chi = np.triu(chi - np.maximum(own[:, None], own[None, :]), 1)
+    a, b = np.nonzero(chi >= CHANCE_PAIR)
+    order = np.argsort(-chi[a, b], kind="stable")
+    found = np.stack([a[order], b[order]], axis=1).ravel()
+    _, first = np.unique(found, return_index=True)
+    return found[np.sort(first)][:most]
+
+
 def examples(sample: DataFrame, vocabulary: np.ndarray, style: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, term positions of all rows, where each row's begin) of the bounded sample, on the driver, in a fixed order."""
-    got = over_texts(sample, _listed(vocabulary, style, ["y"]), "y int, terms array<int>").toArrow()
-    y = got.column("y").to_numpy()
-    lists = got.column("terms").to_pylist()
-    order = sorted(range(len(lists)), key=lambda i: (y[i], lists[i]))
-    lists = [lists[i] for i in order]
-    flat = np.array([t for x in lists for t in x], dtype=np.int64)
-    return y[order], flat, np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+    """(classes, term positions of all rows, where each row's begin) of the bounded sample, on the driver, in an order that its partitions do not change."""
+    got = over_texts(sample, _listed(vocabulary, style, ["y"]), "y int, terms array<int>").toArrow().combine_chunks()
+    y, lists = got.column("y").to_numpy(), got.column("terms").combine_chunks()
+    flat, n = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+    sums = np.append(np.uint64(0), np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)), dtype=np.uint64))
+    starts = np.cumsum(n) - n
+    order = np.lexsort((sums[starts + n] - sums[starts], n, y))
+    starts, n = starts[order], n[order]
+    bounds = np.append(0, np.cumsum(n)).astype(np.int64)
+    return y[order], flat[np.repeat(starts - bounds[:-1], n) + np.arange(len(flat))], bounds

@@ -3,7 +3,8 @@
 A text is the set of its hashed terms (words, and prefixes that inflected forms share) among those that tell the classes apart. Its
 logit is b + sum w_i + sum_{i<j} <v_i, v_j>: beside linear weights, every pair of terms present adds the product of their factors,
 so an insult that means something else next to a group mention, or the other way round, gets a weight of its own. Terms are
-picked by chi squared and the machine is fitted (AdaGrad, fixed seed) on at most `sample` labelled rows, the documented bound; all
+picked by chi squared, alone (at most `terms`) or, of the `often` most frequent ones, in pairs (at most `terms` more), so that
+words which say nothing alone are kept for what they say together. The machine is fitted (AdaGrad, fixed seed) on at most `sample` labelled rows, the documented bound; all
 texts are scored whole.
 
 Behaviour: null and empty texts have no terms and get the logit b. Labels repeated for a document count once (1 wins); documents
@@ -21,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.shared import over_texts
-from copse.llm.terms import Terms, examples, held_out, sampled, telling
+from copse.llm.shared import drop, over_texts
+from copse.llm.terms import Terms, counted, examples, frequent, held_out, sampled, telling, telling_pairs
+
+
+#: Small samples are gone through more often, for so many steps at least.
+STEPS = 600
 
 
 @dataclass(frozen=True)
@@ -75,12 +80,27 @@ def fit(y: np.ndarray, flat: np.ndarray, bounds: np.ndarray, vocabulary: np.ndar
     return Machine(vocabulary, float(b), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 4096) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 4096, often: int = 2048) -> Machine:
     """A machine fitted on labelled, not held-out documents; `labels`: (doc_id, toxic)."""
     rows = sampled(docs, labels.where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("y")), sample)
-    vocabulary = telling(rows, 2, terms)
+    counts, totals = counted(rows, 2)
+    alone, common = telling(counts, totals, terms), frequent(counts, totals, often)
+    drop(counts)
+    vocabulary = np.concatenate([alone, common[~np.isin(common, alone)]])
     y, flat, bounds = examples(rows, vocabulary)
-    return fit(y.astype(np.float64), flat, bounds, vocabulary)
+    drop(rows)
+    asked = np.isin(vocabulary, common)
+    pairs = np.flatnonzero(asked)[telling_pairs(y, *_only(flat, bounds, asked), int(asked.sum()), terms)]
+    kept = np.arange(len(vocabulary)) < len(alone)
+    kept[pairs] = True
+    flat, bounds = _only(flat, bounds, kept)
+    return fit(y.astype(np.float64), flat, bounds, vocabulary[kept], epochs=max(12, -(-STEPS * 256 // max(len(y), 1))))
+
+
+def _only(flat: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' terms that are kept, renumbered."""
+    stays = kept[flat] if len(flat) else np.zeros(0, dtype=bool)
+    return (np.cumsum(kept) - 1)[flat[stays]], np.append(0, np.cumsum(stays))[bounds]
 
 
 def _scored(machine: Machine):

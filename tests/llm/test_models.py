@@ -67,6 +67,22 @@ def test_pairs_beyond_linear_weights():
     assert linear.factors.shape == (2, 1)
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """Toxic is one of two words, not both and not none: neither says anything alone."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(3000):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 60))]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words += ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in toxicity_fm.toxicity_scores(df, lab).collect() if r.held_out]
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in got]) > 0.95
+
+
 def mixed(spark):
     rng = random.Random(2)
     rows, labels = [], []
