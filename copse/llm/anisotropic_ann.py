@@ -7,13 +7,19 @@ the subspaces (the parallel part couples them), centres by solving that loss on
 only part fitted on a sample; every row is coded. A query's table of 16 scores a subspace is joined into 256 scores a byte, scanned over
 a block's codes; the `rerank` best of each block are scored exactly on the original vectors, in double precision.
 
+Rows are filed under the nearest of at most `cells` coarse centres (k-means on the sample, about the square root of the rows), and a query
+is sent to the fewest cells that hold `cover` of the sample's own true neighbours: few where rows cluster, nearly all where they do not.
+A query whose cells hold no more than k rows goes to further ones until they do.
+
 Behaviour: vectors null, all zero, or with null, NaN or infinite components take no part, nor do rows of null vec_id. Shorter
-vectors count as if zeros followed. A query meets all rows but those of its own vec_id. Fewer candidates give fewer rows.
+vectors count as if zeros followed. A query meets all rows but those of its own vec_id. Fewer candidates give fewer rows; rows that share the query's
+vec_id may make a query find fewer still. Repeated rows are candidates each; queries of one vec_id share its k ranks.
 Blocks of at most `rerank` rows are searched exactly. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.shared import groups, ints, settle
-from copse.llm.vectors import best, from_binary, matrix, usable, width
+from copse.llm.vectors import best, from_binary, grouped, matrix, usable
 from copse.llm.voronoi_knn import crossed, ranked
 
 CENTRES = 16
@@ -87,18 +93,51 @@ def fit(x: np.ndarray, sub: int, parallel: float, rounds: int = 6, seed: int = 7
     return centres
 
 
-def _coded(dims: int, sub: int, centres: np.ndarray, parallel: float):
+def probes_for(x: np.ndarray, coarse: np.ndarray, k: int, cover: float, asked: int = 512) -> int:
+    """How many of its nearest cells a row must look into to find `cover` of its k nearest in the sample `x` of unit rows."""
+    q = x[: min(asked, len(x))]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    true = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+    cell = (x @ coarse.T - (coarse * coarse).sum(1) / 2).argmax(1)
+    rank = np.argsort(np.argsort(-(q @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1), axis=1)
+    place = np.sort(np.take_along_axis(rank, cell[true], axis=1).ravel())
+    return int(place[min(len(place) - 1, int(cover * len(place)))]) + 1 if len(place) else 1
+
+
+def _coded(dims: int, sub: int, centres: np.ndarray, parallel: float, coarse: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 x = matrix(part.column("embedding"), dims)
-                codes = encode(padded(unit(x), sub), centres, parallel)
+                u = unit(x)
+                codes = encode(padded(u, sub), centres, parallel)
+                cell = (u @ coarse.T - (coarse * coarse).sum(1) / 2).argmax(1)
                 data = (codes[:, ::2] | (codes[:, 1::2] << 4)).tobytes()
                 step, size = centres.shape[0] // 2, 8 * dims
                 raw = x.tobytes()
                 v = [data[i * step : (i + 1) * step] + raw[i * size : (i + 1) * size] for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("is_query"), pa.array(v, type=pa.binary())], names=["vec_id", "is_query", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("is_query"), ints(cell), pa.array(v, type=pa.binary())], names=["vec_id", "is_query", "grp", "v"])
+
+    return run
+
+
+def _probed(dims: int, skip: int, coarse: np.ndarray, held: np.ndarray, probes: int, least: int):
+    """Each query once for each cell that it looks into; `held` rows are in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                part = whole.slice(lo, 1024)
+                both = from_binary(part.column("v"), np.uint8, skip + 8 * dims)
+                u = unit(np.ascontiguousarray(both[:, skip:]).view(np.float64))
+                order = np.argsort(-(u @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1, kind="stable")
+                before = np.cumsum(held[order], axis=1) - held[order]
+                row, at = np.nonzero((np.arange(len(coarse)) < probes) | (before < least))
+                cell = order[row, at]
+                row, cell = row[held[cell] > 0], cell[held[cell] > 0]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(ints(row)), part.column("is_query").take(ints(row)), ints(cell), part.column("v").take(ints(row))], names=["vec_id", "is_query", "grp", "v"])
 
     return run
 
@@ -141,22 +180,29 @@ def _search(dims: int, sub: int, centres: np.ndarray, k: int, rerank: int):
     return run
 
 
-def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, query_block: int = 1024, data_block: int = 4096) -> DataFrame:
+def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, cells: int = 256, cover: float = 0.99, query_block: int = 1024, data_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest cosines found for every row of `vectors` where `is_query`."""
     spark = vectors.sparkSession
     some = F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).where(some).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    dims = width(rows)
-    if not dims:
+    dims, n, asking = rows.agg(F.max(F.size("embedding")), F.count("*"), F.count_if("q")).first()
+    if not dims or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    centres = fit(padded(unit(matrix(chosen.column("embedding"), dims)), sub), sub, parallel)
-    coded = settle(rows.withColumnRenamed("q", "is_query").mapInArrow(_coded(dims, sub, centres, parallel), "vec_id long, is_query boolean, v binary"), "codes")
-    n, nq = coded.agg(F.count("*"), F.count_if("is_query")).first()
-    grid = spark.range(1).select(F.lit(0).cast("long").alias("grp"), F.lit(-(-n // data_block)).cast("long").alias("nd"), F.lit(-(-max(nq, 1) // query_block)).cast("long").alias("nq"))
-    salt = F.xxhash64("vec_id", F.lit(1))
-    tagged = coded.withColumn("grp", F.lit(0).cast("long"))
-    q = tagged.where("is_query").withColumn("qb", F.pmod(salt, F.lit(-(-max(nq, 1) // query_block))))
-    x = tagged.withColumn("is_query", F.lit(False)).withColumn("db", F.pmod(salt, F.lit(-(-n // data_block))))
-    found = crossed(q, x, F.broadcast(grid)).mapInArrow(_search(dims, sub, centres, k, rerank), "query_id long, vec_id long, score double")
+    x = unit(matrix(chosen.column("embedding"), dims))
+    centres = fit(padded(x, sub), sub, parallel)
+    coarse = grouped(x, max(1, min(cells, math.isqrt(n) // 4, len(x) // 16)))[0]
+    coded = settle(rows.withColumnRenamed("q", "is_query").mapInArrow(_coded(dims, sub, centres, parallel, coarse), "vec_id long, is_query boolean, grp long, v binary"), "codes")
+    held = np.zeros(len(coarse), dtype=np.int64)
+    for grp, rows_ in coded.groupBy("grp").count().collect():
+        held[grp] = rows_
+    asked = coded.where("is_query").mapInArrow(_probed(dims, centres.shape[0] // 2, coarse, held, probes_for(x, coarse, k, cover), k + 1), "vec_id long, is_query boolean, grp long, v binary")
+    asked = settle(asked, "asked")
+    nd = F.element_at(F.array(*(F.lit(max(1, -(-int(h) // data_block))).cast("long") for h in held)), (F.col("grp") + 1).cast("int"))
+    sizes = asked.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq")).withColumn("nd", nd)
+    sizes = F.broadcast(settle(sizes, "blocks"))  # a row a cell
+    salt = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    q = asked.withColumn("salt", salt).join(sizes, "grp").withColumn("qb", F.pmod("salt", "nq"))
+    x = coded.withColumn("is_query", F.lit(False)).withColumn("salt", salt).join(sizes, "grp").withColumn("db", F.pmod("salt", "nd"))
+    found = crossed(q, x).mapInArrow(_search(dims, sub, centres, k, rerank), "query_id long, vec_id long, score double")
     return ranked(found, k)

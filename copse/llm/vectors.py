@@ -14,10 +14,6 @@ def usable(vector: str = "embedding") -> Column:
     return F.col(vector).isNotNull() & ~bad
 
 
-def width(vectors: DataFrame, vector: str = "embedding") -> int:
-    """The longest vector's length; shorter ones count as if zeros followed."""
-    return int(vectors.agg(F.max(F.size(vector))).first()[0] or 0)
-
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     """A list column as float64 rows of `dims`, zeros after the end of shorter lists."""
@@ -42,6 +38,22 @@ def from_binary(column: pa.Array, dtype, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), dims)
 
 
+def grouped(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, group of each row) of a bounded number of rows: k-means from rows far from each other, at most `k` groups, none empty."""
+    at = [0]
+    near = ((x - x[0]) ** 2).sum(1)
+    while len(at) < min(k, len(x)) and near.max() > 0:
+        at.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    centres = x[at].copy()
+    for _ in range(rounds):
+        group = ((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
+        for g in np.unique(group):
+            centres[g] = x[group == g].mean(0)
+    used, group = np.unique(((centres * centres).sum(1)[None, :] - 2 * x @ centres.T).argmin(1), return_inverse=True)
+    return centres[used], group
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row of `scores`, the columns of the k highest, ties to smaller ids, in that order."""
     order = np.argsort(ids, kind="stable")

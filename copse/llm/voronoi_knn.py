@@ -2,21 +2,23 @@
 
 Vectors become integers, floor(scale * x). One more coordinate, sqrt(M - |x|^2) for data (M: the largest |x|^2) and 0 for
 queries, turns the largest inner product into the smallest distance: |q - x|^2 = |q|^2 + M - 2 q.x. Data and queries are grouped
-by their nearest pivot. Each cell of data is summarised by its radii and the k + 1 smallest of 256 distances to the pivot,
-each the least of a part of the cell;
-from these each query gets an upper bound of its k-th distance, and by the triangle inequality a ring of distances in each
-cell outside which no row can be among its k. Query groups unite their members' rings, data rows are copied only to the groups
-whose ring holds them, and are searched there in blocks, each block giving k rows a query at most.
+by their nearest pivot; pivots are rows, about the square root of their number. Each cell of data is summarised by its radii and the k + 1 smallest of 256 distances to the pivot,
+each the least of a part of the cell; from these each query gets an upper bound t of its k-th distance. A cell is out of a query's reach if the plane
+between the two pivots is farther from the query than t; of the others the triangle inequality leaves a ring around the pivot.
+Queries of neighbouring cells (k-means over the pivots) form a group; a group unites its queries' rings cell by cell, and a data row is copied only to the groups
+whose ring in its cell holds it. Groups hold about `query_block` queries, so where nothing can be left out a row is copied once
+for a block of queries, as an exact search must. Copies are searched in blocks, each giving k rows a query at most.
 
-Only pivots (at most `pivots`), cells' summaries and groups' rings reach the driver; their number does not grow with the data.
+Only pivots (at most `pivots`), cells' summaries and groups' rings (at most `groups` for each cell) reach the driver or are broadcast; these bounds do not grow with the data.
 
 Behaviour: vectors null or with null, NaN or infinite components take no part, nor do rows of null vec_id. Shorter vectors count as
 if zeros followed. A query meets all rows but those of its own vec_id. Fewer candidates give fewer rows. Repeated rows are
-candidates each. Scores are exact while |floor(scale * x)| sums stay below 2^53. An empty table gives no rows.
+candidates each; queries of one vec_id share its k ranks. Scores are exact while |floor(scale * x)| sums stay below 2^53. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copse.llm.shared import groups, ints, settle
-from copse.llm.vectors import best, binary, from_binary, matrix, usable, width
+from copse.llm.shared import drop, ints, settle
+from copse.llm.shared import groups as runs_of
+from copse.llm.vectors import best, binary, from_binary, grouped, matrix, usable
 
 
 def _cells(scale: float, dims: int, top: float, pivots: np.ndarray, square: np.ndarray):
@@ -53,39 +56,36 @@ def _distances(x: np.ndarray, lift: np.ndarray, pivots: np.ndarray, square: np.n
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _rings(dims: int, pivots: np.ndarray, square: np.ndarray, cells: dict[int, tuple], k: int, group_of: np.ndarray):
+def _reach(dims: int, pivots: np.ndarray, square: np.ndarray, cells: dict[int, tuple], k: int, group_of: np.ndarray):
     """For each query group and cell, the lowest and highest distance to the pivot that some query of the group may need."""
-    radius = np.full(len(pivots), -1.0)
-    near = np.full(len(pivots), np.inf)
-    firsts: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
-    for c, (low, high, small) in cells.items():
-        near[c], radius[c] = low, high
-        firsts.append(np.asarray(small))
-        owner.append(np.full(len(small), c))
-    first, own = np.concatenate(firsts), np.concatenate(owner)
+    ids = np.array(sorted(cells))
+    near, radius = np.array([cells[c][0] for c in ids]), np.array([cells[c][1] for c in ids])
+    first = np.concatenate([cells[c][2] for c in ids])
+    own = np.repeat(np.arange(len(ids)), [len(cells[c][2]) for c in ids])
+    p = pivots[ids]
+    between = np.sqrt(np.maximum(0.0, square[:, None] + square[ids][None, :] - 2 * pivots @ p.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low: dict[tuple[int, int], float] = {}
-        high: dict[tuple[int, int], float] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = from_binary(batch.column("v"), np.float64, dims)
-            d = _distances(q, np.zeros(len(q)), pivots, square)
-            upper = d[:, own] + first[None, :]
-            theta = np.partition(upper, min(k, upper.shape[1] - 1), axis=1)[:, min(k, upper.shape[1] - 1)] if upper.shape[1] > k else np.full(len(q), np.inf)
-            slack = 1e-6 * (1 + theta)
-            group = group_of[batch.column("cell").to_numpy()]
-            for c in cells:
-                lo, hi = d[:, c] - theta - slack, d[:, c] + theta + slack
-                need = (lo <= radius[c]) & (hi >= near[c])
-                for g in np.unique(group[need]):
-                    m = need & (group == g)
-                    low[g, c] = min(low.get((g, c), np.inf), float(lo[m].min()))
-                    high[g, c] = max(high.get((g, c), -np.inf), float(hi[m].max()))
-        keys = list(low)
-        yield pa.RecordBatch.from_arrays([ints([x[0] for x in keys]), ints([x[1] for x in keys]), pa.array([low[x] for x in keys], type=pa.float64()), pa.array([high[x] for x in keys], type=pa.float64())], names=["grp", "cell", "low", "high"])
+        groups_ = int(group_of.max()) + 1
+        low, high = np.full((groups_, len(ids)), np.inf), np.full((groups_, len(ids)), -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                q, cell = from_binary(batch.column("v"), np.float64, dims), batch.column("cell").to_numpy()
+                d, home = _distances(q, np.zeros(len(q)), p, square[ids]), batch.column("dist").to_numpy()
+                upper = d[:, own] + first[None, :]
+                t = np.partition(upper, k, axis=1)[:, k] if upper.shape[1] > k else np.full(len(q), np.inf)
+                t = (t * (1 + 1e-6) + 1e-6)[:, None]
+                gap = between[cell]
+                plane = np.where(gap > 0, (d * d - (home * home)[:, None]) / np.maximum(2 * gap, 1e-300), 0.0)
+                lo, hi = d - t, d + t
+                need = (lo <= radius) & (hi >= near) & (plane <= t * (1 + 1e-6))
+                order = np.argsort(group_of[cell], kind="stable")
+                g, start = np.unique(group_of[cell][order], return_index=True)
+                low[g] = np.minimum(low[g], np.minimum.reduceat(np.where(need, lo, np.inf)[order], start, axis=0))
+                high[g] = np.maximum(high[g], np.maximum.reduceat(np.where(need, hi, -np.inf)[order], start, axis=0))
+        g, c = np.nonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([ints(g), ints(ids[c]), pa.array(low[g, c]), pa.array(high[g, c])], names=["grp", "cell", "low", "high"])
 
     return run
 
@@ -94,7 +94,7 @@ def _solve(dims: int, k: int):
     """The k best of each block of data for each of its queries; the block's rows and queries are tagged by is_query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, ["grp", "qb", "db"]):
+        for _, rows in runs_of(batches, ["grp", "qb", "db"]):
             query = rows.column("is_query").to_numpy(zero_copy_only=False)
             ids = rows.column("vec_id").to_numpy()
             v = from_binary(rows.column("v").combine_chunks(), np.float64, dims)
@@ -117,27 +117,25 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def crossed(queries: DataFrame, data: DataFrame, groups_: DataFrame) -> DataFrame:
-    """Query and data rows (both with `grp`, `qb` or `db`) once for each pair of a query block and a data block of their group."""
-    q = queries.join(groups_, "grp").withColumn("db", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)))
-    x = data.join(groups_, "grp").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+def crossed(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """Query rows (with `grp`, `qb`, `nd`) and data rows (with `grp`, `db`, `nq`) once for each pair of a query block and a data block of their group."""
+    q = queries.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)))
+    x = data.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
     cols = ["grp", "qb", "db", "is_query", "vec_id", "v"]
     return q.select(*cols).unionByName(x.select(*cols)).repartition("grp", "qb", "db").sortWithinPartitions("grp", "qb", "db")
 
 
-def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 64, query_groups: int = 16, query_block: int = 1024, data_block: int = 4096) -> DataFrame:
+def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 2048, groups: int = 128, query_block: int = 1024, data_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer inner products for every row of `vectors` where `is_query`."""
     spark = vectors.sparkSession
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    dims = width(rows)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not dims:
-        return empty
     whole = F.transform("embedding", lambda x: F.floor(x * scale).cast("double"))
     norm = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
-    top = float(rows.agg(F.max(norm)).first()[0])
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").collect()
-    base = np.floor(scale * np.array([list(r[0]) + [0.0] * (dims - len(r[0])) for r in chosen]))
+    dims, top, n, asking = rows.agg(F.max(F.size("embedding")), F.max(norm), F.count("*"), F.count_if("q")).first()
+    if not dims or not asking:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(pivots, max(16, math.isqrt(n)))).select("embedding").toArrow()
+    base = np.floor(scale * matrix(chosen.column("embedding"), dims))
     p = np.unique(np.hstack([base, np.sqrt(np.maximum(0.0, top - (base * base).sum(1)))[:, None]]), axis=0)
     square = (p * p).sum(1)
     tagged = rows.withColumn("is_query", F.explode(F.when(F.col("q"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))).drop("q")
@@ -147,18 +145,20 @@ def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     few = near.groupBy("cell", "salt").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))  # some rows' distances: an upper bound all the same
     summary = few.groupBy("cell").agg(F.min("low"), F.max("high"), F.slice(F.array_sort(F.collect_list("low")), 1, k + 1)).collect()
     by_cell = {int(r[0]): (float(r[1]), float(r[2]), list(r[3])) for r in summary}
-    group_of = np.arange(len(p)) * query_groups // len(p)
-    rings = queries.mapInArrow(_rings(dims, p, square, by_cell, k, group_of), "grp long, cell long, low double, high double").groupBy("grp", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    rings = F.broadcast(settle(rings, "rings"))
-    copied = settle(data.join(rings, "cell").where("dist between low and high").select("grp", "vec_id", "is_query", "v"), "copied")
-    grouped = settle(queries.join(F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "cell long, grp long")), "cell").select("grp", "vec_id", "is_query", "v"), "asking")
+    group_of = grouped(p[:, :-1], min(groups, max(1, -(-asking // query_block))))[1]
+    rings = queries.mapInArrow(_reach(dims, p, square, by_cell, k, group_of), "grp long, cell long, low double, high double").groupBy("grp", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rings = settle(rings, "rings")
+    copied = settle(data.join(F.broadcast(rings), "cell").where("dist between low and high").select("grp", "vec_id", "is_query", "v"), "copied")
+    where = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "cell long, grp long"))
+    grouped_ = settle(queries.join(where, "cell").select("grp", "vec_id", "is_query", "v"), "asking")
+    drop(cells, rings)
     nd = copied.groupBy("grp").agg(F.ceil(F.count("*") / data_block).alias("nd"))
-    nq = grouped.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq"))
-    sizes = settle(nd.join(nq, "grp"), "blocks")
-    salt = F.xxhash64("vec_id", F.lit(1))
-    q = grouped.join(sizes.select("grp", F.col("nq").alias("n")), "grp").withColumn("qb", F.pmod(salt, F.col("n"))).drop("n")
-    x = copied.join(sizes.select("grp", F.col("nd").alias("n")), "grp").withColumn("db", F.pmod(salt, F.col("n"))).drop("n")
-    found = crossed(q, x, sizes).mapInArrow(_solve(dims, k), "query_id long, vec_id long, score long")
+    nq = grouped_.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq"))
+    sizes = F.broadcast(settle(nd.join(nq, "grp"), "blocks"))  # a row a group
+    salt = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    q = grouped_.withColumn("salt", salt).join(sizes, "grp").withColumn("qb", F.pmod("salt", "nq"))
+    x = copied.withColumn("salt", salt).join(sizes, "grp").withColumn("db", F.pmod("salt", "nd"))
+    found = crossed(q, x).mapInArrow(_solve(dims, k), "query_id long, vec_id long, score long")
     return ranked(found, k)
 
 

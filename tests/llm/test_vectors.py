@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from copse.llm.anisotropic_ann import anisotropic_ann, encode, fit, unit
+from copse.llm import shared
+from copse.llm import voronoi_knn as voronoi
+from copse.llm.anisotropic_ann import anisotropic_ann, encode, fit, probes_for, unit
+from copse.llm.vectors import grouped
 from copse.llm.voronoi_knn import voronoi_knn
 
 
@@ -43,15 +46,56 @@ def test_exact_search(spark, block):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_rings_leave_rows_out(spark):
+def test_rings_leave_rows_out(spark, monkeypatch):
     """Far clusters are not copied to groups that cannot need them, and the result is exact all the same."""
-    rows = [(i, [100.0 * (i % 4) + (i // 4) * 0.01, 5.0]) for i in range(400)]
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 6))
+    centres *= 20 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.float32(centres[np.arange(1600) % 8] + rng.normal(size=(1600, 6)) * 0.2).astype(np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    copied = []
+
+    def settle(table, name):
+        out = shared.settle(table, name)
+        copied.extend([out.count()] if name == "copied" else [])
+        return out
+
+    monkeypatch.setattr(voronoi, "settle", settle)
+    got = {}
+    for r in voronoi_knn(df, F.col("vec_id") % 20 == 0, query_block=10).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    x = np.floor(256 * x)
+    assert len(got) == 80
+    for i, scores in got.items():
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert scores == sorted(map(int, np.sort(s)[-5:]), reverse=True)
+    assert copied[0] <= 2 * 1600  # of eight groups
+
+
+def test_repeated_ids(spark):
+    """Rows of one vec_id are candidates each, and never their own; as queries they share the ranks."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r.query_id: r.vec_id for r in voronoi_knn(df, F.col("vec_id") == 3, k=1, pivots=8, query_groups=8).collect()}
-    x = np.floor(256 * np.float32([r[1] for r in rows]).astype(np.float64))
-    s = x @ x[3]
-    s[3] = -1
-    assert got == {3: int(np.argmax(s))}
+    exact = [tuple(r) for r in voronoi_knn(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert [r[1:] for r in exact] == [(1, 4, 2 * 65536), (2, 3, 65536), (3, 3, 65536), (4, 3, 65536), (5, 3, 65536)]
+    found = [(r.vec_id, round(r.score, 6)) for r in anisotropic_ann(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    assert found == [(4, 1.0), (3, 0.707107), (3, 0.707107), (3, 0.707107), (3, 0.707107)]
+
+
+def test_production_recall(spark):
+    """The registered query's parameters, on clustered and on shapeless vectors."""
+    rng = np.random.default_rng(4)
+    for spread in (0.3, 50.0):
+        x = np.float32(rng.normal(size=(40, 32))[rng.integers(0, 40, 9000)] + spread * rng.normal(size=(9000, 32)))
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+        u = unit(x.astype(np.float64))
+        s = u[::50] @ u.T
+        s[np.arange(180), np.arange(0, 9000, 50)] = -np.inf
+        edge = np.sort(s, axis=1)[:, -5]
+        got = anisotropic_ann(df, F.col("vec_id") % 50 == 0).collect()
+        assert len(got) == 900 and sum(r.score >= edge[r.query_id // 50] - 1e-12 for r in got) >= 0.9 * 900
+        assert probes_for(u[:4096], grouped(u[:4096], 23)[0], 5, 0.99) <= (6 if spread < 1 else 23)
 
 
 def test_few_candidates_and_empty(spark):
