@@ -2,13 +2,14 @@
 
 Each window of `width` words is filed under its anchor: the smallest hash among the pieces of `piece` words inside it. Equal
 windows have equal anchors at equal places, so an index of anchors loses no repeated window, and holds about
-2 / (width - piece + 2) entries a word. The index is a set of immutable runs, each sorted by anchor; a new batch of texts
-becomes a run, and runs are compacted by a merge-join that adds their counts. `hits` merge-joins the newest run with the historical
-ones for a caller that asks; `substring_dedup` does not: it appends its batches, compacts, and verifies all batches in one pass.
+2 / (width - piece + 2) entries a word. The index is a set of immutable runs, each a table bucketed and sorted by anchor. A new batch
+of texts becomes a run; it is merge-joined with every historical run, bucket by bucket without a shuffle, and the anchors met twice, there
+or in the batch itself, are its hits. Then runs of like size are compacted by merge-joins that add their counts, so few runs are ever there.
 
-Anchors that occur twice or more are only candidates. They are verified in two steps: occurrences whose whole
+The hits of all batches are the candidates, which are verified over the whole index in two steps: occurrences whose whole
 neighbourhood (all windows of that anchor) has the same 128-bit hash are repeated throughout; of the other neighbourhoods
-one each sends its windows' 128-bit hashes, and a window is repeated if its hash comes from two places.
+one each sends its windows' 128-bit hashes, and a window is repeated if its hash comes from two places. (A batch may make words of
+older texts repeated; so texts are verified when results are asked for, once, and not batch by batch.)
 
 Behaviour: null and empty texts have no words and lose none. Copies of a text count as other places, so a text of `width`
 words or more that stands twice goes entirely; so do repeated rows, each row being a place of its own. doc_id may be null or
@@ -18,6 +19,7 @@ repeated: rows are told apart by doc_id and text together. Columns other than do
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm.shared import fresh_path, ints, over_texts, settle
+from copse.llm.shared import drop, fresh_path, ints, over_texts, remove, settle
 from copse.llm.words import Words, mix, slices, spans_hash
 
 WIDTH, PIECE = 35, 8
@@ -104,11 +106,18 @@ def _own(batch: pa.RecordBatch, lo: int, hi: int) -> list[pa.Array]:
     return [batch.column(k).slice(lo, hi - lo) for k in KEY]
 
 
-def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are unpacked at once."""
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are unpacked at once; packed ones by their unpacked size."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        lo = 0
+        if "packed" in batch.schema.names:
+            sizes = np.cumsum([zstandard.frame_content_size(x) for x in batch.column("packed").to_pylist()])
+        while lo < batch.num_rows:
+            hi = min(lo + rows, batch.num_rows)
+            if "packed" in batch.schema.names:
+                hi = min(hi, max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + size, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _parts(width: int, piece: int):
@@ -126,58 +135,81 @@ def _parts(width: int, piece: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchors under one folder of the shared store; every append and compaction only adds files."""
+    """Runs of anchors under one folder of the shared store, each a table of this session's catalogue, bucketed and sorted by anchor.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, width: int = WIDTH, piece: int = PIECE):
-        self.spark, self.root, self.width, self.piece = spark, root or fresh_path(spark, "fingerprints"), width, piece
+    Runs less than `ratio` times as large as another are merged with it after each append.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, width: int = WIDTH, piece: int = PIECE, ratio: int = 4):
+        self.spark, self.root, self.width, self.piece, self.ratio = spark, root or fresh_path(spark, "fingerprints"), width, piece, ratio
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.parts: list[str] = []
-        self.runs: list[str] = []
+        self.met: list[str] = []
+        self.runs: list[tuple[str, int]] = []
         self.made = 0
 
     def _path(self, kind: str) -> str:
         self.made += 1
         return f"{self.root}/{kind}-{self.made:06d}"
 
-    def _run(self, counts: DataFrame) -> str:
-        counts.select("fp", "n").sortWithinPartitions("fp").write.parquet(path := self._path("run"))
-        return path
+    def _run(self, counts: DataFrame) -> tuple[str, int]:
+        """(table, anchors) of a new run. An aggregate or a join by anchor has dealt its rows as the buckets are: one file a bucket."""
+        name = f"copse_run_{uuid.uuid4().hex}"
+        counts.select("fp", "n").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self._path("run")).saveAsTable(name)
+        return name, self.spark.table(name).count()
 
     def append(self, docs: DataFrame) -> None:
-        """Adds a batch of (doc_id, text): its per-document anchors, and its run of (anchor, occurrences) sorted by anchor."""
+        """Adds a batch of (doc_id, text): its per-document anchors, its run of (anchor, occurrences), its hits; then compacts."""
         path = self._path("part")
         over_texts(keyed(docs), _parts(self.width, self.piece), PARTS).write.parquet(path)
         self.parts.append(path)
         part = self.spark.read.schema(PARTS).parquet(path)
         self.runs.append(self._run(part.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))))
-
-    def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("fp long, n long").parquet(run)
+        self.hits().write.parquet(path := self._path("hits"))
+        self.met.append(path)
+        self.compact()
 
     def hits(self) -> DataFrame:
-        """Anchors of the newest run that the historical runs hold too: the merge-join of a batch with the index."""
-        new = self._read(self.runs[-1])
-        found = [new.join(self._read(r).select("fp").hint("merge"), "fp", "left_semi").select("fp") for r in self.runs[:-1]]
-        out = new.where("false").select("fp")
-        for f in found:
-            out = out.unionByName(f)
-        return out.distinct()
+        """Anchors of the newest run that it holds twice, or that a historical run holds too: the merge-join of a batch with the index."""
+        new = self.spark.table(self.runs[-1][0])
+        seen = new.withColumn("twice", F.col("n") >= 2)
+        for run, _ in self.runs[:-1]:
+            old = self.spark.table(run).select("fp", F.lit(True).alias("old")).hint("merge")
+            seen = seen.join(old, "fp", "left").select("fp", (F.col("twice") | F.col("old").isNotNull()).alias("twice"))
+        return seen.where("twice").select("fp")
 
     def compact(self) -> None:
-        """Merges all runs into one, adding the counts of equal anchors."""
-        while len(self.runs) > 1:
-            a, b = self._read(self.runs[0]), self._read(self.runs[1]).withColumnRenamed("n", "m")
-            merged = a.join(b.hint("merge"), "fp", "full_outer").select("fp", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-            self.runs = [self._run(merged), *self.runs[2:]]
+        """Merges runs of like size, smallest first, until sizes lie `ratio` apart."""
+        while True:
+            self.runs.sort(key=lambda r: r[1])
+            like = next((i for i in range(len(self.runs) - 1) if self.runs[i + 1][1] < self.ratio * max(self.runs[i][1], 1)), None)
+            if like is None:
+                return
+            (a, _), (b, _) = self.runs[like : like + 2]
+            other = self.spark.table(b).withColumnRenamed("n", "m").hint("merge")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+            self.runs[like : like + 2] = [self._run(self.spark.table(a).join(other, "fp", "full_outer").select("fp", n.alias("n")))]
+            for old in (a, b):
+                self._forget(old)
+
+    def _forget(self, run: str) -> None:
+        where = self.spark.sql(f"DESCRIBE FORMATTED {run}").where("col_name = 'Location'").first()[1]
+        self.spark.sql(f"DROP TABLE {run}")
+        remove(self.spark, where)
+
+    def remove(self) -> None:
+        """Deletes the whole index."""
+        for run, _ in self.runs:
+            self.spark.sql(f"DROP TABLE {run}")
+        remove(self.spark, self.root)
 
     def documents(self) -> DataFrame:
-        out = self.spark.read.schema(PARTS).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], PARTS)
-        return out
+        return self.spark.read.schema(PARTS).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], PARTS)
 
     def candidates(self) -> DataFrame:
-        """Anchors with two occurrences or more over all runs."""
-        if len(self.runs) != 1:
-            self.compact()
-        return self._read(self.runs[0]).where("n >= 2").select("fp")
+        """Anchors with two occurrences or more: the hits of all batches."""
+        found = self.spark.read.schema("fp long").parquet(*self.met) if self.met else self.spark.createDataFrame([], "fp long")
+        return found.distinct() if len(self.met) > 1 else found
 
 
 def _windows(width: int, piece: int):
@@ -280,17 +312,19 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
     copies = settle(copies.select("h1", "h2", "n_words", "rep.*", "copies"), "copies")
     reps = parts.select(*KEY, "fps", "sps").join(copies.select(*KEY, "copies"), KEY)
     occurrences = reps.select(*KEY, "copies", F.explode(F.arrays_zip("fps", "sps")).alias("x")).select(*KEY, "copies", F.col("x.fps").alias("fp"), F.col("x.sps").alias("sp"))
-    found = settle(occurrences.join(index.candidates().hint("merge"), "fp"), "candidates")
+    asked_for = settle(index.candidates(), "hits")  # the joins by anchor and window meet plain tables: Spark splits a very common one
+    found = settle(occurrences.join(asked_for.hint("merge"), "fp"), "candidates")
     spans = settle(found.groupBy("fp", "sp").agg(F.sum("copies").alias("n"), F.min(F.struct(*KEY)).alias("rep")).select("fp", "sp", "n", "rep.*"), "spans")
-    several = spans.groupBy("fp").agg(F.count("*").alias("k")).where("k >= 2").select("fp")
+    several = settle(spans.groupBy("fp").agg(F.count("*").alias("k")).where("k >= 2").select("fp"), "several")
     asked = spans.join(several, "fp", "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("asked"))
     windows = settle(over_texts(pack(docs).join(asked, KEY), _windows(width, piece), "doc_id long, th long, at long, w1 long, w2 long"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2")
+    twice = settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2"), "twice")
     single = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("ats"))
     whole = found.select(*KEY, "fp", "sp").join(spans.where("n >= 2").select("fp", "sp"), ["fp", "sp"], "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("whole"))
     copied = copies.where("copies >= 2").select("h1", "h2", F.lit(True).alias("copied"))
     twins = parts.select(*KEY, "h1", "h2").join(copied, ["h1", "h2"]).groupBy(*KEY).agg(F.first("copied").alias("copied"))
-    flags = single.join(whole, KEY, "full_outer").join(twins, KEY, "full_outer")
+    flags = settle(single.join(whole, KEY, "full_outer").join(twins, KEY, "full_outer"), "flags")
+    drop(copies, asked_for, found, spans, several, windows, twice)
     ready = pack(docs).join(flags, KEY, "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     schema = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     out = over_texts(ready, _kept(width, piece, texts), schema)
@@ -298,7 +332,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, batches: int = 2, texts: bool = False) -> DataFrame:
-    """Whole job: `docs`(doc_id, text) arrive in `batches` of doc_id ranges, each appended to a fresh index; then the repeats go."""
+    """Whole job: `docs`(doc_id, text) arrive in `batches` of doc_id ranges, each appended to a fresh index; then the repeats go, and the index."""
     index = FingerprintIndex(docs.sparkSession, width=width, piece=piece)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
@@ -308,4 +342,6 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, bat
         for b in range(batches):
             inside = F.col("doc_id").between(low + b * step, low + (b + 1) * step - 1)
             index.append(docs.where(inside | F.col("doc_id").isNull() if b == 0 else inside))
-    return remove_repeats(docs, index, texts)
+    out = remove_repeats(docs, index, texts)
+    index.remove()
+    return out

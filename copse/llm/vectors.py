@@ -14,7 +14,6 @@ def usable(vector: str = "embedding") -> Column:
     return F.col(vector).isNotNull() & ~bad
 
 
-
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     """A list column as float64 rows of `dims`, zeros after the end of shorter lists."""
     if isinstance(column, pa.ChunkedArray):

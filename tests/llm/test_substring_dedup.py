@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
-from copse.llm.substring_dedup import FingerprintIndex, remove_repeats, substring_dedup
+from copse.llm.substring_dedup import FingerprintIndex, _few, remove_repeats, substring_dedup
 from copse.llm.words import slices, spans_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,14 +58,37 @@ def test_batches_equal_one_load(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(30))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    index = FingerprintIndex(spark, width=8, piece=4)
+    index = FingerprintIndex(spark, width=8, piece=4, ratio=1)
     for b in range(3):
         index.append(docs.where(f"doc_id % 3 = {b}"))
-    assert len(index.runs) == 3
-    assert index.hits().count() > 0
+    assert len(index.runs) == 3 and index.candidates().count() > 0
+    want = {r.fp for r in index.documents().selectExpr("explode(fps) AS fp").groupBy("fp").count().where("count > 1").collect()}
+    assert {r.fp for r in index.candidates().collect()} == want
+    assert rows_of(remove_repeats(docs, index)) == brute(rows, 8)
+    index.ratio = 100
     index.compact()
-    assert len(index.runs) == 1
+    ((run, _),) = index.runs
+    merged = {r.fp: r.n for r in spark.table(run).collect()}
+    assert {fp for fp, n in merged.items() if n > 1} == want
     assert rows_of(remove_repeats(docs, index)) == brute(rows, 8)
+    index.remove()
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{i // 2}x{j}" for j in range(40))) for i in range(8)], "doc_id long, text string")
+    index = FingerprintIndex(spark, width=8, piece=4, ratio=1)
+    for b in range(2):
+        index.append(docs.where(f"doc_id % 2 = {b}"))
+    plan = index.hits()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert index.hits().count() == index.candidates().count() > 0
+    index.remove()
+
+
+def test_packed_texts_are_cut_by_unpacked_size():
+    packed = [zstandard.compress(b"a" * n) for n in (3_000_000, 3_000_000, 10, 9_000_000, 10, 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(packed)], names=["packed"])
+    assert [b.num_rows for b in _few([batch])] == [1, 2, 1, 2]
 
 
 def test_empty_table(spark):
