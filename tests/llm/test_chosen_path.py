@@ -95,3 +95,11 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_near_copies_of_more_than_one_block(spark):
+    """A group larger than a bucket's block: every text is linked with every other, each pair counted once."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"u{i} {shared}") for i in range(1500)] + [(5000 + i, " ".join(f"o{i}x{j}" for j in range(60))) for i in range(50)]
+    got = rows_of(chosen_path_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted([(i, 0, 1499) for i in range(1500)] + [(5000 + i, 5000 + i, 0) for i in range(50)], key=repr)

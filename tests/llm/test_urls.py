@@ -13,13 +13,22 @@ def as_regex(glob):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab/.*?", max_size=8), min_size=1, max_size=30), st.lists(st.text("ab/.", max_size=12), min_size=1, max_size=8))
+@given(st.lists(st.text("ab/.*?", max_size=8), min_size=1, max_size=30), st.lists(st.text("ab/.", max_size=12), min_size=1, max_size=24))
 def test_automaton_is_glob_matching(globs, texts):
     fits = Automaton.of(globs).run([t.encode() for t in texts])
     for i, t in enumerate(texts):
         assert fits[i].tolist() == [as_regex(g).fullmatch(t) is not None for g in globs]
 
 
+def test_very_long_urls():
+    machine = Automaton.of(["**/ads/**", "*.org/**", "?" * 70 + "**"])
+    long = [b".x.org/" + b"q" * 1_000_000 + b"/ads/" + b"r" * 50_000, b".x.com/" + b"q/" * 500_000, b"a" * 69, b"", b"b" * 71]
+    for texts in (long, long + [b".y.org/"] * 40):
+        fits = machine.run(texts)
+        assert fits[:5].tolist() == [[True, True, False], [False, False, False], [False, False, False], [False, False, False], [False, False, True]]
+        assert all(f == [False, True, False] for f in fits[5:].tolist())
+
+
 def judge(url):
     if not url or "://" not in url:
         return "", "", None, "allow"
