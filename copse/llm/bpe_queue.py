@@ -2,8 +2,9 @@
 
 A pre-token's bytes form a linked list. For every adjacent pair that the ranks hold, its position is put in the bucket of that
 rank; a bitmap of three levels of 64-bit words tells the least rank whose bucket is not empty by three find-first-set steps. The
-bucket's positions are merged from the left, their neighbours' new pairs are put in (should one have a lower rank, it goes first), and entries
-that the list has meanwhile outgrown are skipped when they come up. A pre-token of n bytes takes O(n log n), however long it is. The new
+bucket's positions are merged from the left, their neighbours' new pairs are put in, and entries that the list has meanwhile outgrown are
+skipped when they come up. Should a new pair have a lower rank, it goes first, and what is left of the bucket is a heap from then on, which is taken
+from and added to one position at a time. So a pre-token of n bytes takes O(n log n), however long it is and whatever the ranks. The new
 pre-tokens of a batch share one list and one queue; short ones seen before are looked up in a bounded table.
 
 Behaviour: null texts count as empty and have no ids. No special tokens: their strings are ordinary text. Rows are encoded each,
@@ -17,6 +18,7 @@ import hashlib
 from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -46,7 +48,7 @@ class RankQueue:
         self.top |= 1 << b
 
     def take(self) -> tuple[int, list[int]]:
-        """The least rank and its whole bucket, leftmost position first; the bucket is gone from the queue."""
+        """The least rank and its whole bucket; the bucket is gone from the queue."""
         b = (self.top & -self.top).bit_length() - 1
         m = self.mid[b]
         a = b << 6 | ((m & -m).bit_length() - 1)
@@ -57,13 +59,11 @@ class RankQueue:
             self.mid[b] = m & (m - 1)
             if not self.mid[b]:
                 self.top &= self.top - 1
-        bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return rank, bucket
+        return rank, self.buckets.pop(rank)
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 200_000, short: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 600_000, short: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.words = {str(i): b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
@@ -94,10 +94,17 @@ class Encoder:
         cuts = np.flatnonzero(np.diff(first[at], prepend=-1))
         for lo, hi in pairwise([*cuts.tolist(), len(at)]):
             put(int(first[at[lo]]), at[lo:hi].tolist())
+        heaps: set[int] = set()
+
         while queue.top:
             rank, bucket = queue.take()
+            if rank in heaps:
+                rest = iter(lambda: heappop(bucket) if bucket else -1, -1)  # noqa: B023
+            else:
+                bucket.sort()
+                rest = iter(bucket)
             span = size[rank]
-            for done, i in enumerate(bucket):
+            for i in rest:
                 mid = end[i]
                 if not mid or edge[mid]:
                     continue
@@ -111,24 +118,33 @@ class Encoder:
                     before[stop] = i
                     r = get(data[i : end[stop]])
                     if r is not None:
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
+                        if r not in buckets:
                             put(r, [i])
+                        elif r in heaps:
+                            heappush(buckets[r], i)
+                        else:
+                            buckets[r].append(i)
                         lower = r < rank
                 if not edge[i]:
                     left = before[i]
                     r = get(data[left:stop])
                     if r is not None:
-                        if r in buckets:
-                            buckets[r].append(left)
-                        else:
+                        if r not in buckets:
                             put(r, [left])
+                        elif r in heaps:
+                            heappush(buckets[r], left)
+                        else:
+                            buckets[r].append(left)
                         lower = lower or r < rank
                 if lower:  # that pair goes first
-                    if rest := bucket[done + 1 :]:
-                        put(rank, rest)
+                    if rank not in heaps:
+                        bucket = list(rest)  # sorted, so a heap
+                        heaps.add(rank)
+                    if bucket:
+                        put(rank, bucket)
                     break
+            else:
+                heaps.discard(rank)
         out = []
         for lo, hi in pairwise(bounds):
             ids = []
