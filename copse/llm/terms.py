@@ -22,12 +22,16 @@ CHANCE = 10.83
 CHANCE_PAIR = 40.0
 _CAPITALS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!*$%&#@+=<>{}[]|\\~^_"
 _WORD = re.compile(r"\w+")
+_WHOLE, _BEGUN = zlib.crc32(b"w "), zlib.crc32(b"p ")
 
 
 def word_terms(word: str) -> list[int]:
     """Buckets of a lower-case word and of its prefixes, which inflected forms share."""
-    data = [f"w {word}", *(f"p {word[:n]}" for n in PREFIXES if len(word) > n)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in data]
+    out = [zlib.crc32(word.encode(errors="replace"), _WHOLE) % BUCKETS]
+    for n in PREFIXES:
+        if len(word) > n:
+            out.append(zlib.crc32(word[:n].encode(errors="replace"), _BEGUN) % BUCKETS)
+    return out
 
 
 def style_terms(text: str, words: list[str], distinct: int) -> list[int]:
@@ -48,7 +52,7 @@ def style_terms(text: str, words: list[str], distinct: int) -> list[int]:
 class Terms:
     """Distinct term buckets of a text, or their positions in `vocabulary`; words seen before are looked up."""
 
-    def __init__(self, vocabulary: np.ndarray | None = None, style: bool = False, memory: int = 200_000):
+    def __init__(self, vocabulary: np.ndarray | None = None, style: bool = False, memory: int = 500_000):
         self.at = None if vocabulary is None else {int(b): i for i, b in enumerate(vocabulary)}
         self.style, self.memory = style, memory
         self.known: dict[str, tuple[int, ...]] = {}
@@ -70,7 +74,10 @@ class Terms:
         known = self.known
         for w in own:
             hit = known.get(w)
-            found.update(self._of(w) if hit is None else hit)
+            if hit is None:
+                hit = self._of(w)
+            if hit:
+                found.update(hit)
         if self.style:
             marks = style_terms(text, words, len(own))
             found.update(marks if self.at is None else (self.at[t] for t in marks if t in self.at))
