@@ -6,11 +6,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_INSIDE: ContextVar[str] = ContextVar("scratch", default="")
 BATCH_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='copse-')}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/copse/{spark.sparkContext.applicationId}"
+    return f"{path.rstrip('/')}/copse/{spark.sparkContext.applicationId}{_INSIDE.get()}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -44,11 +47,22 @@ def clear(spark: SparkSession) -> None:
     remove(spark, shared_dir(spark))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside go to a folder of their own, which is deleted at the end: results are to be written by then."""
+    before = _INSIDE.set(f"{_INSIDE.get()}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, shared_dir(spark))
+        _INSIDE.reset(before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    What no later table or result reads is to be dropped by the operator that wrote it; the tables that a lazy result reads stay
-    until `clear`.
+    What no later table or result reads is dropped by the operator that wrote it; the tables that a lazy result reads stay
+    until the end of a `scratch` around it, or `clear`.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
