@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.llm import bpe_queue, chosen_path, source_mixing, substring_dedup, toxicity_fm
-from copse.llm.shared import fresh_path, settle
+from copse.llm.shared import fresh_path, remove, scratch, settle
 from copse.llm.substring_dedup import NO_ID
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -80,8 +80,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written and read again; what it wrote on the way is deleted then, and so are the rows of the stage before."""
+    old = None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if old:
+            remove(spark, old)
+        docs, old = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
