@@ -215,12 +215,40 @@ def first_parse_error(spark, sf_dir):
     return p.first_error(p.parse_errors(_marked(spark, sf_dir))).drop("node_id")
 
 
-@query()
+#: The same errors by another way: tags and texts cut by patterns, and a stack walked over them a step at a time.
+_HTML_ERRORS = r"""
+WITH RECURSIVE plain AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '<!>', 'gs'), '<(script|style)([^>]*)></(script|style)>', '<\1\2></\3 >', 'g'),
+    '<(script|style)([^>]*)>.*?</(script|style)>', '<\1\2>x</\3>', 'gs') AS html FROM pages
+), pieces AS (SELECT page_id, regexp_extract_all(html, '<[a-zA-Z/!][^>]*>|[^<]+|<') AS found FROM plain),
+pieced AS (SELECT page_id, unnest(found) AS piece, generate_subscripts(found, 1) AS i FROM pieces),
+kinds AS (SELECT *, CASE WHEN piece LIKE '</%' THEN 'end' WHEN piece LIKE '<!%' THEN 'skip' WHEN regexp_matches(piece, '^<[a-zA-Z]') THEN 'start' ELSE 'text' END AS what FROM pieced),
+stretches AS (SELECT *, sum((what <> 'text')::INT) OVER (PARTITION BY page_id ORDER BY i) AS stretch FROM kinds),
+whole AS (SELECT page_id, i, what, piece FROM stretches WHERE what IN ('start', 'end')
+  UNION ALL SELECT page_id, min(i), 'text', string_agg(piece, '' ORDER BY i) FROM stretches WHERE what = 'text' GROUP BY page_id, stretch HAVING regexp_matches(string_agg(piece, ''), '\S')),
+steps AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i, what, lower(regexp_extract(piece, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag,
+    piece LIKE '%/>' OR lower(regexp_extract(piece, '^<([a-zA-Z][^\s/>]*)', 1)) IN ('area', 'base', 'br', 'col', 'hr', 'img', 'input', 'link', 'meta', 'source', 'wbr') AS single FROM whole),
+walk AS (
+  SELECT page_id, 0::BIGINT AS i, 0::BIGINT AS n, [{'node': 0::BIGINT, 'tag': ''}] AS stack, ''::VARCHAR AS what, NULL::BIGINT AS made, ''::VARCHAR AS tag, [0::BIGINT] AS above, []::BIGINT[] AS missing FROM pages
+  UNION ALL
+  SELECT w.page_id, s.i, w.n + grows, CASE WHEN s.what = 'start' AND NOT s.single THEN list_append(stack, {'node': w.n + 1, 'tag': s.tag}) WHEN s.what = 'end' AND pos > 0 THEN stack[:pos - 1] ELSE stack END,
+    s.what, CASE WHEN grows = 1 THEN w.n + 1 END, s.tag, list_transform(stack, lambda x: x.node), CASE WHEN s.what = 'end' AND pos > 0 THEN list_transform(stack[pos + 1:], lambda x: x.node) ELSE [] END
+  FROM walk w JOIN steps s ON s.page_id = w.page_id AND s.i = w.i + 1,
+    LATERAL (SELECT CASE WHEN s.what = 'end' AND list_contains(list_transform(stack[2:], lambda x: x.tag), s.tag) THEN len(stack) + 1 - list_position(list_reverse(list_transform(stack, lambda x: x.tag)), s.tag) ELSE 0 END AS pos) p,
+    LATERAL (SELECT CASE WHEN s.what = 'end' AND pos > 0 THEN 0 ELSE 1 END AS grows) g
+), unclosed AS (SELECT page_id, unnest(missing) AS node FROM walk UNION ALL SELECT page_id, unnest(list_transform(stack[2:], lambda x: x.node)) FROM walk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i DESC) = 1),
+marked AS (SELECT page_id, list(node) AS nodes FROM unclosed GROUP BY 1),
+bad AS (SELECT w.page_id, made, tag, what, above, coalesce(nodes, []) AS nodes FROM walk w LEFT JOIN marked m USING (page_id) WHERE what = 'end' AND made IS NOT NULL OR list_contains(nodes, made))
+SELECT page_id AS doc_id, made AS node_id, tag AS kind, what = 'end' AS error, what = 'start' AS missing FROM bad WHERE NOT list_has_any(above, nodes)
+"""
+
+
+@query(_HTML_ERRORS)
 def html_errors(spark, sf_dir):
     return p.parse_errors(forests.html_forest(spark, sf_dir)).select("doc_id", "node_id", "kind", "error", "missing")
 
 
-@query()
+@query(f"SELECT * FROM ({_HTML_ERRORS}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY node_id) = 1")
 def html_first_error(spark, sf_dir):
     return p.first_error(p.parse_errors(forests.html_forest(spark, sf_dir)))
 

@@ -153,7 +153,8 @@ _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "sou
 class _Tags(HTMLParser):
     """Rows (node, parent, kind, attribute href, error, missing, text, path, start row, column, end row, column) of one page.
 
-    Node numbers are in document order. A node whose end tag is missing ends where the tag that closes it begins.
+    Node numbers are in document order. A node whose end tag is missing ends where the tag that closes it begins. Text between two
+    tags or comments is one node, whatever the pieces that the parser gives it in; blank text is none.
     """
 
     def __init__(self, html: str = "") -> None:
@@ -161,7 +162,7 @@ class _Tags(HTMLParser):
         self.lines = html.split("\n")
         end = (len(self.lines) - 1, len(self.lines[-1].encode(errors="replace")))
         self.rows: list[list] = [[0, None, "page", None, False, False, None, [], 0, 0, *end]]
-        self.open, self.ending, self.last = [0], [], end
+        self.open, self.ending, self.last, self.saying = [0], [], end, False
 
     def at(self) -> tuple[int, int]:
         """Where the piece that is read now begins; what the piece before closed ends here."""
@@ -169,15 +170,18 @@ class _Tags(HTMLParser):
         place = (row - 1, len(self.lines[row - 1][:column].encode(errors="replace"))) if row <= len(self.lines) else self.last
         for i in self.ending:
             self.rows[i][10:] = place
-        self.ending = []
+        self.ending, self.saying = [], False
         return place
 
     def _add(self, kind: str, href: str | None = None, error: bool = False, text: str | None = None) -> None:
         self.rows.append([len(self.rows), self.open[-1], kind, href, error, False, text, [*self.rows[self.open[-1]][7], len(self.rows)], *self.at(), *self.last])
         self.ending.append(len(self.rows) - 1)
 
-    def handle_starttag(self, tag, attrs):
+    def handle_startendtag(self, tag, attrs):
         self._add(tag, dict(attrs).get("href"))
+
+    def handle_starttag(self, tag, attrs):
+        self.handle_startendtag(tag, attrs)
         if tag not in _VOID:
             self.open.append(self.ending.pop())
 
@@ -194,8 +198,11 @@ class _Tags(HTMLParser):
         del self.open[at:]
 
     def handle_data(self, data):
-        if data.strip():
+        if self.saying:  # more of the same text
+            self.rows[-1][6] += data
+        elif data.strip():
             self._add("text", text=data)
+            self.saying = True
         else:
             self.at()
 
