@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.shared import groups, ints, settle
-from copse.llm.vectors import best, from_binary, grouped, matrix, usable
+from copse.llm.vectors import from_binary, grouped, matrix, usable
 from copse.llm.voronoi_knn import crossed, ranked
 
 CENTRES = 16
@@ -157,25 +157,24 @@ def _search(dims: int, sub: int, centres: np.ndarray, k: int, rerank: int):
             data, dn, qn = x[~query], norms[~query], norms[query]
             if not len(q) or not len(data):
                 continue
-            found: list[tuple] = []
-            for i in range(len(q)):
+            for lo in range(0, len(q), 64):
+                part, own = q[lo : lo + 64], qid[lo : lo + 64]
                 if len(data) > rerank:
-                    table = np.einsum("jcs,js->jc", centres, padded(unit(q[i : i + 1]), sub).reshape(m, sub))
-                    pairs = (table[1::2, :, None] + table[::2, None, :]).reshape(m // 2, 256).astype(np.float32)
-                    scan = np.zeros(len(data), dtype=np.float32)
+                    table = np.einsum("jcs,qjs->qjc", centres, padded(unit(part), sub).reshape(len(part), m, sub))
+                    pairs = (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(part), m // 2, 256).astype(np.float32)
+                    scan = np.zeros((len(part), len(data)), dtype=np.float32)
                     for j in range(m // 2):
-                        scan += pairs[j].take(codes[j])
-                    near = np.argpartition(scan, len(scan) - rerank)[-rerank:]
+                        scan += pairs[:, j].take(codes[j], axis=1)
+                    near = np.argpartition(scan, len(data) - rerank, axis=1)[:, -rerank:]
                 else:
-                    near = np.arange(len(data))
-                near = near[xid[near] != qid[i]]
-                if len(near):
-                    score = (data[near] * q[i]).sum(1) / (dn[near] * qn[i])
-                    at = best(score[None, :], xid[near], k)[0]
-                    found.append((qid[i], xid[near][at], score[at]))
-            if found:
-                n = [len(f[1]) for f in found]
-                yield pa.RecordBatch.from_arrays([ints(np.repeat([f[0] for f in found], n)), ints(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
+                    near = np.broadcast_to(np.arange(len(data)), (len(part), len(data)))
+                near = np.take_along_axis(near, np.argsort(xid[near], axis=1, kind="stable"), 1)  # ties to smaller ids
+                score = np.stack([(data[rows] * one).sum(1) for rows, one in zip(near, part, strict=True)]) / (dn[near] * qn[lo : lo + 64, None])
+                score[xid[near] == own[:, None]] = -np.inf
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(score, at, 1)
+                keep = np.isfinite(top)
+                yield pa.RecordBatch.from_arrays([ints(np.repeat(own, keep.sum(1))), ints(xid[np.take_along_axis(near, at, 1)][keep]), pa.array(top[keep])], names=["query_id", "vec_id", "score"])
 
     return run
 
