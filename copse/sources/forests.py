@@ -93,7 +93,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(sizes: Column, stretch: int = 128) -> Column:
+def running(sizes: Column, stretch: int = 32) -> Column:
     """The sum of all elements before each one, made of sums over stretches, so that a long list does not take its length squared."""
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -105,6 +105,18 @@ def running(sizes: Column, stretch: int = 128) -> Column:
     return let(sizes, over)
 
 
+def located(pieces: Column, separator: str, stretch: int = 32) -> Column:
+    """(text, column) of each piece of a text cut at `separator`: the byte where it begins, by the lengths of stretches and of what comes before it in its own."""
+    width = lambda ps, lo, n: F.octet_length(F.array_join(F.slice(ps, lo + 1, n), separator)).cast("long") + len(separator)
+
+    def over(ps: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ps) - 1, F.lit(0)), F.lit(stretch)), lambda lo: width(ps, lo, F.lit(stretch)))
+        before = lambda at, i: F.get(at, (i / stretch).cast("int")) + F.when(i % stretch == 0, 0).otherwise(width(ps, i - i % stretch, i % stretch))
+        return let(running(parts), lambda at: F.transform(ps, lambda w, i: F.struct(w.alias("text"), before(at, i).alias("column"))))
+
+    return let(pieces, over)
+
+
 def text_forest(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
     """document -> line* -> word*, cut at newlines and single spaces; num: position under the parent. An empty piece is a node with empty text."""
     col = F.col
@@ -113,7 +125,7 @@ def text_forest(spark: SparkSession, sf_dir: str, places: bool = False) -> DataF
     line_id = (col("row").cast("long") + 1) * (1 << 32)
     pieces = F.split("line", " ", -1)
     if places:
-        pieces = let(pieces, lambda ps: let(running(F.transform(ps, lambda w: F.octet_length(w).cast("long") + 1)), lambda at: F.transform(ps, lambda w, i: F.struct(w.alias("text"), F.get(at, i).alias("column")))))
+        pieces = located(pieces, " ")
     words = lines.select("doc_id", "row", F.posexplode(pieces).alias("at", "word"))
     word, start = (col("word.text"), col("word.column")) if places else (col("word"), F.lit(None))
     bytes_ = lambda x: F.octet_length(x).cast("long")
