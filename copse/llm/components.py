@@ -66,13 +66,15 @@ def _stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in `edges`(a, b): component is the smallest id that a path of edges reaches.
 
-    A task turns the edges that it gets into a forest of stars, so it sends a node at most once. Each round deals every edge
+    A task turns the edges that it gets into a forest of stars, so it sends a node at most once; then every node's edges go to its own task, which
+    leaves about one edge a node. Each round deals every edge
     to both of its ends (to the smaller end's tasks by a salt, so a hub's links are spread; to all salts of the larger end,
     which thus hangs what hangs on it on its own smaller neighbours), then every node to its own task. Rounds end when the edges
     are stars, after about log(nodes) of them; the driver sees one boolean a round.
     Null ends and loops are ignored; no edges give no rows.
     """
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forests, "a long, b long"), "edges")
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forests, "a long, b long")
+    now = settle(first.repartition("a").mapInArrow(_forests, "a long, b long"), "edges")
     while not _stars(now):
         old = now
         up = [F.struct(F.col("a").alias("key"), F.lit(s).cast("long").alias("salt"), F.lit(LEARNED if s else OWN).cast("long").alias("use")) for s in range(SPREAD)]
