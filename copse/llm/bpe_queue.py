@@ -63,7 +63,7 @@ class RankQueue:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 600_000, short: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 300_000, short: int = 64):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.words = {str(i): b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
