@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from copse.llm.components import components
 from copse.llm.shared import drop, groups, ints, over_texts, settle
-from copse.llm.substring_dedup import KEY, NO_ID, _few, _own, _unpacked, keyed, pack
+from copse.llm.substring_dedup import KEY, _few, _own, _unpacked, keyed, pack
 from copse.llm.words import Words, mix, slices
 
 COORDS = 64
@@ -37,7 +37,7 @@ _U = np.uint64
 _RNG = np.random.default_rng(20260101)
 _MUL = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
-SIGNED = "doc_id long, th long, n_set long, k1 long, k2 long, sig binary"
+SIGNED = "doc_id long, unknown boolean, th long, n_set long, k1 long, k2 long, sig binary"
 
 
 def window_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     least = num / den
     runs = runs_for(least, depth, recall)
     signed = settle(over_texts(keyed(docs), _signed(n), SIGNED), "signatures")
-    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"), F.first("sig").alias("sig"))
+    classes = signed.where("n_set > 0").groupBy("k1", "k2", "n_set").agg(F.min(F.struct(*KEY)).alias("rep"), F.count("*").alias("w"), F.min(F.when(~F.col("unknown"), F.col("doc_id"))).alias("low"), F.first("sig").alias("sig"))
     classes = settle(classes.select("k1", "k2", "n_set", "rep.*", "w", "low", F.xxhash64("k1", "k2", "n_set").alias("id"), "sig"), "classes")
     reps = classes.select("id", "sig")
     found = _buckets(reps, runs, depth, bucket, block)
@@ -287,5 +287,5 @@ def chosen_path_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, r
     named = settle(whole.groupBy("component").agg(F.min("low").alias("class_id")), "named")  # both sides of the join are plain tables: Spark splits a skewed one
     whole = whole.join(named, "component").select("component", "k1", "k2", "n_set", "class_id", (F.col("links") + F.col("w") - 1).alias("n_links"), F.col("w").alias("n_copies"))
     out = signed.select(*KEY, "k1", "k2", "n_set").join(whole, ["k1", "k2", "n_set"], "left")
-    own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    own = F.when(~F.col("unknown"), F.col("doc_id"))
     return out.select(own.alias("doc_id"), "th", F.coalesce("component", F.xxhash64(*KEY)).alias("component"), F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))

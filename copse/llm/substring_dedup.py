@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copse.llm.shared import drop, fresh_path, ints, over_texts, remove, settle
-from copse.llm.words import Words, mix, slices, spans_hash
+from copse.llm.words import Words, mix, runs_of, slices
 
 WIDTH, PIECE = 35, 8
 _U = np.uint64
@@ -69,13 +69,13 @@ class Anchored:
         self.lo, self.hi, self.doc = at[first], at[last], doc[first]
         where = (least[first] & _U((1 << 28) - 1)).astype(np.int64)
         self.fp = pieces[where].view(np.int64)
-        self.sp = spans_hash(h, self.lo, self.hi + width, 0x9E3779B97F4A7C15).view(np.int64)
+        self.wide = runs_of(h, width, 7)
+        self.sp = mix(mix(self.wide[self.lo]) + self.wide[self.hi] + (self.hi - self.lo).astype(_U)).view(np.int64)  # first and last window overlap
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the windows that begin at `starts`."""
-        other = self.words.hashes(5)
-        one = spans_hash(self.h, starts, starts + self.width, 0xD1342543DE82EF95)
-        return one.view(np.int64), spans_hash(other, starts, starts + self.width, 0xAF251AF3B0F025B5).view(np.int64)
+        other = runs_of(self.words.hashes(5), self.width, 11)
+        return self.wide[starts].view(np.int64), other[starts].view(np.int64)
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +90,16 @@ def _lists(values: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), type=pa.int32()), pa.array(flat, type=pa.int64()))
 
 
-PARTS = "doc_id long, th long, n_words long, h1 long, h2 long, fps array<long>, sps array<long>"
+PARTS = "doc_id long, unknown boolean, th long, n_words long, h1 long, h2 long, fps array<long>, sps array<long>"
 
 
-KEY = ["doc_id", "th"]
-NO_ID = -(1 << 63)
+#: What tells rows apart: doc_id (0 where it is null, which `unknown` says) and a hash of the text.
+KEY = ["doc_id", "unknown", "th"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): th tells texts of one doc_id apart; a null doc_id becomes the least long."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    """`KEY` and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unknown"), F.xxhash64("text").alias("th"), "text")
 
 
 def _own(batch: pa.RecordBatch, lo: int, hi: int) -> list[pa.Array]:
@@ -135,14 +135,17 @@ def _parts(width: int, piece: int):
 
 
 class FingerprintIndex:
-    """Runs of anchors under one folder of the shared store, each a table of this session's catalogue, bucketed and sorted by anchor.
+    """Runs of anchors under one folder of the shared store, each a table, bucketed and sorted by anchor, of a database of the index's own.
 
-    Runs less than `ratio` times as large as another are merged with it after each append.
+    Runs less than `ratio` times as large as another are merged with it after each append. `buckets`: as many as the session's shuffle
+    partitions, if not given. `remove`, or the end of a `with` around the index, deletes tables, database and folder.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, width: int = WIDTH, piece: int = PIECE, ratio: int = 4):
+    def __init__(self, spark: SparkSession, root: str | None = None, width: int = WIDTH, piece: int = PIECE, ratio: int = 4, buckets: int | None = None):
         self.spark, self.root, self.width, self.piece, self.ratio = spark, root or fresh_path(spark, "fingerprints"), width, piece, ratio
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.database = f"copse_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.database}")
         self.parts: list[str] = []
         self.met: list[str] = []
         self.runs: list[tuple[str, int]] = []
@@ -154,7 +157,7 @@ class FingerprintIndex:
 
     def _run(self, counts: DataFrame) -> tuple[str, int]:
         """(table, anchors) of a new run. An aggregate or a join by anchor has dealt its rows as the buckets are: one file a bucket."""
-        name = f"copse_run_{uuid.uuid4().hex}"
+        name = f"{self.database}.run_{uuid.uuid4().hex}"
         counts.select("fp", "n").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self._path("run")).saveAsTable(name)
         return name, self.spark.table(name).count()
 
@@ -199,10 +202,15 @@ class FingerprintIndex:
 
     def remove(self) -> None:
         """Deletes the whole index."""
-        for run, _ in self.runs:
-            self.spark.sql(f"DROP TABLE {run}")
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
         remove(self.spark, self.root)
 
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
     def documents(self) -> DataFrame:
         return self.spark.read.schema(PARTS).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], PARTS)
 
@@ -254,8 +262,8 @@ def _packed():
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, packed): texts compressed for a shuffle; null counts as empty."""
-    return over_texts(keyed(docs), _packed(), "doc_id long, th long, packed binary")
+    """`KEY` and packed: texts compressed for a shuffle; null counts as empty."""
+    return over_texts(keyed(docs), _packed(), "doc_id long, unknown boolean, th long, packed binary")
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -317,7 +325,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
     spans = settle(found.groupBy("fp", "sp").agg(F.sum("copies").alias("n"), F.min(F.struct(*KEY)).alias("rep")).select("fp", "sp", "n", "rep.*"), "spans")
     several = settle(spans.groupBy("fp").agg(F.count("*").alias("k")).where("k >= 2").select("fp"), "several")
     asked = spans.join(several, "fp", "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("asked"))
-    windows = settle(over_texts(pack(docs).join(asked, KEY), _windows(width, piece), "doc_id long, th long, at long, w1 long, w2 long"), "windows")
+    windows = settle(over_texts(pack(docs).join(asked, KEY), _windows(width, piece), "doc_id long, unknown boolean, th long, at long, w1 long, w2 long"), "windows")
     twice = settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c >= 2").select("w1", "w2"), "twice")
     single = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("ats"))
     whole = found.select(*KEY, "fp", "sp").join(spans.where("n >= 2").select("fp", "sp"), ["fp", "sp"], "left_semi").groupBy(*KEY).agg(F.collect_set("sp").alias("whole"))
@@ -326,22 +334,20 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex, texts: bool = False
     flags = settle(single.join(whole, KEY, "full_outer").join(twins, KEY, "full_outer"), "flags")
     drop(copies, asked_for, found, spans, several, windows, twice)
     ready = pack(docs).join(flags, KEY, "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    schema = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    schema = "doc_id long, unknown boolean, th long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     out = over_texts(ready, _kept(width, piece, texts), schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).drop(*([] if texts else ["th"]))
+    return out.withColumn("doc_id", F.when(~F.col("unknown"), F.col("doc_id"))).drop("unknown", *([] if texts else ["th"]))
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, batches: int = 2, texts: bool = False) -> DataFrame:
     """Whole job: `docs`(doc_id, text) arrive in `batches` of doc_id ranges, each appended to a fresh index; then the repeats go, and the index."""
-    index = FingerprintIndex(docs.sparkSession, width=width, piece=piece)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        index.append(docs)
-    else:
-        step = -(-(high - low + 1) // batches)
-        for b in range(batches):
-            inside = F.col("doc_id").between(low + b * step, low + (b + 1) * step - 1)
-            index.append(docs.where(inside | F.col("doc_id").isNull() if b == 0 else inside))
-    out = remove_repeats(docs, index, texts)
-    index.remove()
-    return out
+    with FingerprintIndex(docs.sparkSession, width=width, piece=piece) as index:
+        low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+        if low is None:
+            index.append(docs)
+        else:
+            cuts = [low + (high - low + 1) * b // batches for b in range(1, batches)]
+            batch = sum((F.when(F.col("doc_id") >= x, 1).otherwise(0) for x in cuts), F.lit(0))  # a null doc_id counts to the first
+            for b in range(batches):
+                index.append(docs.where(batch == b))
+        return remove_repeats(docs, index, texts)

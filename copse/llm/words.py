@@ -1,8 +1,9 @@
 """Hashes of words and word windows, for many texts at once.
 
-A word is a run of `[^\\x20\\x09-\\x0D]+`. Every hash is a polynomial over 64-bit wrap-around integers, read off running
-sums, then mixed; equal word sequences have equal hashes wherever they stand. All functions work on slices of at most
-`SLICE` bytes of whole texts (one longer text is a slice of its own).
+A word is a run of `[^\\x20\\x09-\\x0D]+`. A word's hash is the mixed sum of a value for each byte and its place in the word; a
+window's is made of the hashes of its halves, mixed at every step; a whole text's is the mixed sum of a value for each word and its place. So no
+arithmetic of the symbols alone makes two sequences equal, and equal word sequences have equal hashes wherever they stand. All functions
+work on slices of at most `SLICE` bytes of whole texts (one longer text is a slice of its own).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 500_000
+_PLACES = 64
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,34 +34,43 @@ def _odd(seed: int) -> int:
     return int(mix(np.array([seed * 7919 + 1], dtype=_U))[0]) | 1
 
 
-def _computed(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(b: int) -> np.ndarray:
-        x = np.full(n, b, dtype=_U)
-        x[0] = 1
-        return np.multiply.accumulate(x)
+@lru_cache(maxsize=4)
+def _near(seed: int) -> np.ndarray:
+    """The values of every byte at each of the first `_PLACES` places."""
+    return mix(np.arange(_PLACES << 8, dtype=_U) + _U(_odd(seed)))
 
-    return run(base), run(pow(base, -1, 1 << 64))
 
+def _values(data: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    code = place << 8 | data
+    far = np.flatnonzero(code >= _PLACES << 8)
+    if not len(far):
+        return _near(seed)[code]
+    out = _near(seed)[np.where(code < _PLACES << 8, code, 0)]
+    out[far] = mix(code[far].astype(_U) + _U(_odd(seed)))
+    return out
 
-_kept = lru_cache(maxsize=16)(_computed)
 
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size in turn."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of `base` and of its inverse; those of very long texts are not held in the worker."""
-    if n > SLICE + 1:
-        return _computed(base, n)
-    size = 1 << 17
-    while size < n:
-        size *= 2
-    return _kept(base, size)
 
+def _joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(a + _U(_odd(seed))) + b)
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[starts[i]:ends[i]] for each i."""
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+def runs_of(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """The hash of each k successive hashes, of those that begin at 0, 1, ...: halves are joined, so it takes about 2 log k steps."""
+    out, size, power, span = None, 0, hashes, 1
+    while len(hashes) >= k:
+        if k & span:
+            out = power if out is None else _joined(out[: max(0, len(hashes) - size - span + 1)], power[size:], seed + size)
+            size += span
+        if size == k:
+            return out
+        power = _joined(power[:-span], power[span:], seed + 1000 + span)
+        span *= 2
+    return np.zeros(0, dtype=_U)
 
 
 class Words:
@@ -81,28 +92,36 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        table = mix(np.arange(256, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed * 1009 + 17))
         out = np.empty(len(self.start), dtype=_U)
         i = 0
         while i < len(out):  # a bounded stretch of a very long text at a time
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SLICE, side="right")))
-            lo = self.start[i]
-            out[i:j] = spans_hash(table[self.data[lo : self.end[j - 1]]], self.start[i:j] - lo, self.end[i:j] - lo, _odd(seed + 1))
+            data, sizes = self.data[self.start[i] : self.end[j - 1]], self.end[i:j] - self.start[i:j]
+            if len(data) > SLICE:  # one very long word
+                sums = np.zeros(1, dtype=_U)
+                for lo in range(0, len(data), SLICE):
+                    part = data[lo : lo + SLICE].astype(np.int64)
+                    sums += _values(part, np.arange(lo, lo + len(part)), seed).sum(dtype=_U)
+            else:
+                data = data[~_SEPARATOR[data]].astype(np.int64)
+                sums = np.add.reduceat(_values(data, _places(sizes), seed), np.cumsum(sizes) - sizes)
+            out[i:j] = mix(sums + sizes.astype(_U))
             i = j
         return out
 
     def windows(self, hashes: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, the hash of the k words from it on, and whether these lie within its text."""
-        n = len(hashes)
-        if n == 0:
-            return np.zeros(0, dtype=_U), np.zeros(0, dtype=bool)
-        at = np.arange(n)
+        """For each word, the hash of the k words from it on (any, where they do not lie within its text), and whether they do."""
+        found = runs_of(hashes, k, seed)
         last = np.repeat(self.first[1:], self.counts)
-        valid = at + k <= last
-        return spans_hash(hashes, at, np.minimum(at + k, n), _odd(seed + 101)), valid
+        return np.append(found, np.zeros(len(hashes) - len(found), dtype=_U)), np.arange(len(hashes)) + k <= last
 
     def whole(self, hashes: np.ndarray, seed: int = 0) -> np.ndarray:
-        return spans_hash(hashes, self.first[:-1], self.first[1:], _odd(seed + 211))
+        out = np.zeros(len(self.counts), dtype=_U)
+        some = np.flatnonzero(self.counts)
+        if len(some):
+            values = mix(hashes + mix(_places(self.counts).astype(_U) + _U(_odd(seed + 211))))
+            out[some] = np.add.reduceat(values, self.first[:-1][some])
+        return mix(out + self.counts.astype(_U))
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:

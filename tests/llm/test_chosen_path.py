@@ -103,3 +103,10 @@ def test_near_copies_of_more_than_one_block(spark):
     rows = [(i, f"u{i} {shared}") for i in range(1500)] + [(5000 + i, " ".join(f"o{i}x{j}" for j in range(60))) for i in range(50)]
     got = rows_of(chosen_path_join(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == sorted([(i, 0, 1499) for i in range(1500)] + [(5000 + i, 5000 + i, 0) for i in range(50)], key=repr)
+
+
+def test_balanced_sequences_are_no_copies(spark):
+    turned = lambda n, of, t: [of[(bin(i).count("1") + t) % 2] for i in range(n)]
+    rows = [(t, "".join(turned(1024, "ab", t)) + " one two three") for t in (0, 1)] + [(10 + t, " ".join(turned(2048, ["x", "y"], t))) for t in (0, 1)]
+    rows += [(-(1 << 63), "p q"), ((1 << 63) - 1, "p q"), (None, "p q"), (0, "p q")]
+    assert rows_of(chosen_path_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import zstandard
 
 from copse.llm.substring_dedup import FingerprintIndex, _few, remove_repeats, substring_dedup
-from copse.llm.words import slices, spans_hash
+from copse.llm.words import runs_of, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,5 +102,32 @@ def test_words_are_cut_and_hashed_alike():
     assert (lo, hi, rest) == (0, 5, []) and words.counts.tolist() == [2, 2, 0, 0, 2]
     h = words.hashes()
     assert h[0] == h[3] == h[4] and h[1] == h[2] == h[5] and h[0] != h[1]
-    same = spans_hash(np.array([7, 1, 2, 3, 1, 2, 3], dtype=np.uint64), np.array([1, 4]), np.array([4, 7]), 12345 | 1)
-    assert same[0] == same[1]
+    for k in range(1, 40):
+        got = runs_of(np.tile(np.arange(50, dtype=np.uint64), 2), k)
+        assert len(got) == 101 - k and got[0] == got[50] and len(set(got.tolist())) == 50
+    assert len(runs_of(np.zeros(3, dtype=np.uint64), 4)) == 0
+
+
+def test_very_long_words_are_hashed_in_stretches(monkeypatch):
+    texts = ["ab" * 100 + "c", "ab" * 100 + "d", "x " + "ab" * 100 + "c"]
+    whole = [w.hashes() for _, _, w in slices(pa.array(texts))][0]
+    monkeypatch.setattr("copse.llm.words.SLICE", 16)
+    parts = np.concatenate([w.hashes() for _, _, w in slices(pa.array(texts))])
+    assert (parts == whole).all() and len(set(parts.tolist())) == 3
+
+
+def symbols(n, of, turned=False):
+    """A sequence that sums of powers cannot tell from its turned one, whatever the base."""
+    return [of[(bin(i).count("1") + turned) % 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_balanced_sequences_differ(spark, n):
+    words = ["".join(symbols(n, "ab", t)) for t in (False, True)]
+    rng = random.Random(1)
+    start = [f"w{rng.randrange(10**9)}" for _ in range(34)]
+    rows = [(i, " ".join([*start, w])) for i, w in enumerate(words)]
+    rows += [(10 + t, " ".join(symbols(n, ["x", "y"], t))) for t in (False, True)] + [(-(1 << 63), "one"), ((1 << 63) - 1, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(substring_dedup(docs))
+    assert got == brute(rows, 35) and [r[2] for r in got if r[0] in (0, 1)] == [0, 0]
