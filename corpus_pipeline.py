@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 
 from copse.llm import bpe_queue, chosen_path, source_mixing, substring_dedup, toxicity_fm
 from copse.llm.shared import fresh_path, remove, scratch, settle
-from copse.llm.substring_dedup import NO_ID
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tokens by domain (toxic documents are gone by then) that the mix is to have; no document is left out (a rate of 1 at least).
 TARGETS = {"high": 0.80, "low": 0.20}
 
 
+#: What tells rows apart: doc_id, 0 where it is null, and a hash of the text.
+TOLD = ["key", "unknown", "th"]
+
+
+def _key() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("unknown")]
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -28,21 +35,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies that links tie, one row stays: the smallest doc_id's (known ones first), then the smallest text hash's."""
-    docs = docs.select(*COLUMNS).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    joined = chosen_path.chosen_path_join(docs).select(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "th", "component")
+    docs = docs.select(*COLUMNS, *_key(), F.xxhash64("text").alias("th"))
+    joined = chosen_path.chosen_path_join(docs).select(*_key(), "th", "component")
     rows = joined.groupBy("component", "unknown", "key", "th").agg(F.count("*").alias("rows"))
-    kept = rows.groupBy("component").agg(F.min(F.struct("unknown", "key", "th", "rows")).alias("kept")).select("kept.key", "kept.th", "kept.rows")
-    left = docs.join(settle(kept, "kept"), ["key", "th"])
-    same = left.where("rows > 1").dropDuplicates(["key", "th"])
+    kept = rows.groupBy("component").agg(F.min(F.struct("unknown", "key", "th", "rows")).alias("kept")).select("kept.*")
+    left = docs.join(settle(kept, "kept"), TOLD)
+    same = left.where("rows > 1").dropDuplicates(TOLD)
     return left.where("rows = 1").unionByName(same).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that stand elsewhere too go; every document stays, with what is left of its text."""
-    docs = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    docs = docs.select(*COLUMNS, *_key(), F.xxhash64("text").alias("th"))
     kept = substring_dedup.substring_dedup(docs, texts=True).where("n_removed > 0")
-    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "th", F.col("kept_text").alias("kept")).dropDuplicates(["key", "th"])
-    joined = docs.join(kept, ["key", "th"], "left")
+    kept = kept.select(*_key(), "th", F.col("kept_text").alias("kept")).dropDuplicates(TOLD)
+    joined = docs.join(kept, TOLD, "left")
     text = F.coalesce("kept", "text")
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 
@@ -79,8 +86,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     """Each stage's rows are written and read again; what it wrote on the way is deleted then, and so are the rows of the stage before."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     old = None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
