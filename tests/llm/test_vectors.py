@@ -46,6 +46,36 @@ def test_exact_search(spark, block):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def exact(rows, scale=256, k=5):
+    """The same by brute force over (vec_id, vector)."""
+    ids, x = np.array([i for i, _ in rows]), np.floor(scale * np.float32([v for _, v in rows]).astype(np.float64))
+    want = []
+    for v in np.unique(ids[ids % 50 == 0]):
+        best = sorted(((-int(s), int(i)) for q in x[ids == v] for s, i in zip(x @ q, ids, strict=True) if i != v))[:k]
+        want += [(int(v), r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("copies", [2, 6, 400])
+def test_many_vectors_of_one_id(spark, copies, dims):
+    """Rows of the query's own vec_id lie nearer than all others, in cells of their own, and take no place."""
+    rng = np.random.default_rng(copies + dims)
+    own = rng.normal(size=(copies, dims)) * 3 + 10
+    far = rng.normal(size=(60, dims)) - 4
+    rows = [(50, [float(c) for c in v]) for v in own] + [(1000 + i, [float(c) for c in v]) for i, v in enumerate(far)]
+    got = voronoi_knn(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 50)
+    assert sorted((r.query_id, r.rank, r.score) for r in got.collect()) == [(q, r, s) for q, r, _, s in exact(rows) if q == 50]
+
+
+def test_wide_components(spark):
+    rng = np.random.default_rng(3)
+    for width in (1.0, 1e4, 1e8):
+        rows = [(i, [float(np.float32(c)) for c in v * width]) for i, v in enumerate(rng.integers(-9, 9, size=(120, 3)) / 256)]
+        got = voronoi_knn(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+        assert sorted(map(tuple, got.collect())) == exact(rows)
+
+
 def test_rings_leave_rows_out(spark, monkeypatch):
     """Far clusters are not copied to groups that cannot need them, and the result is exact all the same."""
     rng = np.random.default_rng(8)
