@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
+from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, fill_in_middle, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op10_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_store.shard_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_fingerprint_index": op2_fingerprint_index,
@@ -66,6 +72,7 @@ QUERIES = {
     "op8_chosen_path_join": op8_chosen_path_join,
     "op9_chat_events": op9_chat_events,
     "op10_size_tiered_shards": op10_size_tiered_shards,
+    "op11_overlapping_chunks": op11_overlapping_chunks,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +80,5 @@ ORACLES: dict[str, str] = {
     "op4_wildcard_automaton": url_automaton.ORACLE_SQL,
     "op9_chat_events": chat_events.ORACLE_SQL,
     "op10_size_tiered_shards": shard_store.ORACLE_SQL,
+    "op11_overlapping_chunks": fill_in_middle.ORACLE_SQL,
 }
