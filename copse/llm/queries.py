@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, fill_in_middle, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
+from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, decontaminate, fill_in_middle, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op11_overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op12_broadcast_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_fingerprint_index": op2_fingerprint_index,
@@ -73,6 +79,7 @@ QUERIES = {
     "op9_chat_events": op9_chat_events,
     "op10_size_tiered_shards": op10_size_tiered_shards,
     "op11_overlapping_chunks": op11_overlapping_chunks,
+    "op12_broadcast_ngrams": op12_broadcast_ngrams,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op9_chat_events": chat_events.ORACLE_SQL,
     "op10_size_tiered_shards": shard_store.ORACLE_SQL,
     "op11_overlapping_chunks": fill_in_middle.ORACLE_SQL,
+    "op12_broadcast_ngrams": decontaminate.ORACLE_SQL,
 }

@@ -50,7 +50,7 @@ def _values(data: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def _places(sizes: np.ndarray) -> np.ndarray:
+def places(sizes: np.ndarray) -> np.ndarray:
     """0 to size - 1 for each size in turn."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -104,7 +104,7 @@ class Words:
                     sums += _values(part, np.arange(lo, lo + len(part)), seed).sum(dtype=_U)
             else:
                 data = data[~_SEPARATOR[data]].astype(np.int64)
-                sums = np.add.reduceat(_values(data, _places(sizes), seed), np.cumsum(sizes) - sizes)
+                sums = np.add.reduceat(_values(data, places(sizes), seed), np.cumsum(sizes) - sizes)
             out[i:j] = mix(sums + sizes.astype(_U))
             i = j
         return out
@@ -119,13 +119,16 @@ class Words:
         out = np.zeros(len(self.counts), dtype=_U)
         some = np.flatnonzero(self.counts)
         if len(some):
-            values = mix(hashes + mix(_places(self.counts).astype(_U) + _U(_odd(seed + 211))))
+            values = mix(hashes + mix(places(self.counts).astype(_U) + _U(_odd(seed + 211))))
             out[some] = np.add.reduceat(values, self.first[:-1][some])
         return mix(out + self.counts.astype(_U))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, words) over a string column, a bounded number of bytes at a time; null counts as empty."""
+def slices(column: pa.Array, table: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) over a string column, a bounded number of bytes at a time; null counts as empty.
+
+    `table`: what each byte stands for, where words are of other bytes than usual.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -138,5 +141,6 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     while row < len(column):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
         to = min(to, len(column))
-        yield row, to, Words(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
+        own = data[offsets[row] : offsets[to]]
+        yield row, to, Words(own if table is None else table[own], offsets[row : to + 1] - offsets[row])
         row = to
