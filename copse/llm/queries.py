@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, decontaminate, fill_in_middle, shard_store, source_mixing, substring_dedup, toxicity_fm, url_automaton, voronoi_knn
+from copse.llm import anisotropic_ann, bpe_queue, chat_events, chosen_path, decontaminate, fill_in_middle, shard_store, source_mixing, substring_dedup, token_alignment, toxicity_fm, url_automaton, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_broadcast_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_fingerprint_index": op2_fingerprint_index,
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_size_tiered_shards": op10_size_tiered_shards,
     "op11_overlapping_chunks": op11_overlapping_chunks,
     "op12_broadcast_ngrams": op12_broadcast_ngrams,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
