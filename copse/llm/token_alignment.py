@@ -37,8 +37,9 @@ from copse.llm.words import places
 
 BLOCK, SLICE, SALTS = 8 << 20, 1 << 20, 16
 #: Characters that some definition of white space, or none, may count as such; a space before one is no place to cut.
-_BLANK = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯　﻿▁"
-_CUT, _NO_CUT = re.compile(rf"(?<=[^ ▁]) (?=[^{_BLANK}])"), re.compile(f" [{_BLANK}]")
+_BLANK = r"\s\x00-\x20\x7f-\xa0" + "".join(f"{chr(a)}-{chr(b)}" for a, b in [(0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)])
+_MARK = chr(0x2581)  # what B writes a space as
+_CUT, _NO_CUT = re.compile(f"(?<=[^ {_MARK}]) (?=[^{_BLANK}])"), re.compile(f" [{_BLANK}]")
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def split(text: str) -> list[str]:
     """The pieces of a text; each stands for itself with a space before it."""
-    if text[0] == " " or text[-1] == " " or "\u2581" in text or _NO_CUT.search(text):
+    if text[0] == " " or text[-1] == " " or _MARK in text or _NO_CUT.search(text):
         return _CUT.split(text)
     return text.split(" ")
 
@@ -73,9 +74,9 @@ class Pair:
         letters = byte_letters()
         names = sorted(self.a.get_vocab().items(), key=lambda x: x[1])
         self.bytes_a = {i: bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode() for name, i in names}
-        self.bytes_b = {i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("\u2581", " ").encode() for i in range(self.b.vocab_size())}
+        self.bytes_b = {i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(_MARK, " ").encode() for i in range(self.b.vocab_size())}
         self.size_a, self.size_b = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        inner = re.compile("[^\u2581]\u2581")
+        inner = re.compile(f"[^{_MARK}]{_MARK}")
         self.whole = any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))  # then pieces of B may cross the cuts
         self.memory, self.short = memory, short
         self._clear()
