@@ -63,8 +63,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "mixing")
     source_mixing.posteriors(docs.withColumn("body", F.col("text")), model).withColumnRenamed("body", "text").write.parquet(path)
     table = spark.read.parquet(path)
-    move = source_mixing.fitted(table.select("tokens", "posterior"), targets, None, 1.0)
-    times = source_mixing.copies(source_mixing.rate_at(move, 1.0), F.col("doc_id"))
+    moves = source_mixing.fitted(table.select("tokens", "posterior"), targets, None, 1.0)
+    times = source_mixing.copies(source_mixing.rate_at(moves, 1.0), F.col("doc_id"))
     return table.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select(*COLUMNS)
 
 
