@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from copse.functions import standard, values
 from copse.operators import graphs, loops, scoping
 from copse.operators import patterns as p
-from copse.sources import forests
+from copse.sources import forests, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,7 +170,8 @@ def runs(spark, sf_dir):
 def supertypes(spark, sf_dir):
     forest = forests.geo_forest(spark, sf_dir)
     steps = spark.createDataFrame([("place", "region"), ("place", "nation"), ("party", "customer"), ("party", "supplier"), ("any", "place"), ("any", "party")], "supertype string, kind string")
-    m = p.child(p.match(p.of_supertype(forest, p.closed(steps), "place", "nation"), "n"), p.of_supertype(forest, p.closed(steps), "party"), "n", "x")
+    kinds = p.closed(steps)
+    m = p.child(p.match(p.of_supertype(forest, kinds, "place", "nation"), "n"), p.of_supertype(forest, kinds, "party"), "n", "x")
     return m.groupBy(c("n.key").alias("k")).agg(F.count("*").alias("members"))
 
 
@@ -257,14 +258,14 @@ def html_first_error(spark, sf_dir):
 def source_files(spark, sf_dir):
     """Nations written as a text file a region, and read back whole."""
     nations = forests.table(spark, sf_dir, "nation").select(c("n_regionkey").alias("key"), c("n_name").alias("line"))
-    forests.write_text_files(nations, folder := forests.scratch(spark))
+    forests.write_text_files(nations, folder := scratch.folder(spark, "sources"))
     files = forests.text_files(spark, folder)
     return files.select(F.regexp_extract("path", "key=([0-9]+)", 1).cast("long").alias("k"), "text")
 
 
 @query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf_dir):
-    return p.match(forests.html_forest(spark, sf_dir), "a", "a").where("a.text is not null").select("doc_id", c("a.text").alias("href"))
+    return p.match(forests.html_forest(spark, sf_dir), "a", "a").where("a.href is not null").select("doc_id", c("a.href").alias("href"))
 
 
 # --- statements -----------------------------------------------------------------------------------------------------------
@@ -349,7 +350,7 @@ def edge_attr_missing(spark, sf_dir):
 @query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, 'turn ' || turn || ' by \"' || role || '\", ' || CASE role WHEN 'user' THEN '#true' ELSE '#false' END AS line FROM conversations")
 def prints(spark, sf_dir):
     m = p.picked(forests.chat_forest(spark, sf_dir), ["user", "assistant", "system"])
-    return graphs.printed(m, ["path"], "turn ", values.integer(c("num")), " by ", values.string(c("kind")), ", ", values.boolean(c("kind") == "user"))
+    return graphs.printed(m, ["path"], "turn ", (c("num"), "long"), " by ", (c("kind"), "string"), ", ", (c("kind") == "user", "boolean"))
 
 
 @query(f"SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_orderkey ORDER BY {LINE_ORDER}) - 1 AS at, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
@@ -547,10 +548,10 @@ def fn_format(spark, sf_dir):
     return forests.table(spark, sf_dir, "events").select(c("event_id").alias("k"), v.alias("v"))
 
 
-@query(r"SELECT page_id AS k, regexp_replace(url, '^(https?)://([^/]+)', '\2 over \1 for $5', 'g') AS v, regexp_replace(url, '[0-9]+$', 'N', 'g') AS w FROM pages")
+@query(r"SELECT page_id AS k, regexp_replace(url, '^(https?)://([^/]+)', '\2 over \1 for $5', 'g') AS v, regexp_replace(url, '[0-9]+$', 'N', 'g') AS w, regexp_replace(url, '^(https?)(://)', '<\19\2>', 'g') AS x FROM pages")
 def fn_replace(spark, sf_dir):
     pages = forests.table(spark, sf_dir, "pages")
-    return pages.select(c("page_id").alias("k"), standard.replace(c("url"), "^(https?)://([^/]+)", "${2} over ${1} for $$5").alias("v"), standard.replace(c("url"), "[0-9]+$", "N").alias("w"))
+    return pages.select(c("page_id").alias("k"), standard.replace(c("url"), "^(https?)://([^/]+)", "${2} over ${1} for $$5").alias("v"), standard.replace(c("url"), "[0-9]+$", "N").alias("w"), standard.replace(c("url"), "^(?P<how_>https?)(://)", "<${how_}9$2$3$no>").alias("x"))
 
 
 @query(f"WITH t AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY {LINE_ORDER}) AS parts, list(l_returnflag ORDER BY {LINE_ORDER}) AS flags FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) SELECT k, list_concat(parts, [0::BIGINT], parts) AS twice, array_to_string(list_transform(flags, lambda x: coalesce(NULLIF(x, 'A'), '#null')), '+') AS joined, len(parts) AS n, len(parts) = 0 AS none FROM t")
@@ -680,8 +681,8 @@ def tagged_values(spark, sf_dir):
 def decoded_values(spark, sf_dir):
     o = forests.table(spark, sf_dir, "orders")
     v = values.sequence(F.array(values.string(c("o_orderpriority")), values.integer(c("o_orderkey")), values.null(), values.boolean(c("o_orderkey") % 2 == 0)))
-    x = o.select(c("o_orderkey").alias("k"), values.as_list(v).alias("x"))
-    return x.select("k", values.as_string(c("x")[0]).alias("s"), values.as_integer(c("x")[1]).alias("i"), values.is_null(c("x")[2]).alias("no"), values.as_boolean(c("x")[3]).alias("b"), F.size("x").alias("n"))
+    held = lambda x: F.struct(values.as_string(x[0]).alias("s"), values.as_integer(x[1]).alias("i"), values.is_null(x[2]).alias("no"), values.as_boolean(x[3]).alias("b"), F.size(x).alias("n"))
+    return o.select(c("o_orderkey").alias("k"), values.let(values.as_list(v), held).alias("x")).select("k", "x.*")
 
 
 @query("SELECT n_regionkey AS doc_id, 'node 0' || chr(10) || '  initials: {' || string_agg(DISTINCT '\"' || n_name[1] || '\"', ', ' ORDER BY '\"' || n_name[1] || '\"') || '}' || chr(10) || '  members: [' || string_agg('[\"' || n_name || '\", ' || n_nationkey || ', {}]', ', ' ORDER BY n_nationkey) || ']' AS text FROM nation GROUP BY 1")
@@ -690,11 +691,155 @@ def pretty_lists(spark, sf_dir):
     forest = forests.geo_forest(spark, sf_dir)
     m = p.repeated(p.match(forest, "r", "region"), forest, "r", "ns", "nation", least=1).withColumn("node", F.lit(0).cast("long"))
     members = values.sequence(F.transform("ns", lambda n: values.sequence(F.array(values.string(n["text"]), values.integer(n["key"]), values.sequence(F.array().cast("array<string>"), "set")))))
-    initials = values.sequence(standard.to_set(F.transform("ns", lambda n: values.string(F.left(n["text"], F.lit(1))))), "set")
+    initials = values.sequence(F.transform("ns", lambda n: values.string(F.left(n["text"], F.lit(1)))), "set")
     attrs = graphs.attributes(m, {"members": members, "initials": initials}, "node")
     nodes = m.select("doc_id", "node")
     return graphs.pretty(graphs.Graph(nodes, nodes.where("false").select("doc_id", c("node").alias("source"), c("node").alias("sink")), attrs))
 
 
+# --- orders and places of any size -----------------------------------------------------------------------------------------
+
+
+def _tag(kind: str, value: str) -> str:
+    """SQL of an encoded value."""
+    return f"""'{{"type":"{kind}","{kind}":' || {value} || '}}'"""
+
+
+_LIST = """'{"type":"list","values":[' || """
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey AS k, unnest([
+  {{'rank': 0, 'flag': false, 'n': 0, 'm': -1, 't': '', 'v': '{{"type":"null"}}'}}, {{'rank': 1, 'flag': o_orderkey % 2 = 0, 'n': 0, 'm': -1, 't': '', 'v': {_tag("bool", "(o_orderkey % 2 = 0)")}}},
+  {{'rank': 2, 'flag': false, 'n': o_orderkey, 'm': -1, 't': '', 'v': {_tag("int", "o_orderkey")}}}, {{'rank': 2, 'flag': false, 'n': o_orderkey % 100, 'm': -1, 't': '', 'v': {_tag("int", "o_orderkey % 100")}}},
+  {{'rank': 3, 'flag': false, 'n': 0, 'm': -1, 't': o_orderpriority, 'v': '{{"type":"string","string":"' || o_orderpriority || '"}}'}}, {{'rank': 3, 'flag': false, 'n': 0, 'm': -1, 't': '10', 'v': '{{"type":"string","string":"10"}}'}},
+  {{'rank': 4, 'flag': false, 'n': o_orderkey % 20, 'm': o_orderkey % 3, 't': '', 'v': {_LIST}{_tag("int", "o_orderkey % 20")} || ',' || {_tag("int", "o_orderkey % 3")} || ']}}'}},
+  {{'rank': 4, 'flag': false, 'n': o_orderkey % 7, 'm': -1, 't': '', 'v': {_LIST}{_tag("int", "o_orderkey % 7")} || ']}}'}}]) AS x FROM orders)
+SELECT k, '{{"type":"set","values":[' || string_agg(x.v, ',' ORDER BY x.rank, x.flag, x.n, x.m, x.t) || ']}}' AS v FROM (SELECT DISTINCT * FROM v) GROUP BY k
+""")
+def set_order(spark, sf_dir):
+    """Values of every kind as a set: integers by number, strings behind them, lists by their elements."""
+    o = forests.table(spark, sf_dir, "orders")
+    k = c("o_orderkey")
+    number = lambda n: values.integer(k % n)
+    items = [values.sequence(F.array(number(20), number(3))), values.string(F.lit("10")), values.integer(k), values.string(c("o_orderpriority")), values.sequence(F.array(number(7))), number(100), values.boolean(k % 2 == 0), values.null()]
+    return o.select(k.alias("k"), values.sequence(F.array(*items), "set").alias("v"))
+
+
+@query("SELECT page_id AS doc_id, kind, unnest(regexp_extract_all(html, CASE kind WHEN 'a' THEN '<a [^>]*>[^<]*</a>' WHEN 'title' THEN '<title>[^<]*</title>' ELSE '<li><a [^>]*>[^<]*</a></li>' END)) AS source_text FROM pages, (SELECT unnest(['a', 'title', 'li']) AS kind)")
+def html_source_text(spark, sf_dir):
+    """What elements cover in their page, tags and all."""
+    m = p.match(forests.html_forest(spark, sf_dir), "x", ["a", "title", "li"])
+    pages = forests.table(spark, sf_dir, "pages").select(c("page_id").alias("doc_id"), c("html").alias("text"))
+    return forests.with_source(m, pages, "x", "source_text").select("doc_id", c("x.kind").alias("kind"), "source_text")
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS k, o_orderpriority AS p FROM orders JOIN customer ON c_custkey = o_custkey), f AS (SELECT doc_id, max(k) FILTER (p = '1-URGENT') AS latest FROM s GROUP BY 1)
+SELECT 0 AS stanza, doc_id, k, coalesce(last_value(CASE WHEN p = '1-URGENT' THEN k END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS v FROM s
+UNION ALL SELECT 1, doc_id, k, coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), latest, -1) FROM s JOIN f USING (doc_id) WHERE p = '5-LOW'
+""")
+def scoped_asof(spark, sf_dir):
+    """Stanza 0 reads a customer's variable at every order, and urgent orders set it then; stanza 1 reads it at every low order, and sets it."""
+    forest = forests.order_forest(spark, sf_dir)
+    m = p.child(p.match(forest, "c", "customer"), forest, "c", "o", "order").withColumn("match", c("o.path"))
+    start = m.groupBy("doc_id", "c").agg(F.min("match").alias("match")).select("doc_id", c("c.node_id").alias("scope"), F.lit(-1).cast("long").alias("value"), F.lit(-1).alias("stanza"), "match", F.lit(0).alias("statement"))
+    reads = m.withColumns({"stanza": F.lit(0), "statement": F.lit(0)}).unionByName(m.where("o.text = '5-LOW'").withColumns({"stanza": F.lit(1), "statement": F.lit(0)}))
+    sets = reads.where("stanza = 1 or o.text = '1-URGENT'").select("doc_id", c("c.node_id").alias("scope"), c("o.key").alias("value"), "stanza", "match", F.lit(1).alias("statement"))
+    got = scoping.as_of(reads, start.unionByName(sets), c("c.node_id"), ["stanza", "match", "statement"], "v", wide=True)
+    return got.select("stanza", "doc_id", c("o.key").alias("k"), "v")
+
+
+@query("WITH t AS (SELECT *, row_number() OVER w AS i, lead(role) OVER w AS next_role, lead(turn) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), u AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY conv_id, i % 2 ORDER BY i) AS g FROM t WHERE role = 'user' AND next_role = 'assistant') SELECT conv_id AS doc_id, min(turn) AS first, list(turn ORDER BY turn) AS asked, list(reply ORDER BY turn) AS answered FROM u GROUP BY conv_id, i % 2, g")
+def group_runs(spark, sf_dir):
+    """Questions, each with its answer just behind it, in runs."""
+    m = p.sequences(forests.chat_forest(spark, sf_dir), [p.Item("u", "user"), p.Item("a", "assistant")])
+    return m.select("doc_id", F.element_at("units", 1)["u"]["num"].alias("first"), F.transform("units", lambda x: x["u"]["num"]).alias("asked"), F.transform("units", lambda x: x["a"]["num"]).alias("answered"))
+
+
+@query("""
+WITH e AS (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS v FROM events) SELECT 0 AS stanza, event_id AS doc_id, 'object' AS kind, NULL::VARCHAR AS key, NULL::VARCHAR AS value FROM e UNION ALL SELECT 1, event_id, 'pair', 'k', v::VARCHAR FROM e
+UNION ALL SELECT 2, event_id, 'value', NULL, NULL FROM e WHERE v >= 50 UNION ALL SELECT 3, event_id, 'pair', NULL, v::VARCHAR FROM e WHERE v >= 50
+""")
+def merged_matches(spark, sf_dir):
+    """Four patterns in one reading: objects, pairs with key and value, large values, and pairs with a large value."""
+    large = c("text").cast("long") >= 50
+    key, value = p.Pattern("key", named=False, under="key"), p.Pattern("value", under="value")
+    found = p.merged(forests.json_forest(spark, sf_dir), {0: p.Pattern("object"), 1: p.Pattern("pair", children={"key": key, "value": value}), 2: p.Pattern("value", large), 3: p.Pattern("pair", children={"value": p.Pattern("value", large)})})
+    return found.select("stanza", "doc_id", c("full.kind").alias("kind"), c("key.text").alias("key"), c("value.text").alias("value"))
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey AS doc_id, 'customer' AS kind, c_custkey AS k, -1::BIGINT AS o, 0::BIGINT AS place, 0 AS depth FROM customer UNION ALL SELECT o_custkey, 'order', o_orderkey, o_orderkey, 0, 1 FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT o_custkey, 'lineitem', l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}), 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, place) - 1 AS pre, CASE kind WHEN 'lineitem' THEN 1 WHEN 'order' THEN count(*) OVER (PARTITION BY doc_id, o) ELSE count(*) OVER (PARTITION BY doc_id) END AS size FROM n)
+SELECT doc_id, kind, k, depth, 2 * pre - depth AS enter, 2 * pre - depth + 2 * size - 1 AS exit FROM w
+""")
+def parent_forest(spark, sf_dir):
+    """Order and depth of the order forest from parent pointers, without its paths."""
+    forest = forests.order_forest(spark, sf_dir)
+    last = F.get("path", F.size("path") - 1)
+    flat = forest.select("doc_id", "node_id", "parent_id", "kind", "key", F.when(c("kind") == "lineitem", F.slice("path", 2, 6)).otherwise(F.array(last)).alias("place"))
+    known = flat.join(forests.table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id")), "doc_id", "left_semi")
+    return forests.from_parents(known, "place").select("doc_id", "kind", c("key").alias("k"), c("depth").cast("int").alias("depth"), "enter", "exit")
+
+
+@query(f"""
+WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (
+  SELECT o_custkey AS doc_id, 'order' AS variable, o_orderkey AS k, 0 AS stanza, [0] AS place FROM orders UNION ALL SELECT doc_id, 'line', k, 0, [1, i, 0] FROM l
+  UNION ALL SELECT doc_id, 'half', k, 0, [1, i, 1, j, 0] FROM l, unnest([0, 1]) t(j) UNION ALL SELECT o_custkey, 'rush', o_orderkey, 1, [0] FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT doc_id, variable, k, row_number() OVER (PARTITION BY doc_id ORDER BY stanza, k, place) - 1 AS node FROM n
+""")
+def numbered_nested(spark, sf_dir):
+    """A node for each order, for each of its lines, and two for each of these, in nested loops; then, in another stanza, one for each urgent order."""
+    m = orders(spark, sf_dir, "items").withColumnRenamed("o", "full")
+    lines = loops.for_each(m, "items", "x", "i")
+    halves = loops.for_each(lines, F.array(F.lit("first"), F.lit("second")), "h", "j")
+    made = graphs.creations((m, 0, "order", [0]), (lines, 0, "line", [1, "i", 0]), (halves, 0, "half", [1, "i", 1, "j", 0]), (m.where("full.text = '1-URGENT'"), 1, "rush", [0]))
+    return graphs.numbered(made, "made", wide=True).select("doc_id", "variable", c("full.key").alias("k"), "node")
+
+
+@query("""
+WITH t AS (SELECT page_id, split_part(url, '://', 1) AS scheme, length(split_part(url, '://', 1)) AS n, regexp_extract(url, '([a-z]+|[0-9]+)$', 1) AS last FROM pages)
+SELECT page_id AS doc_id, 0::BIGINT AS place, 0 AS arm, scheme AS token FROM t UNION ALL SELECT page_id, 1, 2, last FROM t WHERE regexp_matches(last, '^[a-z]') UNION ALL SELECT page_id, 1, 1, last FROM t WHERE regexp_matches(last, '^[0-9]')
+""")
+def scan_anchored(spark, sf_dir):
+    """The scheme at the start alone, and a number or a word at the very end."""
+    pages = forests.table(spark, sf_dir, "pages").select(c("page_id").alias("doc_id"), loops.scan(c("url"), ["^[a-z]+", "[0-9]+$", "[a-z]+$"]).alias("tokens"))
+    return loops.for_each(pages, "tokens", "t").select("doc_id", c("at").cast("long").alias("place"), "t.arm", "t.token")
+
+
+@query("WITH t AS (SELECT *, coalesce(lag(role) OVER w = role, true) AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t), e AS (SELECT *, max(turn) OVER (PARTITION BY conv_id, run) AS last FROM g) SELECT conv_id AS doc_id, turn, last AS v, count(*) OVER (PARTITION BY conv_id, run ORDER BY turn DESC) AS steps FROM e WHERE turn < last")
+def scope_closure(spark, sf_dir):
+    """A turn's variable `next` holds the turn behind it, if another role speaks there; where does `next.next...` lead?"""
+    nodes = p.ends(forests.chat_forest(spark, sf_dir)).where("parent_id is not null")
+    before = nodes.select("doc_id", c("node_id").alias("scope"), c("kind").alias("spoke"))
+    link = nodes.select("doc_id", c("previous").alias("scope"), c("node_id").alias("value"), "kind").join(before, ["doc_id", "scope"]).where("kind <> spoke")
+    return scoping.closure(link, "v").select("doc_id", c("scope").alias("turn"), "v", "steps")
+
+
+@query(f"WITH l AS (SELECT l_orderkey AS k, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT k, flag, min(i) AS i FROM l GROUP BY 1, 2) SELECT 'scope' AS of, k, count(*) AS n, min(i) AS first, max(i) AS last FROM l GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'attribute', k, count(*), min(i), max(i) FROM f GROUP BY k HAVING count(*) > 1")
+def duplicate_sites(spark, sf_dir):
+    """Every line sets a variable of its order once more, and gives the order's node its flag: the sites that collide."""
+    lines = loops.for_each(orders(spark, sf_dir, "items"), "items", "x").withColumn("node", c("o.key"))
+    site = F.struct(F.lit(0).alias("stanza"), c("o.path").alias("match"), F.array(F.lit(1), "at").alias("place"))
+    at = lambda x: F.element_at(c(x)["place"], 2).cast("long")
+    twice = scoping.duplicated(scoping.bind(lines, "o", c("x.key"), site))
+    named = p.match(forests.order_forest(spark, sf_dir), "o", "order").select("doc_id", c("o.node_id").alias("scope"), c("o.key").alias("k"))
+    scopes = twice.join(named, ["doc_id", "scope"]).select(F.lit("scope").alias("of"), "k", "n", at("first_site").alias("first"), at("last_site").alias("last"))
+    attrs = graphs.conflicts(graphs.attributes(lines, {"flag": values.string(c("x.text"))}, "node", site=site))
+    return scopes.unionByName(attrs.select(F.lit("attribute").alias("of"), c("source").alias("k"), "n", at("first_site").alias("first"), at("last_site").alias("last")))
+
+
+@query("SELECT l_partkey AS part, CASE WHEN o_orderpriority = '1-URGENT' THEN 'order' ELSE c_mktsegment END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey")
+def inherit_between(spark, sf_dir):
+    """The nearest binding above, by places in a walk and not by paths."""
+    forest = forests.order_forest(spark, sf_dir)
+    placed = forests.from_parents(forest, "path")
+    bound = placed.where("kind = 'customer' or kind = 'order' and text = '1-URGENT'").select("doc_id", "enter", "exit", F.when(c("kind") == "customer", c("text")).otherwise("order").alias("value"))
+    lines = p.match(placed.where("enter is not null"), "l", "lineitem")
+    return scoping.inherited_between(lines, bound, "l", "v").select(c("l.key").alias("part"), "v")
+
+
 ORACLES["q_globals"] = ORACLES.pop("q_globals_")
 QUERIES["q_globals"] = QUERIES.pop("q_globals_")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,35 +14,55 @@ from copse.functions import values
 
 
 def eq(a: Column, b: Column) -> Column:
-    """null equals null alone; comparing values of different types fails the job (nothing is cast, but among integer widths)."""
+    """null equals null alone; comparing values of different types fails the job (nothing is cast, but among integer widths).
+
+    Lists are one type: those of unlike elements are unequal.
+    """
 
     def family(x: Column) -> Column:
-        return F.regexp_replace(F.typeof(x), "(tinyint|smallint|bigint)", "int")
+        return F.regexp_replace(F.regexp_replace(F.typeof(x), "^array<.*", "list"), "^(tinyint|smallint|bigint)$", "int")
+
+    def text(x: Column) -> Column:
+        return F.to_json(F.array(x))
 
     differ = F.raise_error(F.concat(F.lit("eq: cannot compare values of different types: "), F.typeof(a), F.lit(" and "), F.typeof(b))).cast("boolean")
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(family(a) != family(b), differ).otherwise(a == b)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(family(a) != family(b), differ).otherwise(text(a) == text(b))
 
 
 def is_null(a: Column) -> Column:
     return a.isNull()
 
 
+def _boolean(x: Column, name: str) -> Column:
+    return F.when(x.isNull(), F.raise_error(F.lit(f"{name}: ExpectedBoolean: got #null")).cast("boolean")).otherwise(x)
+
+
 def not_(a: Column) -> Column:
-    return ~a
+    """The opposite; null, which is no boolean, fails the job, as in `and_` and `or_`."""
+    return ~_boolean(a, "not")
 
 
 def and_(*xs: Column) -> Column:
-    return reduce(lambda a, b: a & b, xs, F.lit(True))
+    return _all(xs, "and", lambda a, b: a & b, True)
 
 
 def or_(*xs: Column) -> Column:
-    return reduce(lambda a, b: a | b, xs, F.lit(False))
+    return _all(xs, "or", lambda a, b: a | b, False)
+
+
+def _all(xs: tuple[Column, ...], name: str, both: Callable[[Column, Column], Column], start: bool) -> Column:
+    """Every operand is looked at, so that a null behind a deciding one fails too."""
+    if not xs:
+        return F.lit(start)
+    null = reduce(lambda a, b: a | b, (x.isNull() for x in xs))
+    return F.when(null, _boolean(F.lit(None).cast("boolean"), name)).otherwise(reduce(both, xs))
 
 
 def plus(*xs: Column) -> Column:
-    """Sum of integers 0 to 2^32 - 1; a larger sum fails the job."""
-    total = reduce(lambda a, b: a + b.cast("long"), xs, F.lit(0).cast("long"))
-    return F.when(total > values.TOP, F.raise_error(F.lit("integer out of range")).cast("long")).otherwise(total)
+    """Sum of integers 0 to 2^32 - 1; an operand that is not one, or a larger sum, fails the job."""
+    wrong = F.raise_error(F.lit("integer out of range")).cast("long")
+    total = reduce(lambda a, b: a + F.when((b < 0) | (b > values.TOP), wrong).otherwise(b.cast("long")), xs, F.lit(0).cast("long"))
+    return F.when(total > values.TOP, wrong).otherwise(total)
 
 
 def format_(template: str, *args: tuple[Column, str]) -> Column:
@@ -63,21 +83,42 @@ def format_(template: str, *args: tuple[Column, str]) -> Column:
     return F.concat(*parts, F.lit(text))
 
 
+def _signs(pattern: str) -> Iterator[tuple[str, bool]]:
+    """A pattern's signs, escapes whole, and whether each stands in a class."""
+    i, depth = 0, 0
+    while i < len(pattern):
+        sign = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        depth += sign == "["
+        yield sign, depth > 0
+        depth -= sign == "]" and depth > 0
+        i += len(sign)
+
+
 def java_pattern(pattern: str) -> str:
     """A pattern of the RE2 family for Spark: Unicode classes, and `$` at the very end only; look-around and back-references are refused."""
     if re.search(r"\(\?(=|!|<=|<!)|\\[1-9]", pattern):
         raise ValueError("look-around and back-references are not supported")
-    out, i, inside = "", 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            out += pattern[i : i + 2]
-            i += 2
-            continue
-        inside = c == "[" or (inside and c != "]")
-        out += r"\z" if c == "$" and not inside else c
-        i += 1
-    return "(?U)" + out
+    return "(?U)" + "".join(r"\z" if sign == "$" and not inside else sign for sign, inside in _signs(pattern))
+
+
+def numbered_groups(pattern: str, capture: bool = True) -> tuple[str, dict[str, int]]:
+    """The pattern with plain groups in place of named ones (or none that capture), and each group's number by its name and by itself; 0 is the whole match."""
+    found, out, signs = {"0": 0}, "", [*_signs(pattern)]
+    at = 0
+    while at < len(signs):
+        sign, inside = signs[at]
+        at += 1
+        rest = "".join(x for x, _ in signs[at : at + 64])
+        named = re.match(r"\?P?<(\w+)>", rest) if sign == "(" and not inside else None
+        if sign == "(" and not inside and (named or not rest.startswith("?")):
+            number = str(len([k for k in found if k.isdigit()]))
+            found[number] = int(number)
+            if named:
+                found[named[1]] = int(number)
+                at += len(named[0])
+            sign = "(" if capture else "(?:"
+        out += sign
+    return out, found
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -86,16 +127,19 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def replace(text: Column, pattern: str, by: str) -> Column:
-    """Every match, `$1`, `${name}` and `$$` as usual; a name is as long as letters, digits and underscores go."""
-
-    def group(m: re.Match) -> str:
-        if m[0] == "$$":
-            return r"\$"
-        name = m[1] or m[2]
-        return f"${name}" if name.isdigit() else f"${{{name}}}"
-
-    java = re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)", group, by.replace("\\", "\\\\"))
-    return F.regexp_replace(text, java_pattern(pattern), java)
+    """Every match, `$1`, `${name}` and `$$` as usual; a name is as long as letters, digits and underscores go, and that of no group stands for nothing."""
+    plain, number = numbered_groups(pattern)
+    out, after = "", False
+    for piece in re.findall(r"\$\$|\$\{\w+\}|\$\w+|.", by, re.DOTALL):
+        name = re.fullmatch(r"\$\{?(\w+)\}?", piece)
+        if name:
+            out += f"${number[name[1]]}" if name[1] in number else ""
+            after = after or name[1] in number
+        else:
+            sign = piece[0]
+            out += "\\" + sign if sign in "\\$" or after and sign.isdigit() else sign
+            after = False
+    return F.regexp_replace(text, java_pattern(plain), out)
 
 
 def concat(*lists: Column) -> Column:
@@ -116,7 +160,7 @@ def length(items: Column) -> Column:
 
 
 def to_set(items: Column) -> Column:
-    """A set: sorted, each element once."""
+    """A set of native values of one type: sorted, each element once. Sets of encoded values are `values.set_of`."""
     return F.array_sort(F.array_distinct(items))
 
 

@@ -7,11 +7,13 @@ values are tagged JSON texts (`copse.functions.values`), so equal values are equ
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions import values
+from copse.operators import spread
 
 
 @dataclass(frozen=True)
@@ -21,30 +23,57 @@ class Graph:
     attrs: DataFrame
 
 
-def numbered(created: DataFrame, *order: str | Column, seed: DataFrame | None = None) -> DataFrame:
-    """`created` with `node`: ids from 0 in order of creation within a document, after the ids that `seed`(doc_id, node) has already."""
-    ids = created.withColumn("node", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("long"))
+def numbered(created: DataFrame, *order: str | Column, seed: DataFrame | None = None, wide: bool = False) -> DataFrame:
+    """`created` with `node`: ids from 0 in order of creation within a document, after the ids that `seed`(doc_id, node) has already.
+
+    `wide`: for documents that no task can hold (`order` then names columns): ranges of a document are counted, and each range goes on from the sum of those before.
+    """
+    if wide:
+        ids = spread.numbered(created, ["doc_id"], list(order), "node")
+    else:
+        ids = created.withColumn("node", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("long"))
     if seed is None:
         return ids
     last = seed.groupBy(F.col("doc_id").alias("_doc")).agg((F.max("node") + 1).alias("_next"))
     return ids.join(last, ids.doc_id == last._doc, "left").withColumn("node", F.col("node") + F.coalesce("_next", F.lit(0))).drop("_doc", "_next")
 
 
+def creations(*statements: tuple[DataFrame, int, str, list[int | str]]) -> DataFrame:
+    """The nodes that statements create, with `made`, their order of creation: (doc_id, variable, full, made).
+
+    A statement: its matches (with capture `full`), its stanza, the variable that holds the node, and its place in the block: the number of the statement, then, inside
+    a loop, the column with the place of the element, the number of the statement in the loop's body, and so on.
+    """
+    def one(matches: DataFrame, stanza: int, variable: str, place: list[int | str]) -> DataFrame:
+        at = F.array(*((F.lit(x) if isinstance(x, int) else F.col(x)).cast("long") for x in place))
+        return matches.select("doc_id", F.lit(variable).alias("variable"), "full", F.struct(F.lit(stanza).alias("stanza"), F.col("full.path").alias("match"), at.alias("place")).alias("made"))
+
+    return reduce(DataFrame.unionByName, (one(*s) for s in statements))
+
+
 def edges(pairs: DataFrame) -> DataFrame:
     """Edges of (doc_id, source, sink) pairs; an edge created again is the same edge."""
     return pairs.select("doc_id", "source", "sink").distinct()
 
 
-def attributes(rows: DataFrame, given: dict[str, Column], source: str, sink: str | None = None) -> DataFrame:
-    """Attribute rows of nodes (`source`) or edges; `given`: name -> encoded value. One pass, whatever the number of attributes."""
+def attributes(rows: DataFrame, given: dict[str, Column], source: str, sink: str | None = None, site: Column | None = None) -> DataFrame:
+    """Attribute rows of nodes (`source`) or edges; `given`: name -> encoded value. One pass, whatever the number of attributes.
+
+    `site`: the stanza, match and statement that gave them, in an order, for `conflicts` to name; without it the rows have none.
+    """
     pairs = F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in given.items()))
-    rows = rows.select("doc_id", F.lit("node" if sink is None else "edge").alias("owner"), F.col(source).cast("long").alias("source"), (F.lit(None) if sink is None else F.col(sink)).cast("long").alias("sink"), F.explode(pairs).alias("a"))
-    return rows.select("doc_id", "owner", "source", "sink", "a.name", "a.value")
+    more = [] if site is None else [site.alias("site")]
+    rows = rows.select("doc_id", F.lit("node" if sink is None else "edge").alias("owner"), F.col(source).cast("long").alias("source"), (F.lit(None) if sink is None else F.col(sink)).cast("long").alias("sink"), F.explode(pairs).alias("a"), *more)
+    return rows.select("doc_id", "owner", "source", "sink", "a.name", "a.value", *(["site"] if more else []))
 
 
 def conflicts(attrs: DataFrame) -> DataFrame:
-    """Attributes given different values; the same value again is no conflict."""
-    return attrs.groupBy("doc_id", "owner", "source", "sink", "name").agg(F.count_distinct(F.coalesce("value", values.null())).alias("n")).where("n > 1")
+    """Attributes given different values; the same value again is no conflict. With sites: the first that gave a value, and the last that gave another one first."""
+    key = ["doc_id", "owner", "source", "sink", "name"]
+    if "site" not in attrs.columns:
+        return attrs.groupBy(*key).agg(F.count_distinct(F.coalesce("value", values.null())).alias("n")).where("n > 1")
+    told = attrs.groupBy(*key, F.coalesce("value", values.null()).alias("value")).agg(F.min("site").alias("site"))
+    return told.groupBy(*key).agg(F.count("*").alias("n"), F.min("site").alias("first_site"), F.max("site").alias("last_site")).where("n > 1")
 
 
 def dangling(attrs: DataFrame, of: DataFrame) -> DataFrame:
@@ -55,7 +84,7 @@ def dangling(attrs: DataFrame, of: DataFrame) -> DataFrame:
 def validated(graph: Graph) -> Graph:
     """Fails with the smallest offender if an attribute is in conflict or an edge is missing; else gives the graph back."""
     for what, found in (("DuplicateAttribute", conflicts(graph.attrs)), ("UndefinedEdge", dangling(graph.attrs, graph.edges))):
-        worst = found.orderBy("doc_id", "owner", "source", "sink", "name").limit(1).collect()
+        worst = found.orderBy("doc_id", "owner", "source", "sink", "name").limit(1).collect()  # with both sites, where attributes say theirs
         if worst:
             raise ValueError(f"{what}: {worst[0].asDict()}")
     return graph
@@ -63,7 +92,7 @@ def validated(graph: Graph) -> Graph:
 
 def extended(graph: Graph, seed: Graph) -> Graph:
     """A graph added to one that was there before (its ids numbered after the seed's)."""
-    return Graph(seed.nodes.unionByName(graph.nodes), edges(seed.edges.unionByName(graph.edges)), seed.attrs.unionByName(graph.attrs).distinct())
+    return Graph(seed.nodes.unionByName(graph.nodes), edges(seed.edges.unionByName(graph.edges)), seed.attrs.unionByName(graph.attrs, allowMissingColumns=True).distinct())
 
 
 def debug(line: Column, column: Column) -> Column:
@@ -84,11 +113,14 @@ def debugged(created: DataFrame, line: str, column: str, variable: str, source:
     return attributes(created, given, source, sink)
 
 
-def printed(rows: DataFrame, order: list[str], *parts: str | Column) -> DataFrame:
-    """(doc_id, ord, line): what a print statement says for each match, in order within a document, from 0. Strings are said as they are, encoded values as they read."""
-    line = F.concat(*(F.lit(x) if isinstance(x, str) else values.debug(x) for x in parts))
-    at = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
-    return rows.select("doc_id", at.cast("long").alias("ord"), line.alias("line"))
+def printed(rows: DataFrame, order: list[str], *parts: str | Column | tuple[Column, str], wide: bool = False) -> DataFrame:
+    """(doc_id, ord, line): what a print statement says for each match, in order within a document, from 0.
+
+    Strings are said as they are, native columns by their type (column, type) as in `values.display`, encoded values as they read. `wide`: for documents that no task can hold.
+    """
+    said = lambda x: F.lit(x) if isinstance(x, str) else values.display(*x, quote=True) if isinstance(x, tuple) else values.debug(x)
+    rows = rows.select("doc_id", *order, F.concat(*map(said, parts)).alias("line"))
+    return numbered(rows, *order, wide=wide).select("doc_id", F.col("node").alias("ord"), "line")
 
 
 def excerpt(line: Column, row: Column, column: Column, length: Column) -> Column:
@@ -118,7 +150,7 @@ def pretty(graph: Graph, forest: DataFrame | None = None) -> DataFrame:
     order = F.struct(F.col("node").alias("n"), F.coalesce("sink", F.lit(-1)).alias("s"), F.coalesce("name", F.lit("")).alias("a"), "line")
     heads = graph.nodes.select("doc_id", "node", F.lit(None).cast("long").alias("sink"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("node "), "node").alias("line"))
     arrows = graph.edges.select("doc_id", F.col("source").alias("node"), "sink", F.lit(None).cast("string").alias("name"), F.concat(F.lit("edge "), "source", F.lit(" -> "), "sink").alias("line"))
-    attrs = graph.attrs.distinct()
+    attrs = graph.attrs.drop("site").distinct()
     attrs = attrs.withColumn("reads", F.lit(None).cast("string")) if forest is None else named_nodes(attrs, forest)
     said = attrs.select("doc_id", F.col("source").alias("node"), "sink", "name", F.concat(F.lit("  "), "name", F.lit(": "), F.coalesce("reads", values.debug("value"))).alias("line"))
     rows = heads.unionByName(arrows).unionByName(said).select("doc_id", order.alias("x"))
@@ -132,7 +164,7 @@ def json_nodes(graph: Graph) -> DataFrame:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", item.alias("item")))), lambda x: x["item"]), ",")
         return attrs.groupBy(*keys).agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("attrs"))
 
-    attrs = graph.attrs.distinct()
+    attrs = graph.attrs.drop("site").distinct()
     of_nodes = objects(["doc_id", "node"], attrs.where("owner = 'node'").withColumnRenamed("source", "node"))
     of_edges = objects(["doc_id", "source", "sink"], attrs.where("owner = 'edge'"))
     lines = graph.edges.join(of_edges, ["doc_id", "source", "sink"], "left")

@@ -8,13 +8,18 @@ arises.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copse.functions.values import let
+from copse.operators import spread
 from copse.sources.forests import PLACES
 
 FIELDS = ["node_id", "kind", "path", "key", "num", "text"]
-POSITION = ["child_index", "named_child_index", "named_child_count"]
+POSITION = ["child_index", "named_child_index", "named_child_count", "href", "enter", "exit"]
 
 
 def capture(forest: DataFrame) -> Column:
@@ -65,13 +70,28 @@ def of_supertype(forest: DataFrame, kinds: DataFrame, name: str, subtype: str |
     return forest.join(listed.select("kind").distinct(), "kind", "left_semi").select(*forest.columns)
 
 
-def closed(direct: DataFrame, levels: int = 8) -> DataFrame:
-    """(supertype, kind) of a hierarchy given by direct steps (supertype, kind), up to `levels` steps deep."""
-    out = step = direct.select("supertype", "kind").distinct()
-    for _ in range(levels - 1):
-        step = step.join(direct.select(F.col("supertype").alias("kind"), F.col("kind").alias("below")), "kind").select("supertype", F.col("below").alias("kind")).distinct()
-        out = out.unionByName(step)
-    return out.distinct()
+def closed(direct: DataFrame, most: int = 100_000) -> DataFrame:
+    """(supertype, kind) of a hierarchy given by direct steps (supertype, kind), however deep; a supertype of itself is an error.
+
+    A grammar's hierarchy is small: its steps come to the driver if there are no more than `most`, else it is an error.
+    """
+    steps = direct.select("supertype", "kind").distinct().limit(most + 1).collect()
+    if len(steps) > most:
+        raise ValueError(f"a hierarchy of kinds has at most {most} steps")
+    below: dict[str, set[str]] = {}
+    for name, kind in steps:
+        below.setdefault(name, set()).add(kind)
+    out = []
+    for name in below:
+        seen, ahead = set(), [name]
+        while ahead:
+            new = below.get(ahead.pop(), set()) - seen
+            seen |= new
+            ahead += new
+        if name in seen:
+            raise ValueError(f"supertype of itself: {name}")
+        out += [(name, kind) for kind in sorted(seen)]
+    return direct.sparkSession.createDataFrame(out, "supertype string, kind string")
 
 
 def without(matches: DataFrame, forest: DataFrame, of: str, kind: str | list[str] | None = None, field: str | None = None, where: Column | None = None) -> DataFrame:
@@ -130,6 +150,106 @@ def runs(forest: DataFrame, kind: str) -> DataFrame:
     return nodes.groupBy("doc_id", "parent_id", "island").agg(F.min("path").alias("first"), in_order(F.collect_list(F.struct("path", capture(nodes).alias("node")))).alias("nodes")).drop("island")
 
 
+@dataclass(frozen=True)
+class Item:
+    """One sibling of a group: its name, kind, and how often it stands there: `1`, `?`, `*` or `+`."""
+
+    name: str
+    kind: str
+    times: str = "1"
+
+
+def sequences(forest: DataFrame, items: list[Item], times: str = "+", among: Column | None = None) -> DataFrame:
+    """Groups of adjacent named siblings, in order and repeated as often as they stand in a row: (doc_id, parent_id, first path, units).
+
+    A sibling is a letter and the group a regular expression over the letters, so a run begins as far left and goes on as long as it can (`times`: `1` or `+`), and runs do not overlap.
+    `units` has a struct for each repetition, with one field an item: a node, a node or null (`?`), or a list (`*`, `+`). `among`: the siblings that count at all.
+    Only parents that have a sibling of such a kind are gathered, one row each.
+    """
+    if not items or any(i.times not in ("1", "?", "*", "+") for i in items) or all(i.times in ("?", "*") for i in items):
+        raise ValueError("a group needs an item that must stand there")
+    kinds = list(dict.fromkeys(i.kind for i in items))
+    letters = {k: chr(0x4E00 + n) for n, k in enumerate(kinds)}
+    letter = reduce(lambda out, k: out.when(F.col("kind") == k, F.lit(letters[k])), kinds, F.when(F.lit(False), "")).otherwise("-")
+    nodes = picked(forest, where=among).where("parent_id is not null")
+    held = nodes.groupBy("doc_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("path", letter.alias("letter"), capture(nodes).alias("node")))).alias("all"))
+    held = held.withColumn("text", F.array_join(F.transform("all", lambda x: x["letter"]), ""))
+    unit = "".join(letters[i.kind] + i.times.removeprefix("1") for i in items)
+    whole = f"(?:{unit}){times.removeprefix('1')}"
+    held = held.where(F.regexp_like("text", F.lit(whole)))
+    parts = "".join(f"({letters[i.kind]}{i.times.removeprefix('1')})" for i in items)
+
+    def placed(pieces: Column) -> Column:
+        """Each piece with the number of letters before it."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
+        add = lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["out"], F.struct(x.alias("text"), a["at"].alias("at"))).alias("out"))
+        return F.aggregate(pieces, start, add)["out"]
+
+    runs_ = F.filter(placed(F.regexp_extract_all("text", F.lit(f"({whole}|.)"), F.lit(1))), lambda x: F.regexp_like(x["text"], F.lit(f"^{whole}$")))
+    run = held.select("doc_id", "parent_id", "all", F.explode(runs_).alias("run"))
+    units = placed(F.regexp_extract_all("run.text", F.lit(f"({unit})"), F.lit(1)))
+
+    def one(u: Column) -> Column:
+        fields, at = [], F.col("run.at") + u["at"]
+        for n, item in enumerate(items):
+            size = F.length(F.regexp_extract(u["text"], f"^{parts}$", n + 1))
+            own = F.transform(F.slice("all", at + 1, size), lambda x: x["node"])
+            fields.append((own if item.times in "*+" else F.get(own, F.lit(0))).alias(item.name))
+            at = at + size
+        return F.struct(*fields)
+
+    return run.select("doc_id", "parent_id", F.element_at("all", F.col("run.at") + 1)["path"].alias("first"), F.transform(units, one).alias("units"))
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A node of a kind (or any) that satisfies a predicate, with children that it must have, each a pattern under a name."""
+
+    kind: str | None = None
+    where: Column | None = None
+    named: bool | None = True
+    under: str | None = None
+    children: dict[str, Pattern] = field(default_factory=dict)
+
+    def holds(self) -> Column:
+        """Whether a node of the forest is such a node, its children apart."""
+        asked = [F.col("kind") == self.kind if self.kind else None, self.where, F.col("named") == self.named if self.named is not None else None, F.col("field") == self.under if self.under else None]
+        return reduce(lambda a, b: a & b, (F.coalesce(x, F.lit(False)) for x in asked if x is not None), F.lit(True))
+
+
+def merged(forest: DataFrame, patterns: dict[int, Pattern]) -> DataFrame:
+    """The matches of several patterns at once: (doc_id, stanza, full, one column a child's name).
+
+    The forest is read once. Each node is tagged with the patterns that it can start and the children that it can be, and sent to its own place and to its
+    parent's, once each; there every match is a start and a choice of one child for each name. A child may not ask for children of its own. Children that patterns share are
+    tagged once.
+    """
+    if any(c.children for x in patterns.values() for c in x.children.values()):
+        raise ValueError("a child has no children of its own here")
+    asked = {(id(c), n): c for x in patterns.values() for n, c in x.children.items()}
+    shared: list[Pattern] = []
+    number: dict[int, int] = {}
+    for c in asked.values():
+        like = next((i for i, s in enumerate(shared) if s is c), None)
+        number[id(c)] = len(shared) if like is None else like
+        shared += [c] if like is None else []
+    tags = lambda found: F.array_compact(F.array(*(F.when(x.holds(), F.lit(k)) for k, x in found))) if found else F.array().cast("array<int>")
+    rows = forest.select("doc_id", "node_id", "parent_id", "path", capture(forest).alias("node"), tags(list(patterns.items())).alias("starts"), tags(list(enumerate(shared))).alias("fits"))
+    rows = rows.where((F.size("starts") > 0) | (F.size("fits") > 0))
+    own = F.struct(F.col("node_id").alias("place"), F.col("node").alias("full"), "starts", F.lit(None).cast(rows.schema["node"].dataType).alias("child"), F.array().cast("array<int>").alias("fits"))
+    up = F.struct(F.col("parent_id").alias("place"), F.lit(None).cast(rows.schema["node"].dataType).alias("full"), F.array().cast("array<int>").alias("starts"), F.col("node").alias("child"), "fits")
+    sent = rows.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.size("starts") > 0, own), F.when((F.size("fits") > 0) & F.col("parent_id").isNotNull(), up)))).alias("s")).select("doc_id", "s.*")
+    met = sent.groupBy("doc_id", "place").agg(F.first("full", True).alias("full"), F.first(F.when(F.size("starts") > 0, F.col("starts")), True).alias("starts"), F.array_sort(F.collect_list(F.when(F.size("fits") > 0, F.struct(F.col("child.path").alias("path"), "child", "fits")))).alias("kids"))
+    found = met.where("full is not null").select("doc_id", "full", "kids", F.explode("starts").alias("stanza"))
+    for name in dict.fromkeys(n for x in patterns.values() for n in x.children):
+        wants = {k: number[id(x.children[name])] for k, x in patterns.items() if name in x.children}
+        want = reduce(lambda out, k: out.when(F.col("stanza") == k, F.lit(wants[k])), wants, F.when(F.lit(False), F.lit(None).cast("int")))
+        fit = let(want, lambda w: F.transform(F.filter("kids", lambda x: F.array_contains(x["fits"], w)), lambda x: x["child"]))
+        none = F.array(F.lit(None).cast(rows.schema["node"].dataType))
+        found = found.withColumn(name, F.explode(F.when(want.isNull(), none).otherwise(fit)))
+    return found.drop("kids")
+
+
 def prefixes(path: Column, itself: bool = True) -> Column:
     """A path and the paths of all its ancestors, longest first."""
     top = F.size(path) if itself else F.size(path) - 1
@@ -139,12 +259,12 @@ def prefixes(path: Column, itself: bool = True) -> Column:
 def parse_errors(forest: DataFrame) -> DataFrame:
     """Error and missing nodes that no other such node contains: those none of whose ancestors is one.
 
-    The forest is read once: each such node is filed under the paths of its ancestors and under its own, which marks those below it.
+    Each such node is filed under the paths of its ancestors and under its own, and meets the bad nodes of these paths alone.
     """
     bad = forest.where("error or missing").select("doc_id", F.struct("node_id", "kind", "path", "error", "missing").alias("node"))
     filed = bad.select("doc_id", "node", F.explode(prefixes(F.col("node.path"))).alias("above"))
     own = F.size("above") == F.size("node.path")
-    marked = filed.withColumn("bad", F.max(own).over(Window.partitionBy("doc_id", "above"))).withColumn("inner", F.col("bad") & ~own)
+    marked = filed.join(bad.select("doc_id", F.col("node.path").alias("above"), F.lit(True).alias("bad")), ["doc_id", "above"]).withColumn("inner", ~own)
     return marked.groupBy("doc_id", "node").agg(F.max("inner").alias("inner")).where("not inner").select("doc_id", "node.*")
 
 
@@ -157,7 +277,11 @@ def stanzas(matches: dict[int, DataFrame]) -> DataFrame:
     return either(*(m.withColumn("stanza", F.lit(k)) for k, m in matches.items()))
 
 
-def ordered(matches: DataFrame, *captures: str) -> DataFrame:
-    """match_ord, from 1 within a document and stanza, by the captures' places."""
+def ordered(matches: DataFrame, *captures: str, wide: bool = False) -> DataFrame:
+    """match_ord, from 1 within a document and stanza, by the captures' places; `wide`: for documents that no task can hold."""
+    if wide:
+        held = matches.withColumns({f"_{c}": F.col(f"{c}.path") for c in captures})
+        out = spread.numbered(held, ["doc_id", "stanza"], [f"_{c}" for c in captures], "match_ord")
+        return out.withColumn("match_ord", F.col("match_ord") + 1).drop(*(f"_{c}" for c in captures))
     by = Window.partitionBy("doc_id", "stanza").orderBy(*(F.col(f"{c}.path") for c in captures))
     return matches.withColumn("match_ord", F.row_number().over(by))

@@ -6,10 +6,11 @@ from collections import ChainMap
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.functions import values
+from copse.operators import spread
 from copse.operators.patterns import prefixes
 
 
@@ -75,14 +76,16 @@ def with_globals(matches: DataFrame, declared: list[Declared], common: Globals |
     return out.drop(*(f"_own_{d.name}" for d in declared)) if own is not None else out
 
 
-def bind(matches: DataFrame, scope: str, value: Column) -> DataFrame:
-    """(doc_id, scope, path, value): one binding of a name to capture `scope` a row."""
-    return matches.select("doc_id", F.col(f"{scope}.node_id").alias("scope"), F.col(f"{scope}.path").alias("path"), value.alias("value"))
+def bind(matches: DataFrame, scope: str, value: Column, site: Column | None = None) -> DataFrame:
+    """(doc_id, scope, path, value[, site]): one binding of a name to capture `scope` a row; `site`: the stanza, match and statement that made it, in an order."""
+    more = [] if site is None else [site.alias("site")]
+    return matches.select("doc_id", F.col(f"{scope}.node_id").alias("scope"), F.col(f"{scope}.path").alias("path"), value.alias("value"), *more)
 
 
 def duplicated(bindings: DataFrame) -> DataFrame:
-    """Scopes bound more than once, which a program must not do."""
-    return bindings.groupBy("doc_id", "scope").agg(F.count("*").alias("n")).where("n > 1")
+    """Scopes bound more than once, which a program must not do: how often, and the first and last site, if bindings say theirs."""
+    sites = [F.min("site").alias("first_site"), F.max("site").alias("last_site")] if "site" in bindings.columns else []
+    return bindings.groupBy("doc_id", "scope").agg(F.count("*").alias("n"), *sites).where("n > 1")
 
 
 def read(matches: DataFrame, bindings: DataFrame, scope: Column, name: str, needed: bool = True) -> DataFrame:
@@ -124,3 +127,56 @@ def along_path(matches: DataFrame, forest: DataFrame, scope: str, name: str, val
     held = steps.groupBy("doc_id", "_reader").agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("depth"), "brought"))).alias("way"))
     made = held.select("doc_id", "_reader", F.aggregate("way", start, lambda a, x: step(a, x["brought"])).alias(name))
     return matches.withColumn("_reader", F.col(f"{scope}.path")).join(made, ["doc_id", "_reader"], "left").drop("_reader")
+
+
+def as_of(reads: DataFrame, writes: DataFrame, scope: Column, order: list[str], name: str, needed: bool = True, wide: bool = False) -> DataFrame:
+    """`reads` with `name`: what the last write to the scope before each read left, in the order of the columns `order` (stanza, match, statement), which both have.
+
+    `writes`: (doc_id, scope, value, order...). A read of the same place as a write comes first, as in a statement that sets a variable to what is made of it.
+    Reads and writes of a scope are laid in one order and the last value is carried along; `wide`: for scopes that no task can hold. A read without a
+    write before fails the job if it is `needed`, else it gives null.
+    """
+    held = reads.select(F.struct(*reads.columns).alias("_row"), "doc_id", scope.alias("_scope"), *order, F.lit(0).alias("_write"))
+    wrote = writes.select("doc_id", F.col("scope").alias("_scope"), *order, F.lit(1).alias("_write"), F.struct("value").alias("_got"))
+    both = held.unionByName(wrote, allowMissingColumns=True)
+    keys, by = ["doc_id", "_scope"], [*order, "_write"]
+    if wide:
+        both = spread.carried(both, keys, by, "_got", "_last")
+    else:
+        both = both.withColumn("_last", F.last("_got", True).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
+    got = F.col("_last.value")
+    if needed:
+        got = F.when(F.col("_last").isNull(), F.raise_error(F.lit("UndefinedScopedVariable")).cast(writes.schema["value"].dataType)).otherwise(got)
+    return both.where("_write = 0").select("_row.*", got.alias(name))
+
+
+def closure(bindings: DataFrame, name: str = "end") -> DataFrame:
+    """(doc_id, scope, `name`, steps): where a variable that holds a node leads when it is read of what it holds, again and again, until a node has no such variable.
+
+    Cycles have no end: `name` and steps are null. `bindings`: (doc_id, scope, value), the value a node id, one row a scope.
+    """
+    found = spread.ends(bindings.select("doc_id", F.col("scope").alias("id"), F.col("value").cast("long").alias("to")))
+    return found.select("doc_id", F.col("id").alias("scope"), F.col("end").alias(name), "steps")
+
+
+def inherited_between(matches: DataFrame, bindings: DataFrame, scope: str, name: str) -> DataFrame:
+    """`inherited` by places instead of paths (`forests.from_parents`): the value bound to capture `scope` or to its nearest ancestor that has one, however deep the trees.
+
+    `bindings`: (doc_id, enter, exit, value). Their places are nested intervals. The last place before a reader's tells its binding: if one begins there, that one; if one ends there, what
+    that one lies in, which is found for all bindings together by pointer doubling.
+    """
+    marks = bindings.select("doc_id", F.explode(F.array(F.struct(F.col("enter").alias("at"), F.lit(0).alias("ends"), "enter"), F.struct(F.col("exit").alias("at"), F.lit(1).alias("ends"), "enter"))).alias("m"))
+    marks = marks.select("doc_id", "m.at", F.struct(F.col("m.enter").alias("of"), F.col("m.ends").alias("ends")).alias("mark"))
+    before = F.last("mark", True).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    seen = marks.withColumn("before", before).where("mark.ends = 0").select("doc_id", F.col("mark.of").alias("id"), "before")
+    after = spread.ends(seen.select("doc_id", "id", F.when(F.col("before.ends") == 1, F.col("before.of")).alias("to")))  # what one lies in is what its elder lies in
+    eldest = seen.join(after.select("doc_id", "id", "end"), ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("end", "id").alias("eldest"))
+    inside = seen.where("before.ends = 0").select("doc_id", F.col("id").alias("eldest"), F.col("before.of").alias("outer"))
+    outer = eldest.join(inside, ["doc_id", "eldest"], "left").select("doc_id", F.col("id").alias("of"), "outer")
+    readers = matches.select("doc_id", F.col(f"{scope}.enter").alias("at")).distinct()
+    both = readers.withColumn("_reads", F.lit(1)).unionByName(marks.withColumn("_reads", F.lit(0)), allowMissingColumns=True)
+    both = spread.carried(both, ["doc_id"], ["at", "_reads"], "mark", "last").where("_reads = 1").select("doc_id", "at", "last.of", "last.ends")
+    own = both.join(outer, ["doc_id", "of"], "left").select("doc_id", F.col("at").alias("_at"), F.when(F.col("ends") == 0, F.col("of")).otherwise(F.col("outer")).alias("_of"))
+    given = own.join(bindings.select("doc_id", F.col("enter").alias("_of"), F.struct("value").alias("_got")), ["doc_id", "_of"])
+    out = matches.withColumn("_at", F.col(f"{scope}.enter")).join(given.select("doc_id", "_at", "_got"), ["doc_id", "_at"], "left")
+    return out.withColumn(name, F.col("_got.value")).drop("_at", "_got")

@@ -4,20 +4,24 @@ Columns: doc_id, node_id (unique within its doc), parent_id (null for roots), ki
 missing, path (array<long>: the parent's path and one place more, so it
 compares in document order, and its prefixes are the ancestors), key, num, text. Nothing here is collected or windowed: ids
 and paths come from the rows' own keys, so a forest costs a scan (and, for orders, the join that gives lines their customer).
-Forests of texts have the nodes' places as well (`PLACES`, from 0, columns in bytes, the end after the last byte), where they are asked for.
+Forests of texts have the nodes' places as well (`PLACES`: rows and columns, and bytes from the text's start; from 0, columns in bytes, the end after the last byte), where
+they are asked for. Trees that come with parent pointers alone get their order by `from_parents`.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PLACES = ["start_row", "start_column", "end_row", "end_column"]
+from copse.functions.values import let
+from copse.operators import spread
+
+PLACES = ["start_row", "start_column", "end_row", "end_column", "start_byte", "end_byte"]
 COLUMNS = ["doc_id", "node_id", "parent_id", "kind", "field", "named", "error", "missing", "path", "key", "num", "text"]
 
 
@@ -36,12 +40,6 @@ def write_text_files(texts: DataFrame, path: str) -> None:
     texts.select("key", "line").repartition("key").sortWithinPartitions("key", "line").write.partitionBy("key").text(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, in the one that `spark.checkpoint.dir` names, or else in the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/sources-{uuid.uuid4().hex}"
-
-
 def node(df: DataFrame, doc: Column, kind: Column | str, path: list[Column], node_id: Column, parent: Column | None = None, field: str | None = None, named: bool = True, key: Column | None = None, num: Column | None = None, text: Column | None = None, places: list[Column] | None = None) -> DataFrame:
     none = F.lit(None)
     return df.select(
@@ -88,11 +86,6 @@ def geo_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(nations).unionByName(buyers).unionByName(sellers)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)`, with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def running(sizes: Column, stretch: int = 32) -> Column:
     """The sum of all elements before each one, made of sums over stretches, so that a long list does not take its length squared."""
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -121,19 +114,21 @@ def text_forest(spark: SparkSession, sf_dir: str, places: bool = False) -> DataF
     """document -> line* -> word*, cut at newlines and single spaces; num: position under the parent. An empty piece is a node with empty text."""
     col = F.col
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
+    rows = F.split("text", "\n", -1)
+    rows = located(rows, "\n") if places else F.transform(rows, lambda x: F.struct(x.alias("text"), F.lit(None).cast("long").alias("column")))
+    lines = d.select("doc_id", F.posexplode(rows).alias("row", "found")).select("doc_id", "row", col("found.text").alias("line"), col("found.column").alias("byte"))
     line_id = (col("row").cast("long") + 1) * (1 << 32)
     pieces = F.split("line", " ", -1)
     if places:
         pieces = located(pieces, " ")
-    words = lines.select("doc_id", "row", F.posexplode(pieces).alias("at", "word"))
+    words = lines.select("doc_id", "row", "byte", F.posexplode(pieces).alias("at", "word"))
     word, start = (col("word.text"), col("word.column")) if places else (col("word"), F.lit(None))
     bytes_ = lambda x: F.octet_length(x).cast("long")
     height = F.length("text") - F.length(F.replace(col("text"), F.lit("\n"), F.lit("")))
     none = F.lit(0)
-    whole = [none, none, height, bytes_(F.substring_index("text", "\n", -1))] if places else None
-    across = [col("row"), none, col("row"), bytes_("line")] if places else None
-    within = [col("row"), start, col("row"), start + bytes_(word)] if places else None
+    whole = [none, none, height, bytes_(F.substring_index("text", "\n", -1)), none, bytes_("text")] if places else None
+    across = [col("row"), none, col("row"), bytes_("line"), col("byte"), col("byte") + bytes_("line")] if places else None
+    within = [col("row"), start, col("row"), start + bytes_(word), col("byte") + start, col("byte") + start + bytes_(word)] if places else None
     root = node(d, col("doc_id"), "document", [], F.lit(0), key=col("doc_id"), text=col("text"), places=whole)
     line = node(lines, col("doc_id"), "line", [col("row")], line_id, F.lit(0), "lines", key=col("row"), num=col("row"), text=col("line"), places=across)
     words = node(words, col("doc_id"), "word", [col("row"), col("at")], line_id + col("at") + 1, line_id, "words", key=col("at"), num=col("at"), text=word, places=within)
@@ -148,15 +143,30 @@ def chat_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """object -> pair* -> key, value of each event's flat `props`; the key is an anonymous node, the value a named one."""
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    root = node(e, F.col("event_id"), "object", [], F.lit(0), key=F.col("event_id"))
-    pairs = e.select("event_id", F.posexplode(F.array_sort(F.map_entries("m"))).alias("at", "p"))
-    pair_id = (F.col("at").cast("long") + 1) * 4
-    pair = node(pairs, F.col("event_id"), "pair", [F.col("at")], pair_id, F.lit(0), "pairs", num=F.col("at"))
-    keys = node(pairs, F.col("event_id"), "key", [F.col("at"), F.lit(0)], pair_id + 1, pair_id, "key", named=False, text=F.col("p.key"))
-    values = node(pairs, F.col("event_id"), "value", [F.col("at"), F.lit(1)], pair_id + 2, pair_id, "value", text=F.col("p.value"))
-    return root.unionByName(pair).unionByName(keys).unionByName(values)
+    """object -> pair* -> key, value of each event's flat `props`; the key is an anonymous node, the value a named one. The table is read once."""
+    e = table(spark, sf_dir, "events").select("event_id", F.array_sort(F.map_entries(F.from_json("props", "map<string,string>"))).alias("pairs"))
+
+    def made(kind: str, field: str | None, node_id: Column, parent: Column | None, path: list[Column], named: bool = True, num: Column | None = None, text: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            node_id.cast("long").alias("node_id"),
+            (none if parent is None else parent).cast("long").alias("parent_id"),
+            F.lit(kind).alias("kind"),
+            F.lit(field).cast("string").alias("field"),
+            F.lit(named).alias("named"),
+            F.array(*(x.cast("long") for x in path)).cast("array<long>").alias("path"),
+            (none if num is None else num).cast("long").alias("num"),
+            (none if text is None else text).cast("string").alias("text"),
+        )
+
+    def pair(p: Column, at: Column) -> Column:
+        own = (at.cast("long") + 1) * 4
+        return F.array(made("pair", "pairs", own, F.lit(0), [at], num=at), made("key", "key", own + 1, own, [at, F.lit(0)], False, text=p["key"]), made("value", "value", own + 2, own, [at, F.lit(1)], text=p["value"]))
+
+    nodes = F.concat(F.array(made("object", None, F.lit(0), None, [])), F.coalesce(F.flatten(F.transform("pairs", pair)), F.array()))
+    rows = e.select(F.col("event_id").cast("long").alias("doc_id"), F.explode(nodes).alias("n")).select("doc_id", "n.*")
+    key = F.when(F.col("kind") == "object", F.col("doc_id"))
+    return rows.withColumns({"error": F.lit(False), "missing": F.lit(False), "key": key}).select(*COLUMNS)
 
 
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
@@ -226,7 +236,7 @@ class _Tags(HTMLParser):
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "node", "parent", "tag", "href", "error", "missing", "text", "path", *PLACES]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 6]
     for whole in batches:
         for lo in range(0, whole.num_rows, 128):
             batch, cols = whole.slice(lo, 128), [[] for _ in names]
@@ -236,18 +246,53 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parser.close()
                 for i in parser.open[1:]:
                     parser.rows[i][5] = True
+                starts = [0, *accumulate(len(x.encode(errors="replace")) + 1 for x in parser.lines)]
                 for row in parser.rows:
-                    for c, v in zip(cols, [page, *row], strict=True):
+                    for c, v in zip(cols, [page, *row, starts[row[8]] + row[9], starts[row[10]] + row[11]], strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def html_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page -> elements and text, with their places; elements never closed are `missing`, stray end tags `error`; an element's text is its href."""
+    """page -> elements and text, with their places; elements never closed are `missing`, stray end tags `error`; `href`: that attribute of an element."""
     return pages_forest(table(spark, sf_dir, "pages"))
 
 
 def pages_forest(pages: DataFrame) -> DataFrame:
     """The same of `pages`(page_id, html)."""
     rows = pages.select("page_id", "html").mapInArrow(_pages, "page_id long, node long, parent long, tag string, href string, error boolean, missing boolean, text string, path array<long>, " + ", ".join(f"{p} long" for p in PLACES))
-    return rows.select(F.col("page_id").alias("doc_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("tag").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit(True).alias("named"), "error", "missing", "path", F.col("node").alias("key"), F.lit(None).cast("long").alias("num"), F.coalesce("text", "href").alias("text"), *PLACES)
+    return rows.select(F.col("page_id").alias("doc_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("tag").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit(True).alias("named"), "error", "missing", "path", F.col("node").alias("key"), F.lit(None).cast("long").alias("num"), "text", *PLACES, "href")
+
+
+def with_source(matches: DataFrame, documents: DataFrame, capture: str, name: str) -> DataFrame:
+    """`matches` with column `name`: the bytes that capture `capture` covers in its document's text, of `documents`(doc_id, text), whatever its kind."""
+    texts = documents.select(F.col("doc_id").alias("_doc"), F.encode("text", "UTF-8").alias("_bytes"))
+    node = F.col(capture)
+    cut = F.substring("_bytes", (node["start_byte"] + 1).cast("int"), (node["end_byte"] - node["start_byte"]).cast("int"))
+    return matches.join(texts, F.col("doc_id") == F.col("_doc"), "left").withColumn(name, F.decode(cut, "UTF-8")).drop("_doc", "_bytes")
+
+
+def from_parents(nodes: DataFrame, *order: str) -> DataFrame:
+    """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`.
+
+    A node lies below another where its places lie between the other's. Each node is entered, its children are walked in turn, and it is left: that is one list a
+    document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made.
+    Nodes whose parent is not there, or that hang on themselves, have no places.
+    """
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy(*order)
+    step = nodes.select("doc_id", "node_id", "parent_id", F.lead("node_id").over(siblings).alias("next"), F.row_number().over(siblings).alias("at"))
+    first = step.where("at = 1 and parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    step = step.join(first, ["doc_id", "node_id"], "left")
+    event = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
+    enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.coalesce(F.when(F.col("child").isNotNull(), event(F.col("child"), 0)), event(F.col("node_id"), 1)).alias("to"))
+    leave = F.struct(event(F.col("node_id"), 1).alias("id"), F.coalesce(F.when(F.col("next").isNotNull(), event(F.col("next"), 0)), F.when(F.col("parent_id").isNotNull(), event(F.col("parent_id"), 1))).alias("to"))
+    links = step.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*")
+    ranked = spread.ends(links, F.when(F.col("id.side") == 0, 1).otherwise(0))
+    found = ranked.where("end is not null").select("doc_id", "id.*", "steps", "weight", "end")
+    found = found.join(links.where("to is null").select("doc_id", F.col("id").alias("end")), ["doc_id", "end"], "left_semi")  # a chain that ends elsewhere hangs on a missing parent
+    total = found.groupBy("doc_id").agg(F.max("steps").alias("most"), F.max("weight").alias("nodes"))
+    placed = found.join(total, "doc_id")
+    into = placed.where("side = 0").select("doc_id", F.col("node").alias("node_id"), (F.col("most") - F.col("steps")).alias("enter"), (2 * (F.col("nodes") - F.col("weight")) - (F.col("most") - F.col("steps"))).alias("depth"))
+    out = placed.where("side = 1").select("doc_id", F.col("node").alias("node_id"), (F.col("most") - F.col("steps")).alias("exit"))
+    last = links.where("to is null").select("doc_id", F.col("id.node").alias("node_id")).join(total, "doc_id").select("doc_id", "node_id", F.col("most").alias("exit"))
+    return nodes.join(into, ["doc_id", "node_id"], "left").join(out.unionByName(last), ["doc_id", "node_id"], "left")
