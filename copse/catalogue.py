@@ -11,6 +11,7 @@ from copse.functions import standard, values
 from copse.operators import graphs, loops, scoping
 from copse.operators import patterns as p
 from copse.sources import forests, scratch
+from copse.streaming import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -841,5 +842,29 @@ def inherit_between(spark, sf_dir):
     return scoping.inherited_between(lines, bound, "l", "v").select(c("l.key").alias("part"), "v")
 
 
+# --- streams ---------------------------------------------------------------------------------------------------------------
+
+
+def _talk(turns: DataFrame) -> graphs.Graph:
+    """A node for each turn and its conversation, an edge from each turn to the next, which says who speaks then."""
+    forest = forests.turns_forest(turns)
+    made = graphs.numbered(p.picked(forest), "path").select("doc_id", "node", "kind", "parent_id")
+    later = made.where("parent_id is not null").select("doc_id", (c("node") - 1).alias("source"), c("node").alias("sink"), "kind")
+    named = graphs.attributes(made, {"kind": values.string(c("kind"))}, "node").unionByName(graphs.attributes(later, {"then": values.string(c("kind"))}, "source", "sink"))
+    return graphs.Graph(made.select("doc_id", "node"), graphs.edges(later), named)
+
+
+@query("WITH n AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS node, role FROM conversations) SELECT doc_id, node - 1 AS source, node AS sink, '{\"type\":\"string\",\"string\":\"' || role || '\"}' AS value FROM n")
+def stream_graph(spark, sf_dir):
+    """Conversations that arrive in eight files, two a batch, and are made a graph batch by batch."""
+    turns = forests.table(spark, sf_dir, "conversations")
+    turns.repartition(8, "conv_id").write.parquet(arrived := scratch.folder(spark, "arrived"))
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    kept = store.GraphStore(spark, scratch.folder(spark, "graphs"))
+    store.filled(stream, _talk, kept, scratch.folder(spark, "stream"))
+    g = kept.graph()
+    return g.edges.join(g.attrs.where("owner = 'edge'"), ["doc_id", "source", "sink"]).select("doc_id", "source", "sink", "value")
+
+
 ORACLES["q_globals"] = ORACLES.pop("q_globals_")
 QUERIES["q_globals"] = QUERIES.pop("q_globals_")

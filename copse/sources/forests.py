@@ -137,7 +137,11 @@ def text_forest(spark: SparkSession, sf_dir: str, places: bool = False) -> DataF
 
 def chat_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversation -> one node a turn, of its role's kind; num: turn."""
-    c = table(spark, sf_dir, "conversations")
+    return turns_forest(table(spark, sf_dir, "conversations"))
+
+
+def turns_forest(c: DataFrame) -> DataFrame:
+    """The same of `c`(conv_id, turn, role, text)."""
     root = node(c.select("conv_id").distinct(), F.col("conv_id"), "conversation", [], F.lit(-1), key=F.col("conv_id"))
     return root.unionByName(node(c, F.col("conv_id"), F.col("role"), [F.col("turn")], F.col("turn"), F.lit(-1), "turns", key=F.col("turn"), num=F.col("turn"), text=F.col("text")))
 
