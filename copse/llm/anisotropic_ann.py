@@ -5,7 +5,8 @@ and centres minimise an anisotropic loss: of a row's residual r, the part parall
 matter, costs `parallel` times as much as the rest: |r|^2 + (parallel - 1) (r.x)^2. Codes are found by coordinate descent over
 the subspaces (the parallel part couples them), centres by solving that loss on a bounded sample of at most `sample` rows, the
 only part fitted on a sample; every row is coded. A query's table of 16 scores a subspace is joined into 256 scores a byte, scanned over
-a block's codes; the `rerank` best of each block are scored exactly on the original vectors, in double precision.
+a block's codes; the `rerank` best of each block are scored exactly on the original vectors, in double precision. Rows travel with their codes and with their vectors as they came (single
+precision stays single), once for a block of up to 16,384 queries.
 
 Rows are filed under the nearest of at most `cells` coarse centres (k-means on the sample, about the square root of the rows), and a query
 is sent to the fewest cells that hold `cover` of the sample's own true neighbours: few where rows cluster, nearly all where they do not.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.shared import groups, ints, settle
-from copse.llm.vectors import from_binary, grouped, matrix, usable
+from copse.llm.vectors import block_rows, from_binary, grouped, matrix, usable
 from copse.llm.voronoi_knn import crossed, ranked
 
 CENTRES = 16
@@ -105,7 +106,7 @@ def probes_for(x: np.ndarray, coarse: np.ndarray, k: int, cover: float, asked: i
     return int(place[min(len(place) - 1, int(cover * len(place)))]) + 1 if len(place) else 1
 
 
-def _coded(dims: int, sub: int, centres: np.ndarray, parallel: float, coarse: np.ndarray):
+def _coded(dims: int, kind: type, sub: int, centres: np.ndarray, parallel: float, coarse: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
@@ -115,23 +116,27 @@ def _coded(dims: int, sub: int, centres: np.ndarray, parallel: float, coarse: np
                 codes = encode(padded(u, sub), centres, parallel)
                 cell = (u @ coarse.T - (coarse * coarse).sum(1) / 2).argmax(1)
                 data = (codes[:, ::2] | (codes[:, 1::2] << 4)).tobytes()
-                step, size = centres.shape[0] // 2, 8 * dims
-                raw = x.tobytes()
+                step, size = centres.shape[0] // 2, np.dtype(kind).itemsize * dims
+                raw = x.astype(kind).tobytes()
                 v = [data[i * step : (i + 1) * step] + raw[i * size : (i + 1) * size] for i in range(len(x))]
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("is_query"), ints(cell), pa.array(v, type=pa.binary())], names=["vec_id", "is_query", "grp", "v"])
 
     return run
 
 
-def _probed(dims: int, skip: int, coarse: np.ndarray, held: np.ndarray, probes: int, least: int):
+def _vectors(both: np.ndarray, skip: int, kind: type) -> np.ndarray:
+    """The original vectors behind the codes, in double precision."""
+    return np.ascontiguousarray(both[:, skip:]).view(kind).astype(np.float64)
+
+
+def _probed(dims: int, kind: type, skip: int, coarse: np.ndarray, held: np.ndarray, probes: int, least: int):
     """Each query once for each cell that it looks into; `held` rows are in each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 part = whole.slice(lo, 1024)
-                both = from_binary(part.column("v"), np.uint8, skip + 8 * dims)
-                u = unit(np.ascontiguousarray(both[:, skip:]).view(np.float64))
+                u = unit(_vectors(from_binary(part.column("v"), np.uint8, skip + np.dtype(kind).itemsize * dims), skip, kind))
                 order = np.argsort(-(u @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1, kind="stable")
                 before = np.cumsum(held[order], axis=1) - held[order]
                 row, at = np.nonzero((np.arange(len(coarse)) < probes) | (before < least))
@@ -142,15 +147,15 @@ def _probed(dims: int, skip: int, coarse: np.ndarray, held: np.ndarray, probes:
     return run
 
 
-def _search(dims: int, sub: int, centres: np.ndarray, k: int, rerank: int):
+def _search(dims: int, kind: type, sub: int, centres: np.ndarray, k: int, rerank: int):
     m = centres.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["grp", "qb", "db"]):
             query = rows.column("is_query").to_numpy(zero_copy_only=False)
             ids = rows.column("vec_id").to_numpy()
-            both = from_binary(rows.column("v").combine_chunks(), np.uint8, m // 2 + 8 * dims)
-            x = np.ascontiguousarray(both[:, m // 2 :]).view(np.float64)
+            both = from_binary(rows.column("v").combine_chunks(), np.uint8, m // 2 + np.dtype(kind).itemsize * dims)
+            x = _vectors(both, m // 2, kind)
             norms = np.sqrt((x * x).sum(1))
             q, qid, xid = x[query], ids[query], ids[~query]
             codes = np.ascontiguousarray(both[~query, : m // 2].T)
@@ -179,7 +184,7 @@ def _search(dims: int, sub: int, centres: np.ndarray, k: int, rerank: int):
     return run
 
 
-def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, cells: int = 256, cover: float = 0.99, query_block: int = 1024, data_block: int = 4096) -> DataFrame:
+def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, cells: int = 256, cover: float = 0.99, query_block: int | None = None, data_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest cosines found for every row of `vectors` where `is_query`."""
     spark = vectors.sparkSession
     some = F.exists("embedding", lambda x: x != 0)
@@ -187,15 +192,17 @@ def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int =
     dims, n, asking = rows.agg(F.max(F.size("embedding")), F.count("*"), F.count_if("q")).first()
     if not dims or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64  # as exact as they came
+    query_block, data_block = query_block or block_rows(asking, dims), data_block or block_rows(n, dims)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     x = unit(matrix(chosen.column("embedding"), dims))
     centres = fit(padded(x, sub), sub, parallel)
     coarse = grouped(x, max(1, min(cells, math.isqrt(n) // 4, len(x) // 16)))[0]
-    coded = settle(rows.withColumnRenamed("q", "is_query").mapInArrow(_coded(dims, sub, centres, parallel, coarse), "vec_id long, is_query boolean, grp long, v binary"), "codes")
+    coded = settle(rows.withColumnRenamed("q", "is_query").mapInArrow(_coded(dims, kind, sub, centres, parallel, coarse), "vec_id long, is_query boolean, grp long, v binary"), "codes")
     held = np.zeros(len(coarse), dtype=np.int64)
     for grp, rows_ in coded.groupBy("grp").count().collect():
         held[grp] = rows_
-    asked = coded.where("is_query").mapInArrow(_probed(dims, centres.shape[0] // 2, coarse, held, probes_for(x, coarse, k, cover), k + 1), "vec_id long, is_query boolean, grp long, v binary")
+    asked = coded.where("is_query").mapInArrow(_probed(dims, kind, centres.shape[0] // 2, coarse, held, probes_for(x, coarse, k, cover), k + 1), "vec_id long, is_query boolean, grp long, v binary")
     asked = settle(asked, "asked")
     nd = F.element_at(F.array(*(F.lit(max(1, -(-int(h) // data_block))).cast("long") for h in held)), (F.col("grp") + 1).cast("int"))
     sizes = asked.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq")).withColumn("nd", nd)
@@ -203,5 +210,5 @@ def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int =
     salt = F.xxhash64("vec_id", F.monotonically_increasing_id())
     q = asked.withColumn("salt", salt).join(sizes, "grp").withColumn("qb", F.pmod("salt", "nq"))
     x = coded.withColumn("is_query", F.lit(False)).withColumn("salt", salt).join(sizes, "grp").withColumn("db", F.pmod("salt", "nd"))
-    found = crossed(q, x).mapInArrow(_search(dims, sub, centres, k, rerank), "query_id long, vec_id long, score double")
+    found = crossed(q, x).mapInArrow(_search(dims, kind, sub, centres, k, rerank), "query_id long, vec_id long, score double")
     return ranked(found, k)

@@ -20,7 +20,7 @@ BATCH_BYTES, TEXT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that driver and executors share, `spark.checkpoint.dir`.
 
-    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error, as executors
+    Where that is unset, a local session (tests) gets a temporary folder, deleted when it ends; on a cluster it is an error, as executors
     would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='copse-')}"
         spark.conf.set("spark.checkpoint.dir", path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return f"{path.rstrip('/')}/copse/{spark.sparkContext.applicationId}{_INSIDE.get()}"
 
 

@@ -66,3 +66,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
             out[i] = c[np.argsort(-s[i][c], kind="stable")[:k]]
         return order[out]
     return order[np.argsort(-s, axis=1, kind="stable")]
+
+
+def block_rows(rows: int, dims: int, most: int = 16_384, memory: int = 32 << 20) -> int:
+    """Rows of a block: so many that rows are copied seldom (once for each block of the other side), but a 64th of few rows, and no more than `memory` bytes in double precision."""
+    return max(64, min(most, max(1024, rows // 64), memory // (8 * dims)))

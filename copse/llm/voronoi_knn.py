@@ -7,7 +7,7 @@ each the least of a part of the cell. All rows of a vec_id are in one part, so a
 give is an upper bound t of its k-th distance. A cell is out of a query's reach if the plane
 between the two pivots is farther from the query than t; of the others the triangle inequality leaves a ring around the pivot.
 Queries of neighbouring cells (k-means over the pivots) form a group; a group unites its queries' rings cell by cell, and a data row is copied only to the groups
-whose ring in its cell holds it. Groups hold about `query_block` queries, so where nothing can be left out a row is copied once
+whose ring in its cell holds it. Groups hold about `query_block` queries (up to 16,384), so where nothing can be left out a row is copied once
 for a block of queries, as an exact search must. Copies are searched in blocks, each giving k rows a query at most.
 
 Only pivots (at most `pivots`), cells' summaries and groups' rings (at most `groups` for each cell) reach the driver or are broadcast; these bounds do not grow with the data.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from copse.llm.shared import drop, ints, settle
 from copse.llm.shared import groups as runs_of
-from copse.llm.vectors import best, binary, from_binary, grouped, matrix, usable
+from copse.llm.vectors import best, binary, block_rows, from_binary, grouped, matrix, usable
 
 
 #: Parts of a cell, by a hash of vec_id.
@@ -136,7 +136,7 @@ def crossed(queries: DataFrame, data: DataFrame) -> DataFrame:
     return q.select(*cols).unionByName(x.select(*cols)).repartition("grp", "qb", "db").sortWithinPartitions("grp", "qb", "db")
 
 
-def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 2048, groups: int = 128, query_block: int = 4096, data_block: int = 4096) -> DataFrame:
+def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, pivots: int = 2048, groups: int = 128, query_block: int | None = None, data_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer inner products for every row of `vectors` where `is_query`."""
     spark = vectors.sparkSession
     rows = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -146,6 +146,7 @@ def voronoi_knn(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     dims, top, widest, n, asking = rows.agg(F.max(F.size("embedding")), F.max(norm), F.max(widest), F.count("*"), F.count_if("q")).first()
     if not dims or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    query_block, data_block = query_block or block_rows(asking, dims), data_block or block_rows(n, dims)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(pivots, max(16, math.isqrt(n)))).select("embedding").toArrow()
     base = np.floor(scale * matrix(chosen.column("embedding"), dims))
     p = np.unique(np.hstack([base, np.sqrt(np.maximum(0.0, top - (base * base).sum(1)))[:, None]]), axis=0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from copse.llm import shared
 from copse.llm import voronoi_knn as voronoi
 from copse.llm.anisotropic_ann import anisotropic_ann, encode, fit, probes_for, unit
-from copse.llm.vectors import grouped
+from copse.llm.vectors import block_rows, grouped
 from copse.llm.voronoi_knn import voronoi_knn
 
 
@@ -162,3 +162,21 @@ def test_parallel_error_costs_more():
         back = np.stack([centres[j][codes[:, j]] for j in range(8)], axis=1).reshape(800, 16)
         errors[weight] = float((((x - back) * x).sum(1) ** 2).mean())
     assert errors[6.0] < errors[1.0]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_scores_are_as_exact_as_the_vectors(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 8))
+    x = np.float32(x).astype(np.float64) if kind == "float" else x
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = anisotropic_ann(df, F.col("vec_id") % 50 == 0, data_block=100).collect()
+    assert len(got) == 30
+    for r in got:
+        a, b = x[r.query_id], x[r.vec_id]
+        assert abs(r.score - (a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))) < 1e-14
+
+
+def test_blocks_follow_the_rows_and_the_memory():
+    assert [block_rows(n, 64) for n in (1, 10_000, 500_000, 10**9)] == [1024, 1024, 7812, 16_384]
+    assert block_rows(10**9, 4096) == 1024 and block_rows(10**9, 10**6) == 64
