@@ -531,6 +531,22 @@ def fn_call(spark, sf_dir):
     return e.select(c("event_id").alias("k"), functions.call("twice", F.length("event_type").cast("long")).alias("twice"), functions.call("eq", F.lit("view"), c("event_type")).alias("same"))
 
 
+@query("SELECT event_id AS k, least(greatest(event_id, 5), 500) AS a, least(event_id, 4294967295) AS b, event_id + 2 * user_id AS c, 0::BIGINT AS d FROM events")
+def fn_parameters(spark, sf_dir):
+    """Functions with a parameter that may be left out, and with any number of them; a call that does not fit is refused when the plan is made."""
+    functions = standard.standard()
+    functions.add("clamp", lambda x, low=0, high=values.TOP: F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    for name, args in (("clamp", ()), ("clamp", (F.lit(1), 2, 3, 4)), ("is-null", ()), ("replace", (F.lit("a"), "a"))):
+        try:
+            functions.call(name, *args)
+        except TypeError:
+            continue
+        raise AssertionError(f"{name} took {len(args)} parameters")
+    call, e = functions.call, forests.table(spark, sf_dir, "events")
+    k, user = c("event_id"), c("user_id")
+    return e.select(k.alias("k"), call("clamp", k, 5, 500).alias("a"), call("clamp", k).alias("b"), call("plus", k, user, user).alias("c"), call("plus").alias("d"))
+
+
 @query("SELECT event_id AS k, NOT (event_type = 'view') AS n, (event_type = 'view' AND user_id > 100) AS a, (event_type = 'view' OR user_id > 100) AS o, true AS none_and, false AS none_or FROM events")
 def fn_boolean(spark, sf_dir):
     view, late = c("event_type") == "view", c("user_id") > 100

@@ -182,6 +182,7 @@ class Registry:
         self.by_name: dict[str, Callable[..., Column]] = {}
 
     def add(self, name: str, builder: Callable[..., Column]) -> None:
+        """`builder`'s own parameters say what may be given: needed ones, those with a default, and any number more (`*args`)."""
         self.by_name[name] = builder
 
     def call(self, name: str, *args) -> Column:

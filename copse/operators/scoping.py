@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from copse.functions import values
 from copse.operators import spread
 from copse.operators.patterns import prefixes
+from copse.sources.scratch import written
 
 
 class Globals:
@@ -165,18 +166,23 @@ def inherited_between(matches: DataFrame, bindings: DataFrame, scope: str, name:
     `bindings`: (doc_id, enter, exit, value). Their places are nested intervals. The last place before a reader's tells its binding: if one begins there, that one; if one ends there, what
     that one lies in, which is found for all bindings together by pointer doubling.
     """
-    marks = bindings.select("doc_id", F.explode(F.array(F.struct(F.col("enter").alias("at"), F.lit(0).alias("ends"), "enter"), F.struct(F.col("exit").alias("at"), F.lit(1).alias("ends"), "enter"))).alias("m"))
-    marks = marks.select("doc_id", "m.at", F.struct(F.col("m.enter").alias("of"), F.col("m.ends").alias("ends")).alias("mark"))
-    before = F.last("mark", True).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    seen = marks.withColumn("before", before).where("mark.ends = 0").select("doc_id", F.col("mark.of").alias("id"), "before")
-    after = spread.ends(seen.select("doc_id", "id", F.when(F.col("before.ends") == 1, F.col("before.of")).alias("to")))  # what one lies in is what its elder lies in
+    def mark(at: str, ends: int) -> Column:
+        return F.struct(F.col(at).alias("at"), F.lit(1).alias("turn"), F.struct(F.col("enter").alias("of"), F.lit(ends).alias("ends")).alias("mark"))
+
+    def asked(at: Column, turn: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(None).cast("struct<of:long,ends:int>").alias("mark"))
+
+    whole = bindings.select("doc_id", F.col("enter").cast("long").alias("enter"), F.col("exit").cast("long").alias("exit"))
+    events = whole.select("doc_id", F.explode(F.array(asked(F.col("enter"), 0), mark("enter", 0), mark("exit", 1))).alias("e"))  # what is before a binding, it, and its end
+    readers = matches.select("doc_id", F.col(f"{scope}.enter").cast("long").alias("at")).distinct().select("doc_id", asked(F.col("at"), 2).alias("e"))
+    told = spread.carried(events.unionByName(readers).select("doc_id", "e.*"), ["doc_id"], ["at", "turn"], "mark", "last")
+    told = written(told.where("turn <> 1").select("doc_id", "at", "turn", "last.of", "last.ends"), "told")
+    seen = told.where("turn = 0").select("doc_id", F.col("at").alias("id"), "of", "ends")
+    after = spread.ends(seen.select("doc_id", "id", F.when(F.col("ends") == 1, F.col("of")).alias("to")))  # what one lies in is what its elder lies in
     eldest = seen.join(after.select("doc_id", "id", "end"), ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("end", "id").alias("eldest"))
-    inside = seen.where("before.ends = 0").select("doc_id", F.col("id").alias("eldest"), F.col("before.of").alias("outer"))
+    inside = seen.where("ends = 0").select("doc_id", F.col("id").alias("eldest"), F.col("of").alias("outer"))
     outer = eldest.join(inside, ["doc_id", "eldest"], "left").select("doc_id", F.col("id").alias("of"), "outer")
-    readers = matches.select("doc_id", F.col(f"{scope}.enter").alias("at")).distinct()
-    both = readers.withColumn("_reads", F.lit(1)).unionByName(marks.withColumn("_reads", F.lit(0)), allowMissingColumns=True)
-    both = spread.carried(both, ["doc_id"], ["at", "_reads"], "mark", "last").where("_reads = 1").select("doc_id", "at", "last.of", "last.ends")
-    own = both.join(outer, ["doc_id", "of"], "left").select("doc_id", F.col("at").alias("_at"), F.when(F.col("ends") == 0, F.col("of")).otherwise(F.col("outer")).alias("_of"))
+    own = told.where("turn = 2").join(outer, ["doc_id", "of"], "left").select("doc_id", F.col("at").alias("_at"), F.when(F.col("ends") == 0, F.col("of")).otherwise(F.col("outer")).alias("_of"))
     given = own.join(bindings.select("doc_id", F.col("enter").alias("_of"), F.struct("value").alias("_got")), ["doc_id", "_of"])
     out = matches.withColumn("_at", F.col(f"{scope}.enter")).join(given.select("doc_id", "_at", "_got"), ["doc_id", "_at"], "left")
     return out.withColumn(name, F.col("_got.value")).drop("_at", "_got")

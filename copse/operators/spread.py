@@ -6,6 +6,8 @@ range, and one row for each key and range carries sums or last values to the ran
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,24 +54,20 @@ def ends(links: DataFrame, weight: Column | None = None) -> DataFrame:
     An id that no row has, or whose `to` is null, is an end. Every round doubles how far each id sees, so there are about log(longest chain) of them; every
     round finds some id's end as long as an id has one, so when none does the rest are cycles. `weight`: what is summed over the ids that a chain leaves.
     """
+    columns = ["doc_id", "id", "end", "steps", "weight"]
     start = links.where("to is not null").select("doc_id", "id", F.col("to").alias("end"), F.lit(1).cast("long").alias("steps"), (F.lit(1) if weight is None else weight).cast("long").alias("weight"))
-    now = written(start, "links")
-    heads = now.select("doc_id", "id")
-    open_ = written(now.join(heads.select("doc_id", F.col("id").alias("end")), ["doc_id", "end"], "left_semi").select(*start.columns), "open")
-    done = written(now.join(open_.select("doc_id", "id"), ["doc_id", "id"], "left_anti").select(*start.columns), "done")
-    found, left = done.count(), open_.count()
-    forget(now)
-    while left and found:
-        on = ["doc_id", "end"]
-        both = open_.withColumn("_done", F.lit(False)).unionByName(done.withColumn("_done", F.lit(True)))
-        ahead = both.select("doc_id", F.col("id").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("weight").alias("_weight"), "_done")
-        step = open_.join(ahead, on).select("doc_id", "id", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("weight") + F.col("_weight")).alias("weight"), "_done")
-        step = written(step, "step")
-        old = open_, done
-        open_, closed = written(step.where("not _done").drop("_done"), "open"), step.where("_done").drop("_done")
-        done = written(old[1].unionByName(closed), "done")
-        for table in (step, *old):
-            forget(table)
-        found, left = left - open_.count(), open_.count()
-    lost = open_.select("doc_id", "id", F.lit(None).cast(start.schema["end"].dataType).alias("end"), F.lit(None).cast("long").alias("steps"), F.lit(None).cast("long").alias("weight"))
-    return done.unionByName(lost)
+    start = written(start, "links")
+    heads = start.select("doc_id", F.col("id").alias("end"), F.lit(True).alias("_goes_on"))
+    rounds = [written(start.join(heads, ["doc_id", "end"], "left").select(*columns, F.col("_goes_on").isNull().alias("_done")), "ends")]
+    while True:
+        counts = dict(map(tuple, rounds[-1].groupBy("_done").count().collect()))
+        if not counts.get(False) or not counts.get(True):
+            break
+        open_ = rounds[-1].where("not _done")
+        known = reduce(DataFrame.unionByName, (r.where("_done") for r in rounds), open_)
+        ahead = known.select("doc_id", F.col("id").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("weight").alias("_weight"), F.col("_done").alias("_found"))
+        step = open_.join(ahead, ["doc_id", "end"])
+        rounds.append(written(step.select("doc_id", "id", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("weight") + F.col("_weight")).alias("weight"), F.col("_found").alias("_done")), "ends"))
+    forget(start)
+    lost = rounds[-1].where("not _done").select("doc_id", "id", *(F.lit(None).cast(start.schema[c].dataType).alias(c) for c in columns[2:]))
+    return reduce(DataFrame.unionByName, (r.where("_done").select(*columns) for r in rounds), lost)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from copse.functions.values import let
 from copse.operators import spread
+from copse.sources.scratch import written
 
 PLACES = ["start_row", "start_column", "end_row", "end_column", "start_byte", "end_byte"]
 COLUMNS = ["doc_id", "node_id", "parent_id", "kind", "field", "named", "error", "missing", "path", "key", "num", "text"]
@@ -290,7 +291,7 @@ def from_parents(nodes: DataFrame, *order: str) -> DataFrame:
     event = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
     enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.coalesce(F.when(F.col("child").isNotNull(), event(F.col("child"), 0)), event(F.col("node_id"), 1)).alias("to"))
     leave = F.struct(event(F.col("node_id"), 1).alias("id"), F.coalesce(F.when(F.col("next").isNotNull(), event(F.col("next"), 0)), F.when(F.col("parent_id").isNotNull(), event(F.col("parent_id"), 1))).alias("to"))
-    links = step.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*")
+    links = written(step.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*"), "walk")
     ranked = spread.ends(links, F.when(F.col("id.side") == 0, 1).otherwise(0))
     found = ranked.where("end is not null").select("doc_id", "id.*", "steps", "weight", "end")
     found = found.join(links.where("to is null").select("doc_id", F.col("id").alias("end")), ["doc_id", "end"], "left_semi")  # a chain that ends elsewhere hangs on a missing parent
