@@ -48,14 +48,15 @@ def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     return _joined(own, before, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_range", "_carried")
 
 
-def ends(links: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(doc_id, id, end, steps, weight) of every id in `links`(doc_id, id, to; one row an id): the end of its chain, null if it runs into a cycle.
+def ends(links: DataFrame, **weights: Column) -> DataFrame:
+    """(doc_id, id, end, steps, weights...) of every id in `links`(doc_id, id, to; one row an id): the end of its chain, null if it runs into a cycle.
 
     An id that no row has, or whose `to` is null, is an end. Every round doubles how far each id sees, so there are about log(longest chain) of them; every
-    round finds some id's end as long as an id has one, so when none does the rest are cycles. `weight`: what is summed over the ids that a chain leaves.
+    round finds some id's end as long as an id has one, so when none does the rest are cycles. `weights`: what is summed over the ids that a chain leaves.
     """
-    columns = ["doc_id", "id", "end", "steps", "weight"]
-    start = links.where("to is not null").select("doc_id", "id", F.col("to").alias("end"), F.lit(1).cast("long").alias("steps"), (F.lit(1) if weight is None else weight).cast("long").alias("weight"))
+    sums = ["steps", *weights]
+    columns = ["doc_id", "id", "end", *sums]
+    start = links.where("to is not null").select("doc_id", "id", F.col("to").alias("end"), F.lit(1).cast("long").alias("steps"), *(w.cast("long").alias(n) for n, w in weights.items()))
     start = written(start, "links")
     heads = start.select("doc_id", F.col("id").alias("end"), F.lit(True).alias("_goes_on"))
     rounds = [written(start.join(heads, ["doc_id", "end"], "left").select(*columns, F.col("_goes_on").isNull().alias("_done")), "ends")]
@@ -65,9 +66,9 @@ def ends(links: DataFrame, weight: Column | None = None) -> DataFrame:
             break
         open_ = rounds[-1].where("not _done")
         known = reduce(DataFrame.unionByName, (r.where("_done") for r in rounds), open_)
-        ahead = known.select("doc_id", F.col("id").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("weight").alias("_weight"), F.col("_done").alias("_found"))
+        ahead = known.select("doc_id", F.col("id").alias("end"), F.col("end").alias("_end"), *(F.col(n).alias(f"_{n}") for n in sums), F.col("_done").alias("_found"))
         step = open_.join(ahead, ["doc_id", "end"])
-        rounds.append(written(step.select("doc_id", "id", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("weight") + F.col("_weight")).alias("weight"), F.col("_found").alias("_done")), "ends"))
+        rounds.append(written(step.select("doc_id", "id", F.col("_end").alias("end"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums), F.col("_found").alias("_done")), "ends"))
     forget(start)
     lost = rounds[-1].where("not _done").select("doc_id", "id", *(F.lit(None).cast(start.schema[c].dataType).alias(c) for c in columns[2:]))
     return reduce(DataFrame.unionByName, (r.where("_done").select(*columns) for r in rounds), lost)

@@ -281,23 +281,41 @@ def from_parents(nodes: DataFrame, *order: str) -> DataFrame:
     """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`.
 
     A node lies below another where its places lie between the other's. Each node is entered, its children are walked in turn, and it is left: that is one list a
-    document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made.
-    Nodes whose parent is not there, or that hang on themselves, have no places.
+    document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made. Nodes without children are not in the
+    list: its steps count them, and they take their places from the step before them. Nodes whose parent is not there, or that hang on themselves, have no places.
     """
+    inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_has")).distinct()
+    has = F.col("parent_id").isNull() | F.coalesce("_has", F.lit(False))
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy(*order)
-    step = nodes.select("doc_id", "node_id", "parent_id", F.lead("node_id").over(siblings).alias("next"), F.row_number().over(siblings).alias("at"))
-    first = step.where("at = 1 and parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
-    step = step.join(first, ["doc_id", "node_id"], "left")
-    event = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
-    enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.coalesce(F.when(F.col("child").isNotNull(), event(F.col("child"), 0)), event(F.col("node_id"), 1)).alias("to"))
-    leave = F.struct(event(F.col("node_id"), 1).alias("id"), F.coalesce(F.when(F.col("next").isNotNull(), event(F.col("next"), 0)), F.when(F.col("parent_id").isNotNull(), event(F.col("parent_id"), 1))).alias("to"))
-    links = written(step.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*"), "walk")
-    ranked = spread.ends(links, F.when(F.col("id.side") == 0, 1).otherwise(0))
-    found = ranked.where("end is not null").select("doc_id", "id.*", "steps", "weight", "end")
-    found = found.join(links.where("to is null").select("doc_id", F.col("id").alias("end")), ["doc_id", "end"], "left_semi")  # a chain that ends elsewhere hangs on a missing parent
-    total = found.groupBy("doc_id").agg(F.max("steps").alias("most"), F.max("weight").alias("nodes"))
-    placed = found.join(total, "doc_id")
-    into = placed.where("side = 0").select("doc_id", F.col("node").alias("node_id"), (F.col("most") - F.col("steps")).alias("enter"), (2 * (F.col("nodes") - F.col("weight")) - (F.col("most") - F.col("steps"))).alias("depth"))
-    out = placed.where("side = 1").select("doc_id", F.col("node").alias("node_id"), (F.col("most") - F.col("steps")).alias("exit"))
-    last = links.where("to is null").select("doc_id", F.col("id.node").alias("node_id")).join(total, "doc_id").select("doc_id", "node_id", F.col("most").alias("exit"))
-    return nodes.join(into, ["doc_id", "node_id"], "left").join(out.unionByName(last), ["doc_id", "node_id"], "left")
+    before = siblings.rowsBetween(Window.unboundedPreceding, -1)
+    rows = nodes.select("doc_id", "node_id", "parent_id", *order).join(inner, ["doc_id", "node_id"], "left").withColumn("has", has)
+    rows = rows.withColumn("leaves", F.coalesce(F.sum((~F.col("has")).cast("long")).over(before), F.lit(0)))
+    elder = F.last(F.when(F.col("has"), F.struct("node_id", "leaves")), True).over(before)
+    rows = written(rows.withColumn("elder", elder), "siblings")
+    under = rows.groupBy("doc_id", "parent_id").agg(F.sum((~F.col("has")).cast("long")).alias("all"), F.min_by(F.when(F.col("has"), F.struct("node_id", "leaves")), F.when(F.col("has"), F.struct(*order))).alias("first"))
+    walk = rows.where("has").withColumn("next", F.lead(F.struct("node_id", "leaves")).over(siblings)).select("doc_id", "node_id", "parent_id", "leaves", "next")
+    walk = walk.join(under.select("doc_id", F.col("parent_id").alias("node_id"), F.col("all").alias("own"), "first"), ["doc_id", "node_id"], "left")
+    walk = walk.join(under.select("doc_id", "parent_id", "all"), ["doc_id", "parent_id"], "left")
+
+    def event(node: Column, side: int) -> Column:
+        return F.struct(node.alias("node"), F.lit(side).alias("side"))
+
+    enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.when(F.col("first").isNotNull(), event(F.col("first.node_id"), 0)).otherwise(event(F.col("node_id"), 1)).alias("to"), F.coalesce("first.leaves", "own", F.lit(0)).alias("gap"))
+    to = F.when(F.col("next").isNotNull(), event(F.col("next.node_id"), 0)).when(F.col("parent_id").isNotNull(), event(F.col("parent_id"), 1))
+    leave = F.struct(event(F.col("node_id"), 1).alias("id"), to.alias("to"), (F.coalesce("next.leaves", "all", F.lit(0)) - F.col("leaves")).alias("gap"))
+    links = written(walk.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*"), "walk")
+    ranked = spread.ends(links, way=1 + 2 * F.col("gap"), entered=F.when(F.col("id.side") == 0, 1).otherwise(0) + F.col("gap"))
+    final = links.where("to is null").select("doc_id", F.col("id").alias("end"))
+    found = ranked.where("end is not null").join(final, ["doc_id", "end"], "left_semi")  # a chain that ends elsewhere hangs on a missing parent
+    total = found.groupBy("doc_id").agg(F.max("way").alias("most"), F.max("entered").alias("nodes"))
+    placed = found.join(total, "doc_id").select("doc_id", "id", (F.col("most") - F.col("way")).alias("at"), (F.col("nodes") - F.col("entered")).alias("pre"))
+    placed = written(placed.unionByName(final.join(total, "doc_id").select("doc_id", F.col("end").alias("id"), F.col("most").alias("at"), F.col("nodes").alias("pre"))), "placed")
+    own = placed.select("doc_id", "id.node", "id.side", "at", "pre")
+    into = own.where("side = 0").select("doc_id", F.col("node").alias("node_id"), F.col("at").alias("enter"), (2 * F.col("pre") - F.col("at")).alias("depth"))
+    out = own.where("side = 1").select("doc_id", F.col("node").alias("node_id"), F.col("at").alias("exit"))
+    inside = into.join(out, ["doc_id", "node_id"]).select("doc_id", "node_id", "enter", "exit", "depth")
+    base = F.when(F.col("elder").isNotNull(), event(F.col("elder.node_id"), 1)).otherwise(event(F.col("parent_id"), 0))
+    leaf = rows.where("not has").select("doc_id", "node_id", base.alias("id"), (F.col("leaves") - F.coalesce("elder.leaves", F.lit(0))).alias("nth")).join(placed, ["doc_id", "id"])
+    enter_, side = F.col("at") + 1 + 2 * F.col("nth"), F.col("id.side")
+    leaf = leaf.select("doc_id", "node_id", enter_.alias("enter"), (enter_ + 1).alias("exit"), (2 * (F.col("pre") + F.when(side == 0, 1).otherwise(0)) - F.col("at") - 1).alias("depth"))
+    return nodes.join(inside.unionByName(leaf), ["doc_id", "node_id"], "left")

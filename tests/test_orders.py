@@ -51,8 +51,8 @@ def test_ends_of_chains_and_cycles(spark):
             i, steps = up[d, i], steps + 1
         return i, steps
 
-    got = {(r.doc_id, r.id): (r.end, r.steps, r.weight) for r in spread.ends(spark.createDataFrame(rows, "doc_id long, id long, to long")).collect()}
-    assert got == {k: (*walk(*k), walk(*k)[1]) for k in up}
+    got = {(r.doc_id, r.id): (r.end, r.steps, r.weight) for r in spread.ends(spark.createDataFrame(rows, "doc_id long, id long, to long"), weight=F.lit(2)).collect()}
+    assert got == {k: (*walk(*k), walk(*k)[1] and 2 * walk(*k)[1]) for k in up}
     assert spread.ends(spark.createDataFrame([], "doc_id long, id long, to long")).collect() == []
     found = {(r.doc_id, r.scope): r.end for r in scoping.closure(spark.createDataFrame([(1, 3, 4), (1, 4, 9), (1, 5, 5)], "doc_id long, scope long, value long")).collect()}
     assert found == {(1, 3): 9, (1, 4): 9, (1, 5): None}
