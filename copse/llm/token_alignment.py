@@ -20,11 +20,13 @@ memory at once. Special tokens are ordinary text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from copse.llm.shared import drop, groups, ints, over_texts, settle
 from copse.llm.words import places
 
-BLOCK, SLICE, SALTS = 8 << 20, 1 << 20, 16
+BLOCK, SLICE, SALTS = 8 << 20, 1 << 18, 16
 #: Characters that some definition of white space, or none, may count as such; a space before one is no place to cut.
 _BLANK = r"\s\x00-\x20\x7f-\xa0" + "".join(f"{chr(a)}-{chr(b)}" for a, b in [(0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)])
+_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]{1,48})([!-&(-/:-@[-`{-~]{0,16})")  # letters, then signs without the apostrophe
 _MARK = chr(0x2581)  # what B writes a space as
 _CUT, _NO_CUT = re.compile(f"(?<=[^ {_MARK}]) (?=[^{_BLANK}])"), re.compile(f" [{_BLANK}]")
 
@@ -63,7 +66,7 @@ def byte_letters() -> dict[str, int]:
 class Pair:
     """Both tokenizers, and the ids of pieces seen before."""
 
-    def __init__(self, a: bytes, b: bytes, memory: int = 200_000, short: int = 48):
+    def __init__(self, a: bytes, b: bytes, memory: int = 100_000, short: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -78,23 +81,55 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         inner = re.compile(f"[^{_MARK}]{_MARK}")
         self.whole = any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))  # then pieces of B may cross the cuts
+        self.merge = self._merges(json.loads(a))
         self.memory, self.short = memory, short
         self._clear()
 
+    def _merges(self, file: dict):
+        """A's merges of one word, by the ids' order; none, if A's file does not merge in that order or writes bytes or words otherwise."""
+        model, steps = file["model"], file.get("pre_tokenizer") or {}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        made = [model["vocab"].get("".join(m), -1) for m in pairs]
+        plain = steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and not file.get("normalizer") and not model.get("dropout")
+        if model.get("type") != "BPE" or not plain or any(x >= y for x, y in pairwise(made)) or made and made[0] < 256:
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[i]: i for i in sorted({*(model["vocab"][c] for c in byte_letters()), *made})}
+        return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.table = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
 
+    def _of_a(self, pieces: list[str]) -> list[list[int]]:
+        """A's ids of each piece. Letters, and signs behind them, which any reading of A's pattern parts just there, go straight to the merges, by rank; all others go through A itself."""
+        out: list = [None] * len(pieces)
+        if self.merge:
+            merge = self.merge
+            for i, m in enumerate(map(_WORD.fullmatch, pieces)):
+                if m:
+                    out[i] = merge(" " + m[1]) + merge(m[2]) if m[2] else merge(" " + m[1])
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([f" {pieces[i]}" for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
         """A's ids and their number for each piece, B's, and whether both give the piece's bytes back."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        a = self._of_a(pieces)
         b = self.b.encode(pieces, num_threads=1)
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), dtype=np.int32)
+        sizes = lambda lists: np.fromiter(map(len, lists), dtype=np.int64)
+        made = flat(a), sizes(a), flat(b), sizes(b)
         said = [f" {p}".encode(errors="replace") for p in pieces]
-        join = lambda ids, of: b"".join(map(of.__getitem__, ids))
-        good = [join(x, self.bytes_a) == t == join(y, self.bytes_b) for x, y, t in zip(a, b, said, strict=True)]
-        flat = lambda lists: np.array([i for x in lists for i in x], dtype=np.int32)
-        sizes = lambda lists: np.array([len(x) for x in lists], dtype=np.int64)
-        return flat(a), sizes(a), flat(b), sizes(b), np.array(good, dtype=bool)
+        whole, length, owner = b"".join(said), sizes(said), np.arange(len(pieces))
+        good = np.ones(len(pieces), dtype=bool)
+        for ids, n, lists, of, size in ((made[0], made[1], a, self.bytes_a, self.size_a), (made[2], made[3], b, self.bytes_b, self.size_b)):
+            same = (np.bincount(np.repeat(owner, n), size[ids], len(pieces)) == length).all()
+            if not same or b"".join(map(of.__getitem__, ids.tolist())) != whole:  # then piece by piece
+                good &= np.array([b"".join(map(of.__getitem__, x)) == t for x, t in zip(lists, said, strict=True)])
+        return *made, good
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(A's ids, A's number of ids a text, B's ids, B's number, whether the text's bytes come back); a text without has no ids."""
@@ -138,7 +173,8 @@ class Aligned:
     def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
         self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        cuts = np.intersect1d(end_a, end_b)
+        distinct = bool((size_a > 0).all() and (size_b > 0).all())
+        cuts = np.intersect1d(end_a, end_b, assume_unique=distinct)
         self.of_a, self.of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         text_a, text_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
         self.text_of = np.zeros(len(cuts), dtype=np.int64)
@@ -189,15 +225,20 @@ def _pair(a: bytes, b: bytes) -> Pair:
     return Pair(a, b)
 
 
+def _kind(pair: Pair) -> type:
+    """The type of a pair's code, a * (size of B's vocabulary) + b."""
+    return np.uint32 if len(pair.size_a) * len(pair.size_b) <= 1 << 32 else np.int64
+
+
 ROWS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
 
 def _rows(files):
-    """A row a document: its figures, and its links as codes a * (size of B's vocabulary) + b."""
+    """A row a document: its figures, and its links as codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files.value)
-        wide, done = len(pair.size_b), 0
+        wide, kind, done = len(pair.size_b), _kind(pair), 0
         task = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -207,8 +248,8 @@ def _rows(files):
                 hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, side="right")))
                 a, n_a, b, n_b, _ = pair.encode(texts[lo:hi])
                 x = Aligned(a, b, pair.size_a[a], pair.size_b[b], n_a, n_b)
-                codes = (x.a[x.link_a].astype(np.int64) * wide + x.b[x.link_b]).tobytes()
-                at = 8 * np.append(0, np.cumsum(x.n_links))
+                codes = (x.a[x.link_a].astype(np.int64) * wide + x.b[x.link_b]).astype(kind).tobytes()
+                at = np.dtype(kind).itemsize * np.append(0, np.cumsum(x.n_links))
                 links = [codes[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ints(np.full(hi - lo, task | done // BLOCK)), batch.column("doc_id").slice(lo, hi - lo), ints(n_a), ints(n_b), ints(x.n_groups), ints(x.n_links), pa.array(x.digests()), pa.array(links, type=pa.binary())], names=["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
                 done += int(upto[hi - 1] - (upto[lo - 1] if lo else 0))
@@ -217,13 +258,20 @@ def _rows(files):
     return run
 
 
+def _links(lists: list[bytes], n_links: np.ndarray) -> np.ndarray:
+    """The codes of several rows' links; their size tells their type."""
+    data = b"".join(lists)
+    return np.frombuffer(data, dtype=np.uint32 if len(data) == 4 * n_links.sum() else np.int64).astype(np.int64)
+
+
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's pairs, once a batch, with their number."""
     for batch in batches:
-        block = batch.column("block").to_numpy()
+        block, many = batch.column("block").to_numpy(), batch.column("n_links").to_numpy()
         lists = batch.column("links").to_pylist()
         for own in np.unique(block):
-            pairs, n = np.unique(np.frombuffer(b"".join(lists[i] for i in np.flatnonzero(block == own)), dtype=np.int64), return_counts=True)
+            at = np.flatnonzero(block == own)
+            pairs, n = np.unique(_links([lists[i] for i in at], many[at]), return_counts=True)
             yield pa.RecordBatch.from_arrays([ints(np.full(len(pairs), own)), ints(pairs), ints(n)], names=["block", "pair", "n"])
 
 
@@ -239,7 +287,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = pairs[order], count.column("n").to_numpy()[order], count.column("best").to_numpy(zero_copy_only=False)[order]
         for lo in range(0, docs.num_rows, 1024):
             part = docs.slice(lo, 1024)
-            links = np.frombuffer(b"".join(part.column("links").to_pylist()), dtype=np.int64)
+            links = _links(part.column("links").to_pylist(), part.column("n_links").to_numpy())
             at = np.searchsorted(pairs, links)
             ends = np.append(0, np.cumsum(part.column("n_links").to_numpy()))
             sums = lambda x: np.diff(np.append(0, np.cumsum(x))[ends])  # noqa: E731, B023
@@ -271,7 +319,7 @@ def pairs(rows: DataFrame, wide: int, held: DataFrame | None = None) -> DataFram
 
 def blocks(rows: DataFrame) -> DataFrame:
     """(block, pair, n): the links of each block, counted."""
-    return over_texts(rows.select("block", "links"), _held, "block long, pair long, n long").groupBy("block", "pair").agg(F.sum("n").alias("n"))
+    return over_texts(rows.select("block", "n_links", "links"), _held, "block long, pair long, n long").groupBy("block", "pair").agg(F.sum("n").alias("n"))
 
 
 def alignment(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
