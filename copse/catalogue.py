@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -801,6 +802,31 @@ def parent_forest(spark, sf_dir):
     return forests.from_parents(known, "place").select("doc_id", "kind", c("key").alias("k"), c("depth").cast("int").alias("depth"), "enter", "exit")
 
 
+@query("""
+WITH c AS (SELECT n_regionkey AS r, n_nationkey AS a, c_custkey AS b FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), n AS (
+  SELECT r_regionkey AS doc_id, 'region' AS kind, r_regionkey AS k, -1 AS a, -1 AS b, -1 AS o, 0 AS depth FROM region UNION ALL SELECT n_regionkey, 'nation', n_nationkey, n_nationkey, -1, -1, 1 FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT r, 'customer', b, a, b, -1, 2 FROM c UNION ALL SELECT r, 'order', o_orderkey, a, b, o_orderkey, 3 FROM orders JOIN c ON b = o_custkey),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, o) - 1 AS pre, CASE kind WHEN 'region' THEN count(*) OVER (PARTITION BY doc_id) WHEN 'nation' THEN count(*) OVER (PARTITION BY doc_id, a) WHEN 'customer' THEN count(*) OVER (PARTITION BY doc_id, a, b) ELSE 1 END AS size FROM n)
+SELECT doc_id, kind, CAST(k AS BIGINT) AS k, depth, 2 * pre - depth AS enter, 2 * pre - depth + 2 * size - 1 AS exit FROM w
+""")
+def wide_forest(spark, sf_dir):
+    """Regions as documents, their nations, customers and orders as nodes: a nation's customers grow with the data, so siblings are put in order by ranges."""
+    named = lambda name, *columns: forests.table(spark, sf_dir, name).select(*(c(x).cast("long").alias(y) for x, y in columns))
+    region, nation = named("region", ("r_regionkey", "region")), named("nation", ("n_nationkey", "nation"), ("n_regionkey", "region"))
+    nation = nation.join(region, "region")
+    customer = named("customer", ("c_custkey", "customer"), ("c_nationkey", "nation")).join(nation, "nation")
+    order = named("orders", ("o_orderkey", "order"), ("o_custkey", "customer")).join(customer, "customer")
+    levels = {"region": region, "nation": nation, "customer": customer, "order": order}
+    names = list(levels)
+
+    def node(at: int) -> Column:  # ids of all levels in one document
+        return c(names[at]) * len(names) + at
+
+    rows = [levels[kind].select(c("region").alias("doc_id"), node(i).alias("node_id"), (node(i - 1) if i else F.lit(None).cast("long")).alias("parent_id"), F.lit(kind).alias("kind"), c(kind).alias("k")) for i, kind in enumerate(names)]
+    placed = forests.from_parents(reduce(DataFrame.unionByName, rows), "k", wide=True)
+    return placed.select("doc_id", "kind", "k", c("depth").cast("int").alias("depth"), "enter", "exit")
+
+
 @query(f"""
 WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (
   SELECT o_custkey AS doc_id, 'order' AS variable, o_orderkey AS k, 0 AS stanza, [0] AS place FROM orders UNION ALL SELECT doc_id, 'line', k, 0, [1, i, 0] FROM l

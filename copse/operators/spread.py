@@ -1,4 +1,4 @@
-"""Orders and links over rows of one key that no single task can hold: numbers, last values and chains' ends.
+"""Orders and links over rows of one key that no single task can hold: sums, numbers, last values and chains' ends.
 
 An order is cut into ranges (one sort by range, written once, as two readings of a range partitioning need not agree); windows work within a
 range, and one row for each key and range carries sums or last values to the ranges after it.
@@ -28,13 +28,19 @@ def _joined(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return rows.alias("x").join(few.alias("y"), on, "left").select("x.*", *(F.col(f"y.{c}") for c in few.columns if c not in [*keys, "_range"]))
 
 
+def summed(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """`df` with `name`: the sum of `value`, a whole number, over the rows of a key before each."""
+    table = ranged(df.withColumn("_value", value.cast("long")), keys, order)
+    earlier = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = table.withColumn(name, F.coalesce(F.sum("_value").over(earlier), F.lit(0)))
+    sums = table.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
+    return _joined(own, before, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_before", "_value")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """`df` with `name`: places from 0 within a key, as `row_number` would give."""
-    table = ranged(df, keys, order)
-    own = table.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)).cast("long") - 1)
-    counts = table.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
-    return _joined(own, before, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
+    return summed(df, keys, order, F.lit(1), name)
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -277,23 +277,37 @@ def with_source(matches: DataFrame, documents: DataFrame, capture: str, name: st
     return matches.join(texts, F.col("doc_id") == F.col("_doc"), "left").withColumn(name, F.decode(cut, "UTF-8")).drop("_doc", "_bytes")
 
 
-def from_parents(nodes: DataFrame, *order: str) -> DataFrame:
-    """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`.
+def from_parents(nodes: DataFrame, *order: str, wide: bool = False) -> DataFrame:
+    """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`, ties by node_id.
 
     A node lies below another where its places lie between the other's. Each node is entered, its children are walked in turn, and it is left: that is one list a
     document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made. Nodes without children are not in the
     list: its steps count them, and they take their places from the step before them. Nodes whose parent is not there, or that hang on themselves, have no places.
+    `wide`: for parents with more children than a task can hold, whose order is then cut into ranges.
     """
     inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_has")).distinct()
     has = F.col("parent_id").isNull() | F.coalesce("_has", F.lit(False))
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy(*order)
+    keys, by, one = ["doc_id", "parent_id"], [*order, "node_id"], F.struct("node_id", "leaves")
+    siblings = Window.partitionBy(*keys).orderBy(*by)
     before = siblings.rowsBetween(Window.unboundedPreceding, -1)
     rows = nodes.select("doc_id", "node_id", "parent_id", *order).join(inner, ["doc_id", "node_id"], "left").withColumn("has", has)
-    rows = rows.withColumn("leaves", F.coalesce(F.sum((~F.col("has")).cast("long")).over(before), F.lit(0)))
-    elder = F.last(F.when(F.col("has"), F.struct("node_id", "leaves")), True).over(before)
-    rows = written(rows.withColumn("elder", elder), "siblings")
-    under = rows.groupBy("doc_id", "parent_id").agg(F.sum((~F.col("has")).cast("long")).alias("all"), F.min_by(F.when(F.col("has"), F.struct("node_id", "leaves")), F.when(F.col("has"), F.struct(*order))).alias("first"))
-    walk = rows.where("has").withColumn("next", F.lead(F.struct("node_id", "leaves")).over(siblings)).select("doc_id", "node_id", "parent_id", "leaves", "next")
+    leaf = (~F.col("has")).cast("long")
+    if wide:
+        rows = spread.summed(rows, keys, by, leaf, "leaves").withColumn("inner", F.when(F.col("has"), one))
+        rows = spread.carried(rows, keys, by, "inner", "elder").drop("inner")  # a leaf's own is null, so what is carried to it is from before
+    else:
+        rows = rows.withColumn("leaves", F.coalesce(F.sum(leaf).over(before), F.lit(0)))
+        rows = rows.withColumn("elder", F.last(F.when(F.col("has"), one), True).over(before))
+    rows = written(rows, "siblings")
+    under = rows.groupBy("doc_id", "parent_id").agg(F.sum(leaf).alias("all"), F.min_by(F.when(F.col("has"), one), F.when(F.col("has"), F.struct(*order, F.col("node_id").alias("_tie")))).alias("first"))
+    walk = rows.where("has")
+    if wide:
+        walk = spread.numbered(walk, keys, by, "nth")
+        later = walk.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), (F.col("nth") - 1).alias("_nth"), one.alias("next"))
+        walk = walk.join(later, (F.col("doc_id") == F.col("_doc")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("nth") == F.col("_nth")), "left")
+    else:
+        walk = walk.withColumn("next", F.lead(one).over(siblings))
+    walk = walk.select("doc_id", "node_id", "parent_id", "leaves", "next")
     walk = walk.join(under.select("doc_id", F.col("parent_id").alias("node_id"), F.col("all").alias("own"), "first"), ["doc_id", "node_id"], "left")
     walk = walk.join(under.select("doc_id", "parent_id", "all"), ["doc_id", "parent_id"], "left")
 
@@ -315,7 +329,7 @@ def from_parents(nodes: DataFrame, *order: str) -> DataFrame:
     out = own.where("side = 1").select("doc_id", F.col("node").alias("node_id"), F.col("at").alias("exit"))
     inside = into.join(out, ["doc_id", "node_id"]).select("doc_id", "node_id", "enter", "exit", "depth")
     base = F.when(F.col("elder").isNotNull(), event(F.col("elder.node_id"), 1)).otherwise(event(F.col("parent_id"), 0))
-    leaf = rows.where("not has").select("doc_id", "node_id", base.alias("id"), (F.col("leaves") - F.coalesce("elder.leaves", F.lit(0))).alias("nth")).join(placed, ["doc_id", "id"])
+    leaves = rows.where("not has").select("doc_id", "node_id", base.alias("id"), (F.col("leaves") - F.coalesce("elder.leaves", F.lit(0))).alias("nth")).join(placed, ["doc_id", "id"])
     enter_, side = F.col("at") + 1 + 2 * F.col("nth"), F.col("id.side")
-    leaf = leaf.select("doc_id", "node_id", enter_.alias("enter"), (enter_ + 1).alias("exit"), (2 * (F.col("pre") + F.when(side == 0, 1).otherwise(0)) - F.col("at") - 1).alias("depth"))
-    return nodes.join(inside.unionByName(leaf), ["doc_id", "node_id"], "left")
+    leaves = leaves.select("doc_id", "node_id", enter_.alias("enter"), (enter_ + 1).alias("exit"), (2 * (F.col("pre") + F.when(side == 0, 1).otherwise(0)) - F.col("at") - 1).alias("depth"))
+    return nodes.join(inside.unionByName(leaves), ["doc_id", "node_id"], "left")

@@ -76,16 +76,26 @@ def walked(nodes):
     return out
 
 
-def test_order_from_parent_pointers(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_order_from_parent_pointers(spark, wide):
     rng = random.Random(6)
     docs = {1: [(100 + i, None if i == 0 else 100 + rng.randrange(i), rng.random()) for i in range(120)], 2: [(5, None, 0.0)], 3: [(1, None, 0.5), (2, None, 0.1), (3, 2, 0.0), (4, 2, -1.0)], 4: [(i, i - 1 if i else None, 0.0) for i in range(2000)]}
     rows = [(d, *r) for d, rs in docs.items() for r in rs] + [(3, 50, 49, 0.0), (3, 51, 50, 0.0), (3, 60, 61, 0.0), (3, 61, 60, 0.0)]
-    got = {(r.doc_id, r.node_id): (r.enter, r["exit"], r.depth) for r in from_parents(spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, at double"), "at").collect()}
+    got = {(r.doc_id, r.node_id): (r.enter, r["exit"], r.depth) for r in from_parents(spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, at double"), "at", wide=wide).collect()}
     want = {(d, n): x for d, rs in docs.items() for n, x in walked(rs).items()}
     assert {k: v for k, v in got.items() if k[1] not in (50, 51, 60, 61) or k[0] != 3} == want
     assert {got[3, n] for n in (50, 51, 60, 61)} == {(None, None, None)}
 
 
+def test_siblings_of_a_parent_that_no_task_holds(spark):
+    rng = random.Random(8)
+    rows = [(0, None, 0)] + [(i, 0, rng.randrange(300)) for i in range(1, 700)]  # many ties
+    rows += [(1000 + i, rng.randrange(1, 700), rng.randrange(3)) for i in range(500)]
+    nodes = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, node_id long, parent_id long, at int").repartition(5)
+    got = {r.node_id: (r.enter, r["exit"], r.depth) for r in from_parents(nodes, "at", wide=True).collect()}
+    assert got == walked(rows)
+
+
 def test_inheritance_by_places_and_by_paths(spark):
     rng = random.Random(9)
     rows, paths = [], {0: []}
