@@ -123,21 +123,34 @@ def before(a: str, b: str) -> Column:
     return F.col(f"{a}.path") < F.col(f"{b}.path")
 
 
-def positioned(forest: DataFrame) -> DataFrame:
-    """The forest with child_index, named_child_index (null for anonymous nodes and roots) and named_child_count."""
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("path")
-    running = F.sum(F.col("named").cast("int")).over(siblings.rowsBetween(Window.unboundedPreceding, 0))
+def positioned(forest: DataFrame, wide: bool = False) -> DataFrame:
+    """The forest with child_index, named_child_index (null for anonymous nodes and roots) and named_child_count; `wide`: for parents with more children than a task can hold."""
     placed = F.col("parent_id").isNotNull()
     counts = forest.where("named and parent_id is not null").groupBy(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent")).agg(F.count("*").alias("named_child_count"))
-    out = forest.withColumn("child_index", F.when(placed, F.row_number().over(siblings) - 1)).withColumn("named_child_index", F.when(placed & F.col("named"), running - 1))
+    if wide:
+        below = spread.numbered(forest.where(placed), ["doc_id", "parent_id"], ["path"], "child_index")
+        below = spread.summed(below, ["doc_id", "parent_id"], ["path"], F.col("named").cast("int"), "named_child_index")
+        below = below.withColumn("child_index", F.col("child_index").cast("int")).withColumn("named_child_index", F.when(F.col("named"), F.col("named_child_index")))
+        out = forest.where(~placed).unionByName(below, allowMissingColumns=True)
+    else:
+        siblings = Window.partitionBy("doc_id", "parent_id").orderBy("path")
+        running = F.sum(F.col("named").cast("int")).over(siblings.rowsBetween(Window.unboundedPreceding, 0))
+        out = forest.withColumn("child_index", F.when(placed, F.row_number().over(siblings) - 1)).withColumn("named_child_index", F.when(placed & F.col("named"), running - 1))
     out = out.join(counts, (out.doc_id == counts._doc) & (out.node_id == counts._parent), "left").drop("_doc", "_parent")
     return out.withColumn("named_child_count", F.coalesce("named_child_count", F.lit(0)))
 
 
-def ends(forest: DataFrame) -> DataFrame:
-    """The forest with `is_first`, `is_last` (anchors at either end) and `previous`, the node_id just before, among named siblings."""
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("path")
+def ends(forest: DataFrame, wide: bool = False) -> DataFrame:
+    """The forest with `is_first`, `is_last` (anchors at either end) and `previous`, the node_id just before, among named siblings; `wide`: for parents with more children than a task can hold."""
     nodes = forest.where("named")
+    if wide:
+        nodes = spread.numbered(nodes, ["doc_id", "parent_id"], ["path"], "_nth")
+        near = nodes.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), F.col("_nth").alias("_at"), F.col("node_id").alias("_node"))
+        same = (F.col("doc_id") == F.col("_doc")) & F.col("parent_id").eqNullSafe(F.col("_parent"))
+        for name, step in (("previous", 1), ("_next", -1)):
+            nodes = nodes.join(near.withColumn("_at", F.col("_at") + step), same & (F.col("_nth") == F.col("_at")), "left").withColumn(name, F.col("_node")).drop("_doc", "_parent", "_at", "_node")
+        return nodes.withColumn("is_last", F.col("_next").isNull()).withColumn("is_first", F.col("previous").isNull()).drop("_nth", "_next")
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("path")
     return nodes.withColumn("previous", F.lag("node_id").over(siblings)).withColumn("is_last", F.lead("node_id").over(siblings).isNull()).withColumn("is_first", F.col("previous").isNull())
 
 

@@ -96,6 +96,17 @@ def test_siblings_of_a_parent_that_no_task_holds(spark):
     assert got == walked(rows)
 
 
+def test_places_among_siblings_by_ranges(spark):
+    rng = random.Random(7)
+    rows = [(0, None, "m", [], None)] + [(i, 0, rng.choice("abc"), [i], None) for i in range(1, 400)] + [(1000 + i, 1 + i % 9, "d", [1 + i % 9, i], None) for i in range(60)]
+    forest = tree(spark, rows).withColumn("named", F.col("node_id") % 4 != 1).repartition(4)
+    for find in (p.positioned, p.ends):
+        narrow, wide = (find(forest, wide=x) for x in (False, True))
+        assert dict(narrow.dtypes) == dict(wide.dtypes)
+        order = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert order(narrow) == order(wide)
+
+
 def test_inheritance_by_places_and_by_paths(spark):
     rng = random.Random(9)
     rows, paths = [], {0: []}
