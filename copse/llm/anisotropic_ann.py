@@ -5,17 +5,22 @@ and centres minimise an anisotropic loss: of a row's residual r, the part parall
 matter, costs `parallel` times as much as the rest: |r|^2 + (parallel - 1) (r.x)^2. Codes are found by coordinate descent over
 the subspaces (the parallel part couples them), centres by solving that loss on a bounded sample of at most `sample` rows, the
 only part fitted on a sample; every row is coded. A query's table of 16 scores a subspace is joined into 256 scores a byte, scanned over
-a block's codes; the `rerank` best of each block are scored exactly on the original vectors, in double precision. Rows travel with their codes and with their vectors as they came (single
+a block's codes; the `rerank` best of each block are scored exactly on the original vectors, in double precision. So is every other row
+that could still be among the k best by its scan, so nothing is lost in a block however coarse the codes are for it. With x the unit row, c what its codes stand for, a = c.x and p = |c - a x|,
+a row of cosine s to the query has a scan of at least s a - sqrt(1 - s^2) p, which grows with s: rows whose scan is below that at the
+k-th best cosine known (of the block, or of a bounded part of the sample) are out. a and p, kept with each code, are the parallel and the other part of its error: few rows are left where neighbours are near,
+or codes good; rows that codes cannot tell apart are all scored. Rows travel with their codes and with their vectors as they came (single
 precision stays single), once for a block of up to 16,384 queries.
 
 Rows are filed under the nearest of at most `cells` coarse centres (k-means on the sample, about the square root of the rows), and a query
-is sent to the fewest cells that hold `cover` of the sample's own true neighbours: few where rows cluster, nearly all where they do not.
-A query whose cells hold no more than k rows goes to further ones until they do.
+is sent to the fewest cells that hold `cover` of the true neighbours among all rows of at most `asked` queries (found by brute force, one scan), and of the
+sample's own among themselves: few where rows cluster, nearly all where they do not, or where queries lie elsewhere than rows.
+A query whose cells hold no more than k rows goes to further ones until they do. With a `cover` of 1 queries go to all cells, and the result is exact.
 
-Behaviour: vectors null, all zero, or with null, NaN or infinite components take no part, nor do rows of null vec_id. Shorter
-vectors count as if zeros followed. A query meets all rows but those of its own vec_id. Fewer candidates give fewer rows; rows that share the query's
+Behaviour: vectors null, all zero, or with null, NaN or infinite components take no part, nor do rows of null vec_id. Vectors may be
+as long or as short as their type allows. Shorter vectors count as if zeros followed. A query meets all rows but those of its own vec_id. Fewer candidates give fewer rows; rows that share the query's
 vec_id may make a query find fewer still. Repeated rows are candidates each; queries of one vec_id share its k ranks.
-Blocks of at most `rerank` rows are searched exactly. An empty table gives no rows.
+Equal rows are all scored, so ties go to smaller vec_ids among all rows of the cells. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,17 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copse.llm.shared import groups, ints, settle
-from copse.llm.vectors import block_rows, from_binary, grouped, matrix, usable
+from copse.llm.vectors import best, binary, block_rows, from_binary, grouped, matrix, usable
 from copse.llm.voronoi_knn import crossed, ranked
 
 CENTRES = 16
+SIDE = 8  # bytes between a row's codes and its vector: a and p in single precision; a query's least cosine in double
+
+
+def evened(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their squares neither overflow nor vanish; cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = evened(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,10 +114,38 @@ def probes_for(x: np.ndarray, coarse: np.ndarray, k: int, cover: float, asked: i
     true = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
     cell = (x @ coarse.T - (coarse * coarse).sum(1) / 2).argmax(1)
     rank = np.argsort(np.argsort(-(q @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1), axis=1)
-    place = np.sort(np.take_along_axis(rank, cell[true], axis=1).ravel())
+    return enough(np.take_along_axis(rank, cell[true], axis=1).ravel(), cover)
+
+
+def enough(place: np.ndarray, cover: float) -> int:
+    """How many cells hold `cover` of neighbours that lie in the cells of these places, from 0."""
+    place = np.sort(place)
     return int(place[min(len(place) - 1, int(cover * len(place)))]) + 1 if len(place) else 1
 
 
+def _places(dims: int, kind: type, skip: int, q: np.ndarray, qid: np.ndarray, coarse: np.ndarray, k: int):
+    """The k rows nearest to each of a few unit queries, by brute force, with the places of their cells among the query's."""
+    rank = np.argsort(np.argsort(-(q @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1, kind="stable"), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids, cell = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0), dtype=np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                part = whole.slice(lo, 2048)
+                u = unit(_vectors(from_binary(part.column("v"), np.uint8, skip + np.dtype(kind).itemsize * dims), skip, kind))
+                s, xid = q @ u.T, part.column("vec_id").to_numpy()
+                s[qid[:, None] == xid[None, :]] = -np.inf
+                at = best(s, xid, k)
+                score = np.hstack([score, np.take_along_axis(s, at, 1)])
+                ids, cell = np.hstack([ids, xid[at]]), np.hstack([cell, part.column("grp").to_numpy()[at]])
+                at = np.lexsort((ids, -score), axis=1)[:, :k]
+                score, ids, cell = (np.take_along_axis(z, at, 1) for z in (score, ids, cell))
+        row, at = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([ints(row), ints(ids[row, at]), pa.array(score[row, at]), ints(rank[row, cell[row, at]])], names=["query", "vec_id", "score", "place"])
+
+    return run
+
+
 def _coded(dims: int, kind: type, sub: int, centres: np.ndarray, parallel: float, coarse: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,57 +153,75 @@ def _coded(dims: int, kind: type, sub: int, centres: np.ndarray, parallel: float
                 part = batch.slice(lo, 2048)
                 x = matrix(part.column("embedding"), dims)
                 u = unit(x)
-                codes = encode(padded(u, sub), centres, parallel)
+                wide = padded(u, sub)
+                codes = encode(wide, centres, parallel)
                 cell = (u @ coarse.T - (coarse * coarse).sum(1) / 2).argmax(1)
-                data = (codes[:, ::2] | (codes[:, 1::2] << 4)).tobytes()
-                step, size = centres.shape[0] // 2, np.dtype(kind).itemsize * dims
-                raw = x.astype(kind).tobytes()
-                v = [data[i * step : (i + 1) * step] + raw[i * size : (i + 1) * size] for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("is_query"), ints(cell), pa.array(v, type=pa.binary())], names=["vec_id", "is_query", "grp", "v"])
+                stands = centres[np.arange(len(centres)), codes].reshape(wide.shape)
+                along = (stands * wide).sum(1)
+                side = np.stack([along, np.linalg.norm(stands - along[:, None] * wide, axis=1)], axis=1).astype(np.float32)
+                v = _joined(codes[:, ::2] | (codes[:, 1::2] << 4), side, x.astype(kind))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("is_query"), ints(cell), v], names=["vec_id", "is_query", "grp", "v"])
 
     return run
 
 
+def _joined(*parts: np.ndarray) -> pa.Array:
+    """The bytes of each row's parts, one after another."""
+    return binary(np.hstack([np.ascontiguousarray(p).view(np.uint8).reshape(len(p), -1) for p in parts]))
+
+
 def _vectors(both: np.ndarray, skip: int, kind: type) -> np.ndarray:
-    """The original vectors behind the codes, in double precision."""
+    """The original vectors behind the codes and what is beside them, in double precision."""
     return np.ascontiguousarray(both[:, skip:]).view(kind).astype(np.float64)
 
 
-def _probed(dims: int, kind: type, skip: int, coarse: np.ndarray, held: np.ndarray, probes: int, least: int):
-    """Each query once for each cell that it looks into; `held` rows are in each cell."""
+def _probed(dims: int, kind: type, skip: int, coarse: np.ndarray, held: np.ndarray, probes: int, k: int, some: np.ndarray, some_id: np.ndarray):
+    """Each query once for each cell that it looks into; `held` rows are in each cell. Beside its codes: a cosine that the k-th best reaches, as `some` rows do."""
+    slack = 2.0**-23 * (dims + 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 part = whole.slice(lo, 1024)
-                u = unit(_vectors(from_binary(part.column("v"), np.uint8, skip + np.dtype(kind).itemsize * dims), skip, kind))
+                both = from_binary(part.column("v"), np.uint8, skip + np.dtype(kind).itemsize * dims)
+                u = unit(_vectors(both, skip, kind))
+                s = u.astype(np.float32) @ some.T
+                s[part.column("vec_id").to_numpy()[:, None] == some_id[None, :]] = -1
+                floor = np.partition(s, len(some) - k, axis=1)[:, len(some) - k] - slack if len(some) >= k else np.full(len(u), -1.0)
+                v = _joined(both[:, : skip - SIDE], floor.astype(np.float64), both[:, skip:])
                 order = np.argsort(-(u @ coarse.T - (coarse * coarse).sum(1) / 2), axis=1, kind="stable")
                 before = np.cumsum(held[order], axis=1) - held[order]
-                row, at = np.nonzero((np.arange(len(coarse)) < probes) | (before < least))
+                row, at = np.nonzero((np.arange(len(coarse)) < probes) | (before <= k))
                 cell = order[row, at]
                 row, cell = row[held[cell] > 0], cell[held[cell] > 0]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(ints(row)), part.column("is_query").take(ints(row)), ints(cell), part.column("v").take(ints(row))], names=["vec_id", "is_query", "grp", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(ints(row)), part.column("is_query").take(ints(row)), ints(cell), v.take(ints(row))], names=["vec_id", "is_query", "grp", "v"])
 
     return run
 
 
 def _search(dims: int, kind: type, sub: int, centres: np.ndarray, k: int, rerank: int):
     m = centres.shape[0]
+    skip, slack = m // 2 + SIDE, 2.0**-23 * (m + 16) * (1 + np.sqrt((centres**2).sum(2).max(1).sum()))  # of sums in single precision
+    close = 2.0**-50 * (dims + 16)  # cosines of two ways of summing
+    step = max(1, min(64, (32 << 20) // (8 * dims * rerank)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["grp", "qb", "db"]):
             query = rows.column("is_query").to_numpy(zero_copy_only=False)
             ids = rows.column("vec_id").to_numpy()
-            both = from_binary(rows.column("v").combine_chunks(), np.uint8, m // 2 + np.dtype(kind).itemsize * dims)
-            x = _vectors(both, m // 2, kind)
+            both = from_binary(rows.column("v").combine_chunks(), np.uint8, skip + np.dtype(kind).itemsize * dims)
+            x = evened(_vectors(both, skip, kind))
             norms = np.sqrt((x * x).sum(1))
             q, qid, xid = x[query], ids[query], ids[~query]
-            codes = np.ascontiguousarray(both[~query, : m // 2].T)
             data, dn, qn = x[~query], norms[~query], norms[query]
             if not len(q) or not len(data):
                 continue
-            for lo in range(0, len(q), 64):
-                part, own = q[lo : lo + 64], qid[lo : lo + 64]
+            codes = np.ascontiguousarray(both[~query, : m // 2].T)
+            along, aside = np.ascontiguousarray(both[~query, m // 2 : skip]).view(np.float32).T
+            floor = np.ascontiguousarray(both[query, m // 2 : skip]).view(np.float64)
+            for lo in range(0, len(q), step):
+                part, own, pn = q[lo : lo + step], qid[lo : lo + step, None], qn[lo : lo + step, None]
+                left = np.ones((len(part), len(data)), dtype=bool)
                 if len(data) > rerank:
                     table = np.einsum("jcs,qjs->qjc", centres, padded(unit(part), sub).reshape(len(part), m, sub))
                     pairs = (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(part), m // 2, 256).astype(np.float32)
@@ -171,20 +229,30 @@ def _search(dims: int, kind: type, sub: int, centres: np.ndarray, k: int, rerank
                     for j in range(m // 2):
                         scan += pairs[:, j].take(codes[j], axis=1)
                     near = np.argpartition(scan, len(data) - rerank, axis=1)[:, -rerank:]
-                else:
-                    near = np.broadcast_to(np.arange(len(data)), (len(part), len(data)))
-                near = np.take_along_axis(near, np.argsort(xid[near], axis=1, kind="stable"), 1)  # ties to smaller ids
-                score = np.stack([(data[rows] * one).sum(1) for rows, one in zip(near, part, strict=True)]) / (dn[near] * qn[lo : lo + 64, None])
-                score[xid[near] == own[:, None]] = -np.inf
-                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(score, at, 1)
-                keep = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([ints(np.repeat(own, keep.sum(1))), ints(xid[np.take_along_axis(near, at, 1)][keep]), pa.array(top[keep])], names=["query_id", "vec_id", "score"])
+                    score = (data[near] @ part[:, :, None])[:, :, 0] / (dn[near] * pn)
+                    score[xid[near] == own] = -np.inf
+                    kth = np.partition(score, rerank - k, axis=1)[:, rerank - k, None] - close
+                    least = np.where(np.isfinite(kth), np.maximum(floor[lo : lo + step], kth), -1.0)  # k rows at least, where there are any
+                    far = np.sqrt(np.maximum(0.0, 1 - least * least)).astype(np.float32)
+                    left = (least <= 0) | (scan >= np.minimum(along, along * least.astype(np.float32)) - far * aside - np.float32(slack))
+                    np.put_along_axis(left, near, True, 1)
+                some = np.flatnonzero(left.any(0))
+                score = part @ data[some].T / (dn[some] * pn)
+                score[~left[:, some] | (xid[some] == own)] = -np.inf
+                edge = np.partition(score, len(some) - k, axis=1)[:, len(some) - k, None] - close if len(some) > k else -np.inf
+                row, at = np.nonzero((score >= edge) & np.isfinite(score))
+                at = some[at]
+                each = max(1, (8 << 20) // (8 * dims))  # pairs, which are many where rows are equal
+                dots = [(data[at[i : i + each]] * part[row[i : i + each]]).sum(1) for i in range(0, len(at), each)]
+                score = np.concatenate([*dots, np.zeros(0)]) / (dn[at] * pn[row, 0])
+                order = np.lexsort((xid[at], -score, row))
+                order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]  # rows ascend already
+                yield pa.RecordBatch.from_arrays([ints(own[row[order], 0]), ints(xid[at[order]]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, cells: int = 256, cover: float = 0.99, query_block: int | None = None, data_block: int | None = None) -> DataFrame:
+def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int = 2, parallel: float = 4.0, rerank: int = 128, sample: int = 4096, cells: int = 256, cover: float = 0.99, asked: int = 512, query_block: int | None = None, data_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest cosines found for every row of `vectors` where `is_query`."""
     spark = vectors.sparkSession
     some = F.exists("embedding", lambda x: x != 0)
@@ -194,7 +262,7 @@ def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64  # as exact as they came
     query_block, data_block = query_block or block_rows(asking, dims), data_block or block_rows(n, dims)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").toArrow()
     x = unit(matrix(chosen.column("embedding"), dims))
     centres = fit(padded(x, sub), sub, parallel)
     coarse = grouped(x, max(1, min(cells, math.isqrt(n) // 4, len(x) // 16)))[0]
@@ -202,13 +270,19 @@ def anisotropic_ann(vectors: DataFrame, is_query: Column, k: int = 5, sub: int =
     held = np.zeros(len(coarse), dtype=np.int64)
     for grp, rows_ in coded.groupBy("grp").count().collect():
         held[grp] = rows_
-    asked = coded.where("is_query").mapInArrow(_probed(dims, kind, centres.shape[0] // 2, coarse, held, probes_for(x, coarse, k, cover), k + 1), "vec_id long, is_query boolean, grp long, v binary")
-    asked = settle(asked, "asked")
+    skip = centres.shape[0] // 2 + SIDE
+    few = rows.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(asked).select("vec_id", "embedding").toArrow()
+    near = coded.mapInArrow(_places(dims, kind, skip, unit(matrix(few.column("embedding"), dims)), few.column("vec_id").to_numpy(), coarse, k), "query long, vec_id long, score double, place long")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k)
+    probes = max(probes_for(x, coarse, k, cover), enough(np.array([r.place for r in near.select("place").collect()], dtype=np.int64), cover)) if cover < 1 else len(coarse)
+    most = max(256, (8 << 20) // (4 * dims))
+    probed = _probed(dims, kind, skip, coarse, held, probes, k, x[:most].astype(np.float32), chosen.column("vec_id").to_numpy()[:most])
+    sent = settle(coded.where("is_query").mapInArrow(probed, "vec_id long, is_query boolean, grp long, v binary"), "sent")
     nd = F.element_at(F.array(*(F.lit(max(1, -(-int(h) // data_block))).cast("long") for h in held)), (F.col("grp") + 1).cast("int"))
-    sizes = asked.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq")).withColumn("nd", nd)
+    sizes = sent.groupBy("grp").agg(F.ceil(F.count("*") / query_block).alias("nq")).withColumn("nd", nd)
     sizes = F.broadcast(settle(sizes, "blocks"))  # a row a cell
     salt = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    q = asked.withColumn("salt", salt).join(sizes, "grp").withColumn("qb", F.pmod("salt", "nq"))
+    q = sent.withColumn("salt", salt).join(sizes, "grp").withColumn("qb", F.pmod("salt", "nq"))
     x = coded.withColumn("is_query", F.lit(False)).withColumn("salt", salt).join(sizes, "grp").withColumn("db", F.pmod("salt", "nd"))
-    found = crossed(q, x).mapInArrow(_search(dims, kind, sub, centres, k, rerank), "query_id long, vec_id long, score double")
+    found = crossed(q, x).mapInArrow(_search(dims, kind, sub, centres, k, max(k, rerank)), "query_id long, vec_id long, score double")
     return ranked(found, k)

@@ -153,6 +153,52 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def uneven(kind):
+    """Rows that codes or cells of a sample tell little about."""
+    rng = np.random.default_rng(21)
+    n = 3000
+    if kind == "tight":
+        return rng.normal(size=(4, 16))[rng.integers(0, 4, n)] + 0.01 * rng.normal(size=(n, 16))
+    if kind == "plane":
+        return rng.normal(size=(n, 2))
+    x = rng.normal(size=(n, 16))
+    if kind == "copies":
+        x[rng.random(n) < 0.5] = x[0]
+    if kind == "queries elsewhere":
+        x = rng.normal(size=(40, 16))[rng.integers(0, 40, n)] + 0.1 * x
+        x[::50] = rng.normal(size=(60, 16))
+    return x
+
+
+def nearest(x, i, k=5):
+    """Ids of the k largest cosines to row i of all others, ties (to 1e-12) to smaller ids."""
+    s = np.round((x * x[i]).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i]), 12)
+    s[i] = -np.inf
+    return np.argsort(-s, kind="stable")[:k].tolist()
+
+
+@pytest.mark.parametrize("kind", ["tight", "plane", "copies", "queries elsewhere"])
+def test_recall_on_uneven_rows(spark, kind):
+    x = np.float32(uneven(kind)).astype(np.float64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    for cover, least in ((0.99, 0.95), (1.0, 1.0)):
+        got = {}
+        for r in anisotropic_ann(df, F.col("vec_id") % 50 == 0, cover=cover).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert len(got) == 60 and all(len(v) == 5 for v in got.values())
+        assert sum(len(v & set(nearest(x, i))) for i, v in got.items()) >= least * 300
+
+
+@pytest.mark.parametrize("length", [1e200, 1e-200])
+def test_cosines_of_very_long_and_short_vectors(spark, length):
+    x = np.random.default_rng(22).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, (r * length).tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in anisotropic_ann(df, F.col("vec_id") % 50 == 0, data_block=100, cover=1.0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {i: nearest(x, i) for i in range(0, 300, 50)}
+
+
 def test_parallel_error_costs_more():
     x = unit(np.random.default_rng(5).normal(size=(800, 16)))
     errors = {}
