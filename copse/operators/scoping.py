@@ -108,13 +108,18 @@ def last_written(writes: DataFrame, *order: str) -> DataFrame:
 def inherited(matches: DataFrame, bindings: DataFrame, scope: str, name: str) -> DataFrame:
     """The value bound to capture `scope` itself or else to its nearest ancestor that has a binding, be that value null; null if none has.
 
-    Each distinct reader meets the bindings of its path's prefixes in one equi-join; the longest prefix wins.
+    No binding lies deeper on a reader's path than the deepest depth that any binding has and the path reaches, so readers that agree to there share what they find: each such
+    stretch of a path is looked up once, and meets the bindings of its prefixes, of those lengths alone that bindings have, in one equi-join; the longest prefix wins.
     """
-    readers = matches.select("doc_id", F.col(f"{scope}.path").alias("_reader")).distinct()
-    up = readers.select("doc_id", "_reader", F.explode(prefixes(F.col("_reader"))).alias("path"))
+    depths = F.broadcast(bindings.agg(F.collect_set(F.size("path")).alias("_depths")))  # one row, of as many as the longest path has places, at most
+    reached = lambda path: F.filter("_depths", lambda d: d <= F.size(path))
+    path = F.col(f"{scope}.path")
+    stretched = matches.crossJoin(depths).withColumn("_reader", F.slice(path, F.lit(1), F.array_max(reached(path)))).drop("_depths")
+    readers = stretched.select("doc_id", "_reader").distinct()
+    up = readers.crossJoin(depths).select("doc_id", "_reader", F.explode(F.transform(reached("_reader"), lambda d: F.slice("_reader", F.lit(1), d))).alias("path"))
     found = up.join(bindings.select("doc_id", "path", F.struct("value").alias("got")), ["doc_id", "path"])
     best = found.groupBy("doc_id", "_reader").agg(F.max_by("got", F.size("path")).alias("_got"))
-    return matches.withColumn("_reader", F.col(f"{scope}.path")).join(best, ["doc_id", "_reader"], "left").withColumn(name, F.col("_got.value")).drop("_reader", "_got")
+    return stretched.join(best, ["doc_id", "_reader"], "left").withColumn(name, F.col("_got.value")).drop("_reader", "_got")
 
 
 def along_path(matches: DataFrame, forest: DataFrame, scope: str, name: str, value: Column, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:

@@ -298,3 +298,31 @@ def test_scratch_folders(spark):
     scratch.forget(kept)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist|not found"):
         spark.read.parquet(kept.written_at).count()
+
+
+def rows_out(plan, name):
+    """How many rows the operators of a name gave in a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_out(plan.executedPlan(), name)
+    if plan.nodeName().endswith("QueryStage"):
+        return rows_out(plan.plan(), name)
+    below = plan.children()
+    return sum(rows_out(below.apply(i), name) for i in range(below.size())) + (plan.metrics().apply("numOutputRows").value() if plan.nodeName() == name else 0)
+
+
+def test_readers_share_what_they_inherit(spark):
+    paths = {0: []} | {i: [i] for i in range(1, 6)} | {10: [1, 10], 11: [1, 10, 11], 12: [7]} | {100 + i: [1 + i % 5, i, 1, 2, 3, 4, 5] for i in range(300)} | {500: [1, 10, 11, 12, 13]}
+    forest = tree(spark, [(n, None if n == 0 else 0, "m", path, None) for n, path in paths.items()])
+    m = p.match(forest, "x")
+
+    def got(bound):
+        bindings = scoping.bind(m.where(F.col("x.node_id").isin(list(bound))), "x", F.when(F.col("x.node_id") % 2 == 0, F.col("x.node_id")))
+        found = scoping.inherited(m, bindings, "x", "v")
+        at = {tuple(paths[n]): n for n in bound}
+        near = {n: next((at[tuple(path[:i])] for i in range(len(path), -1, -1) if tuple(path[:i]) in at), None) for n, path in paths.items()}
+        assert {r.x.node_id: r.v for r in found.collect()} == {n: x if x is not None and x % 2 == 0 else None for n, x in near.items()}
+        return rows_out(found._jdf.queryExecution().executedPlan(), "Generate")
+
+    assert got([0, 2, 3]) <= 2 * 7  # two depths of bindings; the root and six nodes below it are all that readers can tell apart
+    assert got([4, 10, 11, 500]) <= 4 * len(paths)
+    assert got([]) == 0
