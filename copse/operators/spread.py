@@ -1,7 +1,8 @@
 """Orders and links over rows of one key that no single task can hold: sums, numbers, last values and chains' ends.
 
 An order is cut into ranges (one sort by range, written once, as two readings of a range partitioning need not agree); windows work within a
-range, and one row for each key and range carries sums or last values to the ranges after it.
+range, and one row for each key and range carries sums or last values to the ranges after it. What `summed`, `numbered` and `carried` return reads
+that table (`written_at`): who has written what is made of it can have it forgotten.
 """
 
 from __future__ import annotations
@@ -20,22 +21,21 @@ def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return written(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id().cast("long")), "ranged")
 
 
-def _joined(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with what their key and range carries; null keys meet."""
-    on = F.lit(True)
-    for k in [*keys, "_range"]:
-        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
-    return rows.alias("x").join(few.alias("y"), on, "left").select("x.*", *(F.col(f"y.{c}") for c in few.columns if c not in [*keys, "_range"]))
+def _led(table: DataFrame, before: DataFrame) -> DataFrame:
+    """Ranged rows (`_lead` 1), and ahead of each key's rows in a range the one that brings what the ranges before carry (`_lead` 0): a window over both needs no join."""
+    return table.withColumn("_lead", F.lit(1)).unionByName(before.withColumn("_lead", F.lit(0)), allowMissingColumns=True)
 
 
 def summed(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """`df` with `name`: the sum of `value`, a whole number, over the rows of a key before each."""
     table = ranged(df.withColumn("_value", value.cast("long")), keys, order)
-    earlier = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = table.withColumn(name, F.coalesce(F.sum("_value").over(earlier), F.lit(0)))
     sums = table.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
-    return _joined(own, before, keys).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_before", "_value")
+    before = sums.withColumn("_value", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = _led(table, before.where("_value is not null").drop("_sum"))
+    earlier = Window.partitionBy(*keys, "_range").orderBy("_lead", *order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(name, F.coalesce(F.sum("_value").over(earlier), F.lit(0))).where("_lead = 1").drop("_range", "_lead", "_value")
+    out.written_at = table.written_at
+    return out
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -46,12 +46,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 def carried(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """`df` with `name`: the last `value` that is not null of this row and those before it within a key."""
     table = ranged(df, keys, order)
-    own = table.withColumn(name, F.last(value, True).over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     last = table.where(F.col(value).isNotNull()).groupBy(*keys, "_range").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    ranges = table.select(*keys, "_range").distinct()
-    few = _joined(ranges, last, keys)
-    before = few.withColumn("_carried", F.last("_last", True).over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
-    return _joined(own, before, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_range", "_carried")
+    few = last.unionByName(table.select(*keys, "_range").distinct(), allowMissingColumns=True).groupBy(*keys, "_range").agg(F.first("_last", True).alias("_last"))
+    before = few.withColumn(value, F.last("_last", True).over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    rows = _led(table, before.where(F.col(value).isNotNull()))
+    so_far = Window.partitionBy(*keys, "_range").orderBy("_lead", *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(name, F.last(value, True).over(so_far)).where("_lead = 1").drop("_range", "_lead")
+    out.written_at = table.written_at
+    return out
 
 
 def ends(links: DataFrame, **weights: Column) -> DataFrame:

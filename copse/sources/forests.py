@@ -11,6 +11,7 @@ they are asked for. Trees that come with parent pointers alone get their order b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import accumulate
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from copse.functions.values import let
 from copse.operators import spread
-from copse.sources.scratch import written
+from copse.sources.scratch import forget, written
 
 PLACES = ["start_row", "start_column", "end_row", "end_column", "start_byte", "end_byte"]
 COLUMNS = ["doc_id", "node_id", "parent_id", "kind", "field", "named", "error", "missing", "path", "key", "num", "text"]
@@ -277,59 +278,125 @@ def with_source(matches: DataFrame, documents: DataFrame, capture: str, name: st
     return matches.join(texts, F.col("doc_id") == F.col("_doc"), "left").withColumn(name, F.decode(cut, "UTF-8")).drop("_doc", "_bytes")
 
 
-def from_parents(nodes: DataFrame, *order: str, wide: bool = False) -> DataFrame:
-    """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`, ties by node_id.
+def _raked(inner: DataFrame) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
+    """Tiers of `inner`(doc_id, node_id, parent_id, nth, n), nodes with n children, from below; what is left, if any; and the tables written. All with `size`, the nodes of the whole subtree.
 
-    A node lies below another where its places lie between the other's. Each node is entered, its children are walked in turn, and it is left: that is one list a
-    document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made. Nodes without children are not in the
-    list: its steps count them, and they take their places from the step before them. Nodes whose parent is not there, or that hang on themselves, have no places.
-    `wide`: for parents with more children than a task can hold, whose order is then cut into ranges.
+    A tier is the nodes that have no inner children but those of the tiers before it. Tiers are taken off while each holds half of the nodes or more; the size of what is left counts
+    a node and what was taken off below it.
     """
-    inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_has")).distinct()
-    has = F.col("parent_id").isNull() | F.coalesce("_has", F.lit(False))
-    keys, by, one = ["doc_id", "parent_id"], [*order, "node_id"], F.struct("node_id", "leaves")
-    siblings = Window.partitionBy(*keys).orderBy(*by)
-    before = siblings.rowsBetween(Window.unboundedPreceding, -1)
-    rows = nodes.select("doc_id", "node_id", "parent_id", *order).join(inner, ["doc_id", "node_id"], "left").withColumn("has", has)
-    leaf = (~F.col("has")).cast("long")
-    if wide:
-        rows = spread.summed(rows, keys, by, leaf, "leaves").withColumn("inner", F.when(F.col("has"), one))
-        rows = spread.carried(rows, keys, by, "inner", "elder").drop("inner")  # a leaf's own is null, so what is carried to it is from before
-    else:
-        rows = rows.withColumn("leaves", F.coalesce(F.sum(leaf).over(before), F.lit(0)))
-        rows = rows.withColumn("elder", F.last(F.when(F.col("has"), one), True).over(before))
-    rows = written(rows, "siblings")
-    under = rows.groupBy("doc_id", "parent_id").agg(F.sum(leaf).alias("all"), F.min_by(F.when(F.col("has"), one), F.when(F.col("has"), F.struct(*order, F.col("node_id").alias("_tie")))).alias("first"))
-    walk = rows.where("has")
+    below = inner.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_below"))
+    waits = F.coalesce("_below", F.lit(0))
+    rest = inner.join(below, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "parent_id", "nth", waits.alias("waits"), (1 + F.col("n") - waits).alias("size"))
+    tiers, tables = [], []
+    while True:
+        rest = written(rest, "tier")
+        tables.append(rest)
+        ready, waiting = rest.agg(F.count_if(F.col("waits") == 0), F.count_if(F.col("waits") > 0)).first()
+        if ready < waiting:
+            return tiers, rest, tables
+        tiers.append(rest.where("waits = 0").drop("waits"))
+        if not waiting:
+            return tiers, None, tables
+        done = tiers[-1].groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+        less = lambda x: F.coalesce(x, F.lit(0))
+        rest = rest.where("waits > 0").join(done, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "parent_id", "nth", (F.col("waits") - less("_n")).alias("waits"), (F.col("size") + less("_size")).alias("size"))
+
+
+def _walked(walk: DataFrame, wide: bool) -> DataFrame:
+    """(doc_id, node_id, parent_id, nth, enter, exit, depth) of the nodes of `walk`(doc_id, node_id, parent_id, nth, size, leaves), which no tier holds: one list a document, ranked by pointer doubling.
+
+    `leaves`: the nodes in subtrees of tiers and leaves among the elder siblings. They are not in the list: its steps count them.
+    """
+    one = F.struct("node_id", "leaves")
+    places = walk
+    first = walk.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by(one, F.col("nth")).alias("first"))
     if wide:
-        walk = spread.numbered(walk, keys, by, "nth")
-        later = walk.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), (F.col("nth") - 1).alias("_nth"), one.alias("next"))
-        walk = walk.join(later, (F.col("doc_id") == F.col("_doc")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("nth") == F.col("_nth")), "left")
+        numbers = spread.numbered(walk, ["doc_id", "parent_id"], ["nth"], "_at")
+        later = numbers.select(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent"), (F.col("_at") - 1).alias("_before"), one.alias("next"))
+        walk = numbers.join(later, (F.col("doc_id") == F.col("_doc")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("_at") == F.col("_before")), "left")
     else:
-        walk = walk.withColumn("next", F.lead(one).over(siblings))
-    walk = walk.select("doc_id", "node_id", "parent_id", "leaves", "next")
-    walk = walk.join(under.select("doc_id", F.col("parent_id").alias("node_id"), F.col("all").alias("own"), "first"), ["doc_id", "node_id"], "left")
-    walk = walk.join(under.select("doc_id", "parent_id", "all"), ["doc_id", "parent_id"], "left")
+        walk = walk.withColumn("next", F.lead(one).over(Window.partitionBy("doc_id", "parent_id").orderBy("nth")))
+    walk = walk.select("doc_id", "node_id", "parent_id", "leaves", (F.col("size") - 1).alias("own"), "next").join(first, ["doc_id", "node_id"], "left")
+    walk = walk.join(places.select("doc_id", F.col("node_id").alias("parent_id"), (F.col("size") - 1).alias("all")), ["doc_id", "parent_id"], "left")
 
     def event(node: Column, side: int) -> Column:
         return F.struct(node.alias("node"), F.lit(side).alias("side"))
 
-    enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.when(F.col("first").isNotNull(), event(F.col("first.node_id"), 0)).otherwise(event(F.col("node_id"), 1)).alias("to"), F.coalesce("first.leaves", "own", F.lit(0)).alias("gap"))
+    enter = F.struct(event(F.col("node_id"), 0).alias("id"), F.when(F.col("first").isNotNull(), event(F.col("first.node_id"), 0)).otherwise(event(F.col("node_id"), 1)).alias("to"), F.coalesce("first.leaves", "own").alias("gap"))
     to = F.when(F.col("next").isNotNull(), event(F.col("next.node_id"), 0)).when(F.col("parent_id").isNotNull(), event(F.col("parent_id"), 1))
     leave = F.struct(event(F.col("node_id"), 1).alias("id"), to.alias("to"), (F.coalesce("next.leaves", "all", F.lit(0)) - F.col("leaves")).alias("gap"))
     links = written(walk.select("doc_id", F.explode(F.array(enter, leave)).alias("e")).select("doc_id", "e.*"), "walk")
     ranked = spread.ends(links, way=1 + 2 * F.col("gap"), entered=F.when(F.col("id.side") == 0, 1).otherwise(0) + F.col("gap"))
     final = links.where("to is null").select("doc_id", F.col("id").alias("end"))
     found = ranked.where("end is not null").join(final, ["doc_id", "end"], "left_semi")  # a chain that ends elsewhere hangs on a missing parent
-    total = found.groupBy("doc_id").agg(F.max("way").alias("most"), F.max("entered").alias("nodes"))
-    placed = found.join(total, "doc_id").select("doc_id", "id", (F.col("most") - F.col("way")).alias("at"), (F.col("nodes") - F.col("entered")).alias("pre"))
-    placed = written(placed.unionByName(final.join(total, "doc_id").select("doc_id", F.col("end").alias("id"), F.col("most").alias("at"), F.col("nodes").alias("pre"))), "placed")
-    own = placed.select("doc_id", "id.node", "id.side", "at", "pre")
-    into = own.where("side = 0").select("doc_id", F.col("node").alias("node_id"), F.col("at").alias("enter"), (2 * F.col("pre") - F.col("at")).alias("depth"))
-    out = own.where("side = 1").select("doc_id", F.col("node").alias("node_id"), F.col("at").alias("exit"))
-    inside = into.join(out, ["doc_id", "node_id"]).select("doc_id", "node_id", "enter", "exit", "depth")
-    base = F.when(F.col("elder").isNotNull(), event(F.col("elder.node_id"), 1)).otherwise(event(F.col("parent_id"), 0))
-    leaves = rows.where("not has").select("doc_id", "node_id", base.alias("id"), (F.col("leaves") - F.coalesce("elder.leaves", F.lit(0))).alias("nth")).join(placed, ["doc_id", "id"])
-    enter_, side = F.col("at") + 1 + 2 * F.col("nth"), F.col("id.side")
-    leaves = leaves.select("doc_id", "node_id", enter_.alias("enter"), (enter_ + 1).alias("exit"), (2 * (F.col("pre") + F.when(side == 0, 1).otherwise(0)) - F.col("at") - 1).alias("depth"))
-    return nodes.join(inside.unionByName(leaves), ["doc_id", "node_id"], "left")
+    lead = places.where("parent_id is null").groupBy("doc_id").agg(F.min("leaves").alias("lead"))  # what comes before the first root of the list
+    total = found.groupBy("doc_id").agg(F.max("way").alias("most"), F.max("entered").alias("nodes")).join(lead, "doc_id")
+    total = total.select("doc_id", (F.col("most") + 2 * F.col("lead")).alias("most"), (F.col("nodes") + F.col("lead")).alias("nodes"))
+    at = found.join(total, "doc_id").select("doc_id", "id", (F.col("most") - F.col("way")).alias("at"), (F.col("nodes") - F.col("entered")).alias("pre"))
+    at = at.unionByName(final.join(total, "doc_id").select("doc_id", F.col("end").alias("id"), F.col("most").alias("at"), F.col("nodes").alias("pre")))
+    side = lambda s, x: F.max(F.when(F.col("id.side") == s, x))
+    own = at.groupBy("doc_id", F.col("id.node").alias("node_id")).agg(side(0, F.col("at")).alias("enter"), side(1, F.col("at")).alias("exit"), side(0, 2 * F.col("pre") - F.col("at")).alias("depth"))
+    out = written(places.select("doc_id", "node_id", "parent_id", "nth").join(own, ["doc_id", "node_id"]), "placed")
+    forget(links)
+    return out
+
+
+def from_parents(nodes: DataFrame, *order: str, wide: bool = False) -> DataFrame:
+    """`nodes`(doc_id, node_id, parent_id, ...) with `enter` and `exit`, places in a walk around each document's trees, and `depth`; siblings in the order of the columns `order`, ties by node_id.
+
+    A node lies below another where its places lie between the other's. Each node is entered, its children are walked in turn, and it is left. Only ids and numbers among siblings go through
+    the rounds, and nodes without children are in none: they take their places from what is before them, their parent's or an elder sibling's. The others are taken off from below, tier by tier,
+    with the size of their subtrees, as long as a tier holds half of what is left, so all tiers cost little more than the first; they are placed from above. What is left then (deep trees) is one
+    list a document, ranked by pointer doubling, so the rounds grow with the logarithm of a document's nodes, however deep its trees, and no path is made. Nodes whose parent is not there,
+    or that hang on themselves, have no places. `wide`: for parents with more children than a task can hold, whose order is then cut into ranges.
+    """
+    keys, by = ["doc_id", "parent_id"], [*order, "node_id"]
+    rows = nodes.select("doc_id", "node_id", "parent_id", *order)
+    rows = spread.numbered(rows, keys, by, "nth") if wide else rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
+    born = written(rows.select("doc_id", "node_id", "parent_id", F.col("nth").cast("long").alias("nth")), "born")
+    ranges = [rows] if wide else []  # tables that are read until the next one is written
+    has = born.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg((F.max("nth") + 1).alias("n"))
+    inner = written(born.join(has, ["doc_id", "node_id"]), "inner")
+    tiers, left, tables = _raked(inner)
+    rows = reduce(DataFrame.unionByName, [t.drop("waits").withColumn("tier", F.lit(i)) for i, t in enumerate([*tiers, *([left] if left else [])])])
+    in_list = F.col("tier") == len(tiers)
+    more = F.when(in_list, -1).otherwise(F.col("size") - 1)  # than the one that `nth` counts
+    listed = F.when(in_list, F.struct("node_id", "leaves"))
+    if wide:
+        ranges.append(sums := spread.summed(rows, keys, ["nth"], more, "more"))
+        ranges.append(rows := spread.carried(sums.withColumn("leaves", F.col("nth") + F.col("more")).withColumn("listed", listed), keys, ["nth"], "listed", "elder"))  # a node of a tier has none of its own, so what is carried to it is from before
+    else:
+        before = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("leaves", F.col("nth") + F.coalesce(F.sum(more).over(before), F.lit(0))).withColumn("elder", F.last(listed, True).over(before))
+    rows = written(rows.select("doc_id", "node_id", "parent_id", "nth", "size", "tier", "leaves", "elder"), "siblings")
+    for table in (inner, *tables, *ranges):
+        forget(table)
+    placed = [_walked(rows.where(in_list), wide)] if left else []
+    root, elder = F.col("parent_id").isNull(), F.col("elder").isNotNull()
+    for i in reversed(range(len(tiers))):
+        known = reduce(DataFrame.unionByName, placed) if placed else rows.where("false").select("doc_id", "node_id", *(F.lit(None).cast("long").alias(x) for x in ("enter", "exit", "depth")))
+        known = known.select("doc_id", F.col("node_id").alias("base"), F.struct("enter", "exit", "depth").alias("at"))
+        own = rows.where(F.col("tier") == i).withColumn("base", F.coalesce("elder.node_id", "parent_id")).join(known, ["doc_id", "base"], "left")
+        start = F.when(elder, F.col("at.exit")).when(root, -1).otherwise(F.col("at.enter")) + 1 + 2 * (F.col("leaves") - F.coalesce("elder.leaves", F.lit(0)))
+        depth = F.when(elder, F.col("at.depth")).when(root, 0).otherwise(F.col("at.depth") + 1)
+        own = own.select("doc_id", "node_id", "parent_id", "nth", start.alias("enter"), (start + 2 * F.col("size") - 1).alias("exit"), depth.cast("long").alias("depth"))
+        placed.append(written(own.where("enter is not null"), "placed"))
+
+    def mark(parent: str, nth: Column, last: str, depth: Column) -> Column:
+        return F.struct(F.col(parent).alias("parent_id"), nth.cast("long").alias("nth"), F.struct(nth.cast("long").alias("nth"), "enter", F.col(last).alias("exit"), depth.alias("depth")).alias("mark"))
+
+    marks = [t.select("doc_id", F.explode(F.array(mark("parent_id", F.col("nth"), "exit", F.col("depth")), mark("node_id", F.lit(-1), "enter", F.col("depth") + 1))).alias("m")).select("doc_id", "m.*", F.lit(0).alias("turn")) for t in placed]
+    both = reduce(DataFrame.unionByName, marks).unionByName(born.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    if wide:
+        both = told = spread.carried(both, keys, ["nth", "turn"], "mark", "last")
+    else:
+        both = both.withColumn("last", F.last("mark", True).over(Window.partitionBy(*keys).orderBy("nth", "turn").rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.when(root, F.struct(*(F.lit(x).cast("long").alias(n) for n, x in {"nth": -1, "enter": None, "exit": -1, "depth": 0}.items())))
+    both = both.where("turn = 1").select("doc_id", "node_id", "nth", F.coalesce("last", top).alias("last"))
+    itself = F.col("last.nth") == F.col("nth")
+    start = F.when(itself, F.col("last.enter")).otherwise(F.col("last.exit") + 1 + 2 * (F.col("nth") - F.col("last.nth") - 1))
+    found = both.where("last is not null").select("doc_id", "node_id", start.alias("enter"), F.when(itself, F.col("last.exit")).otherwise(start + 1).alias("exit"), F.col("last.depth").alias("depth"))
+    found = written(found, "places")
+    for table in (born, rows, *placed, *([told] if wide else [])):
+        forget(table)
+    return nodes.join(found, ["doc_id", "node_id"], "left")

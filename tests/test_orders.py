@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +328,64 @@ def test_readers_share_what_they_inherit(spark):
     assert got([0, 2, 3]) <= 2 * 7  # two depths of bindings; the root and six nodes below it are all that readers can tell apart
     assert got([4, 10, 11, 500]) <= 4 * len(paths)
     assert got([]) == 0
+
+
+@pytest.fixture
+def folders(monkeypatch):
+    """The folders of tables written on the way."""
+    made, folder = [], scratch.folder
+
+    def noted(spark, name):
+        made.append(folder(spark, name))
+        return made[-1]
+
+    monkeypatch.setattr(scratch, "folder", noted)
+    return made
+
+
+def left(spark, made):
+    where = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in made]
+    return [x.getName() for x in where if x.getFileSystem(spark._jsc.hadoopConfiguration()).exists(x)]
+
+
+NODE = "doc_id long, node_id long, parent_id long, at int"
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_bushy_trees_need_no_rounds_and_leave_one_table(spark, folders, monkeypatch, wide):
+    def ends(*_, **__):
+        raise AssertionError("pointer doubling")
+
+    monkeypatch.setattr(spread, "ends", ends)
+    docs = {d: [(0, None, 0)] + [(i, 0, i % 3) for i in range(1, 9 - d)] + [(10 * i + j, i, j % 2) for i in range(1, 9 - d, 2) for j in range(d)] for d in range(7)} | {7: [(5, None, 1), (6, None, 0)]}
+    placed = from_parents(spark.createDataFrame([(d, *r) for d, rs in docs.items() for r in rs], NODE), "at", wide=wide)
+    assert [x.split("-")[1] for x in left(spark, folders)] == ["places"]
+    assert {(r.doc_id, r.node_id): (r.enter, r["exit"], r.depth) for r in placed.collect()} == {(d, n): x for d, rs in docs.items() for n, x in walked(rs).items()}
+    alone = from_parents(spark.createDataFrame([(1, 7, None, 0), (1, 8, 9, 0), (2, 3, None, 0)], NODE), "at", wide=wide)
+    assert {(r.doc_id, r.node_id): (r.enter, r["exit"], r.depth) for r in alone.collect()} == {(1, 7): (0, 1, 0), (1, 8): (None, None, None), (2, 3): (0, 1, 0)}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_places_of_deep_and_bushy_trees_together(spark, wide):
+    rng, docs = random.Random(11), {}
+    for d in range(12):
+        rows = [(i, None, rng.randrange(4)) for i in range(1 + d % 4)]  # some of them bushy, some deep, some alone
+        for i in range(len(rows), 40 + 20 * d):
+            up = rng.randrange(i) if rng.random() < 0.5 else max(i - 1 - rng.randrange(2), 0)
+            rows.append((i, up, rng.randrange(4)))
+        docs[d] = rows + [(9000, None, -1), (9001, None, 9)]
+    lost = [(d, x, y, 0) for d in range(3) for x, y in ((700, 699), (701, 700), (702, 701), (703, 700), (800, 801), (801, 800), (802, 800), (803, 802))]
+    got = {(r.doc_id, r.node_id): (r.enter, r["exit"], r.depth) for r in from_parents(spark.createDataFrame([(d, *r) for d, rs in docs.items() for r in rs] + lost, NODE).repartition(5), "at", wide=wide).collect()}
+    want = {(d, n): x for d, rs in docs.items() for n, x in walked(rs).items()} | {(d, n): (None, None, None) for d, n, _, _ in lost}
+    assert got == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    shuffled = lambda: {f for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = shuffled()
+    kept = scratch.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "kept")
+    until = time.time() + 10
+    while (more := shuffled() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not more and kept.count() == 1000
+    assert spark.conf.get(scratch.CLEANUP, "false") == "false"
