@@ -878,9 +878,10 @@ def duplicate_sites(spark, sf_dir):
 def inherit_between(spark, sf_dir):
     """The nearest binding above, by places in a walk and not by paths."""
     forest = forests.order_forest(spark, sf_dir)
-    placed = forests.from_parents(forest, "path")
+    placed = forests.from_parents(forest, "path").where("enter is not null").select("doc_id", "kind", "key", "text", "enter", "exit")
+    placed = scratch.written(placed, "placed")
     bound = placed.where("kind = 'customer' or kind = 'order' and text = '1-URGENT'").select("doc_id", "enter", "exit", F.when(c("kind") == "customer", c("text")).otherwise("order").alias("value"))
-    lines = p.match(placed.where("enter is not null"), "l", "lineitem")
+    lines = placed.where("kind = 'lineitem'").select("doc_id", F.struct("key", "enter").alias("l"))
     return scoping.inherited_between(lines, bound, "l", "v").select(c("l.key").alias("part"), "v")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from copse.functions import values
 from copse.operators import spread
 from copse.operators.patterns import prefixes
-from copse.sources.scratch import written
+from copse.sources.scratch import forget, written
 
 
 class Globals:
@@ -169,25 +169,26 @@ def inherited_between(matches: DataFrame, bindings: DataFrame, scope: str, name:
     """`inherited` by places instead of paths (`forests.from_parents`): the value bound to capture `scope` or to its nearest ancestor that has one, however deep the trees.
 
     `bindings`: (doc_id, enter, exit, value). Their places are nested intervals. The last place before a reader's tells its binding: if one begins there, that one; if one ends there, what
-    that one lies in, which is found for all bindings together by pointer doubling.
+    that one lies in, which is found for all bindings together by pointer doubling. So both places of a binding get the value that holds from there on, and readers, laid in one order
+    with them, are carried the last. Matches go through that order whole: they should have no more columns than are needed.
     """
     def mark(at: str, ends: int) -> Column:
         return F.struct(F.col(at).alias("at"), F.lit(1).alias("turn"), F.struct(F.col("enter").alias("of"), F.lit(ends).alias("ends")).alias("mark"))
 
-    def asked(at: Column, turn: int) -> Column:
-        return F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(None).cast("struct<of:long,ends:int>").alias("mark"))
-
-    whole = bindings.select("doc_id", F.col("enter").cast("long").alias("enter"), F.col("exit").cast("long").alias("exit"))
-    events = whole.select("doc_id", F.explode(F.array(asked(F.col("enter"), 0), mark("enter", 0), mark("exit", 1))).alias("e"))  # what is before a binding, it, and its end
-    readers = matches.select("doc_id", F.col(f"{scope}.enter").cast("long").alias("at")).distinct().select("doc_id", asked(F.col("at"), 2).alias("e"))
-    told = spread.carried(events.unionByName(readers).select("doc_id", "e.*"), ["doc_id"], ["at", "turn"], "mark", "last")
-    told = written(told.where("turn <> 1").select("doc_id", "at", "turn", "last.of", "last.ends"), "told")
-    seen = told.where("turn = 0").select("doc_id", F.col("at").alias("id"), "of", "ends")
+    asked = F.struct(F.col("enter").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("struct<of:long,ends:int>").alias("mark"))
+    held = written(bindings.select("doc_id", F.col("enter").cast("long").alias("enter"), F.col("exit").cast("long").alias("exit"), "value"), "bindings")
+    events = held.select("doc_id", F.explode(F.array(asked, mark("enter", 0), mark("exit", 1))).alias("e"))  # what is before a binding, it, and its end
+    told = spread.carried(events.select("doc_id", "e.*"), ["doc_id"], ["at", "turn"], "mark", "last")
+    seen = written(told.where("turn = 0").select("doc_id", F.col("at").alias("id"), "last.of", "last.ends"), "told")
+    forget(told)
     after = spread.ends(seen.select("doc_id", "id", F.when(F.col("ends") == 1, F.col("of")).alias("to")))  # what one lies in is what its elder lies in
     eldest = seen.join(after.select("doc_id", "id", "end"), ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("end", "id").alias("eldest"))
     inside = seen.where("ends = 0").select("doc_id", F.col("id").alias("eldest"), F.col("of").alias("outer"))
-    outer = eldest.join(inside, ["doc_id", "eldest"], "left").select("doc_id", F.col("id").alias("of"), "outer")
-    own = told.where("turn = 2").join(outer, ["doc_id", "of"], "left").select("doc_id", F.col("at").alias("_at"), F.when(F.col("ends") == 0, F.col("of")).otherwise(F.col("outer")).alias("_of"))
-    given = own.join(bindings.select("doc_id", F.col("enter").alias("_of"), F.struct("value").alias("_got")), ["doc_id", "_of"])
-    out = matches.withColumn("_at", F.col(f"{scope}.enter")).join(given.select("doc_id", "_at", "_got"), ["doc_id", "_at"], "left")
-    return out.withColumn(name, F.col("_got.value")).drop("_at", "_got")
+    outer = eldest.join(inside, ["doc_id", "eldest"]).select("doc_id", F.col("id").alias("enter"), "outer")
+    around = held.select("doc_id", F.col("enter").alias("outer"), F.col("value").alias("_outside"))
+    ended = held.select("doc_id", "enter", "exit").join(outer, ["doc_id", "enter"], "left").join(around, ["doc_id", "outer"], "left")
+    got = lambda at, value: F.struct("doc_id", F.col(at).alias("_at"), F.struct(F.col(value).alias("value")).alias("_got"))
+    marks = held.select(got("enter", "value").alias("m")).unionByName(ended.select(got("exit", "_outside").alias("m"))).select("m.*", F.lit(0).alias("_turn"))
+    readers = matches.select(F.struct(*matches.columns).alias("_row"), "doc_id", F.col(f"{scope}.enter").cast("long").alias("_at"), F.lit(1).alias("_turn"))
+    both = spread.carried(readers.unionByName(marks, allowMissingColumns=True), ["doc_id"], ["_at", "_turn"], "_got", "_last")
+    return both.where("_turn = 1").select("_row.*", F.when(F.col("_at").isNotNull(), F.col("_last.value")).alias(name))

@@ -389,3 +389,24 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
     assert not more and kept.count() == 1000
     assert spark.conf.get(scratch.CLEANUP, "false") == "false"
+
+
+def test_inheritance_by_places_moves_readers_once(spark):
+    rng = random.Random(12)
+    rows = [(d, i, None if i == 0 or i % 37 == 0 else rng.randrange(max(i - 6, 0), i), i) for d in range(3) for i in range(150)]
+    up = {(d, n): u for d, n, u, _ in rows}
+    bound = {(d, n): rng.choice([None, n]) for d, n, *_ in rows if n % 4 == d}
+    placed = scratch.written(from_parents(spark.createDataFrame(rows, NODE), "at"), "placed")
+    given = placed.join(spark.createDataFrame([(*k, v) for k, v in bound.items()], "doc_id long, node_id long, value long"), ["doc_id", "node_id"])
+    matches = placed.select("doc_id", F.when(F.col("node_id") != 5, F.struct("node_id", "enter")).alias("x"), F.col("node_id").alias("n"))
+    found = scoping.inherited_between(matches, given.select("doc_id", "enter", "exit", "value"), "x", "v")
+    assert found.columns == ["doc_id", "x", "n", "v"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+    def near(d, n):
+        while n is not None and (d, n) not in bound:
+            n = up[d, n]
+        return None if n is None else bound[d, n]
+
+    assert {(r.doc_id, r.n): r.v for r in found.collect()} == {(d, n): None if n == 5 else near(d, n) for d, n in up}
