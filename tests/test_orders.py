@@ -410,3 +410,18 @@ def test_inheritance_by_places_moves_readers_once(spark):
         return None if n is None else bound[d, n]
 
     assert {(r.doc_id, r.n): r.v for r in found.collect()} == {(d, n): None if n == 5 else near(d, n) for d, n in up}
+
+
+def test_orders_without_their_customer_have_no_places(spark, tmp_path):
+    import duckdb
+
+    from copse.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for name, kept in {"customer": "c_custkey % 40 = 1", "orders": "o_custkey % 40 < 4", "lineitem": "true"}.items():
+        con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{name}.parquet' WHERE {kept}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("q_parent_forest", "q_inherit_between"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert len(want) > 20 and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
